@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +13,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
 #: Bytes hashed at a time; a longer text is a run of its own.
-RUN = 1 << 20
+RUN = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -41,29 +42,44 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of bytes that aren't ASCII white space) and, per text, where its words begin.
+@dataclass
+class Spans:
+    """Words of some joined texts: where each begins and ends, and what hashes any part of it."""
 
-    Letters A-Z count as a-z. Returns (hashes, starts) with len(starts) == len(texts) + 1.
-    """
-    joined = b" ".join(texts).translate(_LOWER)
-    if not texts:
-        return np.empty(0, U64), np.zeros(1, np.int64)
-    data = np.frombuffer(joined, np.uint8)
-    space = _is_space()[data]
+    begin: np.ndarray
+    end: np.ndarray
+    starts: np.ndarray  # per text, its first word; one more than there are texts
+    total: np.ndarray
+    down: np.ndarray
+
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from begin to end, wherever they stand."""
+        return mix64((self.total[end] - self.total[begin]) * self.down[begin])
+
+
+def spans(texts: list[bytes], between: np.ndarray, fold: bool = True) -> Spans:
+    """The runs of bytes that `between` (256 flags) does not mark; fold: letters A-Z count as a-z."""
+    joined = b" ".join(texts)
+    data = np.frombuffer(joined.translate(_LOWER) if fold else joined, np.uint8)
     solid = np.empty(len(data) + 2, np.int8)
     solid[0] = solid[-1] = 0
-    np.logical_not(space, out=solid[1:-1].view(bool))
+    np.logical_not(between[data], out=solid[1:-1].view(bool))
     edge = np.flatnonzero(np.diff(solid))
-    begin, end = edge[::2], edge[1::2]
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(_byte_values()[data] * up[: len(data)], out=total[1:])
-    hashes = mix64((total[end] - total[begin]) * down[begin] if len(begin) else np.empty(0, U64))
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    return hashes, np.searchsorted(begin, bounds)
+    begin = edge[::2]
+    return Spans(begin, edge[1::2], np.searchsorted(begin, np.concatenate([[0], np.cumsum(lengths)])), total, down)
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of bytes that aren't ASCII white space) and, per text, where its words begin.
+
+    Letters A-Z count as a-z. Returns (hashes, starts) with len(starts) == len(texts) + 1.
+    """
+    found = spans(texts, _is_space())
+    return found.hashes(found.begin, found.end), found.starts
 
 
 def runs(texts: list[bytes]) -> Iterator[tuple[int, int]]:

@@ -31,7 +31,7 @@ from .storage import durable, release, shuffle_width
 
 U32, U64 = np.uint32, np.uint64
 #: Incidences that a map task gathers before it deals them to buckets.
-FLUSH = 2_000_000
+FLUSH = 600_000
 #: Columns multiplied at a time.
 STRIP = 4096
 
