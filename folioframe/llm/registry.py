@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, mpeg, ngram_join, toxicity
+from . import html_text, mixing, mpeg, ngram_join, piece_fst, toxicity
+
+#: Where the public tokenizers' files are.
+TOKENIZERS = Path("/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,8 +93,13 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_piece_fst(spark: SparkSession, sf_dir: str, model: Path = TOKENIZERS / "piece_bpe_32k.model") -> DataFrame:
+    """The SentencePiece encoding of every document, decoded again."""
+    return piece_fst.encode_texts(table(spark, sf_dir, "documents"), model.read_bytes())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op7_html_text": op7_html_text}
+    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op7_html_text": op7_html_text, "op10_piece_fst": op10_piece_fst}
 
 
 def oracle_sql() -> dict[str, str]:
