@@ -16,6 +16,8 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .storage import bounded_batches
+
 # Fixed values of HTML: void elements, raw-text elements, elements that show nothing, block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -372,6 +374,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
                 }
             )
 
+    bounded_batches(pages)
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"page_id {kind}, url string, title string, text string, n_chars long, n_lines long")

@@ -20,6 +20,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .storage import bounded_batches
+
 UNIT = 576
 # Fixed values of the MPEG audio standard: kbit/s by (version 1?, layer) and index, Hz by version and index.
 KBPS = {
@@ -280,4 +282,5 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             out = pd.DataFrame(rows, columns=[p.split()[0] for p in STORED.split(", ")])
             yield out.astype({"doc_id": "Int64"})
 
+    bounded_batches(docs)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInPandas(run, STORED)

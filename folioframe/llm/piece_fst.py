@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .storage import bounded_batches
+
 SPACE = "▁"
 # Fixed values of the model format: kinds of piece and of model.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -283,7 +285,7 @@ def encode_texts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
     ids, an empty table gives no rows; other columns are ignored, whatever their names. The model (its size is that
     of a vocabulary) is broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs).sparkContext.broadcast(model)
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, mpeg, ngram_join, piece_fst, toxicity
+from . import html_text, line_dedup, mixing, mpeg, ngram_join, piece_fst, toxicity
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = Path("/opt/tokenizers")
@@ -98,8 +98,13 @@ def op10_piece_fst(spark: SparkSession, sf_dir: str, model: Path = TOKENIZERS /
     return piece_fst.encode_texts(table(spark, sf_dir, "documents"), model.read_bytes())
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat, exactly or nearly, an earlier line."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op7_html_text": op7_html_text, "op10_piece_fst": op10_piece_fst}
+    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op7_html_text": op7_html_text, "op8_line_dedup": op8_line_dedup, "op10_piece_fst": op10_piece_fst}
 
 
 def oracle_sql() -> dict[str, str]:
