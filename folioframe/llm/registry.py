@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, mixing, mpeg, ngram_join, piece_fst, toxicity
+from . import html_text, line_dedup, lm_score, mixing, mpeg, ngram_join, piece_fst, toxicity
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = Path("/opt/tokenizers")
@@ -103,8 +103,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document between the benchmark's model and that of all documents."""
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op7_html_text": op7_html_text, "op8_line_dedup": op8_line_dedup, "op10_piece_fst": op10_piece_fst}
+    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op7_html_text": op7_html_text, "op8_line_dedup": op8_line_dedup, "op9_lm_score": op9_lm_score, "op10_piece_fst": op10_piece_fst}
 
 
 def oracle_sql() -> dict[str, str]:
