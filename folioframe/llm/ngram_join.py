@@ -13,7 +13,7 @@ incidence matrix. The product is never formed whole:
    matrix by its transpose, accumulating overlap counts, and keeps links that span what it linked;
 4. links are united to components.
 
-Every pair at or above the threshold is compared in some tile: the join is exact up to 64-bit hashes.
+Every pair at or above the threshold is compared in some tile: the join is exact up to collisions of hashes of 32 bits and the bucket's.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .components import components, forest
 from .hashing import digest, mix64, shingle_sets
-from .storage import durable, release, shuffle_width
+from .storage import bounded_batches, durable, release, shuffle_width
 
-U32, U64 = np.uint32, np.uint64
+U16, U32, U64 = np.uint16, np.uint32, np.uint64
 #: Incidences that a map task gathers before it deals them to buckets.
 FLUSH = 600_000
+#: A bucket's columns are counted in so many slices, a power of two.
+SLICES = 8
 #: Columns multiplied at a time.
 STRIP = 4096
 
@@ -40,6 +42,19 @@ def _packed(values: np.ndarray, kind: type) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 
 
+def _headers(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of a sorted array: their values and 16-bit lengths; a longer run becomes several."""
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    size = np.diff(np.concatenate([first, [len(owner)]]))
+    if size.max() > 65535:
+        more = (size - 1) // 65535 + 1
+        last = np.cumsum(more) - 1
+        whole = np.full(more.sum(), 65535)
+        whole[last] = size - (more - 1) * 65535
+        return np.repeat(owner[first], more), whole
+    return owner[first], size
+
+
 def _deal(ids: list[int], sets: list[np.ndarray], bits: int) -> pd.DataFrame:
     """Rows (bucket, ids, counts, keys) that hold the incidences of `sets`; a bucket is a key's upper bits."""
     counts = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -53,8 +68,8 @@ def _deal(ids: list[int], sets: list[np.ndarray], bits: int) -> pd.DataFrame:
     for b in range(1 << bits):
         s, e = cut[b], cut[b + 1]
         if e > s:
-            who, n = np.unique(owner[s:e], return_counts=True)
-            rows.append((b, _packed(sid[who], np.int64), _packed(n, U32), _packed(low[s:e], U32)))
+            who, n = _headers(owner[s:e])
+            rows.append((b, _packed(sid[who], np.int64), _packed(n, U16), _packed(low[s:e], U32)))
     return pd.DataFrame(rows, columns=["bucket", "ids", "counts", "keys"])
 
 
@@ -93,29 +108,50 @@ def incidences(docs: DataFrame, width: int, bits: int) -> DataFrame:
 def _columns(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
     """A bucket: keep the columns that at least two rows share, with their counts, and deal them by row."""
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
-    counts = np.concatenate([np.frombuffer(x, U32) for x in pdf["counts"]])
+    counts = np.concatenate([np.frombuffer(x, U16) for x in pdf["counts"]])
     keys = np.concatenate([np.frombuffer(x, U32) for x in pdf["keys"]])
+    src = int(pdf["bucket"].iloc[0])
+    del pdf
     nodes, at = np.unique(ids, return_inverse=True)
-    owner = np.repeat(at, counts).astype(U64)
-    cells = np.unique(keys.astype(U64) << U64(32) | owner)
-    key = (cells >> U64(32)).astype(U32)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.concatenate([first, [len(key)]]))
-    keep = np.repeat(size > 1, size)
-    key, df, owner = key[keep], np.repeat(size, size)[keep], (cells[keep] & U64(0xFFFFFFFF)).astype(np.int64)
-    dest = _dest(nodes, bits)[owner]
-    order = np.lexsort((owner, dest))
-    key, df, owner, dest = key[order], df[order], owner[order], dest[order]
-    cut = np.searchsorted(dest, np.arange((1 << bits) + 1))
-    rows, src = [], int(pdf["bucket"].iloc[0])
-    for d in range(1 << bits):
-        s, e = cut[d], cut[d + 1]
-        if e > s:
-            who, n = np.unique(owner[s:e], return_counts=True)
-            rows.append((d, src, _packed(nodes[who], np.int64), _packed(n, U32), _packed(key[s:e], U32), _packed(df[s:e], U32)))
+    owner = np.repeat(at.astype(U32), counts)
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for part in range(SLICES):  # a slice of the columns at a time bounds what is held
+        here = keys >> U32(32 - SLICES.bit_length() + 1) == part
+        cells = np.unique(keys[here].astype(U64) << U64(32) | owner[here])
+        if not len(cells):
+            continue
+        key = (cells >> U64(32)).astype(U32)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([first, [len(key)]]))
+        keep = np.repeat(size > 1, size)
+        kept.append((key[keep], np.minimum(np.repeat(size, size)[keep], 65535).astype(U16), (cells[keep] & U64(0xFFFFFFFF)).astype(U32)))
+    del keys, owner
+    rows = []
+    if kept:
+        key, df, owner = (np.concatenate(x) for x in zip(*kept, strict=True))
+        dest = _dest(nodes, bits)[owner]
+        order = np.lexsort((owner, dest))
+        key, df, owner, dest = key[order], df[order], owner[order], dest[order]
+        cut = np.searchsorted(dest, np.arange((1 << bits) + 1))
+        for d in range(1 << bits):
+            s, e = cut[d], cut[d + 1]
+            if e > s:
+                who, n = _headers(owner[s:e])
+                rows.append((d, src, _packed(nodes[who], np.int64), _packed(n, U16), _packed(key[s:e], U32), _packed(df[s:e], U16)))
     return pd.DataFrame(rows, columns=["dest", "bucket", "ids", "counts", "keys", "dfs"])
 
 
+def pack_keys(keys: np.ndarray, bits: int) -> bytes:
+    """Sorted keys as counts by bucket and 32-bit remainders."""
+    counts = np.bincount((keys >> U64(32)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(U32).tobytes() + (keys & U64(0xFFFFFFFF)).astype(U32).tobytes()
+
+
+def unpack_keys(data: bytes, bits: int) -> np.ndarray:
+    both = np.frombuffer(data, U32)
+    return np.repeat(np.arange(1 << bits, dtype=U64) << U64(32), both[: 1 << bits]) | both[1 << bits :]
+
+
 def _dest(sids: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(sids.view(U64)) >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sids), np.int64)
 
@@ -128,12 +164,12 @@ def _rows(pdf: pd.DataFrame, bits: int, percent: int) -> pd.DataFrame:
     out = []
     if len(part):
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in part["ids"]])
-        counts = np.concatenate([np.frombuffer(x, U32) for x in part["counts"]])
+        counts = np.concatenate([np.frombuffer(x, U16) for x in part["counts"]])
         per_row = [len(x) // 4 for x in part["keys"]]
         low = np.concatenate([np.frombuffer(x, U32) for x in part["keys"]]).astype(U64)
         high = np.repeat(part["bucket"].to_numpy(np.int64).astype(U64), per_row)
         keys = high << U64(32) | low
-        dfs = np.concatenate([np.frombuffer(x, U32) for x in part["dfs"]])
+        dfs = np.concatenate([np.frombuffer(x, U16) for x in part["dfs"]])
         nodes, at = np.unique(ids, return_inverse=True)
         owner = np.repeat(at, counts)
         order = np.lexsort((keys, dfs, owner))
@@ -143,7 +179,7 @@ def _rows(pdf: pd.DataFrame, bits: int, percent: int) -> pd.DataFrame:
             n, own = size_of[sid], keys[cut[i] : cut[i + 1]]
             rare = n - (percent * n + 99) // 100 + 1 - (n - len(own))
             if rare > 0:
-                out.append((sid, n, _packed(own, U64), own[:rare].view(np.int64)))
+                out.append((sid, n, pack_keys(np.sort(own), bits), own[:rare].view(np.int64)))
     return pd.DataFrame(out, columns=["sid", "n", "keys", "rare"])
 
 
@@ -174,13 +210,13 @@ def overlap_links(n: np.ndarray, keys: list[np.ndarray], percent: int) -> tuple[
     return np.nonzero(hit)
 
 
-def _tiles(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _tiles(pdf: pd.DataFrame, percent: int, bits: int) -> pd.DataFrame:
     """Links of the tiles in one bin; in each tile, a forest that spans its links."""
     src, dst = [], []
     for _, tile in pdf.groupby(["pivot", "a", "b"], sort=False):
         tile = tile.drop_duplicates("sid")
         sid, n = tile["sid"].to_numpy(np.int64), tile["n"].to_numpy(np.float64)
-        i, j = overlap_links(n, [np.frombuffer(k, U64) for k in tile["keys"]], percent)
+        i, j = overlap_links(n, [unpack_keys(k, bits) for k in tile["keys"]], percent)
         if len(i):
             x, y = forest(sid[i], sid[j])
             src.append(x)
@@ -204,14 +240,14 @@ def tiled(blocks: DataFrame, tile: int) -> DataFrame:
     )
 
 
-def link_sets(cand: DataFrame, percent: int, tile: int, bins: int) -> DataFrame:
+def link_sets(cand: DataFrame, percent: int, tile: int, bins: int, bits: int) -> DataFrame:
     """Edges (src, dst) between candidate sets (sid, n, keys, rare) that span all links at the threshold."""
     posts = cand.select("sid", F.explode("rare").alias("key"))
     heads = posts.groupBy("key").agg(F.min("sid").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
     blocks = durable(posts.join(heads, "key").select("pivot", "sid").distinct(), "blocks")
     dealt = tiled(blocks, tile).join(cand.select("sid", "n", "keys"), "sid")
     dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("pivot", "a", "b"), F.lit(bins)).cast("int"))
-    return dealt.groupBy("bin").applyInPandas(lambda pdf: _tiles(pdf, percent), "src long, dst long")
+    return dealt.groupBy("bin").applyInPandas(lambda pdf: _tiles(pdf, percent, bits), "src long, dst long")
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = 256) -> DataFrame:
@@ -223,8 +259,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     with nothing. Rows that share an id are one node. A row without an id links with nothing: component_id null.
     Equal rows stay repeated; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    bits = max(1, (shuffle_width(spark) - 1).bit_length())
+    spark = bounded_batches(docs)
+    bits = max(1, (shuffle_width(spark) - 1).bit_length() - 1)
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     dealt = durable(incidences(source, width, bits), "incidences")
     info = dealt.where("bucket IS NULL").select("doc_id", "sid", "n")
@@ -241,7 +277,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
 
     sized = info.where("n > 0 AND doc_id IS NOT NULL").select("sid", "n").mapInPandas(sizes, "dest int, bucket int, ids binary, counts binary, keys binary, dfs binary")
     cand = durable(shared.union(sized).groupBy("dest").applyInPandas(lambda pdf: _rows(pdf, bits, percent), "sid long, n long, keys binary, rare array<long>"), "candidates")
-    edges = link_sets(cand, percent, tile, 4 * shuffle_width(spark))
+    edges = link_sets(cand, percent, tile, 4 * shuffle_width(spark), bits)
     rows = info.where("n > 0 AND doc_id IS NOT NULL")
     copies = rows.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     several = rows.groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("doc_id")
