@@ -120,7 +120,7 @@ class Normaliser:
 class PieceTransducer:
     """A compiled model: encodes strings to piece numbers and back."""
 
-    def __init__(self, model: bytes, keep: int = 250_000) -> None:
+    def __init__(self, model: bytes, keep: int = 400_000) -> None:
         self.pieces: list[tuple[str, float, int]] = []
         trainer, normaliser = b"", b""
         for number, value in _fields(model):
@@ -148,7 +148,10 @@ class PieceTransducer:
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.number)
         self.back = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in self.pieces]
         self.pairs: dict[tuple[object, object], bool] = {}
-        self.keep, self.fresh, self.stale = keep, {}, {}
+        self.code = [np.array([i], "<i4").tobytes() for i in range(len(self.pieces))]
+        self.keep: int = keep
+        self.fresh: dict[str, tuple[str, bytes]] = {}
+        self.stale: dict[str, tuple[str, bytes]] = {}
 
     def merges_inside(self, text: str, edge: int) -> bool:
         """Whether merging by score (the definition of BPE) ends with pieces that meet at `edge` and span either side.
@@ -203,6 +206,40 @@ class PieceTransducer:
             i -= len(last[i])
         return out[::-1]
 
+    def _state(self, prefix: str) -> tuple[str, bytes]:
+        """The search's state after a prefix of a part: the last piece and the whole encoding; states are kept.
+
+        The best piece that ends here needs only the state before it, so shared prefixes are searched once.
+        """
+        known = self.fresh.get(prefix)
+        if known is not None:
+            return known
+        known = self.stale.get(prefix)
+        if known is None:
+            number, pairs, n = self.number, self.pairs, len(prefix)
+            for size in self.lengths.get(prefix[-1], (1,)):
+                if size > n:
+                    continue
+                piece = prefix[n - size :]
+                k = number.get(piece)
+                if k is None and size > 1:
+                    continue
+                last, coded = self._state(prefix[: n - size]) if size < n else ("", b"")
+                apart = pairs.get((last, piece))
+                if self._apart(last, piece) if apart is None else apart:
+                    known = piece, coded + (self.code[k] if k is not None else self._fallback(piece, coded))
+                    break
+        if len(self.fresh) >= self.keep:
+            self.stale, self.fresh = self.fresh, {}
+        self.fresh[prefix] = known
+        return known
+
+    def _fallback(self, char: str, before: bytes) -> bytes:
+        """The numbers of a character that is no piece: its bytes, or the unknown piece once for a run."""
+        if self.bytes:
+            return np.array([self.bytes[b] for b in char.encode()], "<i4").tobytes()
+        return b"" if before.endswith(self.code[self.unknown]) else self.code[self.unknown]
+
     def _lightest_path(self, text: str) -> list[str]:
         """The lightest path through the lattice of a unigram model; of equals, the one with the longest last piece."""
         n, worst = len(text), min(self.score, default=0.0) - UNKNOWN_PENALTY
@@ -222,26 +259,24 @@ class PieceTransducer:
     def _ids(self, part: str) -> bytes:
         """The encoding of a part of the lattice, as little-endian 32-bit integers."""
         path = self._finite_path(part) if self.kind == BPE else self._lightest_path(part)
-        ids: list[int] = []
+        out = b""
+        whole = []
         for p in path:
             k = self.number.get(p)
-            if k is not None:
-                ids.append(k)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in p.encode())
-            elif not ids or ids[-1] != self.unknown:
-                ids.append(self.unknown)
-        return np.array(ids, "<i4").tobytes()
+            out = self.code[k] if k is not None else self._fallback(p, out)
+            whole.append(out)
+        return b"".join(whole)
 
     def _part(self, part: str) -> bytes:
-        out = self.stale.pop(part, None)
-        if out is None:
-            out = self._ids(part)
-        if len(part) <= 64:
-            if len(self.fresh) >= self.keep:
-                self.stale, self.fresh = self.fresh, {}
-            self.fresh[part] = out
-        return out
+        if len(part) > 64:
+            return self._ids(part)
+        if self.kind == BPE:
+            return self._state(part)[1]
+        known = self.fresh.get(part) or self.stale.get(part) or (part, self._ids(part))
+        if len(self.fresh) >= self.keep:
+            self.stale, self.fresh = self.fresh, {}
+        self.fresh[part] = known
+        return known[1]
 
     def encode(self, text: str) -> bytes:
         """Piece numbers of a whole text, as little-endian 32-bit integers."""
@@ -261,7 +296,7 @@ class PieceTransducer:
                 part = pending + run
                 pending = ""
                 got = self.fresh.get(part)
-                out.append(self._part(part) if got is None else got)
+                out.append(self._part(part) if got is None else got[1])
         if pending:
             out.append(self._part(pending))
         return b"".join(out)
