@@ -1,8 +1,60 @@
-"""The corpus pipeline; its stages follow."""
+"""From raw documents to token ids: five stages, each over all that the one before it kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioframe.llm import line_dedup, mixing, ngram_join, piece_fst, toxicity
+from folioframe.llm.registry import TOKENIZERS
+from folioframe.llm.storage import durable
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labelled ones, does not reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # names of the score's columns can't clash with these
+    rows = docs.select(*[docs[c].alias(n) for c, n in names.items()])
+    scored = toxicity.score(rows, model, id_col=names["doc_id"], text_col=names["text"], keep=tuple(names.values()))
+    return scored.where("predicted = 0").select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat, exactly or nearly, an earlier line."""
+    out = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return ngram_join.one_of_each(docs, width=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece numbers of every document."""
+    return piece_fst.encode_texts(docs, (TOKENIZERS / "piece_bpe_32k.model").read_bytes())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_duplicates),
+    ("mix_sources", mix_sources),
+    ("piece_encoding", encode),
+]
+
+#: A trained classifier and an encoder have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what each stage before it kept is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -57,14 +57,23 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int
     return ranked.select("source", "source_size", "n_docs", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")).alias("target"))
 
 
+def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of `docs` as often as the mix takes them, all columns kept; rows equal in id, source and text alike."""
+    row = F.xxhash64(docs[id_col], docs[source_col], docs[text_col])
+    sized = docs.select(row.alias("row"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
+    times = mix(sized, id_col="row", size=F.col("size"), **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
+    taken = docs.withColumn("__row", row).join(times.where("__copies > 0").withColumnRenamed("doc_id", "__of"), F.col("__row") == F.col("__of"))
+    return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, quality: Column | None = None,
     weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, bucket_rows: int = 20_000,
 ) -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, taken), one per row of `docs`.
+    """Rows (doc_id, source, size, source_size, target, copies, taken), one per row of `docs`.
 
-    `size` defaults to the word count of `text`, `quality` (a positive weight) to 1. `taken` is the size
-    times the number of times the mix takes the document: the complete epochs of its source, and once more
+    `size` defaults to the word count of `text`, `quality` (a positive weight) to 1. `copies` says how many times the
+    mix takes the document, `taken` that many times its size: the complete epochs of its source, and once more
     where the source's fractional selection includes it. A document is included when the budget's end
     lies past its middle, so a source misses its target by at most half a document.
 
@@ -98,6 +107,6 @@ def mix(
     return (
         placed.join(offset, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
         .withColumn("ahead", ahead)
-        .withColumn("taken", F.col("size") * (epochs + F.when(F.col("ahead") + F.col("size") / 2 <= rest, 1).otherwise(0)))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .withColumn("copies", epochs + F.when(F.col("ahead") + F.col("size") / 2 <= rest, 1).otherwise(0))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )

@@ -263,7 +263,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     bits = max(1, (shuffle_width(spark) - 1).bit_length() - 1)
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     dealt = durable(incidences(source, width, bits), "incidences")
-    info = dealt.where("bucket IS NULL").select("doc_id", "sid", "n")
+    info = durable(dealt.where("bucket IS NULL").select("doc_id", "sid", "n"), "sets")
     cells = dealt.where("bucket IS NOT NULL").select("bucket", "ids", "counts", "keys")
     shared = cells.groupBy("bucket").applyInPandas(lambda pdf: _columns(pdf, bits), "dest int, bucket int, ids binary, counts binary, keys binary, dfs binary")
 
@@ -284,7 +284,18 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     by_id = several.join(rows, "doc_id").join(copies, "sid").select(F.col("doc_id").alias("src"), F.col("least").alias("dst"))
     ends = edges.join(copies.select(F.col("sid").alias("src"), F.col("least").alias("s")), "src").join(copies.select(F.col("sid").alias("dst"), F.col("least").alias("d")), "dst")
     united = components(ends.select(F.col("s").alias("src"), F.col("d").alias("dst")).union(by_id))
-    release(cand)
+    release(cand, dealt)
     first = copies.where("c > 1").select(F.col("sid").alias("set"), "least")
     named = info.join(first, (info["sid"] == first["set"]) & (info["n"] > 0) & info["doc_id"].isNotNull(), "left").withColumn("least", F.coalesce("least", "doc_id"))
     return named.join(united, named["least"] == united["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
+    """The rows of `docs` whose id is their component's: one document of each group of near duplicates.
+
+    All columns are kept. Of rows that share an id one stays; rows without an id stay.
+    """
+    found = jaccard_components(docs, id_col=id_col, **options)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(kept, docs[id_col].cast("long") == kept["__id"], "left_semi").dropDuplicates([id_col])
+    return named.union(docs.where(docs[id_col].isNull()))
