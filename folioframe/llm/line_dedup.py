@@ -36,6 +36,20 @@ _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
 
 
+@lru_cache(maxsize=1)
+def _code_values() -> np.ndarray:
+    return mix64(np.arange(1, (1 << 16) + 1, dtype=U64))
+
+
+def _values(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each code point."""
+    out = _code_values()[codes & U32(0xFFFF)]
+    high = np.flatnonzero(codes >> U32(16))
+    if len(high):
+        out[high] = mix64(codes[high].astype(U64) + U64(1))
+    return out
+
+
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _R, U64), np.full(n, _R_INV, U64)
@@ -64,7 +78,7 @@ class Lines:
         self.joined = joined
         up, self._down = _powers(1 << max(16, len(codes).bit_length()))
         self._total = np.zeros(len(codes) + 1, U64)
-        np.cumsum(mix64(codes.astype(U64) + U64(1)) * up[: len(codes)], out=self._total[1:])
+        np.cumsum(np.multiply(value := _values(codes), up[: len(codes)], out=value), out=self._total[1:])
 
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self._total[end] - self._total[begin]) * self._down[begin])
@@ -93,20 +107,20 @@ def runs(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 @lru_cache(maxsize=1)
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    x = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U64))
-    return (x[::2] >> U64(32)).astype(U32) | U32(1), (x[1::2] >> U64(32)).astype(U32)
+def _permutations() -> np.ndarray:
+    """Odd factors: multiplying by one permutes the 32-bit integers."""
+    return (mix64(np.arange(1, BANDS * ROWS + 1, dtype=U64)) >> U64(32)).astype(U32) | U32(1)
 
 
 def band_keys(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """Lines x bands: a key for each band of each line's signature."""
     h = (hashes >> U64(32)).astype(U32)
-    mul, add = _permutations()
+    mul, buffer = _permutations(), np.empty_like(h)
     keys = np.empty((len(cut) - 1, BANDS), U64)
     for b in range(BANDS):
         key = np.full(len(cut) - 1, b + 1, U64)
         for r in range(b * ROWS, (b + 1) * ROWS):
-            low = np.minimum.reduceat(h * mul[r] + add[r], cut[:-1])
+            low = np.minimum.reduceat(np.multiply(h, mul[r], out=buffer), cut[:-1])
             key = mix64(key * U64(_R) + low)
         keys[:, b] = key
     return keys
@@ -240,20 +254,30 @@ def _verify(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["pivot", "a", "b", "sid"], kind="stable")
     tile = pdf[["pivot", "a", "b"]].to_numpy(np.int64)
     cut = np.concatenate([[0], np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1, [len(tile)]]) if len(tile) else np.zeros(1, np.int64)
-    sid, text = pdf["sid"].to_numpy(np.int64), pdf["line"].tolist()
+    sid = pdf["sid"].to_numpy(np.int64)
+    distinct, which = np.unique(sid, return_inverse=True)
+    texts = pdf["line"].to_numpy()[np.unique(which, return_index=True)[1]].tolist()
+    sets: list[np.ndarray] = []
+    for a, b in runs(texts):
+        lines = Lines(texts[a:b])
+        hashes, at = lines.shingles(np.arange(b - a))
+        sets.extend(np.unique(hashes[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    sizes = np.fromiter(map(len, sets), np.float64, len(sets))
     src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         if e - s < 2:
             continue
-        lines = Lines(text[s:e])
-        hashes, at = lines.shingles(np.arange(len(lines.begin)))
-        keys = [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        n = np.fromiter(map(len, keys), np.float64, len(keys))
+        here = which[s:e]
+        n = sizes[here]
         if e - s == 2:
-            both = len(np.intersect1d(keys[0], keys[1], assume_unique=True))
+            if 100 * min(n) < percent * max(n):
+                continue
+            one, two = sets[here[0]], sets[here[1]]
+            at = np.searchsorted(one, two)
+            both = np.count_nonzero(one[np.minimum(at, len(one) - 1)] == two)
             i, j = ([0], [1]) if 100 * both >= percent * (n[0] + n[1] - both) else ([], [])
         else:
-            i, j = overlap_links(n, keys, percent)
+            i, j = overlap_links(n, [sets[k] for k in here], percent)
         if len(i):
             x, y = forest(sid[s:e][i], sid[s:e][j])
             src.append(x)
