@@ -5,11 +5,420 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as tx
+from .functions.tokens import CJK, LETTER, RUN, SPACE, estimate_tokens
+from .operators import grid, tree
+from .plans import catalog, chunking, dataset, render, stats
+from .plans.packing import Options
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with SQL if there is any."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+COST = rf"CASE WHEN regexp_matches(r, '^[{CJK}]') THEN len(r) WHEN regexp_matches(r, '^[0-9]') THEN (len(r) + 2) // 3 WHEN regexp_matches(r, '^[{LETTER}]') THEN (len(r) + 3) // 4 WHEN r[1] = chr(10) THEN 1 ELSE len(r) END"
+TOKENS = rf"coalesce(list_sum([{COST} FOR r IN regexp_extract_all(coalesce(text, ''), '{RUN}')]), 0)::BIGINT"
+STRIP = rf"regexp_replace(%s, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
+
+# ---------------------------------------------------------------- text functions
+
+
+@query(f"SELECT doc_id, {TOKENS} AS tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query(rf"""SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[{SPACE}]+', '', 'g'))::BIGINT AS visible,
+    CASE WHEN n_chars = 0 THEN 1.0 ELSE least(1.0, length(regexp_replace(coalesce(text, ''), '[{SPACE}]+', '', 'g')) / n_chars::DOUBLE) END AS coverage FROM documents""")
+def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible characters, and their share of a stated count: 1 at most, 1 for none, null for no statement."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", tx.visible_chars(F.col("text")).alias("visible"), tree.coverage(tx.visible_chars(F.col("text")), F.col("n_chars")).alias("coverage"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash, length(text)::BIGINT AS size FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.length("text").cast("long").alias("size"))
+
+
+@query("SELECT doc_id, lag(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS duplicate_of FROM documents")
+def duplicate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return catalog.earlier_duplicate(docs, content="hash", order=["doc_id"], id_col="doc_id").select("doc_id", "duplicate_of")
+
+
+@query(rf"""WITH b AS (SELECT doc_id, regexp_split_to_array(text, '\n[{SPACE}]*\n') AS b FROM documents),
+    p AS (SELECT doc_id, [array_to_string([x FOR x IN [{STRIP % 'l'} FOR l IN string_split(q, chr(10))] IF x <> ''], ' ') FOR q IN b] AS p FROM b)
+    SELECT doc_id, len([x FOR x IN p IF x <> ''])::INTEGER AS n, array_to_string([x FOR x IN p IF x <> ''], chr(10)) AS joined FROM p""")
+def blank_line_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.paragraphs(F.col("text")).alias("p"))
+    return docs.select("doc_id", F.size("p").alias("n"), F.array_join("p", "\n").alias("joined"))
+
+
+@query()
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document; RE2 has no look-ahead, so a test holds it against a loop."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("n", "sentence"))
+    return docs
+
+
+NO_FILE = r"""regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g')"""
+
+
+@query(rf"""WITH s AS (SELECT page_id, regexp_replace({STRIP % NO_FILE}, '[ .]+$', '') AS a FROM pages),
+    t AS (SELECT page_id, CASE WHEN length(a) > 100 THEN regexp_replace(substr(a, 1, 100), '[ .]+$', '') ELSE a END AS a FROM s)
+    SELECT page_id, CASE WHEN a = '' THEN '未命名' WHEN regexp_matches(upper(split_part(a, '.', 1)), '^(CON|PRN|AUX|NUL|(COM|LPT)[1-9])$') THEN '_' || a ELSE a END AS name FROM t""")
+def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tx.safe_filename(F.col("url")).alias("name"))
+
+
+@query(r"SELECT page_id, length(regexp_replace(html, '<([A-Za-z/!?])', '&lt;\1', 'g'))::INTEGER AS n, md5(regexp_replace(html, '<([A-Za-z/!?])', '&lt;\1', 'g')) AS digest FROM pages")
+def escape_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tx.escape_tags(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(out).alias("n"), F.md5(out.cast("binary")).alias("digest"))
+
+
+@query(r"""WITH p AS (SELECT page_id, [x FOR x IN string_split(replace(url, '\', '/'), '/') IF x NOT IN ('', '.', '..')] AS p FROM pages),
+    q AS (SELECT page_id, CASE WHEN p[1] = 'assets' THEN p[2:] ELSE p END AS p FROM p)
+    SELECT page_id, CASE WHEN len(p) > 0 THEN 'assets/' || array_to_string(p, '/') ELSE '' END AS ref FROM q""")
+def image_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tx.image_ref(F.col("url")).alias("ref"))
+
+
+@query("""SELECT event_id, CASE WHEN json_type(props) = 'ARRAY' THEN json_array_length(props)::INTEGER WHEN trim(props) = '' OR props IS NULL THEN 0 ELSE 1 END AS n FROM events""")
+def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.size(tx.json_list(F.col("props"))).alias("n"))
+
+
+@query("""WITH l AS (SELECT c_custkey, r_name || '>' || n_name || '>' || c_name AS p FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT c_custkey, p AS path, string_split(p, '>')[-1] AS tail FROM l""")
+def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of containers around a leaf: region, nation, customer."""
+    t = lambda n: table(spark, sf_dir, n)
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    out = rows.select("c_custkey", tx.heading_path(F.array("r_name", "n_name", "c_name")).alias("path"))
+    return out.withColumn("tail", tx.heading_tail(F.col("path")))
+
+
+# ---------------------------------------------------------------- chunks and what follows from them
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents and children of every document, whole texts, default settings; a Python loop is the test's oracle."""
+    docs = table(spark, sf_dir, "documents")
+    return chunking.chunk_texts(docs).select("id", "doc_id", "seq", "parent_id", "kind", "type", "text", "token_count", "char_count", "heading_path", "node_ids", "hash")
+
+
+@query()
+def rechunk_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents cut again with a smaller target and more overlap."""
+    chunks = chunking.chunk_texts(table(spark, sf_dir, "documents"), options=Options().changed(target=128, hard=256, overlap=0.2))
+    return chunks.select("id", "doc_id", "seq", "kind", "token_count", "hash")
+
+
+@query()
+def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = chunking.chunk_texts(table(spark, sf_dir, "documents"))
+    return chunks.agg(F.count("*").alias("total"), F.countDistinct("doc_id").alias("docs"), F.avg("token_count").alias("mean_tokens"))
+
+
+@query()
+def greedy_pack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines packed greedily to 256 tokens a bin: first line, last line and cost of every bin of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    return grid.pack_lines(docs, key="doc_id", lines="lines", budget=256)
+
+
+def _pseudo_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id"), F.concat(F.lit("c"), F.col("doc_id")).alias("id"), F.when(F.col("doc_id") % 3 == 0, "parent").otherwise("child").alias("kind"), F.lit("text").alias("type"), "text", F.concat(F.col("source"), F.lit(">"), F.col("lang")).alias("heading_path"))
+
+
+@query(rf"""SELECT doc_id::VARCHAR AS doc_id, 'c' || doc_id AS chunk_id, source || '>' || lang AS heading_path, t.q AS question, '' AS answer, {STRIP % 'text'} AS context, 'blank' AS generated_by
+    FROM documents, (VALUES ('请阅读以下内容，并回答与之相关的问题。'), ('请根据以下内容，提炼其中的关键信息。')) t(q) WHERE {STRIP % 'text'} <> ''""")
+def blank_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.build_pairs(_pseudo_chunks(spark, sf_dir), per_chunk=2)
+
+
+@query(rf"""SELECT doc_id::VARCHAR AS doc_id, 'c' || doc_id AS chunk_id, source || '>' || lang AS heading_path, unnest(['「' || lang || '」这一节讲了什么？', '请简要介绍《' || source || '》中「' || lang || '」的主要内容。']) AS question,
+    {STRIP % 'text'} AS answer, '' AS context, 'rule' AS generated_by FROM documents WHERE {STRIP % 'text'} <> ''""")
+def rule_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.build_pairs(_pseudo_chunks(spark, sf_dir), table(spark, sf_dir, "documents"), mode="rule", per_chunk=3, name_col="source")
+
+
+@query(rf"""SELECT '请阅读以下内容，并回答与之相关的问题。' AS instruction, {STRIP % 'text'} AS input, '' AS output, doc_id::VARCHAR AS doc_id, 'blank' AS generated_by FROM documents WHERE {STRIP % 'text'} <> ''""")
+def alpaca_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.alpaca(dataset.build_pairs(_pseudo_chunks(spark, sf_dir))).select("instruction", "input", "output", "metadata.doc_id", "metadata.generated_by")
+
+
+@query(rf"""SELECT doc_id::VARCHAR AS doc_id, 'human' AS first_from, '请阅读以下内容，并回答与之相关的问题。' || chr(10) || chr(10) || '参考内容：' || {STRIP % 'text'} AS first_value, 'gpt' AS second_from FROM documents WHERE {STRIP % 'text'} <> ''""")
+def sharegpt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conversations")
+    return dataset.sharegpt(dataset.build_pairs(_pseudo_chunks(spark, sf_dir))).select("metadata.doc_id", c[0]["from"].alias("first_from"), c[0]["value"].alias("first_value"), c[1]["from"].alias("second_from"))
+
+
+@query("""SELECT conv_id, count(*)::INTEGER AS turns, string_agg(CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END, ',' ORDER BY turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END, text) AS roles,
+    sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
+def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dataset.conversations(table(spark, sf_dir, "conversations"), key="conv_id", order="turn", role="role", text="text", roles={"user": "human", "assistant": "gpt"})
+    c = F.col("conversations")
+    return out.select("conv_id", F.size(c).alias("turns"), F.array_join(F.transform(c, lambda t: t["from"]), ",").alias("roles"), F.aggregate(c, F.lit(0).cast("long"), lambda a, t: a + F.length(t["value"])).alias("chars"))
+
+
+@query("""WITH k AS (SELECT doc_id % 7 AS d, doc_id, CASE WHEN doc_id % 7 = 0 THEN 'child' WHEN doc_id % 2 = 0 THEN 'parent' ELSE 'child' END AS kind FROM documents)
+    SELECT d AS doc, doc_id, kind FROM k WHERE kind = CASE WHEN d = 0 THEN 'child' ELSE 'parent' END""")
+def granularity_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 7 == 0, "child").when(F.col("doc_id") % 2 == 0, "parent").otherwise("child")
+    return dataset.one_granularity(table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("doc"), "doc_id", kind.alias("kind")), "doc")
+
+
+# ---------------------------------------------------------------- tables, trees, regions
+
+
+@query("""WITH c AS (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1)::INTEGER AS r, l_returnflag AS f, l_linestatus AS s FROM lineitem)
+    SELECT l_orderkey, max(r)::INTEGER + 1 AS n_rows, 2 AS n_cols, string_agg(f || ',' || s, ';' ORDER BY r) AS body, false AS merged FROM c GROUP BY l_orderkey""")
+def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse cells of each order's lines as a dense grid."""
+    lines = grid.numbered(table(spark, sf_dir, "lineitem"), key="l_orderkey", order=["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
+    cells = lines.select("l_orderkey", F.explode(F.array(*[F.struct(F.col("r"), F.lit(k).alias("c"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), F.col(n).alias("text"), F.lit(False).alias("is_header")) for k, n in enumerate(("l_returnflag", "l_linestatus"))])).alias("cell"))
+    rows = cells.groupBy("l_orderkey").agg(F.collect_list("cell").alias("cells"))
+    g = grid.dense(F.col("cells"))
+    out = rows.select("l_orderkey", g.alias("g"), grid.has_merged(F.col("cells")).alias("merged"))
+    return out.select("l_orderkey", F.size("g").alias("n_rows"), F.size(F.get("g", F.lit(0))).alias("n_cols"), F.array_join(F.transform("g", lambda r: F.array_join(r, ",")), ";").alias("body"), "merged")
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber * 2 + (CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS r, 1 AS k FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber * 2, 3 FROM lineitem WHERE l_discount > 0.05),
+    d AS (SELECT DISTINCT l_orderkey, r FROM c), i AS (SELECT *, r - row_number() OVER (PARTITION BY l_orderkey ORDER BY r) AS g FROM d),
+    j AS (SELECT c.l_orderkey, c.r, c.k, i.g FROM c JOIN i USING (l_orderkey, r)), e AS (SELECT DISTINCT l_orderkey, g, k FROM j),
+    f AS (SELECT *, k - row_number() OVER (PARTITION BY l_orderkey, g ORDER BY k) AS h FROM e)
+    SELECT j.l_orderkey, min(j.r)::INTEGER AS r0, max(j.r)::INTEGER AS r1, min(j.k)::INTEGER AS c0, max(j.k)::INTEGER AS c1, count(*)::BIGINT AS cells FROM j JOIN f ON j.l_orderkey = f.l_orderkey AND j.g = f.g AND j.k = f.k GROUP BY j.l_orderkey, j.g, f.h""")
+def region_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of cells made from lineitem, cut into regions: islands of rows, then islands of the columns they use."""
+    li = table(spark, sf_dir, "lineitem")
+    a = li.select("l_orderkey", (F.col("l_linenumber") * 2 + F.when(F.col("l_quantity") > 40, 1).otherwise(0)).alias("r"), F.lit(1).alias("c"))
+    b = li.where("l_discount > 0.05").select("l_orderkey", F.col("l_linenumber") * 2, F.lit(3))
+    return grid.regions(a.union(b), key=["l_orderkey"]).groupBy("l_orderkey", "row_island", "col_island").agg(
+        F.min("r").cast("int").alias("r0"), F.max("r").cast("int").alias("r1"), F.min("c").cast("int").alias("c0"), F.max("c").cast("int").alias("c1"), F.count("*").alias("cells")
+    ).drop("row_island", "col_island")
+
+
+@query("""WITH h AS (SELECT o_custkey, o_orderkey, (o_orderkey % 4 + 1)::INTEGER AS level FROM orders)
+    SELECT a.o_orderkey AS id, a.level, (SELECT max(b.o_orderkey) FROM h b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey < a.o_orderkey AND b.level < a.level) AS parent FROM h a""")
+def section_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings with levels (each customer's orders) and the nearest heading above of a smaller level."""
+    heads = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("level"))
+    return tree.heading_parents(heads, key="o_custkey", order="id", level="level").select("id", "level", "parent")
+
+
+@query("""SELECT r_regionkey || ':' || r_name AS id, 1 AS depth, r_name AS path FROM region UNION ALL
+    SELECT n_nationkey || ':' || n_name, 2, r_name || '>' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL
+    SELECT c_custkey || ':' || c_name, 3, r_name || '>' || n_name || '>' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def container_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root-to-self paths of a tree that is given by parent pointers."""
+    t = lambda n: table(spark, sf_dir, n)
+    name = lambda k, n: F.concat(F.col(k), F.lit(":"), F.col(n))
+    regions = t("region").select(name("r_regionkey", "r_name").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("label"))
+    nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(name("n_nationkey", "n_name"), name("r_regionkey", "r_name"), "n_name")
+    customers = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(name("c_custkey", "c_name"), name("n_nationkey", "n_name"), "c_name")
+    out = tree.chains(regions.union(nations).union(customers), id_col="id", parent_col="parent", label_col="label")
+    return out.select("id", F.size("labels").alias("depth"), F.array_join("labels", ">").alias("path"))
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source, lang)
+    SELECT source, arg_max(lang, n * 1000000000000 - first) AS level FROM c GROUP BY source""")
+def parse_level_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent value of each group; of equals, the one seen first."""
+    return tree.vote(table(spark, sf_dir, "documents"), key="source", value="lang", order="doc_id").withColumnRenamed("lang", "level")
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'warning' WHEN length(d.text) < 500 THEN 'warning' WHEN e.user_id IS NOT NULL THEN 'warning' ELSE 'ok' END AS status
+    FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id) LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') e ON d.doc_id = e.user_id""")
+def document_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status from degraded pages, coverage and warnings; labels and events stand in for them."""
+    t = lambda n: table(spark, sf_dir, n)
+    docs = t("documents").select("doc_id", F.when(F.length("text") < 500, 0.5).otherwise(1.0).alias("coverage")).join(t("labels").groupBy("doc_id").agg(F.max("toxic").alias("degraded")), "doc_id", "left")
+    warned = t("events").where("event_type = 'error'").select(F.col("user_id").alias("doc_id"))
+    return tree.document_status(docs, warned, key="doc_id", degraded="degraded", coverage="coverage").select("doc_id", "status")
+
+
+# ---------------------------------------------------------------- catalogue
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size = 10 AND p_name ILIKE '%a%' ORDER BY p_partkey DESC LIMIT 20 OFFSET 20")
+def list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.select_rows(table(spark, sf_dir, "part"), {"p_size": 10, "p_brand": None}, "a", ["p_name"])
+    return catalog.page(rows.select("p_partkey", "p_name"), [F.desc("p_partkey")], number=2)
+
+
+@query("SELECT event_id, event_type, user_id FROM events WHERE event_type = 'error' AND (props ILIKE '%1%' OR event_type ILIKE '%1%')")
+def event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.select_rows(table(spark, sf_dir, "events"), {"event_type": "error"}, "1", ["props", "event_type"]).select("event_id", "event_type", "user_id")
+
+
+@query("SELECT c_custkey, c_name, count(o_orderkey)::BIGINT AS chunks FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
+def detail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row with the number of rows that belong to it, counted before the join."""
+    n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("chunks"))
+    return table(spark, sf_dir, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_task_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id"], [F.col("event_id")])
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 1")
+def claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.oldest(table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    gone = t("orders").join(t("customer").where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    return catalog.cascade({"lines": (t("lineitem"), "l_orderkey")}, gone, "o_orderkey")["lines"].select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def patch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return catalog.patch(base, base.where("s_acctbal < 0").select("s_suppkey", F.lit(0.0).alias("s_acctbal")), "s_suppkey")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS n_name, n_regionkey FROM nation")
+def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "nation")
+    return catalog.upsert(base, base.where("n_regionkey = 1").withColumn("n_name", F.concat(F.upper("n_name"), F.lit("!"))), ["n_nationkey"])
+
+
+@query("""WITH r AS (SELECT p_partkey, p_name, p_size, sum(p_size) OVER (ORDER BY p_partkey DESC ROWS UNBOUNDED PRECEDING) AS running, row_number() OVER (ORDER BY p_partkey DESC) AS n FROM part)
+    SELECT p_partkey, running::BIGINT AS running FROM r WHERE n = 1 OR running <= 500""")
+def running_log_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return catalog.within_budget(files, size="p_size", order=[F.desc("p_partkey")], budget=500).select("p_partkey", "running")
+
+
+@query("""WITH n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY lang, lower(source) ORDER BY doc_id) AS k FROM documents)
+    SELECT doc_id, CASE WHEN k > 1 THEN substr(doc_id::VARCHAR, 1, 8) || '-' || source ELSE source END AS file_name FROM n""")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.unique_names(table(spark, sf_dir, "documents"), folder="lang", name="source", order="doc_id", id_col="doc_id").select("doc_id", "file_name")
+
+
+# ---------------------------------------------------------------- dashboard
+
+
+@query("SELECT lang, count(*)::BIGINT AS count, count(*) FILTER (n_chars > 1000)::BIGINT AS recent FROM documents GROUP BY lang")
+def format_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.distribution(table(spark, sf_dir, "documents"), "lang", F.col("n_chars") > 1000)
+
+
+@query("SELECT k.event_type, count(e.event_id)::BIGINT AS count FROM (VALUES ('click'), ('error'), ('view'), ('canceled')) k(event_type) LEFT JOIN events e USING (event_type) GROUP BY k.event_type")
+def status_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.dense_counts(table(spark, sf_dir, "events"), "event_type", ["click", "error", "view", "canceled"])
+
+
+@query(f"""WITH t AS (SELECT {TOKENS} AS n FROM documents), b AS (SELECT * FROM (VALUES ('0-128', 0, 128), ('128-256', 128, 256), ('256-512', 256, 512), ('512-1024', 512, 1024), ('>=1024', 1024, NULL)) b(bucket, min, max))
+    SELECT b.bucket, b.min, b.max, count(n)::BIGINT AS count FROM b LEFT JOIN t ON n >= b.min AND (b.max IS NULL OR n < b.max) GROUP BY ALL""")
+def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.token_histogram(table(spark, sf_dir, "documents").select(estimate_tokens(F.col("text")).alias("token_count")))
+
+
+@query("SELECT o_custkey, c_name, count(*)::BIGINT AS chunks, sum(o_orderkey)::BIGINT AS tokens FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey, c_name ORDER BY chunks DESC, o_custkey LIMIT 20")
+def chunks_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return stats.top_documents(table(spark, sf_dir, "orders"), names, key="o_custkey", name="c_name", tokens="o_orderkey")
+
+
+@query("SELECT 'E0' || (user_id % 9) AS code, count(*)::BIGINT AS count, CASE WHEN user_id % 9 = 1 THEN '文件损坏' ELSE '发生未知错误' END AS message FROM events WHERE event_type = 'error' GROUP BY ALL ORDER BY count DESC, code LIMIT 5")
+def fail_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("level"), F.concat(F.lit("E0"), F.col("user_id") % 9).alias("code"))
+    return stats.top_failures(events, {"E01": "文件损坏"})
+
+
+@query("""WITH n AS (SELECT event_type AS type, value AS ms FROM events ORDER BY event_id DESC LIMIT 2000)
+    SELECT type, count(*)::BIGINT AS samples, round_even(avg(ms), 0) AS avg_ms, round_even(quantile_cont(ms, 0.5), 0) AS p50_ms FROM n GROUP BY ROLLUP (type)""")
+def duration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.duration_stats(table(spark, sf_dir, "events"), type_col="event_type", ms=F.col("value"), newest=F.col("event_id"))
+
+
+@query("""WITH d AS (SELECT ts::DATE AS day, count(*) AS imported, count(*) FILTER (event_type = 'error') AS parsed_fail, avg(value) AS mean FROM events WHERE event_type <> 'view' OR day(ts) <> 7 GROUP BY 1)
+    SELECT c.day::DATE::VARCHAR AS day, coalesce(imported, 0)::BIGINT AS imported, coalesce(parsed_fail, 0)::BIGINT AS parsed_fail FROM range(DATE '2023-12-20', DATE '2024-02-01', INTERVAL 1 DAY) c(day) LEFT JOIN d ON c.day::DATE = d.day""")
+def trend_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").where((F.col("event_type") != "view") | (F.dayofmonth("ts") != 7))
+    per_day = stats.daily(events, F.to_date("ts"), {"imported": F.lit(1), "parsed_fail": F.when(F.col("event_type") == "error", 1).otherwise(0)})
+    return stats.trend(per_day, F.lit("2023-12-20"), F.lit("2024-01-31")).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT o_orderdate::DATE::VARCHAR AS day, count(*)::BIGINT AS n, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS done FROM orders GROUP BY 1")
+def daily_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.daily(table(spark, sf_dir, "orders"), F.to_date("o_orderdate"), {"n": F.lit(1), "done": F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)}).withColumn("day", F.col("day").cast("string"))
+
+
+@query("""WITH r AS (SELECT *, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS k FROM events)
+    SELECT user_id, (event_id % 3)::VARCHAR AS stage, min(ts) AS started, max(ts) AS ended, count(*)::BIGINT AS events,
+      CASE max(k) WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS level, CASE WHEN max(k) > 0 THEN 'c' || arg_max(event_id, k * 1000000000000 - event_id) END AS code, min(event_id) AS first_order
+    FROM r GROUP BY user_id, event_id % 3""")
+def stage_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "warning").otherwise("info")
+    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 3).cast("string").alias("stage"), "ts", "event_id", level.alias("level"), F.concat(F.lit("c"), F.col("event_id")).alias("code"), F.col("props").alias("message"))
+    return stats.stage_timeline(e, key=["user_id"], stage="stage", ts="ts", order="event_id", level="level", code="code", message="message").drop("message")
+
+
+@query("""WITH d AS (SELECT coalesce(CASE lang WHEN 'en' THEN 'L0' WHEN 'de' THEN 'L1' END, 'unknown') AS level, n_chars FROM documents), c AS (SELECT level, count(*) AS documents, sum(n_chars) AS pages FROM d GROUP BY level),
+    k AS (SELECT * FROM (VALUES ('L0'), ('L1'), ('L2'), ('unknown')) k(level)), j AS (SELECT k.level, coalesce(documents, 0)::BIGINT AS documents, coalesce(pages, 0)::BIGINT AS pages FROM k LEFT JOIN c USING (level))
+    SELECT level, documents, pages, pages AS count, round_even(pages / (sum(pages) OVER ())::DOUBLE, 4) AS page_ratio FROM j""")
+def level_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.when(F.col("lang") == "en", "L0").when(F.col("lang") == "de", "L1").alias("level"), "n_chars")
+    return stats.level_distribution(docs, level="level", pages="n_chars")
+
+
+@query("""WITH c AS (SELECT count(*)::BIGINT AS chunks_total, count(DISTINCT o_custkey) AS d, avg(o_totalprice) AS m FROM orders), s AS (SELECT count(*)::BIGINT AS docs_total, count(*) FILTER (c_mktsegment IN ('BUILDING')) AS ok, count(*) FILTER (c_mktsegment IN ('BUILDING', 'MACHINERY')) AS p FROM customer)
+    SELECT docs_total, round_even(ok / p::DOUBLE, 4) AS success_rate, chunks_total, round_even(round_even(chunks_total / d::DOUBLE, 4), 2) AS avg_chunks_per_doc, round_even(m, 1) AS avg_chunk_tokens FROM c, s""")
+def ratio_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "customer").select(F.when(F.col("c_mktsegment") == "BUILDING", "ok").when(F.col("c_mktsegment") == "MACHINERY", "failed").alias("status"))
+    chunks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_totalprice").alias("token_count"))
+    return stats.cards(docs, chunks)
+
+
+@query("SELECT 'documents' AS name, count(*)::BIGINT AS rows FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'orders', count(*) FROM orders")
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, n).agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n in ("documents", "events", "orders")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+# ---------------------------------------------------------------- rendering
+
+
+@query()
+def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as Markdown, from its lines as paragraphs."""
+    docs = table(spark, sf_dir, "documents")
+    nodes = chunking.plain_nodes(docs, id_col="doc_id", blocks=F.filter(F.split("text", "\n"), lambda x: x != ""))
+    return render.render_documents(nodes)
