@@ -68,7 +68,7 @@ def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "so
 
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, quality: Column | None = None,
-    weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, bucket_rows: int = 20_000,
+    weights: tuple[float, ...] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, bucket_rows: int = 2_000,
 ) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, copies, taken), one per row of `docs`.
 
