@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .components import components, forest
 from .hashing import mix64
 from .ngram_join import overlap_links, tiled
-from .storage import bounded_batches, durable, release, shuffle_width
+from .storage import bounded_batches, durable, give_back, release, shuffle_width
 
 U32, U64 = np.uint32, np.uint64
 #: Characters in a shingle; bands and rows: a pair of similarity 0.8 shares a band with probability 0.998.
@@ -171,6 +171,8 @@ def _scan(source: DataFrame, bits: int) -> DataFrame:
                     held_ids, held_keys, held = [], [], 0
         if held:
             yield flush()
+        held_ids, held_keys = [], []
+        give_back()
 
     return source.mapInPandas(run, "row long, doc_id long, line long, place int, bucket int, ids binary, keys binary")
 
@@ -245,6 +247,7 @@ def _texts(source: DataFrame, flags: np.ndarray) -> DataFrame:
                 seen = seen if len(seen) < 1_000_000 else set()
                 if sids:
                     yield pd.DataFrame({"sid": sids, "line": found})
+        give_back()
 
     return source.select("text").mapInPandas(run, "sid long, line string")
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components, forest
 from .hashing import digest, mix64, shingle_sets
-from .storage import bounded_batches, durable, release, shuffle_width
+from .storage import bounded_batches, durable, give_back, release, shuffle_width
 
 U16, U32, U64 = np.uint16, np.uint32, np.uint64
 #: Incidences that a map task gathers before it deals them to buckets.
@@ -101,6 +101,8 @@ def incidences(docs: DataFrame, width: int, bits: int) -> DataFrame:
             yield pd.DataFrame({"bucket": pd.array([None] * len(sids), "Int32"), "doc_id": pdf["doc_id"].astype("Int64"), "sid": sids, "n": sizes, "ids": None, "counts": None, "keys": None})
         if sets:
             yield _deal(ids, sets, bits).reindex(columns=["bucket", "doc_id", "sid", "n", "ids", "counts", "keys"]).astype({"doc_id": "Int64", "sid": "Int64", "n": "Int64"})
+        sets = []
+        give_back()
 
     return docs.mapInPandas(run, schema)
 

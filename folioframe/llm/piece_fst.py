@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .storage import bounded_batches
+from .storage import bounded_batches, give_back
 
 SPACE = "▁"
 # Fixed values of the model format: kinds of piece and of model.
@@ -120,7 +120,7 @@ class Normaliser:
 class PieceTransducer:
     """A compiled model: encodes strings to piece numbers and back."""
 
-    def __init__(self, model: bytes, keep: int = 400_000) -> None:
+    def __init__(self, model: bytes, keep: int = 150_000) -> None:
         self.pieces: list[tuple[str, float, int]] = []
         trainer, normaliser = b"", b""
         for number, value in _fields(model):
@@ -181,7 +181,7 @@ class PieceTransducer:
         """Whether the transition between neighbours a and b weighs 0 (a empty: whether b is a piece by itself)."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= 400_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merges_inside(a + b, len(a))
         return known
@@ -278,6 +278,10 @@ class PieceTransducer:
         self.fresh[part] = known
         return known[1]
 
+    def forget(self) -> None:
+        """Drop the kept states (not the checks of neighbours, which every text needs)."""
+        self.fresh, self.stale = {}, {}
+
     def encode(self, text: str) -> bytes:
         """Piece numbers of a whole text, as little-endian 32-bit integers."""
         norm = self.normalise(text)
@@ -337,6 +341,8 @@ def encode_texts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, values, mask=pa.array([t is None for t in texts]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(counts), pa.array(exact)], names=["doc_id", "ids", "n_tokens", "exact"])
+        fst.forget()
+        give_back()
 
     return source.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, exact boolean")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -66,3 +67,12 @@ def bounded_batches(docs: DataFrame, rows: int = 2000) -> SparkSession:
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
     return spark
+
+
+def give_back() -> None:
+    """Return what a finished task no longer holds to the system: a Python worker lives on and serves other stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
