@@ -12,6 +12,8 @@ from .functions.tokens import CJK, LETTER, RUN, SPACE, estimate_tokens
 from .operators import grid, tree
 from .plans import catalog, chunking, dataset, render, stats
 from .plans.packing import Options
+from .sources import markup
+from .streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -422,3 +424,48 @@ def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     nodes = chunking.plain_nodes(docs, id_col="doc_id", blocks=F.filter(F.split("text", "\n"), lambda x: x != ""))
     return render.render_documents(nodes)
+
+
+# ---------------------------------------------------------------- markup and streams
+
+
+@query()
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every document's text read as Markdown."""
+    return markup.blocks(table(spark, sf_dir, "documents")).select("doc_id", "n", "kind", "level", "text", F.size("cells").alias("cells"))
+
+
+@query()
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of every page (an adaptation: pages are no input format of the library)."""
+    return markup.tables(table(spark, sf_dir, "pages")).select("page_id", "n", F.size("cells").alias("cells"), "head_rows")
+
+
+@query("""WITH e AS (SELECT user_id % 10 AS task, event_id, CASE WHEN event_type = 'view' THEN 'progress' ELSE event_type END AS kind FROM events),
+    s AS (SELECT *, count(*) OVER (PARTITION BY task) AS n, row_number() OVER (PARTITION BY task, kind ORDER BY event_id DESC) AS k FROM e)
+    SELECT task, event_id, kind FROM s WHERE n <= 900 OR kind <> 'progress' OR k <= 450""")
+def event_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that a log trimmed to 900 a task keeps."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("task"), "event_id", F.when(F.col("event_type") == "view", "progress").otherwise(F.col("event_type")).alias("kind"))
+    return events.retained(e, task="task", seq="event_id", kind="kind", most=900)
+
+
+@query("""SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts)::VARCHAR AS start, least(greatest(arg_max(value / 100, ts), 0.0), 1.0) AS progress FROM events GROUP BY 1, 2""")
+def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last progress of each task in each six hours."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", (F.col("value") / 100).alias("value"))
+    return events.throttled(e, task="user_id", ts="ts", value="value", every="6 hours").withColumn("start", F.col("start").cast("string"))
+
+
+@query("SELECT ts::DATE::VARCHAR AS day, count(*)::BIGINT AS n, count(*) FILTER (event_type = 'error')::BIGINT AS errors FROM events GROUP BY 1")
+def streamed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sums by a stream over the event file, read from the sink once it has taken all there is."""
+    import uuid
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    name = f"daily_{uuid.uuid4().hex}"
+    sums = events.daily(stream, ts="ts", sums={"n": F.lit(1), "errors": F.when(F.col("event_type") == "error", 1).otherwise(0)})
+    running = sums.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name).withColumn("day", F.col("day").cast("string"))
