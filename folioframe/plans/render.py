@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..model import NODE
+from .chunking import document_rows
 from .packing import Table
 
 _TAG = re.compile(r"<(?=[A-Za-z/!?])")
@@ -253,22 +254,10 @@ def print_html(nodes: list[dict], title: str = "", *, font_size: float = 12, hea
     return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>{style}</style></head>\n<body>\n' + "\n".join(b for b in out if b) + "\n</body></html>\n"
 
 
-def _document_rows(pdf: pd.DataFrame) -> list[dict]:
-    rows = pdf.sort_values("ord", kind="stable").to_dict("records")
-    for r in rows:
-        r["content"] = dict(r["content"] or {})
-        if r["content"].get("cells") is not None:
-            r["content"]["cells"] = [dict(c) for c in r["content"]["cells"]]
-        r["parent"] = r["parent"] if isinstance(r["parent"], str) else None
-        r["children"] = [] if r["children"] is None else list(r["children"])
-        r["level"] = None if pd.isna(r["level"]) else r["level"]
-    return rows
-
-
 def render_documents(nodes: DataFrame, how: Callable[[list[dict]], str] = markdown) -> DataFrame:
     """(doc_id, body) from rows of model.NODE."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "body": [how(_document_rows(pdf))]})
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "body": [how(document_rows(pdf))]})
 
     return nodes.select(*NODE.names).groupBy("doc_id").applyInPandas(run, "doc_id string, body string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fnmatch import fnmatch
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +21,24 @@ LARGEST, MOST_FILES = 500 * 1024 * 1024, 5000
 SPARE = 2 * 1024**3
 
 
-def listing(spark: SparkSession, path: str, pattern: str = "*", deepest: int = 8) -> DataFrame:
-    """(path, name, ext, size, modified) of files below a folder, without reading them; lock files are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    base = F.lit(len([p for p in path.split("://")[-1].rstrip("/").split("/") if p]))
-    depth = F.size(F.filter(F.split(F.regexp_replace("path", "^[a-z]+:/*", ""), "/"), lambda p: p != "")) - base
-    rows = files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return rows.where(~F.col("name").startswith("~$") & (depth <= deepest)).dropDuplicates(["path"])
+def listing(spark: SparkSession, path: str, pattern: str = "*", deepest: int = 8, most: int = MOST_FILES) -> DataFrame:
+    """(path, name, ext, size, modified) of up to `most` files below a folder, without reading them; lock files are out.
+
+    A listing of names by the driver, like a reader's own, and the only way to see empty files: readers pass these over.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.makeQualified(top)
+    base, rows = top.depth(), []
+    found = fs.listFiles(top, True)
+    while found.hasNext() and len(rows) < most:
+        f = found.next()
+        name = f.getPath().getName()
+        if f.getPath().depth() - base <= deepest and not name.startswith("~$") and fnmatch(name, pattern):
+            rows.append((f.getPath().toString(), name, name.rpartition(".")[2].lower() if "." in name else "", f.getLen(), f.getModificationTime()))
+    out = spark.createDataFrame(rows, "path string, name string, ext string, size long, modified long")
+    return out.withColumn("modified", F.timestamp_millis("modified"))
 
 
 def gated(files: DataFrame) -> DataFrame:
@@ -44,8 +55,10 @@ def room_needed(files: DataFrame) -> int:
 def contents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files with their bytes and SHA-256, for those that pass the gates."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    ok = gated(listing(spark, path, pattern)).where("code IS NULL").select(F.col("path").alias("__path"), "name", "ext", "size")
-    return files.join(ok, files["path"] == ok["__path"]).select("path", "name", "ext", "size", F.sha2("content", 256).alias("hash"), "content")
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), F.col("length").alias("size"), "content")
+    ok = gated(rows.where(~F.col("name").startswith("~$"))).where("code IS NULL")  # on names and sizes: other files aren't read
+    return ok.select("path", "name", "ext", "size", F.sha2("content", 256).alias("hash"), "content")
 
 
 PARSED = (

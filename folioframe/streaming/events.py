@@ -39,11 +39,11 @@ def retained(events: DataFrame, *, task: str, seq: str, kind: str, most: int = M
 STATE = "task_id string, status string, events long, progress double, last_seq long"
 
 
-def task_states(events: DataFrame, *, task: str = "task_id", seq: str = "seq", kind: str = "event", progress: str = "progress", timeout: str = "120 seconds") -> DataFrame:
+def task_states(events: DataFrame, *, task: str = "task_id", seq: str = "seq", kind: str = "event", progress: str = "progress", retain_seconds: int | None = None) -> DataFrame:
     """A stream of task states: queued, running, then done, failed or canceled. After its end a task changes no more:
-    late events are dropped. State goes `timeout` after the last event of an ended task.
+    late events are dropped. With `retain_seconds`, the state of an ended task goes so long after its last event; such
+    a stream always has a next batch to wait for, so it is for continuous triggers, not for `available_now`.
     """
-    millis = int(timeout.split()[0]) * 1000
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -61,11 +61,12 @@ def task_states(events: DataFrame, *, task: str = "task_id", seq: str = "seq", k
                 part = min(1.0, max(0.0, float(p)))
         part = 1.0 if status == "done" else part
         state.update((status, n, part, last))
-        state.setTimeoutDuration(millis)
+        if retain_seconds is not None:
+            state.setTimeoutDuration(retain_seconds * 1000)
         yield pd.DataFrame({"task_id": [key[0]], "status": [status], "events": [n], "progress": [part], "last_seq": [last]})
 
     rows = events.select(F.col(task).cast("string").alias("task_id"), F.col(seq).cast("long").alias("seq"), F.col(kind).alias("event"), F.col(progress).cast("double").alias("progress"))
-    return rows.groupBy("task_id").applyInPandasWithState(update, STATE, "status string, n long, part double, last long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("task_id").applyInPandasWithState(update, STATE, "status string, n long, part double, last long", "update", GroupStateTimeout.NoTimeout if retain_seconds is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def throttled(events: DataFrame, *, task: str, ts: str, value: str, every: str = "500 milliseconds", late: str = "1 minute") -> DataFrame:
