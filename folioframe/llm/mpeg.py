@@ -1,7 +1,7 @@
 """MPEG audio as a media column: write, resynchronise, parse, verify, and read back.
 
 `scan` walks any MPEG-1/2/2.5 layer I-III elementary stream: it skips ID3v2, APE and ID3v1 tags, finds frames
-by header chains (a header counts only if the next frame's header agrees or the audio ends there), reads
+by header chains (out of step, a header counts only if the next one agrees or the audio ends there), reads
 Xing/Info and VBRI tables, checks Layer III CRCs, and gives the exact duration as samples over rate and the
 byte offset of every frame. `store` writes a payload losslessly: 576 bytes in the ancillary part of each
 CRC-protected, silent Layer III frame, behind an ID3v2 tag and an Info frame.
@@ -165,7 +165,7 @@ def scan(data: bytes) -> Scan:
         if h and at + h.size <= end and not (last and not lost and not h.follows(last)):
             after = at + h.size
             ahead = header(data[after : after + 4]) if after + 4 <= end else h
-            if ahead and ahead.follows(h):
+            if (last and not lost) or (ahead and ahead.follows(h)):
                 vbr = read_vbr(data, at, h) if last is None and h.layer == 3 else None
                 if vbr:
                     out.vbr = vbr
