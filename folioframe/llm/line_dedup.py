@@ -253,7 +253,7 @@ def _texts(source: DataFrame, flags: np.ndarray) -> DataFrame:
 
 
 def _verify(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links of the tiles of one bin by exact Jaccard similarity, as a forest for each tile."""
+    """Links of the tiles of one bin by exact Jaccard similarity, as a forest that spans them."""
     pdf = pdf.sort_values(["pivot", "a", "b", "sid"], kind="stable")
     tile = pdf[["pivot", "a", "b"]].to_numpy(np.int64)
     cut = np.concatenate([[0], np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1, [len(tile)]]) if len(tile) else np.zeros(1, np.int64)
@@ -285,7 +285,9 @@ def _verify(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
             x, y = forest(sid[s:e][i], sid[s:e][j])
             src.append(x)
             dst.append(y)
-    return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+    x, y = forest(np.concatenate(src), np.concatenate(dst))
+    give_back()
+    return pd.DataFrame({"src": x, "dst": y})
 
 
 def dedup_lines(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = 256) -> DataFrame:
@@ -305,7 +307,7 @@ def dedup_lines(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", t
     blocks = durable(found.where("bucket IS NOT NULL").select("bucket", "ids", "keys").groupBy("bucket").applyInPandas(_meet, "pivot long, sid long").distinct(), "meet")
     texts = _texts(source, bloom(blocks.select("sid").distinct())).groupBy("sid").agg(F.first("line").alias("line"))
     dealt = tiled(blocks, tile).join(texts, "sid").withColumn("bin", F.pmod(F.xxhash64("pivot", "a", "b"), F.lit(4 * shuffle_width(spark))).cast("int"))
-    united = components(dealt.groupBy("bin").applyInPandas(lambda pdf: _verify(pdf, percent), "src long, dst long"))
+    united = components(dealt.groupBy("bin").applyInPandas(lambda pdf: _verify(pdf, percent), "src long, dst long"), contracted=True)
     release(blocks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place"))
     lines = occurs.groupBy("line").agg(first.alias("first"), F.count("*").alias("c"))

@@ -213,7 +213,7 @@ def overlap_links(n: np.ndarray, keys: list[np.ndarray], percent: int) -> tuple[
 
 
 def _tiles(pdf: pd.DataFrame, percent: int, bits: int) -> pd.DataFrame:
-    """Links of the tiles in one bin; in each tile, a forest that spans its links."""
+    """Links of the tiles in one bin, as a forest that spans them."""
     src, dst = [], []
     for _, tile in pdf.groupby(["pivot", "a", "b"], sort=False):
         tile = tile.drop_duplicates("sid")
@@ -223,7 +223,9 @@ def _tiles(pdf: pd.DataFrame, percent: int, bits: int) -> pd.DataFrame:
             x, y = forest(sid[i], sid[j])
             src.append(x)
             dst.append(y)
-    return pd.DataFrame({"src": np.concatenate(src) if src else np.empty(0, np.int64), "dst": np.concatenate(dst) if dst else np.empty(0, np.int64)})
+    x, y = forest(np.concatenate([*src, np.empty(0, np.int64)]), np.concatenate([*dst, np.empty(0, np.int64)]))
+    give_back()
+    return pd.DataFrame({"src": x, "dst": y})
 
 
 def tiled(blocks: DataFrame, tile: int) -> DataFrame:
@@ -285,7 +287,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     several = rows.groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("doc_id")
     by_id = several.join(rows, "doc_id").join(copies, "sid").select(F.col("doc_id").alias("src"), F.col("least").alias("dst"))
     ends = edges.join(copies.select(F.col("sid").alias("src"), F.col("least").alias("s")), "src").join(copies.select(F.col("sid").alias("dst"), F.col("least").alias("d")), "dst")
-    united = components(ends.select(F.col("s").alias("src"), F.col("d").alias("dst")).union(by_id))
+    united = components(ends.select(F.col("s").alias("src"), F.col("d").alias("dst")).union(by_id), contracted=True)
     release(cand, dealt)
     first = copies.where("c > 1").select(F.col("sid").alias("set"), "least")
     named = info.join(first, (info["sid"] == first["set"]) & (info["n"] > 0) & info["doc_id"].isNotNull(), "left").withColumn("least", F.coalesce("least", "doc_id"))

@@ -147,11 +147,11 @@ class PieceTransducer:
         self.unknown = next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN), 0)
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.number)
         self.back = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in self.pieces]
-        self.pairs: dict[tuple[object, object], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.code = [np.array([i], "<i4").tobytes() for i in range(len(self.pieces))]
         self.keep: int = keep
-        self.fresh: dict[str, tuple[str, bytes]] = {}
-        self.stale: dict[str, tuple[str, bytes]] = {}
+        self.fresh: dict[str, tuple[int, bytes]] = {}
+        self.stale: dict[str, tuple[int, bytes]] = {}
 
     def merges_inside(self, text: str, edge: int) -> bool:
         """Whether merging by score (the definition of BPE) ends with pieces that meet at `edge` and span either side.
@@ -177,36 +177,41 @@ class PieceTransducer:
                 gain[i] = score[k] if (k := number.get(parts[i] + parts[i + 1])) is not None else -INF
         return len(parts) == (left > 0) + 1 and left <= 1
 
-    def _apart(self, a: str, b: str) -> bool:
-        """Whether the transition between neighbours a and b weighs 0 (a empty: whether b is a piece by itself)."""
-        known = self.pairs.get((a, b))
+    def _text(self, key: int) -> str:
+        """What a key stands for: a piece, a character that is none, or (negative) the start."""
+        return "" if key < 0 else self.pieces[key][0] if key < len(self.pieces) else chr(key - len(self.pieces))
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether the transition between neighbours weighs 0 (a negative: whether b is a piece by itself)."""
+        pair = a << 22 | b
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= 400_000:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merges_inside(a + b, len(a))
+            left = self._text(a)
+            known = self.pairs[pair] = self.merges_inside(left + self._text(b), len(left))
         return known
 
-    def _finite_path(self, text: str) -> list[str]:
-        """The one finite path through the lattice of a BPE model."""
-        n, number, lengths, pairs = len(text), self.number, self.lengths, self.pairs
-        last = [""] * (n + 1)
+    def _finite_path(self, text: str) -> list[int]:
+        """The one finite path through the lattice of a BPE model, as keys."""
+        n, number, lengths, other = len(text), self.number, self.lengths, len(self.pieces)
+        last, size_of = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
             for size in lengths.get(text[i - 1], (1,)):
                 if size <= i:
-                    piece = text[i - size : i]
-                    if piece in number or size == 1:
-                        pair = (last[i - size], piece)
-                        known = pairs.get(pair)
-                        if self._apart(*pair) if known is None else known:
-                            last[i] = piece
-                            break
+                    key = number.get(text[i - size : i])
+                    if key is None and size == 1:
+                        key = other + ord(text[i - 1])
+                    if key is not None and self._apart(last[i - size], key):
+                        last[i], size_of[i] = key, size
+                        break
         out, i = [], n
         while i:
             out.append(last[i])
-            i -= len(last[i])
+            i -= size_of[i]
         return out[::-1]
 
-    def _state(self, prefix: str) -> tuple[str, bytes]:
+    def _state(self, prefix: str) -> tuple[int, bytes]:
         """The search's state after a prefix of a part: the last piece and the whole encoding; states are kept.
 
         The best piece that ends here needs only the state before it, so shared prefixes are searched once.
@@ -216,18 +221,19 @@ class PieceTransducer:
             return known
         known = self.stale.get(prefix)
         if known is None:
-            number, pairs, n = self.number, self.pairs, len(prefix)
+            number, n = self.number, len(prefix)
             for size in self.lengths.get(prefix[-1], (1,)):
                 if size > n:
                     continue
-                piece = prefix[n - size :]
-                k = number.get(piece)
-                if k is None and size > 1:
-                    continue
-                last, coded = self._state(prefix[: n - size]) if size < n else ("", b"")
-                apart = pairs.get((last, piece))
-                if self._apart(last, piece) if apart is None else apart:
-                    known = piece, coded + (self.code[k] if k is not None else self._fallback(piece, coded))
+                key = number.get(prefix[n - size :])
+                if key is None:
+                    if size > 1:
+                        continue
+                    key = len(self.pieces) + ord(prefix[-1])
+                last, coded = self._state(prefix[: n - size]) if size < n else (-1, b"")
+                apart = self.pairs.get(last << 22 | key)
+                if self._apart(last, key) if apart is None else apart:
+                    known = key, coded + (self.code[key] if key < len(self.code) else self._fallback(prefix[-1], coded))
                     break
         if len(self.fresh) >= self.keep:
             self.stale, self.fresh = self.fresh, {}
@@ -240,39 +246,35 @@ class PieceTransducer:
             return np.array([self.bytes[b] for b in char.encode()], "<i4").tobytes()
         return b"" if before.endswith(self.code[self.unknown]) else self.code[self.unknown]
 
-    def _lightest_path(self, text: str) -> list[str]:
-        """The lightest path through the lattice of a unigram model; of equals, the one with the longest last piece."""
-        n, worst = len(text), min(self.score, default=0.0) - UNKNOWN_PENALTY
-        weight, last = [0.0] + [INF] * n, [""] * (n + 1)
+    def _lightest_path(self, text: str) -> list[int]:
+        """The lightest path through the lattice of a unigram model, as keys; of equals, the one with the longest last piece."""
+        n, worst, other = len(text), min(self.score, default=0.0) - UNKNOWN_PENALTY, len(self.pieces)
+        weight, last, size_of = [0.0] + [INF] * n, [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
             for j in range(max(0, i - self.longest), i):
                 k = self.number.get(text[j:i])
                 w = weight[j] - (self.score[k] if k is not None else worst)
                 if (k is not None or i - j == 1) and w < weight[i]:
-                    weight[i], last[i] = w, text[j:i]
+                    weight[i], last[i], size_of[i] = w, other + ord(text[j]) if k is None else k, i - j
         out, i = [], n
         while i:
             out.append(last[i])
-            i -= len(last[i])
+            i -= size_of[i]
         return out[::-1]
 
     def _ids(self, part: str) -> bytes:
         """The encoding of a part of the lattice, as little-endian 32-bit integers."""
-        path = self._finite_path(part) if self.kind == BPE else self._lightest_path(part)
-        out = b""
-        whole = []
-        for p in path:
-            k = self.number.get(p)
-            out = self.code[k] if k is not None else self._fallback(p, out)
-            whole.append(out)
-        return b"".join(whole)
+        out: list[bytes] = []
+        for key in self._finite_path(part) if self.kind == BPE else self._lightest_path(part):
+            out.append(self.code[key] if key < len(self.code) else self._fallback(self._text(key), out[-1] if out else b""))
+        return b"".join(out)
 
     def _part(self, part: str) -> bytes:
         if len(part) > 64:
             return self._ids(part)
         if self.kind == BPE:
             return self._state(part)[1]
-        known = self.fresh.get(part) or self.stale.get(part) or (part, self._ids(part))
+        known = self.fresh.get(part) or self.stale.get(part) or (-1, self._ids(part))
         if len(self.fresh) >= self.keep:
             self.stale, self.fresh = self.fresh, {}
         self.fresh[part] = known

@@ -61,7 +61,7 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def bounded_batches(docs: DataFrame, rows: int = 2000) -> SparkSession:
+def bounded_batches(docs: DataFrame, rows: int = 1000) -> SparkSession:
     """The session, with Arrow batches of at most `rows` rows: texts are long, and workers hold a batch whole."""
     spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
