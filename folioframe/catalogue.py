@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.tokens import CJK, LETTER, RUN, SPACE, estimate_tokens
-from .operators import grid, tree
+from .operators import grid, layout, tree
 from .plans import catalog, chunking, dataset, render, stats
 from .plans.packing import Options
 from .sources import markup
@@ -426,6 +426,54 @@ def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.render_documents(nodes)
 
 
+# ---------------------------------------------------------------- page layout and views
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity / 20.0 >= 1.55 THEN 1 WHEN l_quantity / 20.0 >= 1.30 THEN 2 WHEN l_quantity / 20.0 >= 1.12 THEN 3 END AS level FROM lineitem""")
+def heading_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", layout.heading_level(F.col("l_quantity"), F.lit(20.0)).alias("level"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, round(l_quantity, 1) AS s, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL) SELECT l_orderkey, arg_max(s, n * 1000 - s) AS body FROM c GROUP BY l_orderkey""")
+def body_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.body_size(table(spark, sf_dir, "lineitem"), key="l_orderkey", size="l_quantity", page="l_linenumber")
+
+
+@query("""WITH l AS (SELECT o_custkey, o_orderkey, o_orderkey::DOUBLE AS top, o_orderkey + 200.0 AS bottom FROM orders),
+    s AS (SELECT *, CASE WHEN lag(bottom) OVER w IS NULL OR top - lag(bottom) OVER w > 1.6 * (bottom - top) THEN 1 ELSE 0 END AS s FROM l WINDOW w AS (PARTITION BY o_custkey ORDER BY top))
+    SELECT o_orderkey, sum(s) OVER (PARTITION BY o_custkey ORDER BY top ROWS UNBOUNDED PRECEDING)::BIGINT AS paragraph FROM s""")
+def line_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").cast("double").alias("top"), (F.col("o_orderkey") + 200.0).alias("bottom"))
+    return layout.paragraph_numbers(lines, key=["o_custkey"], top="top", bottom="bottom").select("o_orderkey", "paragraph")
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS x, l_discount AS y FROM lineitem), b AS (SELECT o_orderkey, 10.0 AS x0, 30.0 AS x1, 0.0 AS y0, 0.05 AS y1 FROM orders WHERE o_orderstatus = 'F')
+    SELECT l_orderkey, l_linenumber, l_partkey FROM p WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.o_orderkey = p.l_orderkey AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)""")
+def outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
+    boxes = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(10.0).alias("x0"), F.lit(30.0).alias("x1"), F.lit(0.0).alias("y0"), F.lit(0.05).alias("y1"))
+    return layout.outside(points, boxes, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""SELECT count(*)::BIGINT AS samples, count(*) FILTER (quality = 1)::BIGINT AS passed, count(*) FILTER (quality = 0)::BIGINT AS failed,
+    round_even(count(*) FILTER (quality = 0 AND toxic = 1) / count(*) FILTER (quality = 0)::DOUBLE, 4) AS graceful_rate, avg(toxic::DOUBLE) AS mean_coverage, avg(doc_id::DOUBLE) AS mean_seconds, count(*)::BIGINT AS level_L0, 0::BIGINT AS level_L1, 0::BIGINT AS level_L2 FROM labels""")
+def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("passed"), (F.col("toxic") == 1).alias("graceful"), F.col("toxic").cast("double").alias("coverage"), F.col("doc_id").cast("double").alias("seconds"), F.lit("L0").alias("level"))
+    return stats.corpus_summary(rows, passed="passed", graceful="graceful", coverage="coverage", seconds="seconds", level="level")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY")
+def since_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.since_days(table(spark, sf_dir, "events"), "ts", 7, F.lit("2024-01-31")).select("event_id")
+
+
+@query("""SELECT user_id, unnest(['queued', 'running', 'error', 'done']) AS step, unnest([CASE WHEN k < c THEN 'done' WHEN k = c THEN CASE WHEN f THEN 'failed' ELSE 'active' END WHEN f THEN 'skipped' ELSE 'pending' END FOR k IN [0, 1, 2, 3]]) AS state
+    FROM (SELECT user_id, (count(*) % 4)::INTEGER AS c, count(*) FILTER (event_type = 'error') % 2 = 1 AS f FROM events GROUP BY user_id)""")
+def step_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") % 4).cast("int").alias("c"), (F.count_if(F.col("event_type") == "error") % 2 == 1).alias("f"))
+    return rows.select("user_id", F.explode(stats.step_states(["queued", "running", "error", "done"], F.col("c"), F.col("f"))).alias("s")).select("user_id", "s.*")
+
+
 # ---------------------------------------------------------------- markup and streams
 
 

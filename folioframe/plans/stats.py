@@ -109,3 +109,34 @@ def cards(docs: DataFrame, chunks: DataFrame, *, status: str = "status", tokens:
         "docs_total", ratio(F.col("good"), F.col("parsed")).alias("success_rate"), "chunks_total",
         F.bround(ratio(F.col("chunks_total"), F.col("chunk_docs")), 2).alias("avg_chunks_per_doc"), F.bround(F.col("mean"), 1).alias("avg_chunk_tokens"),
     )
+
+
+def corpus_summary(samples: DataFrame, *, passed: str, graceful: str, coverage: str, seconds: str, level: str) -> DataFrame:
+    """One row over a run of samples: passes, failures, share of graceful failures, means, and samples by level."""
+    return samples.agg(
+        F.count("*").alias("samples"), F.count_if(F.col(passed)).alias("passed"), F.count_if(~F.col(passed)).alias("failed"),
+        ratio(F.count_if(~F.col(passed) & F.col(graceful)), F.count_if(~F.col(passed))).alias("graceful_rate"), F.avg(coverage).alias("mean_coverage"), F.avg(seconds).alias("mean_seconds"),
+        *[F.count_if(F.col(level) == lv).alias(f"level_{lv}") for lv in ("L0", "L1", "L2")],
+    )
+
+
+def trend_view(days: DataFrame) -> DataFrame:
+    """A trend for display: imports are at least the documents created, coverage in percent."""
+    return days.withColumns({"imported": F.greatest("imported", "docs_created"), "text_coverage": F.col("text_coverage") * 100})
+
+
+def characters_label(tokens: Column) -> Column:
+    """About how many characters so many tokens are, to the nearest 50."""
+    return F.floor(tokens * 1.7 / 50 + 0.5) * 50
+
+
+def step_states(steps: Sequence[str], cursor: Column, failed: Column) -> Column:
+    """State of each of a task's steps when it stands at `cursor` (from 0): done before it, then active or failed, then pending or skipped."""
+    state = lambda k: F.when(F.lit(k) < cursor, "done").when(F.lit(k) == cursor, F.when(failed, "failed").otherwise("active")).otherwise(F.when(failed, "skipped").otherwise("pending"))
+    return F.array(*[F.struct(F.lit(s).alias("step"), state(k).alias("state")) for k, s in enumerate(steps)])
+
+
+def since_days(rows: DataFrame, column: str, days: int, now: Column) -> DataFrame:
+    """Rows of the last `days` days before `now`; those without a readable time stay."""
+    at = F.try_to_timestamp(F.col(column).cast("string"))
+    return rows.where(at.isNull() | (at >= now.cast("timestamp") - F.make_dt_interval(F.lit(days))))

@@ -110,3 +110,21 @@ def test_streams(spark, tmp_path):
     log = spark.createDataFrame(pd.DataFrame({"task": 1, "seq": range(20), "kind": ["progress"] * 18 + ["info", "done"]}))
     assert sorted(r.seq for r in events.retained(log, task="task", seq="seq", kind="kind", most=10).collect()) == [13, 14, 15, 16, 17, 18, 19]
     assert events.retained(log, task="task", seq="seq", kind="kind", most=20).count() == 20
+
+
+def test_layout(spark):
+    from folioframe.operators import layout
+
+    df = spark.createDataFrame([(["exam-", "ple of", "text", "", "中文", "行"], [["A", " b\nc "], ["", None]])], "l array<string>, t array<array<string>>")
+    row = df.select(layout.join_lines(F.col("l")).alias("j"), layout.plain_cells(F.col("t")).alias("c")).first()
+    assert row.j == "example of text中文行" and [(c.r, c.c, c.text, c.is_header) for c in row.c] == [(0, 0, "A", True), (0, 1, "b c", True)]
+    kinds = spark.createDataFrame([(50, False), (3, True), (3, None)], "n int, i boolean").select(layout.page_kind(F.col("n"), F.col("i")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["text", "scanned", "blank"]
+    assert spark.range(1).select(stats.characters_label(F.lit(100)).alias("n")).first().n == 150
+
+
+def test_node_queries(spark):
+    nodes = spark.createDataFrame([("d", "n1", 0.5), ("d", "n2", 0.9)], "doc_id string, id string, confidence double")
+    chunks = spark.createDataFrame([("c1", "d", 1, ["n1"]), ("c2", "d", 2, ["n1", "n2"]), ("c3", "e", 1, ["n1"])], "id string, doc_id string, seq int, node_ids array<string>")
+    assert {r.id for r in tree.low_confidence_chunks(chunks, nodes).collect()} == {"c1", "c2"}
+    assert {(r.doc_id, r.node): r.chunk_id for r in tree.first_chunk_of_node(chunks).collect()} == {("d", "n1"): "c1", ("d", "n2"): "c2", ("e", "n1"): "c3"}
