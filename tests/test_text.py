@@ -74,3 +74,9 @@ def test_letters_and_versions(spark):
 @pytest.mark.parametrize("text", TEXTS)
 def test_visible(spark, text):
     assert column(spark, [text], tx.visible_chars) == [len(re.sub(r"\s+", "", text))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abé中文1２_ \n.,。가ぁ①̈", max_size=40))
+def test_tokens_match_by_match_and_run_by_run(text):
+    assert packing.tokens(text) == packing.run_tokens(text)
