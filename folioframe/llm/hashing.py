@@ -118,10 +118,10 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
             if e - s >= width:
                 yield np.unique(whole[s : e - width + 1])
             elif e > s:
-                part = U64(e - s)
-                for j in range(e - s):
-                    part = mix64(np.array([part * U64(3) + h[s + j]], U64))[0]
-                yield np.array([part], U64)
+                part = np.array([e - s], U64)
+                for j in range(s, e):
+                    part = mix64(part * U64(3) + h[j : j + 1])
+                yield part
             else:
                 yield np.empty(0, U64)
 
