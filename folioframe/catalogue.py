@@ -69,10 +69,10 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.length("text").cast("long").alias("size"))
 
 
-@query("SELECT doc_id, lag(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS duplicate_of FROM documents")
+@query("SELECT doc_id, (lag(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id))::VARCHAR AS duplicate_of FROM documents")
 def duplicate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    return catalog.earlier_duplicate(docs, content="hash", order=["doc_id"], id_col="doc_id").select("doc_id", "duplicate_of")
+    return catalog.earlier_duplicate(docs, content="hash", order=["doc_id"], id_col="doc_id").select("doc_id", F.col("duplicate_of").cast("string").alias("duplicate_of"))
 
 
 @query(rf"""WITH b AS (SELECT doc_id, regexp_split_to_array(text, '\n[{SPACE}]*\n') AS b FROM documents),
@@ -232,11 +232,11 @@ def region_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT o_custkey, o_orderkey, (o_orderkey % 4 + 1)::INTEGER AS level FROM orders)
-    SELECT a.o_orderkey AS id, a.level, (SELECT max(b.o_orderkey) FROM h b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey < a.o_orderkey AND b.level < a.level) AS parent FROM h a""")
+    SELECT a.o_orderkey AS id, a.level, (SELECT max(b.o_orderkey) FROM h b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey < a.o_orderkey AND b.level < a.level)::VARCHAR AS parent FROM h a""")
 def section_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings with levels (each customer's orders) and the nearest heading above of a smaller level."""
     heads = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("level"))
-    return tree.heading_parents(heads, key="o_custkey", order="id", level="level").select("id", "level", "parent")
+    return tree.heading_parents(heads, key="o_custkey", order="id", level="level").select("id", "level", F.col("parent").cast("string").alias("parent"))
 
 
 @query("""SELECT r_regionkey || ':' || r_name AS id, 1 AS depth, r_name AS path FROM region UNION ALL
@@ -347,9 +347,9 @@ def status_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT {TOKENS} AS n FROM documents), b AS (SELECT * FROM (VALUES ('0-128', 0, 128), ('128-256', 128, 256), ('256-512', 256, 512), ('512-1024', 512, 1024), ('>=1024', 1024, NULL)) b(bucket, min, max))
-    SELECT b.bucket, b.min, b.max, count(n)::BIGINT AS count FROM b LEFT JOIN t ON n >= b.min AND (b.max IS NULL OR n < b.max) GROUP BY ALL""")
+    SELECT b.bucket, b.min, b.max::VARCHAR AS max, count(n)::BIGINT AS count FROM b LEFT JOIN t ON n >= b.min AND (b.max IS NULL OR n < b.max) GROUP BY ALL""")
 def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.token_histogram(table(spark, sf_dir, "documents").select(estimate_tokens(F.col("text")).alias("token_count")))
+    return stats.token_histogram(table(spark, sf_dir, "documents").select(estimate_tokens(F.col("text")).alias("token_count"))).withColumn("max", F.col("max").cast("string"))
 
 
 @query("SELECT o_custkey, c_name, count(*)::BIGINT AS chunks, sum(o_orderkey)::BIGINT AS tokens FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey, c_name ORDER BY chunks DESC, o_custkey LIMIT 20")
@@ -429,9 +429,9 @@ def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- page layout and views
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity / 20.0 >= 1.55 THEN 1 WHEN l_quantity / 20.0 >= 1.30 THEN 2 WHEN l_quantity / 20.0 >= 1.12 THEN 3 END AS level FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity / 20.0 >= 1.55 THEN 1 WHEN l_quantity / 20.0 >= 1.30 THEN 2 WHEN l_quantity / 20.0 >= 1.12 THEN 3 END::VARCHAR AS level FROM lineitem""")
 def heading_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", layout.heading_level(F.col("l_quantity"), F.lit(20.0)).alias("level"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", layout.heading_level(F.col("l_quantity"), F.lit(20.0)).cast("string").alias("level"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, round(l_quantity, 1) AS s, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL) SELECT l_orderkey, arg_max(s, n * 1000 - s) AS body FROM c GROUP BY l_orderkey""")
