@@ -120,19 +120,28 @@ def read_id3v2(data: bytes, tags: dict[str, str]) -> int:
     return end + (10 if major == 4 and data[5] & 0x10 else 0)
 
 
-def read_tail_tags(data: bytes, tags: dict[str, str]) -> int:
-    """Parse ID3v1 and APEv2 tags at the end; returns where the audio ends."""
-    end = len(data)
+def read_tail_tags(data: bytes) -> list[tuple[int, dict[str, str]]]:
+    """Parse ID3v1 and APEv2 tags at the end: (where the data before them end, their tags), from no tag to all."""
+    end, tags = len(data), {}
+    out = [(end, tags)]
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
+        end, tags = end - 128, dict(tags)
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
             if text := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
                 tags[f"v1.{name}"] = text
+        out.append((end, tags))
     if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size, flags = struct.unpack("<I4xI", data[end - 20 : end - 8])
-        tags["ape"] = str(size)
         end -= min(end, size + (32 if flags >> 31 else 0))
-    return end
+        out.append((end, tags | {"ape": str(size)}))
+    return out
+
+
+def chain_end(data: bytes, at: int, last: Header) -> int:
+    """Where the frames that go on from `at` in step with `last` end."""
+    while (h := header(data[at : at + 4])) and h.follows(last) and at + h.size <= len(data):
+        at += h.size
+    return at
 
 
 def read_vbr(data: bytes, at: int, h: Header) -> dict[str, object] | None:
@@ -156,12 +165,21 @@ def read_vbr(data: bytes, at: int, h: Header) -> dict[str, object] | None:
 
 
 def scan(data: bytes) -> Scan:
-    """Walk the stream. Bytes that belong to no frame are counted as lost, and each gap as one resync."""
+    """Walk the stream. Bytes that belong to no frame are counted as lost, and each gap as one resync.
+
+    What looks like a tag at the end is frame content if frames in step fill the data across its start.
+    """
     out = Scan()
-    at, end = read_id3v2(data, out.tags), read_tail_tags(data, out.tags)
+    at, outer = read_id3v2(data, out.tags), read_tail_tags(data)
+    end, tail = outer.pop()
     last, lost = None, False
-    while at + 4 <= end:
+    while at < end:
         h = header(data[at : at + 4])
+        if outer and last and not lost and h and at + h.size > end:
+            full = chain_end(data, at, last)
+            end, tail = next((e for e in outer if e[0] == full), (end, tail))
+        if at + 4 > end:
+            break
         if h and at + h.size <= end and not (last and not lost and not h.follows(last)):
             after = at + h.size
             ahead = header(data[after : after + 4]) if after + 4 <= end else h
@@ -187,6 +205,7 @@ def scan(data: bytes) -> Scan:
         at = nxt
     if at < end:
         out.lost_bytes += end - at
+    out.tags |= tail
     return out
 
 
@@ -275,9 +294,12 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             rows = []
             for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 raw = text.encode() if isinstance(text, str) else b""
-                media = store(pad(raw), len(raw))
+                payload = pad(raw)
+                media = store(payload, len(raw))
                 found = scan(media)
                 back = read_payload(media, found)
+                if back != payload:
+                    raise ValueError(f"document {i}: {len(payload)} bytes stored, others read back ({len(back)})")
                 rows.append((i, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(found), found.frames))
             out = pd.DataFrame(rows, columns=[p.split()[0] for p in STORED.split(", ")])
             yield out.astype({"doc_id": "Int64"})

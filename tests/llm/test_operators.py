@@ -161,6 +161,25 @@ def test_audio_damage():
     assert mpeg.header(b"\xff\xfb\xf0\x00") is None and mpeg.crc16(b"123456789") == 0xAEE7
 
 
+def test_audio_text_that_looks_like_a_tag(spark):
+    texts = ["x" * 506 + "TAG" + "x" * 67, "x" * (576 + 506) + "TAG", "é" * 253 + "TAG" + "APETAGEX" * 8]
+    for r in mpeg.store_texts(documents(spark, texts)).collect():
+        body = mpeg.pad(texts[r.doc_id].encode())
+        f = json.loads(r.feature)
+        assert (r.payload_bytes, r.payload_sha256) == (len(body), hashlib.sha256(body).hexdigest())
+        assert f["frames"] == f["vbr_frames"] == len(body) // 576 and list(f["tags"]) == ["TXXX"] and (f["resyncs"], f["lost_bytes"]) == (0, 0)
+        media = mpeg.store(body, r.n_bytes)
+        tag = b"TAG" + b"Song".ljust(30, b"\0") + bytes(95)
+        ape = b"APETAGEX" + (2000).to_bytes(4, "little") * 2 + bytes(16)
+        assert mpeg.read_payload(media + tag) == body and mpeg.scan(media + tag).tags["v1.title"] == "Song"
+        assert mpeg.read_payload(media + bytes(1968) + ape) == body and mpeg.scan(media + bytes(1968) + ape).tags["ape"] == "2000"
+    small = b"\xff\xfb\x14\xc0" + bytes(92)  # frames of 96 bytes: two reach into the last 128
+    stream = small * 9 + small[:64] + b"TAG" + small[67:] + small
+    assert len(mpeg.scan(stream).frames) == 11 and not mpeg.scan(stream).tags
+    short = small * 9 + small[:50] + b"TAG" + bytes(125)  # the last frame is cut off by a real tag
+    assert len(mpeg.scan(short).frames) == 9 and mpeg.scan(short).lost_bytes == 50
+
+
 # ---------------------------------------------------------------- 4: toxicity
 
 
