@@ -28,6 +28,8 @@ BLOCK = frozenset(
 #: Blocks with a blank line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl dir menu blockquote pre listing xmp figure table hr fieldset".split())
 PRE = frozenset("pre textarea listing xmp".split())
+#: What an open head takes in, all of it hidden; any other element, or text, ends it.
+IN_HEAD = frozenset("head base link meta title style script noscript noframes template".split())
 #: What an opening tag closes, and the elements that such closing does not cross.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -81,12 +83,19 @@ def tree(html: str) -> Node:
     def close(to: int) -> None:
         del stack[to:]
 
+    def end_head() -> None:
+        while stack[-1].tag == "head":
+            stack.pop()
+
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.search(html, at)
         upto = m.start() if m else end
         if upto > at:
-            stack[-1].children.append(unescape(html[at:upto]))
+            text = unescape(html[at:upto])
+            if text.strip(" \t\n\r\f"):
+                end_head()
+            stack[-1].children.append(text)
         if not m:
             break
         at, token = m.end(), m[0]
@@ -105,6 +114,8 @@ def tree(html: str) -> Node:
                 if stack[k].tag in BARRIER and tag not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "body", "html"):
                     break
             continue
+        if tag not in IN_HEAD:
+            end_head()
         closed, stop = CLOSES.get(tag, (frozenset(), frozenset()))
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in stop:

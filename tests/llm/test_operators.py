@@ -301,6 +301,15 @@ def test_html_keeps_every_visible_word():
         assert all(text.count(w) == 1 for w in words), out
 
 
+def test_html_head_ends_without_its_tags():
+    assert html_text.render("<!doctype html><html><head><title>T</title>\n<meta charset=utf-8><p>text <b>bold</b><p>more") == "text bold\n\nmore"
+    assert html_text.render("<html><head><title>T</title><script>x()</script> plain <i>text</i>") == "plain text"
+    assert html_text.render("<head>\n<noscript><img alt=no></noscript><template><p>no</template><style>no</style><h1>A</h1></head><body>B</body>") == "A\n\nB"
+    assert html_text.render("<head>&nbsp;<title>no</title>seen") == "\xa0seen"
+    assert html_text.render("<html><head><basefont size=3><p>seen<div><head>x</head>y</div>") == "seen\n\nxy"
+    assert html_text.render("<head> \n<!-- no --><link rel=x><base href=y><title>no</title></head> <body>B") == "B"
+
+
 # ---------------------------------------------------------------- 8: lines
 
 
