@@ -31,8 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.mixed_rows(docs)
+    """Documents as often as the mix of sources takes them; one labelled as low quality weighs a quarter, as in op1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return mixing.mixed_rows(docs, qualities=labels.select("doc_id", F.when(F.col("quality") == 0, 0.25).otherwise(1.0)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

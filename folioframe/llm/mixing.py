@@ -57,10 +57,16 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int
     return ranked.select("source", "source_size", "n_docs", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")).alias("target"))
 
 
-def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them, all columns kept; rows equal in id, source and text alike."""
+def mixed_rows(docs: DataFrame, *, qualities: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of `docs` as often as the mix takes them, all columns kept; rows equal in id, source and text alike.
+
+    `qualities`: (id, quality), one row per id; documents without a row weigh 1.
+    """
     row = F.xxhash64(docs[id_col], docs[source_col], docs[text_col])
-    sized = docs.select(row.alias("row"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
+    sized = docs.select(row.alias("row"), docs[id_col].alias("of"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
+    if qualities is not None:
+        sized = sized.join(qualities.toDF("labelled", "quality"), F.col("of") == F.col("labelled"), "left")
+        options["quality"] = F.col("quality")
     times = mix(sized, id_col="row", size=F.col("size"), **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
     taken = docs.withColumn("__row", row).join(times.where("__copies > 0").withColumnRenamed("doc_id", "__of"), F.col("__row") == F.col("__of"))
     return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

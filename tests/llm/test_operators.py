@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from folioframe.llm import components as cc
 from folioframe.llm import embed_dedup, html_text, line_dedup, lm_score, mixing, mpeg, ngram_join, piece_fst, rollups, toxicity
 
@@ -101,6 +102,18 @@ def test_heavier_documents_come_first(spark):
     assert len(out) == 300 and sum(x.doc_id < 300 for x in out) > 250
 
 
+def test_pipeline_mix_weighs_by_labels(spark, tmp_path):
+    docs = documents(spark, [f"w{k} x" for k in range(600)], ["x"] * 400 + ["y"] * 200)
+    labels = [(k, int(k % 2), 0) for k in range(400)] + [(k, 1, 0) for k in range(0, 400, 4)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    times = Counter(r.doc_id for r in out.collect())
+    assert out.columns == docs.columns and sum(times[k] for k in range(400)) == 429 and sum(times.values()) == 600
+    low, high = ([times[k] for k in range(s, 400, 2)] for s in (0, 1))
+    assert min(low + high) == 1 and max(low + high) == 2  # one epoch, and 29 documents once more
+    assert 0 < 2 * low.count(2) < high.count(2), (low.count(2), high.count(2))
+
+
 # ---------------------------------------------------------------- 2: n-gram join
 
 
