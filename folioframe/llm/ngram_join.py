@@ -297,9 +297,13 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The rows of `docs` whose id is their component's: one document of each group of near duplicates.
 
-    All columns are kept. Of rows that share an id one stays; rows without an id stay.
+    All columns are kept. Of rows that share an id one stays, that of the least hash of its columns, whatever the
+    order of rows (columns of maps have no hash and don't count); rows without an id stay.
     """
     found = jaccard_components(docs, id_col=id_col, **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(kept, docs[id_col].cast("long") == kept["__id"], "left_semi").dropDuplicates([id_col])
+    hashed = [docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    row, key = F.xxhash64(*hashed, *[c.isNull() for c in hashed]), docs[id_col].cast("long")
+    first = docs.select(key.alias("__id"), row.alias("__row")).groupBy("__id").agg(F.min("__row").alias("__row"))
+    kept = first.join(found.where("doc_id = component_id").select(F.col("doc_id").alias("__of")), F.col("__id") == F.col("__of"), "left_semi")
+    named = docs.join(kept, (key == kept["__id"]) & (row == kept["__row"]), "left_semi").dropDuplicates([id_col])
     return named.union(docs.where(docs[id_col].isNull()))

@@ -139,6 +139,15 @@ def test_ngram_join_edges(spark):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1]
 
 
+def test_which_row_of_an_id_stays_is_settled(spark):
+    rows = [(k % 5, f"t{k} u v", None if k % 3 else "en") for k in range(20)]
+    kept = [
+        sorted(tuple(r) for r in ngram_join.one_of_each(spark.createDataFrame(x, "doc_id long, text string, lang string").coalesce(1), width=3).collect())
+        for x in (rows, rows[::-1], rows[7:] + rows[:7] + rows[3:6])
+    ]
+    assert kept[0] == kept[1] == kept[2] and [r[0] for r in kept[0]] == [0, 1, 2, 3, 4] and set(kept[0]) <= set(rows)
+
+
 # ---------------------------------------------------------------- 3: audio
 
 
