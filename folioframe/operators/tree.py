@@ -28,14 +28,15 @@ def heading_parents(heads: DataFrame, *, key: str, order: str, level: str, deepe
     return heads.withColumn("parent", pick)
 
 
-def chains(nodes: DataFrame, *, id_col: str, parent_col: str, label_col: str, deepest: int = 32) -> DataFrame:
+def chains(nodes: DataFrame, *, id_col: str, parent_col: str, label_col: str) -> DataFrame:
     """(id, ids, labels): the path from the root to each node; pointers to nowhere end a path, circles are cut.
 
-    Paths double in length with each join, so a tree of depth d takes log2(d) rounds.
+    Paths double in length with each join, so a tree of depth d takes log2(d) rounds. They go on until no path has
+    anything above it; from 8 levels on, each round is kept (checkpointed), as plans would double too.
     """
     rows = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"), F.array(id_col).alias("ids"), F.array(label_col).alias("labels"))
     reach = 1
-    while reach < deepest:
+    while True:
         above = rows.select(F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("ids").alias("__ids"), F.col("labels").alias("__labels"))
         joined = rows.join(above, rows["up"] == above["__id"], "left")
         fresh = F.col("__id").isNotNull() & ~F.arrays_overlap("ids", F.coalesce("__ids", F.slice("ids", 1, 0)))
@@ -45,8 +46,9 @@ def chains(nodes: DataFrame, *, id_col: str, parent_col: str, label_col: str, de
         )
         reach *= 2
         if reach >= 4 and rows.where("up IS NOT NULL").isEmpty():
-            break
-    return rows.select("id", "ids", "labels")
+            return rows.select("id", "ids", "labels")
+        if reach >= 8:
+            rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
 
 
 def vote(rows: DataFrame, *, key: str, value: str, order: str) -> DataFrame:

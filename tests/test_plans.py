@@ -51,6 +51,13 @@ def test_chains_end_circles(spark):
     assert got["e"] == list("ABCDE") and got["z"] == ["Z"] and set(got["x"]) <= {"X", "Y"}
 
 
+def test_chains_of_deep_trees(spark):
+    rows = [(k, k - 1 if k else None, f"n{k}") for k in range(70)] + [(100 + k, 100 + (k + 1) % 40, "c") for k in range(40)]
+    got = {r.id: r for r in tree.chains(spark.createDataFrame(rows, "id long, parent long, label string"), id_col="id", parent_col="parent", label_col="label").collect()}
+    assert all(got[k].ids == list(range(k + 1)) and got[k].labels == [f"n{j}" for j in range(k + 1)] for k in range(70))
+    assert len(got) == 110 and all(len(set(got[k].ids)) == len(got[k].ids) for k in range(100, 140))
+
+
 def test_catalog(spark):
     df = spark.createDataFrame([(k, f"n{k % 2}", k % 3) for k in range(10)], "id int, name string, n int")
     assert [r.id for r in catalog.page(df, [F.desc("id")], number=0, size=9999, largest=3).collect()] == [9, 8, 7]
