@@ -56,6 +56,17 @@ def release(*frames: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each lengthened by underscores until no column of `df` has it, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

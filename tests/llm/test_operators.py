@@ -114,6 +114,33 @@ def test_pipeline_mix_weighs_by_labels(spark, tmp_path):
     assert 0 < 2 * low.count(2) < high.count(2), (low.count(2), high.count(2))
 
 
+def test_equal_rows_are_taken_as_far_as_the_budget_goes(spark):
+    """50 equal rows and a source of 20 others; names that the operator uses inside; empty rows never above three times."""
+    rows = [(7, "one two three four", "x", 1, 2)] * 50 + [(100 + k, "a b c d", "y", 3, 4) for k in range(20)] + [(900, "", "x", 5, 6), (901, None, "y", 7, 8), (902, "", "z", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rid long, copies long")
+    out = mixing.mix(df, weights=(1, 1)).collect()
+    target = {r.source: r.target for r in out}
+    for rows_of in (mixing.mixed_rows(df, weights=(1, 1)), mixing.mixed_rows(df.repartition(7), weights=(1, 1), bucket_rows=3)):
+        assert rows_of.columns == df.columns
+        got = rows_of.collect()
+        words = Counter()
+        for r in got:
+            words[r.source] += len((r.text or "").split())
+        assert all(abs(words[s] - target[s]) <= 2 for s in "xy") and sum(words.values()) == sum(r.taken for r in out)
+        assert max(Counter(r.doc_id for r in got if r.doc_id >= 900).values(), default=0) <= 3 and {r.rid for r in got if r.doc_id == 7} == {1}
+    assert len(out) == 73 and max(r.copies for r in out) <= 3
+
+
+def test_light_rows_do_not_meet_in_the_last_bucket(spark):
+    """Keys of weight 1/4 spread over buckets as evenly as those of weight 1: checked on the rule's own distribution."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).alias("size"), F.lit(0.25).alias("q"))
+    plan = mixing.mix(df, size=F.col("size"), quality=F.col("q"), weights=(1,), bucket_rows=200)
+    assert plan.agg(F.sum("taken")).first()[0] == 20_000
+    key = mixing.sampling_key(F.col("doc_id"), F.col("q"), 17)
+    top = df.groupBy(F.floor((1 - F.exp(-F.lit(0.25) * key)) * 100)).count().agg(F.max("count")).first()[0]
+    assert top < 300
+
+
 # ---------------------------------------------------------------- 2: n-gram join
 
 
