@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embed_dedup, html_text, line_dedup, lm_score, mixing, mpeg, ngram_join, piece_fst, rollups, toxicity
-from .storage import durable, shared_folder
+from .storage import bounded_batches, durable, shared_folder
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = Path("/opt/tokenizers")
@@ -110,29 +111,45 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rank files of the byte-pair versions that are counted beside the rule-based ones.
+BYTE_PAIR = {"byte-bpe-50k": "byte_bpe_50k.tiktoken"}
+
+
+def _rollup(spark: SparkSession, sf_dir: str, counts: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Token totals by source, language and tokenizer version after four batches, one of them sent twice.
 
     All documents are inserted; those labelled toxic are deleted; of those labelled as low quality, and not deleted,
     the first line is cut and the counts are revised.
     """
     store = rollups.RollupStore(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
-    versions = tuple(rollups.TOKENIZERS)
-    cut = F.regexp_replace("text", r"^[^\n]*\n", "")
-    counts = [rollups.count(text, v).alias(f"{name}_{k}") for name, text in (("old", F.col("text")), ("new", cut)) for k, v in enumerate(versions)]
-    base = durable(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *counts), "counts")
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(f"old_{k}").alias("tokens"), F.col(f"new_{k}").alias("new_tokens")) for k, v in enumerate(versions)]))
-    rows = base.select("doc_id", "source", "lang", each.alias("e")).select("doc_id", "source", "lang", "e.*")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    labelled = rows.join(labels, "doc_id")
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    revised = F.coalesce((F.col("quality") == 0) & (F.coalesce("toxic", F.lit(0)) != 1), F.lit(False))
+    cut = F.when(revised, F.regexp_replace("text", r"^[^\n]*\n", ""))
+    rows = docs.select("source", "lang", "toxic", revised.alias("revised"), *[count(text).alias(f"{name}_{k}") for name, text in (("old", F.col("text")), ("new", cut)) for k, count in enumerate(counts.values())])
+    bounded_batches(rows)
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(f"old_{k}").alias("tokens"), F.col(f"new_{k}").alias("new_tokens")) for k, v in enumerate(counts)]))
+    rows = durable(rows, "counts").select("source", "lang", "toxic", "revised", each.alias("e")).select("source", "lang", "toxic", "revised", "e.*")
     store.commit("load", rollups.inserts(rows))
-    store.commit("toxic", rollups.deletes(labelled.where("toxic = 1")))
-    store.commit("cut", rollups.revisions(labelled.where("quality = 0 AND (toxic IS NULL OR toxic <> 1)")))
-    store.commit("toxic", rollups.deletes(labelled.where("toxic = 1")))
+    store.commit("toxic", rollups.deletes(rows.where("toxic = 1")))
+    store.commit("cut", rollups.revisions(rows.where("revised")))
+    store.compact()
+    store.commit("toxic", rollups.deletes(rows.where("toxic = 1")))
     return store.totals()
 
 
-OP5_SQL = r"""
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the byte-pair tokenizer and of the rule-based ones."""
+    counts = {v: functools.partial(rollups.count, tokenizer=v) for v in rollups.TOKENIZERS}
+    return _rollup(spark, sf_dir, counts | {v: rollups.bpe_count(TOKENIZERS / file) for v, file in BYTE_PAIR.items()})
+
+
+def rollup_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches counted by the rule-based versions alone, which SQL can count too."""
+    return _rollup(spark, sf_dir, {v: functools.partial(rollups.count, tokenizer=v) for v in rollups.TOKENIZERS})
+
+
+ROLLUP_SQL = r"""
 WITH l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
 d AS (
   SELECT d.source, d.lang, CASE WHEN l.quality = 0 THEN regexp_replace(coalesce(d.text, ''), '^[^\n]*\n', '') ELSE coalesce(d.text, '') END AS text
@@ -149,8 +166,8 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op5_token_rollup": op5_token_rollup, "op6_embedding_dedup": op6_embedding_dedup, "op7_html_text": op7_html_text, "op8_line_dedup": op8_line_dedup, "op9_lm_score": op9_lm_score, "op10_piece_fst": op10_piece_fst}
+    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op5_token_rollup": op5_token_rollup, "rollup_by_rule": rollup_by_rule, "op6_embedding_dedup": op6_embedding_dedup, "op7_html_text": op7_html_text, "op8_line_dedup": op8_line_dedup, "op9_lm_score": op9_lm_score, "op10_piece_fst": op10_piece_fst}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_ngram_join": OP2_SQL, "op5_token_rollup": OP5_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_ngram_join": OP2_SQL, "rollup_by_rule": ROLLUP_SQL}

@@ -3,7 +3,11 @@
 A change of a document is a signed row: an insert adds its tokens and one document, a delete takes them away, a
 revised count takes the old tokens away and adds the new. A batch of changes is summed by (source, lang, tokenizer)
 and committed under its id; a batch that is there already is left as it is, so a retry or a replay adds nothing.
-Totals are the sum over committed batches; no state is read to write one.
+Totals are the base of the last compaction and the batches since; no state is read to write a batch.
+
+Files: sums are written to folders of their own below `data`; what counts is named by empty files, which appear whole
+or not at all: `commits/<batch>.<folder>`, and for a compaction `bases/<number>-<name>.<folder>`, whose folder also lists the
+batches it covers. Whatever is cut off before such a file appears counts for nothing, and after it only leaves litter.
 """
 
 from __future__ import annotations
@@ -31,8 +35,12 @@ def count(text: Column, tokenizer: str) -> Column:
     return F.coalesce(TOKENIZERS[tokenizer](text), F.lit(0)).cast("long")
 
 
-def bpe_count(ranks: Path, pattern: str) -> Callable[[Column], Column]:
-    """A column function that counts byte-pair tokens by a ranks file, which is read once here."""
+#: How the byte-pair versions cut text before merging: a fixed value of their public vocabularies.
+BYTE_PAIR_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def bpe_count(ranks: Path, pattern: str = BYTE_PAIR_PATTERN) -> Callable[[Column], Column]:
+    """A column function that counts byte-pair tokens by a ranks file, which is read once here. Null counts 0."""
     import base64
 
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.read_bytes().splitlines())}
@@ -43,7 +51,7 @@ def bpe_count(ranks: Path, pattern: str) -> Callable[[Column], Column]:
 
         coder = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         for texts in batches:
-            yield texts.map(lambda t: len(coder.encode_ordinary(t)) if isinstance(t, str) else 0)
+            yield pd.Series([len(coder.encode_ordinary(t)) if isinstance(t, str) else 0 for t in texts], dtype="int64")
 
     return lambda text: F.coalesce(tokens(text), F.lit(0)).cast("long")
 
@@ -68,22 +76,52 @@ def revisions(rows: DataFrame, old: str = "tokens", new: str = "new_tokens") ->
 
 
 class RollupStore:
-    """A folder of committed batches, each of them a small table in a folder named for its id."""
+    """A folder of committed batches and of compactions of them."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _marks(self, kind: str, name: str = "*") -> dict[str, str]:
+        """The folder that each name stands for; where two writers made marks of one name, the earlier one counts."""
+        found = self._fs.globStatus(self._path(f"{self.path}/{kind}/{name}.*")) or []
+        marks = sorted((s.getModificationTime(), s.getPath().getName()) for s in found)
+        out: dict[str, str] = {}
+        for _, mark in marks:
+            out.setdefault(*mark.rsplit(".", 1))
+        return out
+
+    def _mark(self, kind: str, name: str, folder: str) -> bool:
+        """Make a mark; whether it is the one that counts."""
+        self._fs.create(self._path(f"{self.path}/{kind}/{name}.{folder}"), False).close()
+        return self._marks(kind, name)[name] == folder
+
+    def _drop(self, path: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/{path}"), True)
+
+    def _base(self) -> tuple[str, str | None]:
+        """Name (a number comes first) and folder of the last compaction."""
+        return max(self._marks("bases").items(), default=("0", None))
+
+    def _covered(self) -> DataFrame:
+        folder = self._base()[1]
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/data/{folder}/covered") if folder else self.spark.createDataFrame([], "batch string")
+
+    def _open(self) -> dict[str, str]:
+        """The committed batches that no compaction covers, and their folders."""
+        marks = self._marks("commits")
+        names = self.spark.createDataFrame([(b,) for b in marks], "batch string")
+        return {r.batch: marks[r.batch] for r in names.join(self._covered(), "batch", "left_anti").collect()}
+
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._path(f"{self.path}/batch={batch}/_SUCCESS"))
+        return bool(self._marks("commits", batch)) or not self._covered().where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, *changes: DataFrame) -> bool:
         """Sum the signed rows and commit them under `batch` (letters, digits, - and _); False if it was there.
 
-        The sums are written aside and renamed into place, so that a failed attempt leaves nothing to count; of
-        two writers of one batch, one rename succeeds and the other's folder is dropped.
+        A failed attempt leaves nothing that counts. Of two writers of one batch, one batch counts: the mark that was
+        made first. An empty batch is committed like any other.
         """
         if not batch or not all(c.isalnum() or c in "-_" for c in batch):
             raise ValueError(f"not a batch id: {batch!r}")
@@ -93,37 +131,48 @@ class RollupStore:
         for more in changes[1:]:
             rows = rows.unionByName(more)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        aside = f"{self.path}/_aside/{uuid.uuid4().hex}"
-        sums.where("n_docs <> 0 OR n_tokens <> 0").write.parquet(aside)
-        done = not self.committed(batch) and self._fs.rename(self._path(aside), self._path(f"{self.path}/batch={batch}"))
-        if done and not self.committed(batch):  # renamed into a folder that another writer had just made
-            done = False
-        self._fs.delete(self._path(aside), True)
-        return bool(done)
+        folder = uuid.uuid4().hex
+        sums.where("n_docs <> 0 OR n_tokens <> 0").write.parquet(f"{self.path}/data/{folder}/sums")
+        done = self._mark("commits", batch, folder)
+        if not done:
+            self._drop(f"data/{folder}")
+        return done
 
     def batches(self) -> list[str]:
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(n[6:] for n in names if n.startswith("batch=") and self.committed(n[6:]))
+        """All committed batches, compacted ones too."""
+        return sorted({*self._marks("commits"), *(r.batch for r in self._covered().collect())})
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches; keys with nothing left are absent."""
-        paths = [f"{self.path}/batch={b}" for b in self.batches()]
+        base = self._base()[1]
+        paths = [f"{self.path}/data/{f}/sums" for f in (*filter(None, [base]), *self._open().values())]
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
-    def compact(self, into: str) -> None:
-        """Replace all batches but their ids by one: ids stay as empty folders, so that replays still add nothing."""
-        names = self.batches()
-        total = self.totals()
-        aside = f"{self.path}/_aside/{uuid.uuid4().hex}"
-        total.write.parquet(aside)
-        for name in names:
-            self._fs.delete(self._path(f"{self.path}/batch={name}"), True)
-            self.spark.createDataFrame([], SCHEMA).write.parquet(f"{self.path}/batch={name}")
-        self._fs.rename(self._path(aside), self._path(f"{self.path}/batch={into}"))
+    def compact(self, into: str = "base") -> None:
+        """Sum all batches into one base (`into` ends its name), which remembers their ids: replays still add nothing.
+
+        The new base and its list are written first and count from the moment of one mark; only then what it replaces
+        is deleted. A crash before the mark changes nothing, one after it leaves files that count no more.
+        """
+        name, old = self._base()
+        merged = self._open()
+        if not merged:
+            return
+        folder = uuid.uuid4().hex
+        self.totals().write.parquet(f"{self.path}/data/{folder}/sums")
+        covered = self._covered().union(self.spark.createDataFrame([(b,) for b in merged], "batch string"))
+        covered.write.parquet(f"{self.path}/data/{folder}/covered")
+        if not self._mark("bases", f"{int(name.partition('-')[0]) + 1:012d}-{into}", folder):
+            self._drop(f"data/{folder}")
+            return
+        for batch, data in merged.items():
+            self._drop(f"commits/{batch}.{data}")
+            self._drop(f"data/{data}")
+        if old:
+            self._drop(f"bases/{name}.{old}")
+            self._drop(f"data/{old}")
 
 
 def token_rows(docs: DataFrame, tokenizers: tuple[str, ...], text: Column, extra: tuple[str, ...] = (), name: str = "tokens") -> DataFrame:

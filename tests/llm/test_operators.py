@@ -280,6 +280,71 @@ def test_rollups(spark, tmp_path):
         store.commit("../x", rollups.inserts(rows))
 
 
+def test_compaction_may_stop_anywhere(spark, tmp_path):
+    """Whatever step of a compaction fails, totals and replays stay right, and a later compaction completes."""
+    rows = spark.createDataFrame([("x", "en", "t", 5), (None, None, "t", None)], "source string, lang string, tokenizer string, tokens long")
+    for steps in range(8):
+        store = rollups.RollupStore(spark, f"{tmp_path.as_uri()}/stop{steps}")
+        assert store.commit("a", rollups.inserts(rows)) and store.commit("b", rollups.inserts(rows)) and store.commit("none", rollups.inserts(rows.limit(0)))
+        left = steps
+
+        def failing(call):
+            def run(*args):
+                nonlocal left
+                left -= 1
+                if left < 0:
+                    raise OSError("killed")
+                return call(*args)
+
+            return run
+
+        broken = rollups.RollupStore(spark, store.path)
+        broken._mark, broken._drop = failing(broken._mark), failing(broken._drop)
+        try:
+            broken.compact()
+        except OSError:
+            pass
+        for _ in range(2):
+            assert {(r.source, r.n_docs, r.n_tokens) for r in store.totals().collect()} == {("x", 2, 10), (None, 2, 0)} and store.batches() == ["a", "b", "none"]
+            assert not store.commit("a", rollups.inserts(rows)) and not store.commit("none", rollups.inserts(rows))
+            store.compact()
+        assert store.commit("c", rollups.deletes(rows)) and {(r.source, r.n_docs, r.n_tokens) for r in store.totals().collect()} == {("x", 1, 5), (None, 1, 0)}
+
+
+def test_two_writers_of_a_batch(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "en", "t", 5)], "source string, lang string, tokenizer string, tokens long")
+    one, two = (rollups.RollupStore(spark, tmp_path.as_uri() + "/two") for _ in range(2))
+    checks = two.committed
+    two.committed = lambda batch: checks(batch) and False  # it looked before the other had committed
+    assert one.commit("a", rollups.inserts(rows)) and not two.commit("a", rollups.inserts(rows))
+    assert [r.n_tokens for r in one.totals().collect()] == [5]
+
+
+def test_registered_rollup_counts_tokens_of_the_library(spark, sf):
+    import base64
+    import re
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from folioframe.llm import registry
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (registry.TOKENIZERS / "byte_bpe_50k.tiktoken").read_bytes().splitlines())}
+    coder = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert rollups.BYTE_PAIR_PATTERN == P.PATTERN
+    toxic, low = set(), set()
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        toxic |= {r.doc_id} if r.toxic == 1 else set()
+        low |= {r.doc_id} if r.quality == 0 else set()
+    want = Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if r.doc_id not in toxic:
+            text = re.sub(r"\A[^\n]*\n", "", r.text or "") if r.doc_id in low else r.text or ""
+            want[r.source, r.lang] += len(coder.encode_ordinary(text))
+    got = {(r.source, r.lang): r.n_tokens for r in registry.op5_token_rollup(spark, sf).where("tokenizer = 'byte-bpe-50k'").collect()}
+    assert got == dict(want)
+
+
 def test_bpe_counts(spark):
     import public_tokenizers as P
     import tiktoken
