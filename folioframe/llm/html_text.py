@@ -4,12 +4,18 @@ A tokeniser and a tree builder with implied end tags feed a renderer that follow
 elements: it leaves out what is not visible, collapses white space as inline layout does, separates blocks,
 numbers lists and aligns table cells in columns. All visible text is kept; nothing is scored or dropped as
 boilerplate.
+
+Any page is drawn in time and space near its own size: no step recurses, open elements are found by their places,
+and layout is given up, never text, where it would outgrow the text. Lines are indented for `INDENT` levels at
+most; cells above `WIDE` characters don't widen their column; a table within `NESTED` others, one of a single
+column, or one whose aligned form would be `SPREAD` times its text (and some) is written without alignment.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -50,16 +56,26 @@ CLOSES = {
 #: An open paragraph ends where one of these begins.
 ENDS_P = BLOCK - {"html", "body", "option", "optgroup", "caption", "legend", "summary"}
 P_SCOPE = frozenset("button td th caption table object template".split())
-#: An end tag doesn't reach past these.
+#: An end tag doesn't reach past these, unless it is one of the others.
 BARRIER = frozenset("table td th caption template".split())
+ENDS_ANYWHERE = frozenset("table tr thead tbody tfoot td th body html".split())
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>?", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_TAG = re.compile(r"</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>?")
+_OTHER = re.compile(r"<[!?][^>]*>?")
+_START = re.compile(r"<(?=[!?]|/?[A-Za-z])")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-_SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible\b", re.I)
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
 _WS = re.compile(r"[ \t\n\r\f]+")
 
+INDENT, WIDE, NESTED, SPREAD = 16, 80, 4, 4
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol menu dir".split())
+SECTIONS = ("thead", "tbody", "tfoot")
+#: Inputs that show their value.
+SHOWN_INPUTS = frozenset("text submit button reset search email url tel number".split())
+
 
 @dataclass
 class Node:
@@ -75,83 +91,117 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
+class Open:
+    """The open elements, and where those of each tag are."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, to: int) -> None:
+        for node in self.stack[to:]:
+            self.places[node.tag].pop()
+        del self.stack[to:]
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost of these tags; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def first_after(self, tags: Iterable[str], place: int) -> int:
+        """Place of the outermost of these tags inside `place`; 0 if there is none."""
+        found = ((p, bisect_right(p, place)) for t in tags if (p := self.places.get(t)))
+        return min((p[k] for p, k in found if k < len(p)), default=0)
+
+
 def tree(html: str) -> Node:
     """The document's tree; unclosed, implied and misnested tags are resolved as they come."""
     root = Node("#document")
-    stack = [root]
-
-    def close(to: int) -> None:
-        del stack[to:]
+    now = Open(root)
+    stack = now.stack
 
     def end_head() -> None:
         while stack[-1].tag == "head":
-            stack.pop()
+            now.close(len(stack) - 1)
+
+    def add_text(text: str) -> None:
+        if text.strip(" \t\n\r\f"):
+            end_head()
+        stack[-1].children.append(text)
 
     at, end = 0, len(html)
+    last_section = html.rfind("]]>")
     while at < end:
-        m = _TOKEN.search(html, at)
+        m = _START.search(html, at)
         upto = m.start() if m else end
         if upto > at:
-            text = unescape(html[at:upto])
-            if text.strip(" \t\n\r\f"):
-                end_head()
-            stack[-1].children.append(text)
+            add_text(unescape(html[at:upto]))
         if not m:
             break
-        at, token = m.end(), m[0]
-        if token.startswith("<![CDATA["):
-            stack[-1].children.append(token[9:-3])
-        if token[1] in "!?":
+        if html.startswith("<!--", upto):
+            stop = html.find("-->", upto + 4)
+            at = end if stop < 0 else stop + 3
+            continue
+        if upto < last_section and html.startswith("<![CDATA[", upto):
+            stop = html.index("]]>", upto)
+            stack[-1].children.append(html[upto + 9 : stop])
+            at = stop + 3
             continue
+        if html[upto + 1] in "!?":
+            at = _OTHER.match(html, upto).end()
+            continue
+        token = _TAG.match(html, upto)[0]
+        at = upto + len(token)
         tag = _NAME.match(token)[1].lower()
         if token[1] == "/":
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in BARRIER and tag not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "body", "html"):
-                    break
+            place = now.last((tag,))
+            if not place:
+                if tag == "p":
+                    stack[-1].children.append(Node("p"))
+            elif tag in ENDS_ANYWHERE or now.last(BARRIER) <= place:
+                now.close(place)
             continue
         if tag not in IN_HEAD:
             end_head()
-        closed, stop = CLOSES.get(tag, (frozenset(), frozenset()))
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in stop:
-                break
-            if stack[k].tag in closed:
-                close(k)
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in P_SCOPE:
-                    break
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", stack[-1].tag):
-            close(len(stack) - 1)
+        if tag in CLOSES:
+            closed, stop_at = CLOSES[tag]
+            if place := now.first_after(closed, now.last(stop_at)):
+                now.close(place)
+        if tag in ENDS_P and (place := now.last(("p",))) > now.last(P_SCOPE):
+            now.close(place)
+        if tag in HEADINGS and stack[-1].tag in HEADINGS:
+            now.close(len(stack) - 1)
         node = Node(tag, attributes(token[1 + len(tag) :].rstrip(">")))
         stack[-1].children.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
-            stop_at = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
-            body = html[at : stop_at.start() if stop_at else end]
+            stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
+            body = html[at : stop.start() if stop else end]
             node.children.append(unescape(body) if tag in ("textarea", "title") else body)
-            at = end if not stop_at else (html.find(">", stop_at.end()) + 1 or end)
+            at = end if not stop else (html.find(">", stop.end()) + 1 or end)
             continue
-        stack.append(node)
+        now.push(node)
     return root
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node) -> bool:
+    """Whether a node has a place in the layout, itself and all below it."""
     a = node.attrs
     if node.tag in HIDDEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return False
     if node.tag == "dialog" and "open" not in a:
         return False
-    return not _UNSEEN.search(a.get("style", "")) or bool(_SEEN.search(a.get("style", "")))
+    return "style" not in a or not _NONE.search(a["style"])
+
+
+def shown(node: Node, inherited: bool) -> bool:
+    """Whether a node's text is visible: what its style says, else what holds around it."""
+    stated = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else ()
+    return stated[-1].lower() == "visible" if stated else inherited
 
 
 class Canvas:
@@ -159,29 +209,37 @@ class Canvas:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []
         self.space = False
+        #: Whether the open line holds more than its prefix, and doesn't end in a space.
+        self.solid = False
         self.blank = 0
         self.prefix: list[str] = []
+        self.lists = 0
         #: What the next line starts with in place of the prefixes: a list item's marker.
         self.first: str | None = None
 
+    def margin(self, but: int = 0) -> str:
+        return "".join(self.prefix[: min(INDENT, len(self.prefix) - but)])
+
     def text(self, s: str) -> None:
         for i, part in enumerate(_WS.split(s)):
             self.space |= i > 0
             if part:
                 self._start()
-                self.line += (" " if self.space and self.line.strip() and not self.line.endswith(" ") else "") + part
-                self.space = False
+                if self.space and self.solid:
+                    self.parts.append(" ")
+                self.parts.append(part)
+                self.space, self.solid = False, True
 
     def _start(self) -> None:
-        if not self.line:
+        if not self.parts:
             if self.lines:
                 self.lines.extend([""] * self.blank)
             self.blank = 0
-            self.line = "".join(self.prefix) if self.first is None else self.first
+            self.parts.append(self.margin() if self.first is None else self.first)
             self.first = None
-            self.space = False
+            self.space = self.solid = False
 
     def literal(self, s: str) -> None:
         for k, row in enumerate(s.split("\n")):
@@ -189,14 +247,15 @@ class Canvas:
                 self.newline(keep=True)
             if row:
                 self._start()
-                self.line += row
+                self.parts.append(row)
+                self.solid = not row.endswith(" ")
 
     def newline(self, keep: bool = False) -> None:
-        if self.line:
-            self.lines.append(self.line.rstrip())
+        if self.parts:
+            self.lines.append("".join(self.parts).rstrip())
         elif keep and self.lines:
-            self.blank += 1
-        self.line, self.space = "", False
+            self.blank = min(self.blank + 1, 2**20)
+        self.parts, self.space, self.solid = [], False, False
 
     def block(self, gap: int) -> None:
         self.newline()
@@ -207,159 +266,199 @@ class Canvas:
         return "\n".join(self.lines)
 
 
+class Grid:
+    """A table being laid out: cells by row and column, and the columns that cells of rows above reach into."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict[int, list[str]]] = []
+        self.ends: list[int] = []
+        self.reach: list[tuple[int, int, int]] = []
+        self.column = self.seen = 0
+
+    def row(self) -> None:
+        self.rows.append({})
+        self.ends.append(0)
+        self.reach = sorted(x for x in self.reach if x[2] > len(self.rows) - 1)
+        self.column = self.seen = 0
+
+    def place(self, across: int, down: int) -> int:
+        """The column of the row's next cell, the first that is free."""
+        while self.seen < len(self.reach) and self.reach[self.seen][0] <= self.column:
+            self.column = max(self.column, self.reach[self.seen][1])
+            self.seen += 1
+        at = self.column
+        if down > 1:
+            self.reach.append((at, at + across, len(self.rows) - 1 + down))
+        self.column = self.ends[-1] = at + across
+        return at
+
+    def lines(self) -> Iterator[str]:
+        widths: dict[int, int] = {}
+        for cells in self.rows:
+            for c, lines in cells.items():
+                widths[c] = max(widths.get(c, 0), max((n for x in lines if (n := len(x)) <= WIDE), default=0))
+        columns = sorted(widths)
+        heights = [max(map(len, cells.values()), default=0) for cells in self.rows]
+        text = sum(len(x) for cells in self.rows for lines in cells.values() for x in lines)
+        aligned = sum(heights) * sum(w + 3 for w in widths.values()) <= SPREAD * text + 4000
+        for cells, height, last in zip(self.rows, heights, self.ends, strict=True):
+            here = columns[: bisect_left(columns, last)] if aligned else sorted(cells)
+            for k in range(height):
+                parts = [cells[c][k] if c in cells and k < len(cells[c]) else "" for c in here]
+                line = " | ".join([p.ljust(widths[c]) for p, c in zip(parts, here, strict=True)] if aligned else [p for p in parts if p]).rstrip()
+                if line.strip(" |"):
+                    yield line
+
+
 def _number(value: str, default: int) -> int:
     m = re.match(r"\s*([+-]?\d{1,9})", value)
     return int(m[1]) if m else default
 
 
-def _draw(root: Node, canvas: Canvas, pre: bool = False) -> None:
-    """Render a subtree with an explicit stack, so that deep nesting can't overflow."""
-    work: list[tuple[str, object, bool]] = [("open", root, pre)]
-    while work:
-        what, item, pre = work.pop()
-        if what == "do":
-            item()
-            continue
-        if isinstance(item, str):
-            canvas.literal(item) if pre else canvas.text(item)
-            continue
-        node = item
-        if node.tag != "#document" and not visible(node):
-            continue
-        tag = node.tag
+def _elements(node: Node, *tags: str) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node) and c.tag in tags and displayed(c)]
+
+
+def _rows(table: Node) -> list[Node]:
+    """The table's own rows: head sections first, then bodies, then feet; nested tables keep theirs."""
+    parts: dict[str, list[Node]] = {name: [] for name in SECTIONS}
+    for child in _elements(table, "tr", *SECTIONS):
+        parts["tbody" if child.tag == "tr" else child.tag].extend([child] if child.tag == "tr" else _elements(child, "tr"))
+    return [row for rows in parts.values() for row in rows]
+
+
+class Renderer:
+    """Draws a tree with a stack of steps, so that nothing recurses; each table's cells are drawn on canvases of their own."""
+
+    def __init__(self) -> None:
+        self.canvas = Canvas()
+        self.outer: list[Canvas] = []
+        self.work: list[tuple[Callable[..., None], tuple]] = []
+
+    def then(self, *steps: tuple) -> None:
+        """Do these next, in order: (function, arguments...)."""
+        self.work.extend((s[0], s[1:]) for s in reversed(steps))
+
+    def run(self, root: Node) -> str:
+        self.then((self.kids, root.children, False, True))
+        while self.work:
+            step, args = self.work.pop()
+            step(*args)
+        return self.canvas.result()
+
+    def kids(self, children: list[Node | str], pre: bool, seen: bool) -> None:
+        self.work.extend((self.open, (c, pre, seen)) for c in reversed(children))
+
+    def block(self, gap: int) -> None:
+        self.canvas.block(gap)
+
+    def text(self, s: str, seen: bool) -> None:
+        if seen:
+            self.canvas.text(s)
+
+    def open(self, node: Node | str, pre: bool, seen: bool) -> None:
+        canvas = self.canvas
+        if isinstance(node, str):
+            if seen:
+                canvas.literal(node) if pre else canvas.text(node)
+            return
+        if not displayed(node):
+            return
+        tag, attrs = node.tag, node.attrs
+        seen = shown(node, seen)
         if tag == "br":
             canvas.newline(keep=True)
-            continue
-        if tag == "hr":
+        elif tag == "hr":
             canvas.block(1)
-            continue
-        if tag == "img":
-            if node.attrs.get("alt", "").strip():
-                canvas.text(node.attrs["alt"])
-            continue
-        if tag == "input":
-            if node.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
-                canvas.text(f" {node.attrs.get('value', '')} ")
-            continue
-        if tag == "wbr":
-            continue
-        if tag == "table":
-            canvas.block(1)
-            _table(node, canvas)
-            canvas.block(1)
-            continue
-        after: list[tuple[str, object, bool]] = []
+        elif tag == "img":
+            self.text(attrs.get("alt", ""), seen)
+        elif tag == "input":
+            if attrs.get("type", "text").lower() in SHOWN_INPUTS:
+                self.text(f" {attrs.get('value', '')} ", seen)
+        elif tag == "table":
+            self.table(node, pre, seen)
+        elif tag not in ("wbr", "rp"):
+            self.element(node, pre, seen)
+
+    def element(self, node: Node, pre: bool, seen: bool) -> None:
+        canvas, tag, attrs = self.canvas, node.tag, node.attrs
+        before: list[tuple] = []
+        after: list[tuple] = []
+        if tag in LISTS:
+            n, step = _number(attrs.get("start", ""), 1), -1 if "reversed" in attrs else 1
+            for child in _elements(node, "li"):
+                n = _number(child.attrs.get("value", ""), n)
+                child.attrs["#mark"] = f"{n}. " if tag == "ol" else "- "
+                n += step
         if tag in BLOCK:
-            nested = tag in ("ul", "ol", "menu", "dir") and any(p == "  " for p in canvas.prefix)
-            gap = int(tag in SPACED and not nested)
+            gap = int(tag in SPACED and not (tag in LISTS and canvas.lists))
             canvas.block(gap)
-            after.append(("do", lambda gap=gap: canvas.block(gap), pre))
-        if tag in ("ul", "ol", "menu", "dir"):
-            n, step = _number(node.attrs.get("start", ""), 1), -1 if "reversed" in node.attrs else 1
-            for child in node.children:
-                if isinstance(child, Node) and child.tag == "li" and visible(child):
-                    n = _number(child.attrs.get("value", ""), n)
-                    child.attrs["#mark"] = f"{n}. " if tag == "ol" else "- "
-                    n += step
+            after = [(self.block, gap)]
         if tag in ("li", "dd", "blockquote"):
             if tag == "li":
-                canvas.first = "".join(canvas.prefix) + node.attrs.get("#mark", "- ")
+                canvas.first = canvas.margin() + attrs.get("#mark", "- ")
             canvas.prefix.append("> " if tag == "blockquote" else "  ")
-
-            def leave() -> None:
-                canvas.newline()
-                canvas.prefix.pop()
-                canvas.first = None
-
-            after.insert(0, ("do", leave, pre))
-        inner = pre or tag in PRE or "white-space:pre" in node.attrs.get("style", "").replace(" ", "").lower()
-        if tag in ("rp",):
-            continue
+            canvas.lists += tag != "blockquote"
+            after.insert(0, (self.leave, tag))
         if tag == "q":
-            canvas.text("“")
-            after.append(("do", lambda: canvas.text("”"), pre))
-        if tag in ("td", "th", "button", "option", "label") and canvas.line:
+            before, after = [(self.text, "“", seen)], [(self.text, "”", seen), *after]
+        if tag in ("td", "th", "button", "option", "label") and canvas.parts:
             canvas.space = True
-        work.extend(reversed(after))
-        kids = node.children
-        if tag == "details" and "open" not in node.attrs:
-            kids = [c for c in kids if isinstance(c, Node) and c.tag == "summary"][:1]
-        for child in reversed(kids):
-            work.append(("open", child, inner))
-
-
-def _rows(table: Node) -> Iterator[Node]:
-    """The table's own rows: head sections first, then bodies, then feet; nested tables keep theirs."""
-    parts: dict[str, list[Node]] = {"thead": [], "tbody": [], "tfoot": []}
-    for child in table.children:
-        if isinstance(child, Node) and visible(child):
-            if child.tag == "tr":
-                parts["tbody"].append(child)
-            elif child.tag in parts:
-                parts[child.tag].extend(c for c in child.children if isinstance(c, Node) and c.tag == "tr" and visible(c))
-    for rows in parts.values():
-        yield from rows
-
-
-def _table(table: Node, canvas: Canvas) -> None:
-    """Caption, stray content, then rows with their cells in aligned columns; a span leaves its columns empty."""
-    for child in table.children:
-        if isinstance(child, str):
-            if child.strip():
-                canvas.text(child)
-        elif child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            _draw(child, canvas)
-            canvas.newline()
-    for part in [table, *[c for c in table.children if isinstance(c, Node) and c.tag in ("thead", "tbody", "tfoot") and visible(c)]]:
-        for child in part.children if part is not table else []:
-            if isinstance(child, str) and child.strip():
-                canvas.text(child)
-            elif isinstance(child, Node) and child.tag != "tr":
-                _draw(child, canvas)
-    canvas.newline()
-    grid: list[dict[int, list[str]]] = []
-    taken: dict[tuple[int, int], bool] = {}
-    for r, row in enumerate(_rows(table)):
-        cells: dict[int, list[str]] = {}
-        c = 0
-        for cell in row.children:
-            if isinstance(cell, str):
-                if cell.strip():
-                    cells.setdefault(c, []).append(" ".join(cell.split()))
-                continue
-            if not visible(cell):
-                continue
-            while taken.get((r, c)):
-                c += 1
-            inner = Canvas()
-            _draw(Node("#document", {}, cell.children if cell.tag in ("td", "th") else [cell]), inner)
-            cells.setdefault(c, []).extend([x for x in inner.result().split("\n") if x.strip()] or [""])
-            across = min(max(_number(cell.attrs.get("colspan", ""), 1), 1), 1000)
-            down = min(max(_number(cell.attrs.get("rowspan", ""), 1), 1), 1000)
-            for k in range(1, down):
-                for j in range(across):
-                    taken[r + k, c + j] = True
-            c += across
-        grid.append(cells)
-    widths: dict[int, int] = {}
-    for cells in grid:
-        for c, lines in cells.items():
-            widths[c] = max(widths.get(c, 0), max(map(len, lines)))
-    columns = sorted(widths)
-    for cells in grid:
-        for k in range(max((len(x) for x in cells.values()), default=0)):
-            parts = [(cells.get(c, []) + [""] * (k + 1))[k].ljust(widths[c]) for c in columns]
-            line = " | ".join(parts).rstrip()
-            if line.strip(" |"):
-                canvas.literal(line)
-                canvas.newline()
+        inner = pre or tag in PRE or "white-space:pre" in attrs.get("style", "").replace(" ", "").lower()
+        children = _elements(node, "summary")[:1] if tag == "details" and "open" not in attrs else node.children
+        self.then(*before, (self.kids, children, inner, seen), *after)
+
+    def leave(self, tag: str) -> None:
+        self.canvas.newline()
+        self.canvas.prefix.pop()
+        self.canvas.lists -= tag != "blockquote"
+        self.canvas.first = None
+
+    def table(self, table: Node, pre: bool, seen: bool) -> None:
+        """Caption and stray content, then rows; a span leaves its columns empty."""
+        self.canvas.block(1)
+        sections = [table, *_elements(table, *SECTIONS)]
+        stray = [c for c in table.children if isinstance(c, str) or c.tag not in ("tr", "colgroup", "col", *SECTIONS)]
+        stray += [c for s in sections[1:] for c in s.children if isinstance(c, str) or c.tag != "tr"]
+        steps = [s for c in stray if not isinstance(c, str) or c.strip() for s in ((self.open, c, pre, seen), (self.block, 0))]
+        rows = [(row, [c for c in row.children if (c.strip() if isinstance(c, str) else displayed(c))]) for row in _rows(table)]
+        if len(self.outer) >= NESTED or all(len(cells) < 2 for _, cells in rows):
+            steps += [s for row, cells in rows for c in cells for s in ((self.open, c, pre, shown(row, seen)), (self.block, 0))]
+        else:
+            grid = Grid()
+            for row, cells in rows:
+                steps.append((grid.row,))
+                steps += [(self.cell, grid, c, pre, shown(row, seen)) for c in cells]
+            steps.append((self.lay_out, grid))
+        self.then(*steps, (self.block, 1))
+
+    def cell(self, grid: Grid, cell: Node | str, pre: bool, seen: bool) -> None:
+        if isinstance(cell, str):
+            if seen:
+                grid.rows[-1].setdefault(grid.column, []).append(" ".join(cell.split()))
+                grid.ends[-1] = max(grid.ends[-1], grid.column + 1)
+            return
+        across, down = (min(max(_number(cell.attrs.get(name, ""), 1), 1), 1000) for name in ("colspan", "rowspan"))
+        at = grid.place(across, down)
+        self.outer.append(self.canvas)
+        self.canvas = Canvas()
+        own = cell.tag in ("td", "th")
+        self.then((self.kids, cell.children if own else [cell], pre, shown(cell, seen) if own else seen), (self.end_cell, grid, at))
+
+    def end_cell(self, grid: Grid, at: int) -> None:
+        self.canvas.newline()
+        grid.rows[-1].setdefault(at, []).extend([x for x in self.canvas.lines if x.strip()] or [""])
+        self.canvas = self.outer.pop()
+
+    def lay_out(self, grid: Grid) -> None:
+        for line in grid.lines():
+            self.canvas.literal(line)
+            self.canvas.newline()
 
 
 def render(html: str) -> str:
     """All visible text of a page."""
-    canvas = Canvas()
-    _draw(tree(html), canvas)
-    return canvas.result()
+    return Renderer().run(tree(html))
 
 
 def title(html: str) -> str | None:

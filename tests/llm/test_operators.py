@@ -424,6 +424,74 @@ def test_html_head_ends_without_its_tags():
     assert html_text.render("<head> \n<!-- no --><link rel=x><base href=y><title>no</title></head> <body>B") == "B"
 
 
+def test_html_against_pages_made_with_their_text():
+    """Random nests of elements written out together with the lines that a reader should see."""
+    r = random.Random(17)
+    word = iter(f"w{k}" for k in range(100_000))
+
+    def inline():
+        html, text = "", ""
+        for _ in range(r.randint(1, 4)):
+            w = next(word)
+            html += r.choice([f"<b>{w}</b>", f"{w}", f"<span class='a b'>{w}</span>", f"<!-- no -->{w}", f"<i hidden>no</i><a href=x>{w}</a>", f"<script>no</script>{w}", f"<u style='visibility:hidden'>no</u>{w}"]) + r.choice([" ", "\n\t", " &#32; "])
+            text += w + " "
+        return html, [text.strip()]
+
+    def blocks(depth, n):
+        """HTML of n blocks and their lines; groups of lines stand apart by a blank line."""
+        html, groups = "", []
+        for _ in range(n):
+            kind = r.choice(["p", "h2", "ul", "ol", "table", "section", "hidden"] if depth else ["p", "h3"])
+            if kind in ("p", "h2", "h3"):
+                h, t = inline()
+                html += f"<{kind}>{h}" + ("" if kind == "p" and r.random() < 0.5 else f"</{kind}>")
+                groups.append(t)
+            elif kind == "hidden":
+                html += r.choice(["<div style='display:none'>", "<template>", "<div hidden>"]).replace("<template>", "<div style=' DISPLAY : none;'>") + blocks(0, 1)[0] + "</div>"
+            elif kind in ("ul", "ol"):
+                items = [inline() for _ in range(r.randint(1, 3))]
+                html += f"<{kind}>" + "".join("<li>" + h + r.choice(["", "</li>"]) for h, _ in items) + f"</{kind}>"
+                groups.append([(f"{k}. " if kind == "ol" else "- ") + t[0] for k, (_, t) in enumerate(items, 1)])
+            elif kind == "table":
+                cells = [[inline() for _ in range(3)] for _ in range(r.randint(1, 3))]
+                html += "<table>" + "".join("<tr>" + "".join(r.choice(["<td>", "<th>"]) + h for h, _ in row) for row in cells) + "</table>"
+                width = [max(len(row[c][1][0]) for row in cells) for c in range(3)]
+                groups.append([" | ".join(t[0].ljust(w) for (_, t), w in zip(row, width, strict=True)).rstrip() for row in cells])
+            else:
+                h, g = blocks(depth - 1, r.randint(1, 2))
+                html += f"<section>{h}</section>"
+                groups += g
+        return html, groups
+
+    for _ in range(300):
+        html, groups = blocks(2, r.randint(1, 5))
+        assert html_text.render(r.choice(["", "<!doctype html><title>no</title>"]) + html) == "\n\n".join("\n".join(g) for g in groups), html
+
+
+def test_html_of_any_shape_stays_small_and_fast():
+    import time
+
+    nest = [f"<{t}>" * 20_000 + "deep" for t in "div p table li blockquote dl td q b".split()] + ["<table><tr><td>a<td>" * 2_000 + "deep", "<table><tr><td>" * 20_000 + "deep"]
+    hard = [
+        "<table>" + "<tr><td rowspan=1000 colspan=1000>deep" * 3 + "</table>", "<table><tr>" + "<td>x" * 1000 + "<tr><td colspan=1000>deep" * 2000 + "</table>",
+        "<table>" + "<tr><td>a<td>b" * 1000 + "<tr><td>" + "x" * 20_000 + "<td>deep</table>", "<dd><dl>" + "<div>" * 20_000 + "<dt></dt>" * 20_000 + "deep", "<![CDATA[" * 20_000 + ">deep", "<blockquote>" * 20_000 + "deep<br>" * 20_000, "deep " * 200_000,
+    ]
+    for html in nest + hard:
+        began = time.process_time()
+        text = html_text.render(html)
+        assert "deep" in text and len(text) < 4 * len(html) and time.process_time() - began < 8, html[:40]
+    wide = html_text.render("<table>" + "<tr><td>aa<td>b" * 3 + "<tr><td>" + "x" * 2_000 + "<td>c</table>")
+    assert wide.split("\n")[0] == "aa | b" and wide.split("\n")[3] == "x" * 2_000 + " | c"
+
+
+def test_html_visibility_is_inherited_and_may_be_turned_on_again(spark):
+    page = "<div style='visibility:hidden'>no<p>no <b style='visibility: visible'>yes</b> no</p></div><p style='color:red;visibility:collapse'>no</p>end"
+    assert html_text.render(page) == "yes\n\nend"
+    df = spark.createDataFrame([(1, page, "u", 5, "t"), (1, page, "u", 5, "t"), (None, None, None, None, None)], "page_id long, html string, url string, n_chars long, title string")
+    got = html_text.extract(df).collect()
+    assert sorted((r.page_id or 0, r.text or "", r.n_chars) for r in got) == [(0, "", 0), (1, "yes\n\nend", 8), (1, "yes\n\nend", 8)] and html_text.extract(df.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 8: lines
 
 
