@@ -1,8 +1,9 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models share one vocabulary (all words of either corpus) and one smoothing: the background counts all
-documents, the target the texts of a target corpus, whose counts are scaled to the background's number of tokens. A document's score is its mean loss per token under the target
-model minus that under the background model, so lower is more like the target. With
+documents, the target the texts of a target corpus. The target's counts are scaled to the background's number of
+tokens, so that the same constant k weighs alike in both. A document's score is its mean loss per token under the
+target model minus that under the background model, so lower is more like the target. With
 
     p(w | u) = (c(u, w) + k) / (c(u) + k V)
 
@@ -10,11 +11,13 @@ a document's loss is a sum of terms of single bigrams and of single contexts, so
 n-gram's counts are, and no table of the corpus is sent anywhere whole. A document never scores itself: its own
 counts are taken out of the background first.
 
-1. every task names the n-grams that many of its documents hold; the hot ones, which are few, are counted exactly
-   over all documents, with V estimated by a HyperLogLog sketch, and broadcast;
-2. other n-grams go, packed, to buckets by hash; a bucket counts them for both models and returns each
-   document's sum of terms;
-3. sums are added by block of documents.
+1. a count-min sketch, of fixed size, over all n-grams; in the same pass the distinct words are counted exactly;
+2. n-grams that the sketch can't rule out as hot are counted exactly; the hot ones, `MOST` at most by the threshold's
+   definition, are broadcast;
+3. all others go, packed, to buckets by hash; a bucket counts them for both models and returns each document's sum
+   of terms; sums are added by block of documents.
+
+N-grams are hashes of 40 bits and the bucket's.
 """
 
 from __future__ import annotations
@@ -34,10 +37,12 @@ from .storage import bounded_batches, shuffle_width
 U16, U32, U64 = np.uint16, np.uint32, np.uint64
 #: Tokens and documents that a map task gathers before it deals them out.
 FLUSH, BLOCK = 400_000, 30_000
-#: An n-gram in this share of all documents is hot; tasks name those in half the share of their own documents.
-HOT = 1 / 50
-#: Registers of the sketch of distinct words.
-REGISTERS = 1 << 14
+#: An n-gram that occurs this often for each document is hot, but at least as often as leaves no more than MOST of them.
+HOT, MOST = 1 / 50, 100_000
+#: The sketch: rows, bits of a row's length, and cells that are summed together.
+ROWS, WIDTH, SEGMENT = 3, 17, 4096
+#: Buckets in which distinct words are counted, for each shuffle partition.
+WORD_BUCKETS = 4
 START = U64(0x5851F42D4C957F2D)
 CONTEXT, BIGRAM, HOT_ROWS, DOCS = 0, 1, 2, 3
 
@@ -56,67 +61,104 @@ def _texts(pdf: pd.DataFrame) -> list[bytes]:
     return [t.encode() if isinstance(t, str) else b"" for t in pdf["text"]]
 
 
-def _named(source: DataFrame, share: float) -> DataFrame:
-    """Keys of the n-grams that some task finds in `share` of its documents."""
+def _cells(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """A key's cell in each row of the sketch."""
+    for r in range(ROWS):
+        yield (mix64(keys + U64(0x9E3779B97F4A7C15 * (r + 1) & (1 << 64) - 1)) >> U64(64 - WIDTH)).astype(np.int64) + (r << WIDTH)
+
+
+def _surveyed(source: DataFrame, buckets: int) -> DataFrame:
+    """One pass: rows (dest, cells, words, docs, background, target): summed segments of the sketch by negative dest,
+    numbers of distinct words by other dest, and the corpora's sizes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, int] = {}
-        docs = 0
+        sketch = np.zeros(ROWS << WIDTH, np.int64)
+        sizes = np.zeros(3, np.int64)
+        seen: list[np.ndarray] = []
+        held = 0
+
+        def words_so_far() -> pd.DataFrame:
+            every = np.unique(np.concatenate(seen))
+            dest = (every >> U64(32)).astype(np.int64) * buckets >> 32
+            cut = np.searchsorted(dest, np.arange(buckets + 1))
+            return pd.DataFrame([(d, every[cut[d] : cut[d + 1]].tobytes(), 0, 0, 0) for d in range(buckets) if cut[d + 1] > cut[d]], columns=["dest", "data", "docs", "background", "target"])
+
         for pdf in batches:
-            texts = _texts(pdf)
+            texts, marked = _texts(pdf), pdf["marked"].to_numpy(bool)
             for a, b in runs(texts):
-                _, context, bigram, starts = ngrams(texts[a:b])
-                owner = np.repeat(np.arange(b - a, dtype=U64), np.diff(starts))
-                docs += b - a
-                for keys in (context, bigram):
-                    _, once = np.unique(mix64(keys + owner * U64(0x9E3779B97F4A7C15)), return_index=True)
-                    found, n = np.unique(keys[once], return_counts=True)
-                    often = n >= max(1, share * (b - a) / 4)
-                    for k, c in zip(found[often].tolist(), n[often].tolist(), strict=True):
-                        held[k] = held.get(k, 0) + c
-                if len(held) > 200_000:  # what is in so few of the documents so far can't be hot by itself here
-                    held = {k: c for k, c in held.items() if c >= share * docs / 4}
-        keys = [k for k, c in held.items() if c >= share * docs / 2]
-        yield pd.DataFrame({"key": np.array(keys, U64).view(np.int64)})
-
-    return source.select("text").mapInPandas(run, "key long").distinct()
-
-
-def _counted(source: DataFrame, named: np.ndarray) -> DataFrame:
-    """Rows (slot, background, target, docs): exact counts of the named n-grams; negative slots: the sketch's registers."""
-    shared = source.sparkSession.sparkContext.broadcast(named)
+                h, context, bigram, starts = ngrams(texts[a:b])
+                tokens = np.diff(starts)
+                sizes += (b - a, tokens[~marked[a:b]].sum(), tokens[marked[a:b]].sum())
+                for cells in _cells(np.concatenate([context, bigram])):
+                    np.add.at(sketch, cells, 1)
+                seen.append(np.unique(h))
+                held += len(seen[-1])
+                if held > 2_000_000:
+                    seen = [np.unique(np.concatenate(seen))]
+                    held = len(seen[0])
+                    if held > 1_000_000:
+                        yield words_so_far()
+                        seen, held = [], 0
+        if seen:
+            yield words_so_far()
+        parts = [(-1 - k, sketch[k * SEGMENT : (k + 1) * SEGMENT].tobytes(), 0, 0, 0) for k in range(len(sketch) // SEGMENT)]
+        yield pd.DataFrame([*parts, (buckets, b"", *sizes.tolist())], columns=["dest", "data", "docs", "background", "target"])
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        dest = int(pdf["dest"].iloc[0])
+        cells, words = b"", 0
+        if dest < 0:
+            total = np.zeros(SEGMENT, np.int64)
+            for x in pdf["data"]:
+                total += np.frombuffer(x, np.int64)
+            cells = total.tobytes()
+        elif dest < buckets:
+            words = len(np.unique(np.concatenate([np.frombuffer(x, U64) for x in pdf["data"]])))
+        return pd.DataFrame({"dest": [dest], "cells": [cells], "words": [words], "docs": [pdf["docs"].sum()], "background": [pdf["background"].sum()], "target": [pdf["target"].sum()]})
+
+    rows = source.mapInPandas(run, "dest int, data binary, docs long, background long, target long")
+    return rows.groupBy("dest").applyInPandas(unite, "dest int, cells binary, words long, docs long, background long, target long")
+
+
+def _counted(source: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
+    """(key, background, target): exact counts of the n-grams that occur `least` times or more."""
+    shared = source.sparkSession.sparkContext.broadcast(sketch >= least)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = shared.value
-        total, target, docs = (np.zeros(len(keys) + 1, np.int64) for _ in range(3))
-        register = np.zeros(REGISTERS, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def so_far() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            sums = np.zeros((len(keys), 2), np.int64)
+            np.add.at(sums, at, np.concatenate([c for _, c in held]))
+            return keys, sums
+
         for pdf in batches:
             texts, marked = _texts(pdf), pdf["marked"].to_numpy(bool)
-            docs[-1] += len(texts)
             for a, b in runs(texts):
-                h, context, bigram, starts = ngrams(texts[a:b])
-                owner = np.repeat(np.arange(a, b), np.diff(starts))
-                total[-1] += np.count_nonzero(~marked[owner])
-                target[-1] += np.count_nonzero(marked[owner])
-                seen = np.unique(h)
-                rest = (seen >> U64(14)) | U64(1 << 50)
-                np.maximum.at(register, (seen & U64(REGISTERS - 1)).astype(np.int64), 1 + np.log2((rest & (~rest + U64(1))).astype(np.float64)).astype(np.int64))
+                _, context, bigram, starts = ngrams(texts[a:b])
+                mark = np.repeat(marked[a:b], np.diff(starts))
                 for grams in (context, bigram):
-                    at = np.searchsorted(keys, grams)
-                    hit = at < len(keys)
-                    hit[hit] = keys[at[hit]] == grams[hit]
-                    at, who = at[hit], owner[hit]
-                    np.add.at(total, at[~marked[who]], 1)
-                    np.add.at(target, at[marked[who]], 1)
-                    np.add.at(docs, np.unique(at * (len(texts) + 1) + who) // (len(texts) + 1), 1)
-        slot = np.arange(len(keys) + 1)
-        live = np.flatnonzero(docs)
-        yield pd.DataFrame({"slot": slot[live], "background": total[live], "target": target[live], "docs": docs[live]})
-        full = np.flatnonzero(register)
-        yield pd.DataFrame({"slot": -1 - full, "background": register[full], "target": 0, "docs": 0})
-
-    rows = source.mapInPandas(run, "slot long, background long, target long, docs long")
-    return rows.groupBy("slot").agg(F.when(F.col("slot") < 0, F.max("background")).otherwise(F.sum("background")).alias("background"), F.sum("target").alias("target"), F.sum("docs").alias("docs"))
+                    maybe = np.ones(len(grams), bool)
+                    for cells in _cells(grams):
+                        maybe &= shared.value[cells]
+                    keys, at = np.unique(grams[maybe], return_inverse=True)
+                    aims = np.bincount(at, mark[maybe], len(keys)).astype(np.int64)
+                    held.append((keys, np.stack([np.bincount(at, minlength=len(keys)) - aims, aims], 1)))
+                    n += len(keys)
+                if n > 1_000_000:
+                    held = [so_far()]
+                    n = len(held[0][0])
+                    if n > 500_000:
+                        yield pd.DataFrame({"key": held[0][0].view(np.int64), "background": held[0][1][:, 0], "target": held[0][1][:, 1]})
+                        held, n = [], 0
+        if held:
+            keys, sums = so_far()
+            yield pd.DataFrame({"key": keys.view(np.int64), "background": sums[:, 0], "target": sums[:, 1]})
+
+    rows = source.mapInPandas(run, "key long, background long, target long")
+    return rows.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).where(F.col("background") + F.col("target") >= F.lit(least))
 
 
 @dataclass
@@ -126,7 +168,7 @@ class Shared:
     keys: np.ndarray
     background: np.ndarray
     target: np.ndarray
-    vocabulary: float
+    vocabulary: int
     match: float  # background tokens by target tokens
     k: float
 
@@ -137,19 +179,19 @@ class Shared:
 
 
 def survey(source: DataFrame, k: float, share: float) -> Shared:
-    """Hot n-grams and the vocabulary's size, over all documents; bounded by 1 / share times a text's length."""
-    named = np.sort(np.array([r[0] for r in _named(source, share).toLocalIterator()], np.int64).view(U64))
-    rows = _counted(source, named).toPandas()
-    hot = rows[(rows["slot"] >= 0) & (rows["slot"] < len(named))]
-    docs, tokens, aims = (int(rows.loc[rows["slot"] == len(named), c].sum()) for c in ("docs", "background", "target"))
-    hot = hot[hot["docs"] >= share * docs].sort_values("slot")
-    ranks = rows.loc[rows["slot"] < 0, "background"].to_numpy(np.float64)
-    empty = REGISTERS - len(ranks)
-    size = 0.7213 / (1 + 1.079 / REGISTERS) * REGISTERS**2 / (empty + (2.0**-ranks).sum())
-    if size < 2.5 * REGISTERS and empty:
-        size = REGISTERS * np.log(REGISTERS / empty)
-    at = hot["slot"].to_numpy(np.int64)
-    return Shared(named[at], hot["background"].to_numpy(np.int64), hot["target"].to_numpy(np.int64), max(1.0, float(size)), tokens / aims if aims else 1.0, k)
+    """Hot n-grams and the vocabulary's size, over all documents.
+
+    What comes to the driver is bounded: a sketch of fixed size, a number for each bucket, and the hot n-grams. These
+    occur, together, no more often than all n-grams, and each at least 1 / MOST of that; so there are MOST at most.
+    """
+    found = _surveyed(source, WORD_BUCKETS * shuffle_width(source.sparkSession)).toPandas()
+    docs, tokens, aims = (int(found[c].sum()) for c in ("docs", "background", "target"))
+    parts = found[found["dest"] < 0].sort_values("dest", ascending=False)
+    sketch = np.frombuffer(b"".join(parts["cells"]), np.int64)
+    hot = _counted(source, sketch, max(share * docs, 2 * (tokens + aims) / MOST, 1.0)).toPandas() if len(sketch) else pd.DataFrame({"key": [], "background": [], "target": []}, dtype=np.int64)
+    keys = hot["key"].to_numpy(np.int64).view(U64)
+    order = np.argsort(keys)
+    return Shared(keys[order], hot["background"].to_numpy(np.int64)[order], hot["target"].to_numpy(np.int64)[order], max(1, int(found["words"].sum())), tokens / aims if aims else 1.0, k)
 
 
 def _deal(source: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:

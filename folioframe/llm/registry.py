@@ -108,7 +108,23 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document between the benchmark's model and that of all documents."""
-    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    scored = lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return scored.withColumn("score", F.round("score", 6))
+
+
+OP9_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, text, true AS own FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, false FROM benchmark),
+l AS (SELECT r, doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM t),
+x AS MATERIALIZED (SELECT r, own, unnest(w) AS w, unnest(list_concat([' '], w[:-2])) AS u FROM l WHERE len(w) > 0),
+g AS (SELECT r, own, u, w, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT r, own, u, NULL, count(*) FROM x GROUP BY r, own, u),
+c AS (SELECT u, w, coalesce(sum(n) FILTER (own), 0) AS b, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM g GROUP BY u, w),
+s AS (SELECT count(DISTINCT w)::DOUBLE AS v, coalesce(count(*) FILTER (own) / nullif(count(*) FILTER (NOT own), 0), 1.0)::DOUBLE AS m FROM x),
+e AS (
+  SELECT g.r, sum(g.n * CASE WHEN g.w IS NULL THEN ln(c.t * s.m + 0.1 * s.v) - ln(c.b - g.n + 0.1 * s.v) ELSE ln(c.b - g.n + 0.1) - ln(c.t * s.m + 0.1) END) AS loss
+  FROM g JOIN c ON g.u = c.u AND g.w IS NOT DISTINCT FROM c.w, s WHERE g.own GROUP BY g.r)
+SELECT l.doc_id, len(l.w)::BIGINT AS n_tokens, round(e.loss / len(l.w), 6) AS score FROM l LEFT JOIN e USING (r) WHERE l.own
+"""
 
 
 #: Rank files of the byte-pair versions that are counted beside the rule-based ones.
@@ -170,4 +186,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_ngram_join": OP2_SQL, "rollup_by_rule": ROLLUP_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_ngram_join": OP2_SQL, "op9_lm_score": OP9_SQL, "rollup_by_rule": ROLLUP_SQL}
