@@ -138,14 +138,14 @@ def _rollup(spark: SparkSession, sf_dir: str, counts: dict[str, Callable[[Column
     the first line is cut and the counts are revised.
     """
     store = rollups.RollupStore(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    cut = F.regexp_replace("text", r"^[^\n]*\n", "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *[count(text).alias(f"{name}_{k}") for name, text in (("old", F.col("text")), ("new", cut)) for k, count in enumerate(counts.values())])
+    bounded_batches(docs)
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    revised = F.coalesce((F.col("quality") == 0) & (F.coalesce("toxic", F.lit(0)) != 1), F.lit(False))
-    cut = F.when(revised, F.regexp_replace("text", r"^[^\n]*\n", ""))
-    rows = docs.select("source", "lang", "toxic", revised.alias("revised"), *[count(text).alias(f"{name}_{k}") for name, text in (("old", F.col("text")), ("new", cut)) for k, count in enumerate(counts.values())])
-    bounded_batches(rows)
+    counted = durable(docs, "counts").join(labels, "doc_id", "left")  # counts are joined, not texts
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(f"old_{k}").alias("tokens"), F.col(f"new_{k}").alias("new_tokens")) for k, v in enumerate(counts)]))
-    rows = durable(rows, "counts").select("source", "lang", "toxic", "revised", each.alias("e")).select("source", "lang", "toxic", "revised", "e.*")
+    revised = F.coalesce((F.col("quality") == 0) & (F.coalesce("toxic", F.lit(0)) != 1), F.lit(False))
+    rows = counted.select("source", "lang", "toxic", revised.alias("revised"), each.alias("e")).select("source", "lang", "toxic", "revised", "e.*")
     store.commit("load", rollups.inserts(rows))
     store.commit("toxic", rollups.deletes(rows.where("toxic = 1")))
     store.commit("cut", rollups.revisions(rows.where("revised")))
