@@ -1,8 +1,8 @@
 """Connected components of a distributed edge table: large-star and small-star steps.
 
-No step gathers a node's neighbours in one task: minima are aggregated with partial sums and joined back,
-and the engine may split the join where a node has very many edges. Each round is written to the shared
-folder. Every task first replaces its own edges by a spanning forest of them.
+No step gathers a node's neighbours in one task: minima are aggregated with partial sums and joined back, those of
+nodes with very many edges by broadcast (`hot_join`). Each round is written to the shared folder. Every task first
+replaces its own edges by a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import durable, release
+from .storage import durable, hot_join, release
 
 
 def forest(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,20 +53,20 @@ def components(edges: DataFrame, contracted: bool = False, max_rounds: int = 60)
     """
     base = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst")
     now = durable((base if contracted else base.mapInPandas(_local, "src long, dst long")).distinct(), "edges")
-    before = None
+    total, before = now.count(), None
     for _ in range(max_rounds):
         both = now.union(now.select("dst", "src").toDF("src", "dst"))
-        least = both.groupBy("src").agg(F.min("dst").alias("low"))
-        least = least.select("src", F.least("src", "low").alias("low"))
-        large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
+        least = both.groupBy("src").agg(F.least(F.first("src"), F.min("dst")).alias("low"), F.count("*").alias("n"))
+        large = hot_join(both.where("dst > src"), least, "src", "n", 2 * total).select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
         down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        low = down.groupBy("src").agg(F.min("dst").alias("low"))
-        small = down.join(low, "src")
+        down = durable(down, "down") if total > 10_000 else down
+        low = down.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("n"))
+        small = hot_join(down, low, "src", "n", 2 * total)
         step = small.select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(small.select("src", F.col("low").alias("dst"))).where("src <> dst").distinct()
         after = durable(step, "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        release(now)
-        now = after
+        release(now, down)
+        now, total = after, state[0]
         if state == before:
             return now.select(F.col("src").alias("id"), F.col("dst").alias("component")).union(now.select("dst", "dst").distinct())
         before = state

@@ -5,8 +5,12 @@ into bands; lines that share a band meet in a block and are verified by exact Ja
 are united, and one line of each component stays: the first by (document, position). Equal lines are one line
 throughout.
 
-Only hashes of lines travel, packed, until candidates are known. A Bloom filter of the candidates' ids, of fixed
-size, then keeps other lines' text out of the shuffle; what it lets through by chance drops out in the join.
+Only hashes of lines travel, packed, until candidates are known. A Bloom filter of the candidates' ids then keeps other
+lines' text out of the shuffle; what it lets through by chance drops out in the join. It has 16 bits a candidate, up to
+64 MB; with more than some 100 million candidates it lets more through, which costs shuffling, not results.
+
+Lines and documents are known by 64-bit hashes: of a billion distinct lines, two collide with probability 0.03, and
+one of them may then go with the other.
 """
 
 from __future__ import annotations
@@ -19,18 +23,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, forest
+from .components import components
 from .hashing import mix64
-from .ngram_join import overlap_links, tiled
-from .storage import bounded_batches, durable, give_back, release, shuffle_width
+from .ngram_join import linked_blocks, linked_tiles, overlap_links
+from .storage import bounded_batches, durable, give_back, hot_join, release, shuffle_width, unused
 
 U32, U64 = np.uint32, np.uint64
 #: Characters in a shingle; bands and rows: a pair of similarity 0.8 shares a band with probability 0.998.
 WIDTH, BANDS, ROWS = 8, 12, 4
 #: Characters hashed at a time, and lines gathered before their bands are dealt out.
 RUN, FLUSH = 1 << 18, 40_000
-#: The Bloom filter: bits, probes, bits in a segment.
-BLOOM_BITS, PROBES, SEGMENT = 1 << 26, 4, 1 << 19
+#: The Bloom filter: powers of two of the fewest and most bits, bits a candidate, probes, bits in a segment.
+FEWEST, WIDEST, PER_LINE, PROBES, SEGMENT = 20, 29, 16, 4, 1 << 19
 
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
@@ -192,17 +196,18 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pivot": pair[:, 0], "sid": pair[:, 1]})
 
 
-def _probes(ids: np.ndarray) -> np.ndarray:
+def _probes(ids: np.ndarray, power: int) -> np.ndarray:
     h = mix64(ids.view(U64) ^ U64(0xA24BAED4963EE407))
-    return np.stack([(h * U64(2 * k + 1) + U64(k)) >> U64(64 - BLOOM_BITS.bit_length() + 1) for k in range(PROBES)], 1).astype(np.int64)
+    return np.stack([(h * U64(2 * k + 1) + U64(k)) >> U64(64 - power) for k in range(PROBES)], 1).astype(np.int64)
 
 
 def bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the longs in `ids` as packed bits: a fixed number of bytes, whatever there is to hold."""
+    """A Bloom filter of the longs in `ids` as packed bits: as many as their number calls for, within bounds."""
+    power = min(max((PER_LINE * ids.count()).bit_length(), FEWEST), WIDEST)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at = np.unique(_probes(pdf.iloc[:, 0].to_numpy(np.int64)))
+            at = np.unique(_probes(pdf.iloc[:, 0].to_numpy(np.int64), power))
             part = at // SEGMENT
             cut = np.searchsorted(part, np.unique(part))
             yield pd.DataFrame([(int(p[0] // SEGMENT), (p % SEGMENT).astype(U32).tobytes()) for p in np.split(at, cut[1:]) if len(p)], columns=["segment", "bits"])
@@ -213,15 +218,15 @@ def bloom(ids: DataFrame) -> np.ndarray:
             flags[np.frombuffer(x, U32)] = True
         return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bits": [np.packbits(flags).tobytes()]})
 
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for row in ids.mapInPandas(probe, "segment int, bits binary").groupBy("segment").applyInPandas(unite, "segment int, bits binary").collect():
+    out = np.zeros((1 << power) // 8, np.uint8)
+    for row in ids.mapInPandas(probe, "segment int, bits binary").groupBy("segment").applyInPandas(unite, "segment int, bits binary").toLocalIterator():
         at = row["segment"] * SEGMENT // 8
         out[at : at + SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
 def _held(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = _probes(ids)
+    at = _probes(ids, (8 * len(flags)).bit_length() - 1)
     return ((flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
 
 
@@ -253,41 +258,30 @@ def _texts(source: DataFrame, flags: np.ndarray) -> DataFrame:
 
 
 def _verify(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links of the tiles of one bin by exact Jaccard similarity, as a forest that spans them."""
-    pdf = pdf.sort_values(["pivot", "a", "b", "sid"], kind="stable")
-    tile = pdf[["pivot", "a", "b"]].to_numpy(np.int64)
-    cut = np.concatenate([[0], np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1, [len(tile)]]) if len(tile) else np.zeros(1, np.int64)
-    sid = pdf["sid"].to_numpy(np.int64)
-    distinct, which = np.unique(sid, return_inverse=True)
-    texts = pdf["line"].to_numpy()[np.unique(which, return_index=True)[1]].tolist()
+    """Links of the tiles of one bin by exact Jaccard similarity."""
+    _, first, which = np.unique(pdf["sid"].to_numpy(np.int64), return_index=True, return_inverse=True)
+    texts = pdf["line"].to_numpy()[first].tolist()
     sets: list[np.ndarray] = []
     for a, b in runs(texts):
         lines = Lines(texts[a:b])
         hashes, at = lines.shingles(np.arange(b - a))
         sets.extend(np.unique(hashes[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
     sizes = np.fromiter(map(len, sets), np.float64, len(sets))
-    src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if e - s < 2:
-            continue
-        here = which[s:e]
+
+    def pairs(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        here = which[place]
         n = sizes[here]
-        if e - s == 2:
-            if 100 * min(n) < percent * max(n):
-                continue
-            one, two = sets[here[0]], sets[here[1]]
-            at = np.searchsorted(one, two)
-            both = np.count_nonzero(one[np.minimum(at, len(one) - 1)] == two)
-            i, j = ([0], [1]) if 100 * both >= percent * (n[0] + n[1] - both) else ([], [])
-        else:
-            i, j = overlap_links(n, [sets[k] for k in here], percent)
-        if len(i):
-            x, y = forest(sid[s:e][i], sid[s:e][j])
-            src.append(x)
-            dst.append(y)
-    x, y = forest(np.concatenate(src), np.concatenate(dst))
-    give_back()
-    return pd.DataFrame({"src": x, "dst": y})
+        if len(here) > 2:
+            return overlap_links(n, [sets[k] for k in here], percent)
+        none = np.empty(0, np.int64)
+        if 100 * min(n) < percent * max(n):
+            return none, none
+        one, two = sets[here[0]], sets[here[1]]
+        at = np.searchsorted(one, two)
+        both = np.count_nonzero(one[np.minimum(at, len(one) - 1)] == two)
+        return (np.array([0]), np.array([1])) if 100 * both >= percent * (n[0] + n[1] - both) else (none, none)
+
+    return linked_tiles(pdf, pairs)
 
 
 def dedup_lines(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = 256) -> DataFrame:
@@ -305,19 +299,28 @@ def dedup_lines(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", t
     found = durable(_scan(source, bits), "lines")
     occurs = found.where("bucket IS NULL").select("row", "doc_id", "line", "place")
     blocks = durable(found.where("bucket IS NOT NULL").select("bucket", "ids", "keys").groupBy("bucket").applyInPandas(_meet, "pivot long, sid long").distinct(), "meet")
-    texts = _texts(source, bloom(blocks.select("sid").distinct())).groupBy("sid").agg(F.first("line").alias("line"))
-    dealt = tiled(blocks, tile).join(texts, "sid").withColumn("bin", F.pmod(F.xxhash64("pivot", "a", "b"), F.lit(4 * shuffle_width(spark))).cast("int"))
-    united = components(dealt.groupBy("bin").applyInPandas(lambda pdf: _verify(pdf, percent), "src long, dst long"), contracted=True)
-    release(blocks)
+    texts = durable(_texts(source, bloom(blocks.select("sid").distinct())).groupBy("sid").agg(F.first("line").alias("line")), "texts")
+    edges = linked_blocks(blocks, texts, lambda pdf: _verify(pdf, percent), tile, 4 * shuffle_width(spark))
+    united = components(edges, contracted=True)
+    release(blocks, texts)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place"))
     lines = occurs.groupBy("line").agg(first.alias("first"), F.count("*").alias("c"))
-    several = lines.join(united, lines["line"] == united["id"], "left").where("c > 1 OR component IS NOT NULL").select("line", "first", F.coalesce("component", "line").alias("component"))
-    kept = several.groupBy("component").agg(F.min("first").alias("kept"))
-    goes = several.join(kept, "component").select("line", F.col("kept.row").alias("kept_row"), F.col("kept.place").alias("kept_place"))
-    drops = occurs.join(goes, "line").where("row <> kept_row OR place <> kept_place").groupBy("row").agg(F.collect_set("place").alias("__drop"))
-    counts = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x00-\x20]"))))
-    gone = F.coalesce(F.size("__drop"), F.lit(0))
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
-    rows = docs.withColumn("__row", row).join(drops.withColumnRenamed("row", "__of"), F.col("__row") == F.col("__of"), "left")
-    out = rows.withColumns({"n_lines": counts.cast("int"), "n_dropped": F.when(F.col("__drop").isNull(), 0).otherwise(gone), text_col: F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(left)})
-    return out.drop("__row", "__of", "__drop")
+    several = lines.join(united, lines["line"] == united["id"], "left").where("c > 1 OR component IS NOT NULL")
+    several = durable(several.select("line", "first", "c", F.coalesce("component", "line").alias("component")), "several")
+    total, number = several.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    kept = several.groupBy("component").agg(F.min("first").alias("kept"), F.count("*").alias("n"))
+    goes = hot_join(several, kept, "component", "n", number).select("line", "c", F.col("kept.row").alias("kept_row"), F.col("kept.place").alias("kept_place"))
+    drops = hot_join(occurs, goes, "line", "c", total).where("row <> kept_row OR place <> kept_place").groupBy("row").agg(F.array_sort(F.collect_set("place")).alias("drop"))
+    (key,) = unused(docs, "row")
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.withColumn(key, row).toDF(*names.values(), "key").join(drops, F.col("key") == F.col("row"), "left")
+    text, drop = F.col(names[text_col]), F.col("drop")
+    counts = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x00-\x20]"))))
+    # What lies between two dropped places stays; the text is split once, in a column of its own.
+    after = lambda j: F.when(j == 0, 0).otherwise(F.get(drop, j - 1) + 1)
+    upto = lambda j: F.coalesce(F.get(drop, j), F.size("lines"))
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size(drop)), lambda j: F.slice("lines", after(j) + 1, F.greatest(upto(j) - after(j), F.lit(0)))))
+    rows = rows.withColumn("lines", F.when(drop.isNotNull(), F.split(text, "\n")))
+    out = {c: F.col(names[c]) for c in docs.columns if c not in ("n_lines", "n_dropped")} | {"n_lines": counts.cast("int"), "n_dropped": F.when(drop.isNull(), 0).otherwise(F.size(drop))}
+    out[text_col] = F.when(drop.isNull(), text).otherwise(F.array_join(left, "\n"))
+    return rows.select(*[out[c].alias(c) for c in (*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns))])

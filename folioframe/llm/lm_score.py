@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch as sk
 from .hashing import mix64, runs, words
 from .storage import bounded_batches, shuffle_width
 
@@ -39,8 +40,6 @@ U16, U32, U64 = np.uint16, np.uint32, np.uint64
 FLUSH, BLOCK = 400_000, 30_000
 #: An n-gram that occurs this often for each document is hot, but at least as often as leaves no more than MOST of them.
 HOT, MOST = 1 / 50, 100_000
-#: The sketch: rows, bits of a row's length, and cells that are summed together.
-ROWS, WIDTH, SEGMENT = 3, 17, 4096
 #: Buckets in which distinct words are counted, for each shuffle partition.
 WORD_BUCKETS = 4
 START = U64(0x5851F42D4C957F2D)
@@ -61,18 +60,12 @@ def _texts(pdf: pd.DataFrame) -> list[bytes]:
     return [t.encode() if isinstance(t, str) else b"" for t in pdf["text"]]
 
 
-def _cells(keys: np.ndarray) -> Iterator[np.ndarray]:
-    """A key's cell in each row of the sketch."""
-    for r in range(ROWS):
-        yield (mix64(keys + U64(0x9E3779B97F4A7C15 * (r + 1) & (1 << 64) - 1)) >> U64(64 - WIDTH)).astype(np.int64) + (r << WIDTH)
-
-
 def _surveyed(source: DataFrame, buckets: int) -> DataFrame:
     """One pass: rows (dest, cells, words, docs, background, target): summed segments of the sketch by negative dest,
     numbers of distinct words by other dest, and the corpora's sizes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(ROWS << WIDTH, np.int64)
+        sketch = np.zeros(sk.CELLS, np.int64)
         sizes = np.zeros(3, np.int64)
         seen: list[np.ndarray] = []
         held = 0
@@ -89,8 +82,7 @@ def _surveyed(source: DataFrame, buckets: int) -> DataFrame:
                 h, context, bigram, starts = ngrams(texts[a:b])
                 tokens = np.diff(starts)
                 sizes += (b - a, tokens[~marked[a:b]].sum(), tokens[marked[a:b]].sum())
-                for cells in _cells(np.concatenate([context, bigram])):
-                    np.add.at(sketch, cells, 1)
+                sk.add(sketch, np.concatenate([context, bigram]))
                 seen.append(np.unique(h))
                 held += len(seen[-1])
                 if held > 2_000_000:
@@ -101,17 +93,13 @@ def _surveyed(source: DataFrame, buckets: int) -> DataFrame:
                         seen, held = [], 0
         if seen:
             yield words_so_far()
-        parts = [(-1 - k, sketch[k * SEGMENT : (k + 1) * SEGMENT].tobytes(), 0, 0, 0) for k in range(len(sketch) // SEGMENT)]
-        yield pd.DataFrame([*parts, (buckets, b"", *sizes.tolist())], columns=["dest", "data", "docs", "background", "target"])
+        yield pd.DataFrame([*((k, data, 0, 0, 0) for k, data in sk.parts(sketch)), (buckets, b"", *sizes.tolist())], columns=["dest", "data", "docs", "background", "target"])
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         dest = int(pdf["dest"].iloc[0])
         cells, words = b"", 0
         if dest < 0:
-            total = np.zeros(SEGMENT, np.int64)
-            for x in pdf["data"]:
-                total += np.frombuffer(x, np.int64)
-            cells = total.tobytes()
+            cells = sk.summed(pdf["data"])
         elif dest < buckets:
             words = len(np.unique(np.concatenate([np.frombuffer(x, U64) for x in pdf["data"]])))
         return pd.DataFrame({"dest": [dest], "cells": [cells], "words": [words], "docs": [pdf["docs"].sum()], "background": [pdf["background"].sum()], "target": [pdf["target"].sum()]})
@@ -140,9 +128,7 @@ def _counted(source: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
                 _, context, bigram, starts = ngrams(texts[a:b])
                 mark = np.repeat(marked[a:b], np.diff(starts))
                 for grams in (context, bigram):
-                    maybe = np.ones(len(grams), bool)
-                    for cells in _cells(grams):
-                        maybe &= shared.value[cells]
+                    maybe = sk.marked(shared.value, grams)
                     keys, at = np.unique(grams[maybe], return_inverse=True)
                     aims = np.bincount(at, mark[maybe], len(keys)).astype(np.int64)
                     held.append((keys, np.stack([np.bincount(at, minlength=len(keys)) - aims, aims], 1)))

@@ -3,31 +3,37 @@
 Texts become sets of shingle hashes; equal sets share one id (a digest), so copies are one row of the
 incidence matrix. The product is never formed whole:
 
-1. columns: incidences go to buckets by hash; each bucket drops the columns with one row, which no
-   overlap can contain, and counts the rows of the others;
+1. columns: incidences go to buckets by hash; each bucket drops the columns with one row, which no overlap can contain,
+   and counts the rows of the others. Columns that a sketch of fixed size shows to be hot don't go to a bucket, where
+   all their rows would meet: they come last in the order of columns, and need no count;
 2. rows: by size-derived bound, two sets of Jaccard t share at least ceil(t * n) of either's n shingles,
    so among the n - ceil(t * n) + 1 rarest columns of each (in one order for all) there is a shared one.
    A set with that many columns of its own links with nothing and is dropped here;
-3. blocks: rows that share such a rare column meet in the block of the least row among them. A block
-   larger than `tile` is dealt over tiles of sub-blocks. Each tile multiplies its part of the incidence
-   matrix by its transpose, accumulating overlap counts, and keeps links that span what it linked;
+3. blocks: rows that share such a rare column meet in the block of the least row among them, the pivot. A block is dealt
+   over tiles, each with the pivot; a tile multiplies its part of the incidence matrix by its transpose, accumulating
+   overlap counts, and links what reaches the bound. Rows that the links of their tile unite with the pivot are done:
+   they are one component. The others, few where a block is a group of near copies, are multiplied with the
+   whole block in further tiles;
 4. links are united to components.
 
-Every pair at or above the threshold is compared in some tile: the join is exact up to collisions of hashes of 32 bits and the bucket's.
+Every pair at or above the threshold is compared in some tile or united without: the join is exact up to collisions of
+hashes. A shingle is known by 32 bits and its bucket's (7 at 128 buckets), so a pair of sets of m and n shingles counts
+one too many with probability m * n / 2 ** 39; a set is known by 64 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch as sk
 from .components import components, forest
 from .hashing import digest, mix64, shingle_sets
-from .storage import bounded_batches, durable, give_back, release, shuffle_width
+from .storage import bounded_batches, durable, give_back, hot_join, release, shuffle_width
 
 U16, U32, U64 = np.uint16, np.uint32, np.uint64
 #: Incidences that a map task gathers before it deals them to buckets.
@@ -55,27 +61,47 @@ def _headers(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[first], size
 
 
-def _deal(ids: list[int], sets: list[np.ndarray], bits: int) -> pd.DataFrame:
-    """Rows (bucket, ids, counts, keys) that hold the incidences of `sets`; a bucket is a key's upper bits."""
+#: The bucket of incidences in hot columns, whose rows go straight to where the rows are put together.
+HOT = -1
+DEALT = ["bucket", "dest", "doc_id", "sid", "n", "ids", "counts", "keys"]
+KINDS = {"bucket": "Int32", "dest": "Int32", "doc_id": "Int64", "sid": "Int64", "n": "Int64"}
+
+
+def _deal(ids: list[int], sets: list[np.ndarray], bits: int, hot: np.ndarray) -> pd.DataFrame:
+    """Rows (bucket, dest, ids, counts, keys) that hold the incidences of `sets`; a bucket is a key's upper bits."""
     counts = np.fromiter(map(len, sets), np.int64, len(sets))
     keys = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), counts)
+    sid = np.array(ids, np.int64)
+    rows = []
+    common = sk.marked(hot, keys)
+    if common.any():
+        place = _dest(sid, bits)[owner[common]]
+        order = np.argsort(place, kind="stable")
+        place, who, key = place[order], owner[common][order], keys[common][order] >> U64(32 - bits)
+        cut = np.searchsorted(place, np.arange((1 << bits) + 1))
+        for d in range(1 << bits):
+            s, e = cut[d], cut[d + 1]
+            if e > s:
+                at, n = _headers(who[s:e])
+                rows.append((HOT, d, _packed(sid[at], np.int64), _packed(n, U16), _packed(key[s:e], U64)))
+        keys, owner = keys[~common], owner[~common]
     bucket = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, owner, low = bucket[order], owner[order], (keys[order] >> U64(32 - bits)).astype(U32)
-    rows, cut = [], np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    sid = np.array(ids, np.int64)
+    cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
     for b in range(1 << bits):
         s, e = cut[b], cut[b + 1]
         if e > s:
             who, n = _headers(owner[s:e])
-            rows.append((b, _packed(sid[who], np.int64), _packed(n, U16), _packed(low[s:e], U32)))
-    return pd.DataFrame(rows, columns=["bucket", "ids", "counts", "keys"])
+            rows.append((b, None, _packed(sid[who], np.int64), _packed(n, U16), _packed(low[s:e], U32)))
+    return pd.DataFrame(rows, columns=["bucket", "dest", "ids", "counts", "keys"]).reindex(columns=DEALT).astype(KINDS)
 
 
-def incidences(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """One map over the texts: rows of kind 0 (doc_id, set id, set size), and of kind 1 (bucket's incidences)."""
-    schema = "bucket int, doc_id long, sid long, n long, ids binary, counts binary, keys binary"
+def incidences(docs: DataFrame, width: int, bits: int, hot: np.ndarray) -> DataFrame:
+    """One map over the texts: rows without a bucket (doc_id, set id, set size), and with one (its incidences)."""
+    schema = "bucket int, dest int, doc_id long, sid long, n long, ids binary, counts binary, keys binary"
+    flags = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -95,12 +121,12 @@ def incidences(docs: DataFrame, width: int, bits: int) -> DataFrame:
                     sets.append(keys)
                     held += len(keys)
                     if held >= FLUSH:
-                        yield _deal(ids, sets, bits).reindex(columns=["bucket", "doc_id", "sid", "n", "ids", "counts", "keys"]).astype({"doc_id": "Int64", "sid": "Int64", "n": "Int64"})
+                        yield _deal(ids, sets, bits, flags.value)
                         ids, sets, held = [], [], 0
                         seen = seen if len(seen) < 1_000_000 else set()
-            yield pd.DataFrame({"bucket": pd.array([None] * len(sids), "Int32"), "doc_id": pdf["doc_id"].astype("Int64"), "sid": sids, "n": sizes, "ids": None, "counts": None, "keys": None})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sid": sids, "n": sizes}).reindex(columns=DEALT).astype(KINDS)
         if sets:
-            yield _deal(ids, sets, bits).reindex(columns=["bucket", "doc_id", "sid", "n", "ids", "counts", "keys"]).astype({"doc_id": "Int64", "sid": "Int64", "n": "Int64"})
+            yield _deal(ids, sets, bits, flags.value)
         sets = []
         give_back()
 
@@ -126,7 +152,7 @@ def _columns(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([first, [len(key)]]))
         keep = np.repeat(size > 1, size)
-        kept.append((key[keep], np.minimum(np.repeat(size, size)[keep], 65535).astype(U16), (cells[keep] & U64(0xFFFFFFFF)).astype(U32)))
+        kept.append((key[keep], np.minimum(np.repeat(size, size)[keep], 65534).astype(U16), (cells[keep] & U64(0xFFFFFFFF)).astype(U32)))
     del keys, owner
     rows = []
     if kept:
@@ -167,11 +193,8 @@ def _rows(pdf: pd.DataFrame, bits: int, percent: int) -> pd.DataFrame:
     if len(part):
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in part["ids"]])
         counts = np.concatenate([np.frombuffer(x, U16) for x in part["counts"]])
-        per_row = [len(x) // 4 for x in part["keys"]]
-        low = np.concatenate([np.frombuffer(x, U32) for x in part["keys"]]).astype(U64)
-        high = np.repeat(part["bucket"].to_numpy(np.int64).astype(U64), per_row)
-        keys = high << U64(32) | low
-        dfs = np.concatenate([np.frombuffer(x, U16) for x in part["dfs"]])
+        keys = np.concatenate([np.frombuffer(x, U64) if b == HOT else np.frombuffer(x, U32).astype(U64) | U64(int(b) << 32) for b, x in zip(part["bucket"], part["keys"], strict=True)])
+        dfs = np.concatenate([np.full(len(x) // 8, 65535, U16) if b == HOT else np.frombuffer(d, U16) for b, x, d in zip(part["bucket"], part["keys"], part["dfs"], strict=True)])
         nodes, at = np.unique(ids, return_inverse=True)
         owner = np.repeat(at, counts)
         order = np.lexsort((keys, dfs, owner))
@@ -212,46 +235,90 @@ def overlap_links(n: np.ndarray, keys: list[np.ndarray], percent: int) -> tuple[
     return np.nonzero(hit)
 
 
-def _tiles(pdf: pd.DataFrame, percent: int, bits: int) -> pd.DataFrame:
-    """Links of the tiles in one bin, as a forest that spans them."""
-    src, dst = [], []
-    for _, tile in pdf.groupby(["pivot", "a", "b"], sort=False):
-        tile = tile.drop_duplicates("sid")
-        sid, n = tile["sid"].to_numpy(np.int64), tile["n"].to_numpy(np.float64)
-        i, j = overlap_links(n, [unpack_keys(k, bits) for k in tile["keys"]], percent)
-        if len(i):
-            x, y = forest(sid[i], sid[j])
+def linked_tiles(pdf: pd.DataFrame, pairs: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """Links of the tiles in one bin, as a forest that spans them; of open tiles also the rows (src, pivot) left to compare.
+
+    `pairs` gives the linked pairs among the rows with the given places in `pdf`.
+    """
+    src, dst, left = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+    if len(pdf):
+        pdf = pdf.sort_values(["pivot", "a", "b", "sid"], kind="stable")
+        tile, sid, place = pdf[["pivot", "a", "b"]].to_numpy(np.int64), pdf["sid"].to_numpy(np.int64), pdf.index.to_numpy()
+        cut = [0, *(np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1).tolist(), len(tile)]
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            new = np.flatnonzero(np.concatenate([[True], sid[s + 1 : e] != sid[s : e - 1]])) + s
+            own, pivot = sid[new], tile[s, 0]
+            i, j = pairs(place[new]) if len(new) > 1 else ((), ())
+            x, y = forest(own[list(i)], own[list(j)])
             src.append(x)
             dst.append(y)
-    x, y = forest(np.concatenate([*src, np.empty(0, np.int64)]), np.concatenate([*dst, np.empty(0, np.int64)]))
+            if tile[s, 1] == tile[s, 2] == OPEN:
+                with_pivot = np.unique(np.concatenate([[pivot], y[x == pivot]]))  # the pivot is no more than its root
+                done = np.isin(own, x[np.isin(y, with_pivot)]) | np.isin(own, with_pivot)
+                left.append((own[~done], np.full((~done).sum(), pivot)))
+    x, y = forest(np.concatenate(src), np.concatenate(dst))
     give_back()
-    return pd.DataFrame({"src": x, "dst": y})
+    found = pd.DataFrame({"src": x, "dst": y}).astype("Int64")
+    return pd.concat([found, *(pd.DataFrame({"src": u, "pivot": p}).astype("Int64") for u, p in left if len(u))]).reindex(columns=["src", "dst", "pivot"]).astype("Int64")
+
 
+#: Stands for a and b of a tile whose block has others.
+OPEN = -1
 
-def tiled(blocks: DataFrame, tile: int) -> DataFrame:
-    """Rows (pivot, sid) dealt over tiles (a, b), a <= b, so that any two rows of a block meet in one.
 
-    A block of up to `tile` rows is one tile; a larger one is cut by hash into sub-blocks of about half a tile.
+def linked_blocks(blocks: DataFrame, rows: DataFrame, verify: Callable[[pd.DataFrame], pd.DataFrame], tile: int, bins: int) -> DataFrame:
+    """Edges (src, dst) that span all links within the blocks (pivot, sid), each pivot being the least row of its own.
+
+    `rows` (sid and what `verify` needs) are joined to the tiles' rows (pivot, a, b, sid); `verify` calls
+    `linked_tiles`. Of a block that is more than one tile, rows that aren't united with the pivot in their first tile
+    are compared with all rows of the block. Both tables should be written ones, as they are read twice.
     """
-    sizes = blocks.groupBy("pivot").agg(F.count("*").alias("members"))
-    cut = F.when(F.col("members") <= tile, 1).otherwise(F.ceil(F.col("members") * 2 / tile)).cast("int")
-    mine = F.pmod(F.xxhash64("sid", F.lit(3)), F.col("cut").cast("long")).cast("int")
-    return (
-        blocks.join(sizes.where("members > 1"), "pivot").withColumn("cut", cut).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-        .where("cut = 1 OR mine <> other OR other = 0 OR mine = cut - 1")
-        .select("pivot", "sid", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
-    )
+    total = blocks.count()
+    sizes = blocks.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
+    known = hot_join(blocks, sizes, "pivot", "members", total).withColumn("parts", F.ceil(F.col("members") / tile))
+    part = lambda n, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), n).cast("int")
+    binned = lambda df: df.withColumn("bin", F.pmod(F.xxhash64("pivot", "part", "a", "b"), F.lit(bins)).cast("int"))
+    mine = F.when(F.col("sid") == F.col("pivot"), F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).otherwise(F.array(part(F.col("parts"), 3)))
+    first = known.select("pivot", "sid", "parts", F.explode(mine).alias("part"))
+    mark = F.when(F.col("parts") > 1, F.lit(OPEN)).otherwise(F.lit(0))
+    first = binned(first.select("pivot", "sid", "part", mark.alias("a"), mark.alias("b")))
+    schema = "src long, dst long, pivot long"
+    done = durable(_by_part(first, rows, verify, schema), "tiles")
+    left = done.where("pivot IS NOT NULL").select("pivot", F.col("src").alias("sid")).distinct()
+    edges = done.where("dst IS NOT NULL").select("src", "dst")
+    if left.isEmpty():
+        return edges
+    open_blocks = left.groupBy("pivot").agg(F.count("*").alias("open"))
+    cut = F.ceil(F.col("members") * 2 / tile), F.ceil(F.col("open") * 2 / tile)
+    known = hot_join(blocks, sizes.join(open_blocks, "pivot"), "pivot", "members", total).withColumns({"wide": cut[0], "tall": cut[1]})
+    asked = hot_join(left, sizes.join(open_blocks, "pivot"), "pivot", "open", total).withColumns({"wide": cut[0], "tall": cut[1]})
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    second = known.select("pivot", "sid", every(F.col("tall")).alias("a"), part(F.col("wide"), 5).alias("b")).union(asked.select("pivot", "sid", part(F.col("tall"), 4), every(F.col("wide"))))
+    more = _by_part(binned(second.withColumn("part", F.lit(0))), rows, verify, schema)
+    return edges.union(more.where("dst IS NOT NULL").select("src", "dst"))
+
+
+def _by_part(dealt: DataFrame, rows: DataFrame, verify: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Tiles of a bin together, the parts of a block kept apart."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [verify(x.drop(columns="part").reset_index(drop=True)) for _, x in pdf.groupby("part", sort=False)]
+        return pd.concat(found) if found else pd.DataFrame({"src": [], "dst": [], "pivot": []}, dtype="Int64")
+
+    return dealt.join(rows, "sid").groupBy("bin").applyInPandas(run, schema)
 
 
 def link_sets(cand: DataFrame, percent: int, tile: int, bins: int, bits: int) -> DataFrame:
     """Edges (src, dst) between candidate sets (sid, n, keys, rare) that span all links at the threshold."""
     posts = cand.select("sid", F.explode("rare").alias("key"))
-    heads = posts.groupBy("key").agg(F.min("sid").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
-    blocks = durable(posts.join(heads, "key").select("pivot", "sid").distinct(), "blocks")
-    dealt = tiled(blocks, tile).join(cand.select("sid", "n", "keys"), "sid")
-    dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("pivot", "a", "b"), F.lit(bins)).cast("int"))
-    return dealt.groupBy("bin").applyInPandas(lambda pdf: _tiles(pdf, percent, bits), "src long, dst long")
+    heads = posts.groupBy("key").agg(F.min("sid").alias("pivot"), F.count("*").alias("c")).where("c > 1")
+    blocks = durable(hot_join(posts, heads, "key", "c", posts.count()).select("pivot", "sid").distinct(), "blocks")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, keys = pdf["n"].to_numpy(np.float64), pdf["keys"].to_numpy()
+        return linked_tiles(pdf, lambda at: overlap_links(n[at], [unpack_keys(keys[k], bits) for k in at.tolist()], percent))
+
+    return linked_blocks(blocks, cand.select("sid", "n", "keys"), verify, tile, bins)
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = 256) -> DataFrame:
@@ -266,9 +333,11 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     spark = bounded_batches(docs)
     bits = max(1, (shuffle_width(spark) - 1).bit_length() - 1)
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    dealt = durable(incidences(source, width, bits), "incidences")
+    hot = sk.hot_flags(source.where("doc_id IS NOT NULL"), lambda texts: shingle_sets(texts, width), 16 << bits)
+    dealt = durable(incidences(source, width, bits, hot), "incidences")
     info = durable(dealt.where("bucket IS NULL").select("doc_id", "sid", "n"), "sets")
-    cells = dealt.where("bucket IS NOT NULL").select("bucket", "ids", "counts", "keys")
+    cells = dealt.where(F.col("bucket") >= 0).select("bucket", "ids", "counts", "keys")
+    straight = dealt.where(F.col("bucket") == HOT).select("dest", "bucket", "ids", "counts", "keys", F.lit(None).cast("binary").alias("dfs"))
     shared = cells.groupBy("bucket").applyInPandas(lambda pdf: _columns(pdf, bits), "dest int, bucket int, ids binary, counts binary, keys binary, dfs binary")
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,18 +349,19 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
             yield pd.DataFrame(rows, columns=["dest", "bucket", "ids", "counts", "keys", "dfs"]).astype({"bucket": "Int32"})
 
     sized = info.where("n > 0 AND doc_id IS NOT NULL").select("sid", "n").mapInPandas(sizes, "dest int, bucket int, ids binary, counts binary, keys binary, dfs binary")
-    cand = durable(shared.union(sized).groupBy("dest").applyInPandas(lambda pdf: _rows(pdf, bits, percent), "sid long, n long, keys binary, rare array<long>"), "candidates")
-    edges = link_sets(cand, percent, tile, 4 * shuffle_width(spark), bits)
+    cand = durable(shared.union(straight).union(sized).groupBy("dest").applyInPandas(lambda pdf: _rows(pdf, bits, percent), "sid long, n long, keys binary, rare array<long>"), "candidates")
+    edges = durable(link_sets(cand, percent, tile, 4 * shuffle_width(spark), bits), "links")
     rows = info.where("n > 0 AND doc_id IS NOT NULL")
-    copies = rows.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
+    copies = durable(rows.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")), "copies")
     several = rows.groupBy("doc_id").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("doc_id")
     by_id = several.join(rows, "doc_id").join(copies, "sid").select(F.col("doc_id").alias("src"), F.col("least").alias("dst"))
-    ends = edges.join(copies.select(F.col("sid").alias("src"), F.col("least").alias("s")), "src").join(copies.select(F.col("sid").alias("dst"), F.col("least").alias("d")), "dst")
+    roots = edges.groupBy("dst").agg(F.count("*").alias("n")).join(copies.select(F.col("sid").alias("dst"), F.col("least").alias("d")), "dst")
+    ends = hot_join(edges, roots, "dst", "n", edges.count()).join(copies.select(F.col("sid").alias("src"), F.col("least").alias("s")), "src")
     united = components(ends.select(F.col("s").alias("src"), F.col("d").alias("dst")).union(by_id), contracted=True)
     release(cand, dealt)
-    first = copies.where("c > 1").select(F.col("sid").alias("set"), "least")
-    named = info.join(first, (info["sid"] == first["set"]) & (info["n"] > 0) & info["doc_id"].isNotNull(), "left").withColumn("least", F.coalesce("least", "doc_id"))
-    return named.join(united, named["least"] == united["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "least").alias("component_id"))
+    sets = copies.join(united, copies["least"] == united["id"], "left").select("sid", F.coalesce("component", "least").alias("component_id"), "c")
+    named = hot_join(rows, sets, "sid", "c", info.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return named.union(info.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", "doc_id"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
@@ -303,7 +373,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -
     found = jaccard_components(docs, id_col=id_col, **options)
     hashed = [docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
     row, key = F.xxhash64(*hashed, *[c.isNull() for c in hashed]), docs[id_col].cast("long")
-    first = docs.select(key.alias("__id"), row.alias("__row")).groupBy("__id").agg(F.min("__row").alias("__row"))
-    kept = first.join(found.where("doc_id = component_id").select(F.col("doc_id").alias("__of")), F.col("__id") == F.col("__of"), "left_semi")
-    named = docs.join(kept, (key == kept["__id"]) & (row == kept["__row"]), "left_semi").dropDuplicates([id_col])
+    first = docs.select(key.alias("id"), row.alias("row")).groupBy("id").agg(F.min("row").alias("row"))
+    kept = first.join(found.where("doc_id = component_id").select(F.col("doc_id").alias("of")), F.col("id") == F.col("of"), "left_semi")
+    named = docs.join(kept, (key == kept["id"]) & (row == kept["row"]), "left_semi").dropDuplicates([id_col])
     return named.union(docs.where(docs[id_col].isNull()))

@@ -15,6 +15,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _roots: dict[str, SparkSession] = {}
 
@@ -67,6 +68,21 @@ def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def hot_join(many: DataFrame, ones: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The inner join on `key` of rows with a table of one row a key, whose column `n` says how many rows have the key.
+
+    The n's sum up to `total` at most. A key with more than a 5,000th of it is hot; there are 5,000 of these at most,
+    which are broadcast, so that their rows stay where they are; the others are joined by shuffling. Below 10,000
+    rows there is nothing to split. `many` is read twice.
+    """
+    if total <= 10_000:
+        return many.join(ones, key)
+    hot = F.col(n) > max(1_000, total // 5_000)
+    head, rest = F.broadcast(ones.where(hot)), ones.where(~hot)
+    cold = many.join(F.broadcast(ones.where(hot).select(key)), key, "left_anti").join(rest, key)
+    return many.join(head, key).unionByName(cold)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
