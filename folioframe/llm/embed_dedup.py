@@ -1,10 +1,14 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs, one a shard.
 
-Equal vectors are one vector with a count. Distinct vectors are dealt to a fixed number of shards; a graph is built
-over each and every vector queries every shard. Queries run in lockstep, a block at a time. A block's beam is
-widened until an audit of the shard (exact neighbours of some of its vectors) is answered in full, and a query's
-until its worst candidate lies below the threshold; a query whose beam would outgrow `WIDEST` is compared with
-the whole shard instead. Links are verified by cosine in double precision and united to components.
+Equal vectors are one vector with a count. Distinct vectors are dealt to shards, as many as their number calls for; a
+graph is built over each and every vector queries every shard. Queries run in lockstep, a block at a time. When a
+graph is built, its recall is audited: exact neighbours, itself apart, of vectors of its own and of a sample of all
+shards; the beam is widened until all are found. A query's beam is widened further until its worst candidate lies
+below the threshold; a query whose beam would outgrow `WIDEST` is compared with the whole shard instead. Links are
+verified by cosine in double precision and united to components.
+
+The work is vectors times shards, as every vector queries every shard; a shard's graph and vectors (some 400 bytes a
+vector of 64 numbers) go to each part of `query_rows` queries.
 """
 
 from __future__ import annotations
@@ -17,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .storage import bounded_batches, durable
+from .storage import bounded_batches, durable, hot_join
 
 F32 = np.float32
 #: Neighbours of a node above the ground layer (twice as many there), beam while building, narrowest and widest beam of a query.
-M, BUILD_BEAM, BEAM, WIDEST = 12, 64, 48, 1024
-#: Queries in lockstep, and vectors audited.
-BLOCK, AUDIT = 512, 64
+M, BUILD_BEAM, BEAM, WIDEST = 12, 64, 48, 256
+#: Queries in lockstep; audited vectors that have a neighbour, most vectors drawn for that, and vectors of all shards.
+BLOCK, AUDIT, DRAWN, FOREIGN = 512, 64, 8192, 256
+#: Fewest shards, and vectors in one.
+SHARDS, SHARD_ROWS = 8, 50_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -159,24 +165,45 @@ class Graph:
                 yield todo[r], ids[r, c]
                 todo, start, wide = todo[full], start[full], 2 * wide
 
-    def audited_width(self, at_least: float) -> int:
-        """The narrowest beam, doubled as need be, that finds every neighbour of AUDIT of the vectors."""
-        pick = np.unique(np.linspace(0, len(self.x) - 1, min(AUDIT, len(self.x))).astype(np.int64))
-        truth = int((self.x[pick] @ self.x.T >= at_least).sum())
-        width = BEAM
-        while width <= WIDEST and sum(len(n) for _, n in self.near(self.x[pick], at_least, width)) < truth:
+    def audit(self, others: np.ndarray, at_least: float) -> tuple[int, float]:
+        """A beam that finds every exact neighbour of the audited vectors, and the recall of the narrowest beam.
+
+        Audited are `others` and, drawn over the shard until AUDIT of them have a neighbour besides themselves or
+        DRAWN are drawn, vectors of the shard itself. A beam above WIDEST means comparing with the whole shard.
+        """
+        asked, truth, n = [others], 0, len(self.x)
+        if len(others):
+            truth += int((others @ self.x.T >= at_least).sum())
+        order, having = np.random.default_rng(2).permutation(n)[:DRAWN], 0
+        for s in range(0, len(order), BLOCK):
+            pick = order[s : s + BLOCK]
+            near = (self.x[pick] @ self.x.T >= at_least).sum(1)
+            some = near > 1
+            asked.append(self.x[pick[some]])
+            truth += int(near[some].sum())
+            having += int(some.sum())
+            if having >= AUDIT:
+                break
+        q = np.concatenate(asked)
+        width, first = BEAM, -1
+        while truth and width <= WIDEST:
+            found = sum(len(node) for _, node in self.near(q, at_least, width))
+            first = found if first < 0 else first
+            if found >= truth:
+                break
             width *= 2
-        return width
+        return width, 1.0 if not truth else min(1.0, first / truth)
 
     def pack(self) -> bytes:
-        head = np.array([len(self.x), self.x.shape[1] if len(self.x) else 0, len(self.links), self.entry], np.int64)
-        return b"".join([head.tobytes(), self.x.tobytes(), *[x.tobytes() for x in self.links]])
+        """The links; vectors travel as they came."""
+        head = np.array([len(self.x), len(self.links), self.entry], np.int64)
+        return b"".join([head.tobytes(), *[x.tobytes() for x in self.links]])
 
     @classmethod
-    def unpack(cls, data: bytes) -> Graph:
-        n, dim, layers, entry = np.frombuffer(data, np.int64, 4).tolist()
+    def unpack(cls, data: bytes, vectors: np.ndarray) -> Graph:
+        n, layers, entry = np.frombuffer(data, np.int64, 3).tolist()
         g = cls.__new__(cls)
-        g.x, g.entry, g.links, at = np.frombuffer(data, F32, n * dim, 32).reshape(n, dim), entry, [], 32 + 4 * n * dim
+        g.x, g.entry, g.links, at = np.ascontiguousarray(vectors, F32), entry, [], 24
         for lv in range(layers):
             room = 2 * M if lv == 0 else M
             g.links.append(np.frombuffer(data, np.int32, n * room, at).reshape(n, room))
@@ -184,11 +211,21 @@ class Graph:
         return g
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+GRAPH = "dim int, shard int, ids binary, copies binary, vectors binary, links binary, beam int, recall double"
+
+
+def _build(pdf: pd.DataFrame, sample: list[list[float]], threshold: float) -> pd.DataFrame:
     pdf = pdf.sort_values("vec_id")
-    exact = unit(np.stack(pdf["embedding"].to_numpy()))
-    graph = Graph(exact)
-    return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "exact": [exact.tobytes()], "graph": [graph.pack()]})
+    raw = np.stack(pdf["embedding"].to_numpy())
+    graph = Graph(unit(raw))
+    same_size = [v for v in sample if len(v) == raw.shape[1]]
+    beam, recall = graph.audit(unit(np.array(same_size)).astype(F32) if same_size else np.empty((0, raw.shape[1]), F32), threshold - SLACK)
+    as_bytes = [[pdf[c].to_numpy(np.int64).tobytes()] for c in ("vec_id", "copies")]
+    return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "ids": as_bytes[0], "copies": as_bytes[1], "vectors": [raw.tobytes()], "links": [graph.pack()], "beam": [beam], "recall": [recall]})
+
+
+#: Single precision finds what lies above the threshold less this, double precision decides.
+SLACK = 1e-4
 
 
 def _query(queries: pd.DataFrame, shards: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -197,20 +234,22 @@ def _query(queries: pd.DataFrame, shards: pd.DataFrame, threshold: float) -> pd.
     if not len(queries) or not len(shards):
         return empty
     row = shards.iloc[0]
-    graph, ids, copies = Graph.unpack(row["graph"]), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
-    exact = np.frombuffer(row["exact"], np.float64).reshape(len(ids), -1)
-    mine, q = queries["vec_id"].to_numpy(np.int64), unit(np.stack(queries["embedding"].to_numpy()))
-    slack = threshold - 1e-4  # single precision finds, double decides
+    mine, asked = queries["vec_id"].to_numpy(np.int64), np.stack(queries["embedding"].to_numpy())
+    ids, copies = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
+    exact = unit(np.frombuffer(row["vectors"], asked.dtype).reshape(len(ids), -1))
+    graph = Graph.unpack(row["links"], exact)
     counts, src, dst = np.zeros(len(mine), np.int64), [], []
-    for a, b in graph.near(q.astype(F32), slack, graph.audited_width(slack)):
-        cos = np.einsum("nd,nd->n", q[a], exact[b])
-        link = (cos >= threshold) & (mine[a] != ids[b])
-        a, b = a[link], b[link]
-        np.add.at(counts, a, copies[b])
-        if len(a):
-            x, y = forest(mine[a], ids[b])
-            src.append(x)
-            dst.append(y)
+    for s in range(0, len(mine), 32 * BLOCK):  # in double precision a piece at a time
+        q = unit(asked[s : s + 32 * BLOCK])
+        for a, b in graph.near(q.astype(F32), threshold - SLACK, int(row["beam"])):
+            cos = np.einsum("nd,nd->n", q[a], exact[b])
+            link = (cos >= threshold) & (mine[s + a] != ids[b])
+            a, b = a[link] + s, b[link]
+            np.add.at(counts, a, copies[b])
+            if len(a):
+                x, y = forest(mine[a], ids[b])
+                src.append(x)
+                dst.append(y)
     found = pd.DataFrame({"vec_id": mine, "n": counts})[counts > 0]
     if src:
         x, y = forest(np.concatenate(src), np.concatenate(dst))
@@ -218,30 +257,36 @@ def _query(queries: pd.DataFrame, shards: pd.DataFrame, threshold: float) -> pd.
     return pd.concat([empty, found]).astype({c: "Int64" for c in empty})
 
 
-def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shards: int = 8, query_rows: int = 16_384) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shards: int | None = None, query_rows: int = 100_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of `embeddings`.
 
     Vectors link at a cosine of `threshold` or more in double precision; n_links counts other rows linked directly,
     component_id is the least id reachable, kept says that it is the row's own. A vector that is null, empty or zero, or
     holds null or non-finite numbers, links with nothing; so do vectors of different lengths. Equal vectors link.
-    Repeated rows count as rows. A null id takes no part: n_links 0, component_id null, kept false. Raise `shards` (a
-    shard's graph is held by a task) as the table grows. An empty table gives no rows; other columns are ignored.
+    Repeated rows count as rows. A null id takes no part: n_links 0, component_id null, kept false. `shards` follows
+    from the number of distinct vectors (SHARD_ROWS in each, SHARDS at least), so that a task's graph stays of one size.
+    An empty table gives no rows; other columns are ignored.
     """
     bounded_batches(embeddings)
     v = F.col("embedding")
     good = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = embeddings.select(embeddings[id_col].cast("long").alias("vec_id"), embeddings[vector_col].alias("embedding")).withColumn("good", F.coalesce(good, F.lit(False)))
-    distinct = durable(rows.where("good").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), "vectors")
-    graphs = durable(distinct.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, ids binary, copies binary, exact binary, graph binary"), "graphs")
-    parts = max(1, -(-distinct.count() // query_rows))
-    asked = distinct.select("vec_id", "embedding", "dim", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    held = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    distinct = durable(rows.where("good").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")), "vectors")
+    number, total = distinct.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    shards = max(SHARDS, -(-number // SHARD_ROWS)) if shards is None else shards
+    sample = [r.embedding for r in distinct.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(FOREIGN).select("embedding").collect()]
+    sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    graphs = durable(sharded.groupBy("dim", "shard").applyInPandas(lambda pdf: _build(pdf, sample, threshold), GRAPH), "graphs")
+    parts = max(1, -(-number // query_rows))
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    asked = distinct.select("vec_id", "embedding", "dim", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)).cast("int").alias("part"), each(shards, "shard"))
+    held = graphs.select("dim", "shard", "ids", "copies", "vectors", "links", "beam", each(parts, "part"))
     found = asked.groupBy("dim", "shard", "part").cogroup(held.groupBy("dim", "shard", "part")).applyInPandas(lambda a, b: _query(a, b, threshold), "vec_id long, n long, src long, dst long")
     found = durable(found, "found")
     united = components(found.where("src IS NOT NULL").select("src", "dst"))
     counts = found.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.sum("n").alias("n"))
     named = distinct.join(counts, "vec_id", "left").join(united, distinct["vec_id"] == united["id"], "left")
-    named = named.select(F.col("embedding").alias("same"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    linked = rows.where("good").join(named.where("n_links > 0"), F.col("embedding") == F.col("same"), "left").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = named.select("embedding", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    linked = hot_join(rows.where("good").select("vec_id", "embedding"), named, "embedding", "copies", total).select("vec_id", "n_links", "component_id")
     out = linked.union(rows.where("NOT good").select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

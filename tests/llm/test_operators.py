@@ -387,10 +387,25 @@ def test_embeddings(spark):
 def test_graph_widens_its_beam():
     rng = np.random.default_rng(1)
     tight = embed_dedup.unit(np.ones((1, 8)) + rng.normal(size=(1500, 8)) * 0.01)
-    g = embed_dedup.Graph.unpack(embed_dedup.Graph(tight).pack())
+    g = embed_dedup.Graph.unpack(embed_dedup.Graph(tight).pack(), tight)
     assert sum(len(b) for _, b in g.near(g.x[:20], 0.95, embed_dedup.BEAM)) == 20 * 1500
 
 
+def test_audit_leaves_self_matches_out_and_widens():
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 12))
+    x = embed_dedup.unit(np.concatenate([base[rng.integers(0, 60, 900)] + rng.normal(size=(900, 12)) * 0.1, rng.normal(size=(600, 12))]))
+    g = embed_dedup.Graph(x[:1200])
+    beam, recall = g.audit(x[1200:1264].astype(np.float32), 0.95)
+    assert recall > 0.9 and embed_dedup.BEAM <= beam <= 2 * embed_dedup.WIDEST
+    alone = embed_dedup.Graph(embed_dedup.unit(rng.normal(size=(300, 64))))
+    assert alone.audit(np.empty((0, 64), np.float32), 0.95) == (embed_dedup.BEAM, 1.0)  # nobody has a neighbour
+    g.links = [np.full_like(links, -1) for links in g.links]  # a graph without links finds the entry only
+    beam, recall = g.audit(x[1200:1264].astype(np.float32), 0.95)
+    assert beam > embed_dedup.WIDEST and recall < 0.5
+    assert sum(len(b) for _, b in g.near(g.x[:20], 0.95, beam)) == int((g.x[:20] @ g.x.T >= 0.95).sum())
+
+
 # ---------------------------------------------------------------- 7: HTML
 
 
