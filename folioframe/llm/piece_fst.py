@@ -1,21 +1,31 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-A model file compiles to three transducers: the normaliser (character map, dummy prefix, white-space escape),
-the pieces, and byte fallback for characters that no piece holds. They are composed with each input; the
-result is the lattice of all ways to cover it, and the tropical-semiring shortest path is its encoding.
-
-Weights. Unigram models: an arc weighs its piece's negative score. BPE models: a sequence of pieces is what
-merging by score yields exactly if each piece, and each pair of neighbours, is what merging yields for its own
-string. So pieces weigh 0, and a transition between neighbours weighs 0 if merging keeps the pair apart as it is,
-else infinity: exactly one path through the lattice is finite. Keeping the best piece that ends at each position
-is then the whole shortest-path search.
-
-No piece of a model that splits at white space has an escaped space after another character, so the lattice
-is cut before each run of escaped spaces, and paths of recurring parts are kept.
+A model file compiles to machines:
+
+- the normaliser, a sequential transducer of characters (dummy prefix, escaped and squeezed white space), behind the
+  model's own longest-match map of strings if it has one;
+- the pieces, a trie whose arcs read characters and whose accepting nodes lead back to the root by an arc without
+  input that writes the piece's number at its weight;
+- byte fallback, an arc from the root for any other character, which writes the numbers of its bytes;
+- for BPE models, the neighbours: an acceptor of piece numbers whose state is the last one.
+
+They are composed with each input as it is read, so only states that the input reaches exist, and the encoding is the
+shortest path of the composition in the tropical semiring.
+
+Weights. Unigram models: a piece weighs its negative score. BPE models: a sequence of pieces is what merging by score
+yields exactly if each piece, and each pair of neighbours, is what merging yields for its own string. So pieces
+weigh 0, and an arc of the neighbours' acceptor weighs 0 if merging keeps the pair apart as it is, else infinity;
+each of these weights is computed when the composition first asks for it. At every position one state at most is at a
+finite distance then: the composition is deterministic, its shortest path is its only one, and its states after a
+beginning of a word are kept and shared by all words that begin so.
+
+No piece of a model that splits at white space has an escaped space after another character, so inputs are cut
+before each run of spaces, and paths of recurring parts are kept.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +43,8 @@ UNIGRAM, BPE = 1, 2
 #: How much worse than the worst piece an unknown character is in a unigram model.
 UNKNOWN_PENALTY = 10.0
 INF = float("inf")
+#: Parts of a text: a run of spaces with what follows it.
+_PART = re.compile(" *[^ ]+| +")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -68,12 +80,25 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class Normaliser:
-    """Characters to normalised characters, by the model's compiled map if it has one."""
+    """A sequential transducer of characters, compiled from a model's settings, behind its map of strings if there is one.
+
+    States: START before the first character, IN, and GAP after spaces that count only if something follows them.
+    """
+
+    START, IN, GAP = range(3)
 
     def __init__(self, spec: bytes, escape: bool = True) -> None:
         got = dict(_fields(spec))
-        self.prefix, self.squeeze = bool(got.get(3, 1)), bool(got.get(4, 1))
+        self.prefix, squeeze = bool(got.get(3, 1)), bool(got.get(4, 1))
         self.space = SPACE if got.get(5, 1) and escape else " "
+        begin = self.space if self.prefix else ""
+        #: By state: where a space leads and what it writes, and what another character writes before itself.
+        self.on_space = {
+            self.START: (self.START, "") if squeeze else (self.IN, begin + self.space),
+            self.IN: (self.GAP, "") if squeeze else (self.IN, self.space),
+            self.GAP: (self.GAP, ""),
+        }
+        self.before = {self.START: begin, self.IN: "", self.GAP: self.space}
         charsmap = got.get(2, b"")
         self.units, self.text = (), b""
         if charsmap:
@@ -97,24 +122,55 @@ class Normaliser:
                 best = (k - at + 1, units[node] & 0x7FFFFFFF)
         return best
 
+    def mapped(self, text: str) -> str:
+        """The text after the model's map."""
+        data, out, at = text.encode(), [], 0
+        while at < len(data):
+            n, where = self._longest(data, at)
+            if n:
+                out.append(self.text[where : self.text.index(b"\0", where)])
+                at += n
+            else:
+                step = 1 + (data[at] >= 0xC0) + (data[at] >= 0xE0) + (data[at] >= 0xF0)
+                out.append(data[at : at + step])
+                at += step
+        return b"".join(out).decode()
+
+    def write(self, text: str, state: int = START) -> str:
+        """What the transducer writes for a text that it reads from a state. Runs of other characters are read at once."""
+        out = []
+        for k, run in enumerate(text.split(" ")):
+            if k:
+                state, written = self.on_space[state]
+                out.append(written)
+            if run:
+                out.append(self.before[state])
+                out.append(run)
+                state = self.IN
+        return "".join(out)
+
     def __call__(self, text: str) -> str:
-        if self.units:
-            data, out, at = text.encode(), [], 0
-            while at < len(data):
-                n, where = self._longest(data, at)
-                if n:
-                    out.append(self.text[where : self.text.index(b"\0", where)])
-                    at += n
-                else:
-                    step = 1 + (data[at] >= 0xC0) + (data[at] >= 0xE0) + (data[at] >= 0xF0)
-                    out.append(data[at : at + step])
-                    at += step
-            text = b"".join(out).decode()
-        if self.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-        if not text:
-            return ""
-        return ((" " if self.prefix else "") + text).replace(" ", self.space)
+        return self.write(self.mapped(text) if self.units else text)
+
+
+class Trie:
+    """The pieces as a machine: `arcs[node]` reads a character; `piece[node]` is what the arc back to the root writes, or -1."""
+
+    ROOT = 0
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        self.arcs: list[dict[str, int]] = [{}]
+        self.piece = [-1]
+        for text, number in pieces.items():
+            node = self.ROOT
+            for c in text:
+                after = self.arcs[node].get(c)
+                if after is None:
+                    after = self.arcs[node][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.piece.append(-1)
+                node = after
+            self.piece[node] = number
 
 
 class PieceTransducer:
@@ -137,21 +193,23 @@ class PieceTransducer:
         self.normalise = Normaliser(normaliser)
         self.number = {p: i for i, (p, _, k) in enumerate(self.pieces) if k in (NORMAL, USER)}
         self.score = [s for _, s, _ in self.pieces]
-        ends: dict[str, set[int]] = {}
-        for p in self.number:
-            ends.setdefault(p[-1], {1}).add(len(p))
-        #: By last character, the lengths of the pieces that end with it, longest first.
-        self.lengths = {c: tuple(sorted(n, reverse=True)) for c, n in ends.items()}
-        self.longest = max(map(len, self.number), default=1)
+        self.trie = Trie(self.number)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == BYTE}
         self.unknown = next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN), 0)
-        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.number)
+        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.number) and not self.normalise.units and self.normalise.space == SPACE
         self.back = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in self.pieces]
         self.pairs: dict[int, bool] = {}
         self.code = [np.array([i], "<i4").tobytes() for i in range(len(self.pieces))]
         self.keep: int = keep
+        ends: dict[str, set[int]] = {}
+        for p in self.number:
+            ends.setdefault(p[-1], {1}).add(len(p))
+        #: By last character, the lengths of the pieces that end with it, longest first.
+        self.lengths = {c: tuple(sorted(n, reverse=True)) for c, n in ends.items()}
+        #: States of the composition by beginning of a part (the older half is dropped in time), and paths of parts.
         self.fresh: dict[str, tuple[int, bytes]] = {}
         self.stale: dict[str, tuple[int, bytes]] = {}
+        self.paths: dict[str, bytes] = {}
 
     def merges_inside(self, text: str, edge: int) -> bool:
         """Whether merging by score (the definition of BPE) ends with pieces that meet at `edge` and span either side.
@@ -192,36 +250,68 @@ class PieceTransducer:
             known = self.pairs[pair] = self.merges_inside(left + self._text(b), len(left))
         return known
 
-    def _finite_path(self, text: str) -> list[int]:
-        """The one finite path through the lattice of a BPE model, as keys."""
-        n, number, lengths, other = len(text), self.number, self.lengths, len(self.pieces)
-        last, size_of = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for size in lengths.get(text[i - 1], (1,)):
-                if size <= i:
-                    key = number.get(text[i - size : i])
-                    if key is None and size == 1:
-                        key = other + ord(text[i - 1])
-                    if key is not None and self._apart(last[i - size], key):
-                        last[i], size_of[i] = key, size
-                        break
-        out, i = [], n
+    def _weights(self, last: int, key: int) -> float:
+        """Weight of an arc that writes `key` after `last`."""
+        if self.kind == BPE:
+            return 0.0 if self._apart(last, key) else INF
+        return -self.score[key] if key < len(self.score) else UNKNOWN_PENALTY - min(self.score, default=0.0)
+
+    def _ids(self, text: str) -> bytes:
+        """The shortest path of the composition with a normalised text, as little-endian 32-bit integers.
+
+        Of paths of one weight, the one whose last piece is longest. States between pieces are the last piece for BPE
+        models (the neighbours' state), one state for unigram models; inside pieces, nodes of the trie.
+        """
+        arcs, piece, other = self.trie.arcs, self.trie.piece, len(self.pieces)
+        # By position: by state, the distance, the key written last, where it began and the state there.
+        at: list[dict[int, tuple[float, int, int, int]]] = [{-1: (0.0, -1, 0, -1)}]
+        inside: list[tuple[int, int]] = []
+        for i, char in enumerate(text):
+            here: dict[int, tuple[float, int, int, int]] = {}
+            if at[i]:
+                inside.append((Trie.ROOT, i))
+            moved: list[tuple[int, int]] = []
+            for node, begin in inside:
+                after = arcs[node].get(char)
+                key = -1
+                if after is not None:
+                    moved.append((after, begin))
+                    key = piece[after]
+                if begin == i and key < 0:  # no piece by itself: byte fallback
+                    key = other + ord(char)
+                if key >= 0:
+                    for state, (far, *_) in at[begin].items():
+                        weight = far + self._weights(state, key)
+                        to = key if self.kind == BPE else -1
+                        if weight < INF and (to not in here or weight < here[to][0]):
+                            here[to] = (weight, key, begin, state)
+            at.append(here)
+            inside = moved
+        if not at[-1]:
+            raise ValueError(f"no path through {text[:80]!r}")
+        state = min(at[-1], key=lambda k: at[-1][k][0])
+        keys: list[int] = []
+        i = len(text)
         while i:
-            out.append(last[i])
-            i -= size_of[i]
-        return out[::-1]
+            _, key, i, state = at[i][state]
+            keys.append(key)
+        out: list[bytes] = []
+        for key in reversed(keys):
+            out.append(self.code[key] if key < other else self._fallback(self._text(key), out[-1] if out else b""))
+        return b"".join(out)
 
     def _state(self, prefix: str) -> tuple[int, bytes]:
-        """The search's state after a prefix of a part: the last piece and the whole encoding; states are kept.
+        """The state of a BPE model's composition after a beginning of a part, and the encoding so far.
 
-        The best piece that ends here needs only the state before it, so shared prefixes are searched once.
+        The composition is deterministic, so the one piece that ends here at a finite distance is found by trying those
+        that end with the last character, longest first; states are kept, and shared by all parts that begin so.
         """
         known = self.fresh.get(prefix)
         if known is not None:
             return known
         known = self.stale.get(prefix)
         if known is None:
-            number, n = self.number, len(prefix)
+            number, n, other, pairs = self.number, len(prefix), len(self.pieces), self.pairs
             for size in self.lengths.get(prefix[-1], (1,)):
                 if size > n:
                     continue
@@ -229,12 +319,14 @@ class PieceTransducer:
                 if key is None:
                     if size > 1:
                         continue
-                    key = len(self.pieces) + ord(prefix[-1])
+                    key = other + ord(prefix[-1])
                 last, coded = self._state(prefix[: n - size]) if size < n else (-1, b"")
-                apart = self.pairs.get(last << 22 | key)
+                apart = pairs.get(last << 22 | key) if last >= -1 else False
                 if self._apart(last, key) if apart is None else apart:
-                    known = key, coded + (self.code[key] if key < len(self.code) else self._fallback(prefix[-1], coded))
+                    known = key, coded + (self.code[key] if key < other else self._fallback(prefix[-1], coded))
                     break
+            else:
+                known = -2, b""  # no piece ends here
         if len(self.fresh) >= self.keep:
             self.stale, self.fresh = self.fresh, {}
         self.fresh[prefix] = known
@@ -246,65 +338,36 @@ class PieceTransducer:
             return np.array([self.bytes[b] for b in char.encode()], "<i4").tobytes()
         return b"" if before.endswith(self.code[self.unknown]) else self.code[self.unknown]
 
-    def _lightest_path(self, text: str) -> list[int]:
-        """The lightest path through the lattice of a unigram model, as keys; of equals, the one with the longest last piece."""
-        n, worst, other = len(text), min(self.score, default=0.0) - UNKNOWN_PENALTY, len(self.pieces)
-        weight, last, size_of = [0.0] + [INF] * n, [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                k = self.number.get(text[j:i])
-                w = weight[j] - (self.score[k] if k is not None else worst)
-                if (k is not None or i - j == 1) and w < weight[i]:
-                    weight[i], last[i], size_of[i] = w, other + ord(text[j]) if k is None else k, i - j
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i -= size_of[i]
-        return out[::-1]
-
-    def _ids(self, part: str) -> bytes:
-        """The encoding of a part of the lattice, as little-endian 32-bit integers."""
-        out: list[bytes] = []
-        for key in self._finite_path(part) if self.kind == BPE else self._lightest_path(part):
-            out.append(self.code[key] if key < len(self.code) else self._fallback(self._text(key), out[-1] if out else b""))
-        return b"".join(out)
-
     def _part(self, part: str) -> bytes:
-        if len(part) > 64:
+        """The path of a normalised part."""
+        if self.kind != BPE or len(part) > 64:
             return self._ids(part)
-        if self.kind == BPE:
-            return self._state(part)[1]
-        known = self.fresh.get(part) or self.stale.get(part) or (-1, self._ids(part))
-        if len(self.fresh) >= self.keep:
-            self.stale, self.fresh = self.fresh, {}
-        self.fresh[part] = known
-        return known[1]
+        last, path = self._state(part)
+        if last == -2:
+            raise ValueError(f"no path through {part!r}")
+        return path
 
     def forget(self) -> None:
-        """Drop the kept states (not the checks of neighbours, which every text needs)."""
-        self.fresh, self.stale = {}, {}
+        """Drop the kept states and paths (not the weights of neighbours, which every text needs)."""
+        self.fresh, self.stale, self.paths = {}, {}, {}
 
     def encode(self, text: str) -> bytes:
         """Piece numbers of a whole text, as little-endian 32-bit integers."""
-        norm = self.normalise(text)
-        if not norm:
-            return b""
-        if not self.cuts or self.normalise.space != SPACE:
-            return self._ids(norm)
+        write, paths = self.normalise.write, self.paths
+        if not self.cuts:
+            norm = self.normalise(text)
+            return self._ids(norm) if norm else b""
         out = []
-        runs = norm.split(SPACE)
-        if runs[0]:
-            out.append(self._part(runs[0]))
-        pending = ""
-        for run in runs[1:]:
-            pending += SPACE
-            if run:
-                part = pending + run
-                pending = ""
-                got = self.fresh.get(part)
-                out.append(self._part(part) if got is None else got[1])
-        if pending:
-            out.append(self._part(pending))
+        for k, part in enumerate(_PART.findall(text)):
+            path = paths.get(part) if k else None
+            if path is None:
+                norm = write(part, Normaliser.IN if k else Normaliser.START)
+                path = self._part(norm) if norm else b""
+                if k and len(part) <= 64:
+                    if len(paths) >= self.keep:
+                        paths.clear()
+                    paths[part] = path
+            out.append(path)
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
