@@ -254,6 +254,40 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_equal_a_plain_forward_pass():
+    """Word by word and filter by filter, on a model of random numbers."""
+    rng = np.random.default_rng(8)
+    n_out = len(toxicity.WIDTHS) * toxicity.FILTERS
+    embed = rng.normal(size=(toxicity.BUCKETS, toxicity.DIM)).astype(np.float32)
+    embed[0] = 0
+    conv = [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    model = toxicity.Model(embed, conv, rng.normal(size=n_out).astype(np.float32), rng.normal(size=n_out).astype(np.float32), 0.3, ["a", "b"], rng.normal(size=(toxicity.BUCKETS, 2)).astype(np.float32), np.array([0.1, -0.2]))
+    texts = ["", "one", "Two words", "a bb ccc dddd eeeee ffffff ggggggg hhhhhhhh iiiiiiiii", "Straße, é! " * 30, "x " * 5000]
+    got, langs = toxicity.Scorer(model).scores(texts)
+    for k, t in enumerate(texts):
+        ids, at = toxicity.features(toxicity.spans([t.lower().encode()], toxicity._BETWEEN, fold=False))
+        words = [np.mean([embed[i] for i in ids[w] if i], axis=0) for w in at]
+        peaks = []
+        for width, filters in zip(toxicity.WIDTHS, conv, strict=True):
+            rows = words + [np.zeros(toxicity.DIM)] * 4
+            peaks.append(np.max([sum(rows[p + j] @ filters[j] for j in range(width)) for p in range(len(words) + 2)], axis=0))
+        logit = np.maximum(np.concatenate(peaks) + model.bias, 0) @ model.out + 0.3
+        votes = np.sum([model.lang_logp[ids[w, 0]] for w in at], axis=0) if len(at) else np.zeros(2)
+        assert langs[k] == int(np.argmax(votes)) and got[k] == pytest.approx(1 / (1 + math.exp(-(logit - model.cut[langs[k]]))), abs=1e-4)
+
+
+def test_toxicity_sample_holds_its_bounds(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k} " * (1 + k % 3), "en") for k in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] * 3 + [(1, None), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, 9, 1 << 20).collect()
+    assert len(rows) == 9 and sum(r.toxic for r in rows) == 3 and all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
+    assert sorted(map(tuple, toxicity.labelled_sample(docs.repartition(3), labels, 9, 1 << 20).collect())) == sorted(map(tuple, rows))
+    assert sum(len(r.text) for r in toxicity.labelled_sample(docs, labels, 9, 60).collect()) <= 60
+    long = spark.createDataFrame([(1, "word " * 200_000, "x", "a", 1), (1, "word " * 200_000, "x", "a", 1), (None, "", None, None, None)], "doc_id long, text string, score string, predicted string, lang int")
+    out = toxicity.score(long, toxicity.fit(docs, labels)).collect()
+    assert len(out) == 3 and out[0].score == out[1].score
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a b", None])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
