@@ -12,7 +12,7 @@ from .functions.tokens import CJK, LETTER, RUN, SPACE, estimate_tokens
 from .operators import grid, layout, tree
 from .plans import catalog, chunking, dataset, render, stats
 from .plans.packing import Options
-from .sources import markup
+from .sources import files, markup, office_writer
 from .streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,11 +83,18 @@ def blank_line_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("p").alias("n"), F.array_join("p", "\n").alias("joined"))
 
 
-@query()
+# RE2 has no look-ahead: newlines after an end are taken along, and blank pieces are joined to the piece before by running numbers.
+SENTENCES = rf"""WITH m AS (SELECT doc_id, regexp_replace(text, '([。！？；…]+[」』”’）】》]*[ \t]*)|([.!?;]+[")\]'']*)(?:([ \t]+)|(\n+)|$)|(\n+)', '\1\2\3\4\5' || chr(1114110), 'g') AS t FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, unnest(string_split(t, chr(1114110))) AS p, generate_subscripts(string_split(t, chr(1114110)), 1) AS k FROM m),
+    q AS (SELECT *, sum(CASE WHEN regexp_matches(p, '^[{SPACE}]*$') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM p WHERE p <> ''),
+    s AS (SELECT doc_id, g, string_agg(p, '' ORDER BY k) AS sentence FROM q GROUP BY doc_id, g)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INTEGER AS n, sentence FROM s"""
+
+
+@query(SENTENCES)
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of every document; RE2 has no look-ahead, so a test holds it against a loop."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("n", "sentence"))
-    return docs
+    """Sentences of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("n", "sentence"))
 
 
 NO_FILE = r"""regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g')"""
@@ -151,7 +158,11 @@ def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.agg(F.count("*").alias("total"), F.countDistinct("doc_id").alias("docs"), F.avg("token_count").alias("mean_tokens"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    c AS MATERIALIZED (SELECT doc_id, i, {TOKENS} AS cost FROM l),
+    g AS (SELECT doc_id, i, 0 AS bin, cost AS used, cost FROM c WHERE i = 1 UNION ALL
+      SELECT c.doc_id, c.i, g.bin + CASE WHEN g.used + c.cost > 256 THEN 1 ELSE 0 END, CASE WHEN g.used + c.cost > 256 THEN c.cost ELSE g.used + c.cost END, c.cost FROM g JOIN c ON c.doc_id = g.doc_id AND c.i = g.i + 1)
+    SELECT doc_id, bin::INTEGER AS bin, (min(i) - 1)::INTEGER AS first, (max(i) - 1)::INTEGER AS last, sum(cost)::BIGINT AS cost FROM g GROUP BY doc_id, bin""")
 def greedy_pack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines packed greedily to 256 tokens a bin: first line, last line and cost of every bin of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
@@ -204,15 +215,17 @@ def granularity_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- tables, trees, regions
 
 
-@query("""WITH c AS (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1)::INTEGER AS r, l_returnflag AS f, l_linestatus AS s FROM lineitem)
-    SELECT l_orderkey, max(r)::INTEGER + 1 AS n_rows, 2 AS n_cols, string_agg(f || ',' || s, ';' ORDER BY r) AS body, false AS merged FROM c GROUP BY l_orderkey""")
+@query("""WITH c AS (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1)::INTEGER AS r, l_returnflag AS f, CASE WHEN l_quantity > 45 THEN '' ELSE l_linestatus END AS s, l_quantity > 45 AS wide FROM lineitem)
+    SELECT l_orderkey, max(r)::INTEGER + 1 AS n_rows, 2 AS n_cols, string_agg(f || ',' || s, ';' ORDER BY r) AS body, bool_or(wide) AS merged FROM c GROUP BY l_orderkey""")
 def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse cells of each order's lines as a dense grid."""
+    """Sparse cells of each order's lines as a dense grid; the first cell of a line of large quantity spans both columns."""
     lines = grid.numbered(table(spark, sf_dir, "lineitem"), key="l_orderkey", order=["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
-    cells = lines.select("l_orderkey", F.explode(F.array(*[F.struct(F.col("r"), F.lit(k).alias("c"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), F.col(n).alias("text"), F.lit(False).alias("is_header")) for k, n in enumerate(("l_returnflag", "l_linestatus"))])).alias("cell"))
+    wide = F.col("l_quantity") > 45
+    cell = lambda c, across, text: F.struct(F.col("r"), F.lit(c).alias("c"), F.lit(1).alias("rowspan"), across.alias("colspan"), F.col(text).alias("text"), F.lit(False).alias("is_header"))
+    first, second = cell(0, F.when(wide, 2).otherwise(1), "l_returnflag"), cell(1, F.lit(1), "l_linestatus")
+    cells = lines.select("l_orderkey", F.explode(F.when(wide, F.array(first)).otherwise(F.array(first, second))).alias("cell"))
     rows = cells.groupBy("l_orderkey").agg(F.collect_list("cell").alias("cells"))
-    g = grid.dense(F.col("cells"))
-    out = rows.select("l_orderkey", g.alias("g"), grid.has_merged(F.col("cells")).alias("merged"))
+    out = rows.select("l_orderkey", grid.dense(F.col("cells")).alias("g"), grid.has_merged(F.col("cells")).alias("merged"))
     return out.select("l_orderkey", F.size("g").alias("n_rows"), F.size(F.get("g", F.lit(0))).alias("n_cols"), F.array_join(F.transform("g", lambda r: F.array_join(r, ",")), ";").alias("body"), "merged")
 
 
@@ -418,12 +431,61 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- rendering
 
 
-@query()
+LINES = rf"[x FOR x IN [{STRIP % "regexp_replace(l, '<([A-Za-z/!?])', '&lt;\\1', 'g')"} FOR l IN string_split(text, chr(10))] IF x <> '']"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {LINES} AS l FROM documents WHERE len([x FOR x IN string_split(text, chr(10)) IF x <> '']) > 0)
+    SELECT doc_id::VARCHAR AS doc_id, CASE WHEN len(l) > 0 THEN array_to_string(l, chr(10) || chr(10)) || chr(10) ELSE '' END AS body FROM d""")
 def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as Markdown, from its lines as paragraphs."""
-    docs = table(spark, sf_dir, "documents")
-    nodes = chunking.plain_nodes(docs, id_col="doc_id", blocks=F.filter(F.split("text", "\n"), lambda x: x != ""))
-    return render.render_documents(nodes)
+    return render.render_texts(table(spark, sf_dir, "documents"), id_col="doc_id", blocks=F.filter(F.split("text", "\n"), lambda x: x != ""))
+
+
+# ---------------------------------------------------------------- office files, made from the tables and read back
+
+VISIBLE = rf"regexp_replace(%s, '[{SPACE}\x00-\x08\x0b\x0c\x0e-\x1f\x{{fffe}}\x{{ffff}}]+', '', 'g')"
+
+
+def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.coalesce("source", F.lit("none")).alias("title"), F.split("text", "\n").alias("lines"))
+    return office_writer.made(docs, "docx", office_writer.text_document, id_col="doc_id", columns=["title", "lines"])
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(source, 'none') AS source, text, [x FOR x IN string_split(text, chr(10)) IF {STRIP % 'x'} <> ''] AS l FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id::VARCHAR AS doc_id, 'ok' AS status, 'L0' AS parse_level, 1.0::DOUBLE AS text_coverage, len(l)::BIGINT + 1 AS nodes, length({VISIBLE % "source || text"})::BIGINT AS visible FROM d""")
+def docx_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a text file, read back: status, coverage, nodes and visible characters."""
+    rows = files.measured(files.parsed(_text_files(spark, sf_dir)))
+    found = F.aggregate("nodes", F.lit(0).cast("long"), lambda a, n: a + tree.numerator(n["content"]))
+    return rows.select("doc_id", "status", "parse_level", "text_coverage", F.size("nodes").cast("long").alias("nodes"), found.alias("visible"))
+
+
+@query("""SELECT l_orderkey::VARCHAR AS doc_id, 'A1:D' || (count(*) + 1) AS region, (4 * count(*) + 4)::BIGINT AS cells, 'ok' AS status FROM lineitem GROUP BY l_orderkey""")
+def xlsx_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as a sheet with a head row, read back: its one region and cells."""
+    cells = F.struct("l_linenumber", F.array(*[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")]).alias("row"))
+    head = F.array(F.array(*[F.lit(x) for x in ("Line", "Part", "Flag", "Status")]))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(cells)).alias("lines"))
+    orders = orders.select("l_orderkey", F.lit("Lines").alias("name"), F.concat(head, F.transform("lines", lambda x: x["row"])).alias("rows"))
+    rows = files.measured(files.parsed(office_writer.made(orders, "xlsx", office_writer.workbook, id_col="l_orderkey", columns=["name", "rows"])))
+    return rows.select("doc_id", "status", F.explode(F.filter("nodes", lambda n: n["type"] == "sheet_region")).alias("n")).select("doc_id", "status", F.col("n.content.range").alias("region"), F.size("n.content.cells").cast("long").alias("cells"))
+
+
+@query(rf"""SELECT conv_id::VARCHAR AS doc_id, count(*)::BIGINT AS slides, sum(length({VISIBLE % "role || text"}))::BIGINT AS visible, 'ok' AS status FROM conversations GROUP BY conv_id""")
+def pptx_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as slides, one a turn, read back: slides and visible characters."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("none")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t")).select("conv_id", F.col("t.role").alias("titles"), F.col("t.text").alias("bodies"))
+    rows = files.measured(files.parsed(office_writer.made(talks, "pptx", office_writer.slides, id_col="conv_id", columns=["titles", "bodies"])))
+    found = F.aggregate("nodes", F.lit(0).cast("long"), lambda a, n: a + tree.numerator(n["content"]))
+    return rows.select("doc_id", F.size(F.filter("nodes", lambda n: n["type"] == "slide")).cast("long").alias("slides"), found.alias("visible"), "status")
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(source, 'none') AS source, {LINES} AS l FROM (SELECT doc_id, source, regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{{fffe}}\x{{ffff}}]+', '', 'g') AS text FROM documents WHERE text IS NOT NULL))
+    SELECT doc_id::VARCHAR AS doc_id, array_to_string(list_concat(['# ' || source], l), chr(10) || chr(10)) || chr(10) AS body FROM d""")
+def import_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to nodes to Markdown: the way of an import and an export."""
+    return render.render_documents(files.nodes_of(files.parsed(_text_files(spark, sf_dir))))
 
 
 # ---------------------------------------------------------------- page layout and views
@@ -483,10 +545,16 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.blocks(table(spark, sf_dir, "documents")).select("doc_id", "n", "kind", "level", "text", F.size("cells").alias("cells"))
 
 
-@query()
+@query("""SELECT l_orderkey, 0 AS n, (2 * count(*) + 2)::INTEGER AS cells, 1 AS head_rows, string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS body FROM lineitem GROUP BY l_orderkey""")
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables of every page (an adaptation: pages are no input format of the library)."""
-    return markup.tables(table(spark, sf_dir, "pages")).select("page_id", "n", F.size("cells").alias("cells"), "head_rows")
+    """Each order's lines as a table within a page, with tags left out as pages may, read back."""
+    line = F.struct("l_linenumber", "l_returnflag", F.concat(F.lit("<tr><td>"), F.col("l_linenumber"), F.lit("<td>"), F.col("l_returnflag"), F.lit("</td>")).alias("html"))
+    pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("t"))
+    html = F.concat(F.lit("<html><body><p>Lines<table><thead><tr><th>Line<th>Flag</thead>"), F.array_join(F.col("t.html"), "\n"), F.lit("</table><p>end"))
+    found = markup.tables(pages.select("l_orderkey", html.alias("html")), id_col="l_orderkey")
+    body = F.filter(found["cells"], lambda c: c["r"] > 0)
+    pairs = F.transform(F.filter(body, lambda c: c["c"] == 0), lambda a: F.concat(a["text"], F.lit(":"), F.get(F.filter(body, lambda b: (b["r"] == a["r"]) & (b["c"] == 1)), F.lit(0))["text"]))
+    return found.select("l_orderkey", "n", F.size(found["cells"]).alias("cells"), "head_rows", F.array_join(pairs, ",").alias("body"))
 
 
 @query("""WITH e AS (SELECT user_id % 10 AS task, event_id, CASE WHEN event_type = 'view' THEN 'progress' ELSE event_type END AS kind FROM events),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,15 +28,16 @@ def visible_chars(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(text, rf"[{SPACE}]+", "")), F.lit(0)).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: inside functions of arrays, what is not an argument is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
     """The text cut after each sentence end; blank pieces join the piece before. Joined they give the text back."""
-    parts = F.filter(F.split(F.regexp_replace(text, SENTENCE_END, f"$0{MARK}"), MARK), lambda p: p != "")
-    blank = lambda p: p.rlike(rf"^[{SPACE}]*$")
-    start = F.slice(parts, 1, 0)
-    return F.aggregate(
-        parts, start,
-        lambda done, p: F.when(blank(p) & (F.size(done) > 0), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.get(done, F.size(done) - 1), p)))).otherwise(F.concat(done, F.array(p))),
-    )
+    marked = F.regexp_replace(text, SENTENCE_END, f"$0{MARK}")
+    joined = F.regexp_replace(marked, rf"{MARK}(?=[{SPACE}]*(?:{MARK}|\z))", "")  # no mark before a blank piece
+    return F.filter(F.split(joined, MARK), lambda p: p != "")
 
 
 def paragraphs(text: Column) -> Column:

@@ -19,6 +19,6 @@ NODE = (
 )
 META = T.StructType().add("local_id", "string").add("parent_local_id", "string").add("part", "integer").add("parts", "integer").add("overlap_chars", "integer").add("merged_cells", "boolean").add("children", "integer").add("blocks", "integer").add("virtual_root", "boolean").add("footnotes", "boolean")
 CHUNK = (
-    T.StructType().add("id", "string").add("doc_id", "string").add("seq", "integer").add("parent_id", "string").add("kind", "string").add("type", "string").add("text", "string")
+    T.StructType().add("id", "string").add("doc_id", "string").add("seq", "integer").add("parent_id", "string").add("kind", "string").add("type", "string").add("text", "string").add("token_count", "long")
     .add("heading_path", "string").add("pages", T.ArrayType(T.IntegerType())).add("node_ids", T.ArrayType(T.StringType())).add("meta", META)
 )

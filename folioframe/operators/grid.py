@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.packing import tokens
+from ..functions.text import let
+from ..plans.packing import runs, sums_of, token_sums
 
 
 def numbered(rows: DataFrame, *, key: str, order: Sequence[str]) -> DataFrame:
@@ -18,14 +20,25 @@ def numbered(rows: DataFrame, *, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def dense(cells: Column) -> Column:
-    """Rows of texts from an array of cells with spans; what a span covers is empty, the last cell written stands."""
+    """Rows of texts from an array of cells with spans; what a span covers is empty, the last cell written stands.
+
+    Cells are sorted by place and the gaps between them filled: work grows with the cells and the grid, not their product.
+    """
     n_rows = F.array_max(F.transform(cells, lambda c: c["r"] + c["rowspan"]))
     n_cols = F.array_max(F.transform(cells, lambda c: c["c"] + c["colspan"]))
-    by_place = F.map_from_entries(F.aggregate(
-        cells, F.array().cast("array<struct<k:struct<r:int,c:int>,t:string>>"),
-        lambda done, c: F.concat(F.filter(done, lambda d: ~((d["k"]["r"] == c["r"]) & (d["k"]["c"] == c["c"]))), F.array(F.struct(F.struct(c["r"].cast("int").alias("r"), c["c"].cast("int").alias("c")).alias("k"), F.coalesce(c["text"], F.lit("")).alias("t")))),
-    ))
-    return F.transform(F.sequence(F.lit(0), n_rows - 1), lambda r: F.transform(F.sequence(F.lit(0), n_cols - 1), lambda c: F.coalesce(by_place[F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"))], F.lit(""))))
+
+    def filled(size: Column) -> Column:
+        place = lambda c, i: F.struct((c["r"].cast("long") * size["cols"] + c["c"]).alias("k"), i.alias("i"), F.coalesce(c["text"], F.lit("")).alias("text"))
+        last = lambda s: F.filter(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.when(b.isNull() | (a["k"] != b["k"]), a)), lambda a: a.isNotNull())
+        return let(F.array_sort(F.transform(cells, place)), lambda s: let(last(s), lambda ones: rows(size, ones)))
+
+    def rows(size: Column, ones: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(-1).cast("long")), F.transform(ones, lambda a: a["k"])), 1, F.size(ones))
+        parts = F.zip_with(ones, before, lambda a, k: F.concat(F.array_repeat(F.lit(""), (a["k"] - k - 1).cast("int")), F.array(a["text"])))
+        rest = F.array_repeat(F.lit(""), (size["rows"] * size["cols"] - 1 - F.element_at(ones, -1)["k"]).cast("int"))
+        return let(F.concat(F.flatten(parts), rest), lambda flat: F.transform(F.sequence(F.lit(0), size["rows"] - 1), lambda r: F.slice(flat, r * size["cols"] + 1, size["cols"])))
+
+    return F.when(F.size(cells) > 0, let(F.struct(n_rows.cast("int").alias("rows"), n_cols.cast("int").alias("cols")), filled))
 
 
 def has_merged(cells: Column) -> Column:
@@ -34,11 +47,8 @@ def has_merged(cells: Column) -> Column:
 
 def header_rows(cells: Column, most: int = 3) -> Column:
     """Leading rows, three at most, that hold a head cell."""
-    holds = lambda r: F.exists(cells, lambda c: (c["r"] == r) & F.coalesce(c["is_header"], F.lit(False)))
-    out = F.lit(most)
-    for r in range(most - 1, -1, -1):
-        out = F.when(holds(F.lit(r)), out).otherwise(F.lit(r))
-    return out
+    heads = F.array_distinct(F.transform(F.filter(cells, lambda c: F.coalesce(c["is_header"], F.lit(False)) & (c["r"] < most)), lambda c: c["r"]))
+    return let(heads, lambda h: F.size(F.filter(F.array(*[F.lit(k) for k in range(most)]), lambda k: F.forall(F.sequence(F.lit(0), k), lambda j: F.array_contains(h, j)))))
 
 
 def islands(rows: DataFrame, key: Sequence[str], position: str, name: str) -> DataFrame:
@@ -74,15 +84,11 @@ def pack_lines(docs: DataFrame, *, key: str, lines: str, budget: int) -> DataFra
         for pdf in batches:
             out = []
             for k, texts in zip(pdf[key], pdf[lines], strict=True):
-                number = first = used = 0
-                for at, text in enumerate([] if texts is None else texts):
-                    cost = tokens(text)
-                    if at > first and used + cost > budget:
-                        out.append((k, number, first, at - 1, used))
-                        number, first, used = number + 1, at, 0
-                    used += cost
-                if texts is not None and len(texts):
-                    out.append((k, number, first, len(texts) - 1, used))
+                texts = [] if texts is None else list(texts)
+                ends = np.cumsum([len(t) + 1 for t in texts])  # a line's newline belongs to none
+                sums = token_sums("\n".join(texts))
+                costs = sums_of((sums[ends - 1] - sums[np.concatenate([[0], ends[:-1]])]).tolist()) if texts else [0]
+                out += [(k, number, i, j - 1, costs[j] - costs[i]) for number, (i, j) in enumerate(runs(costs, budget))]
             yield pd.DataFrame(out, columns=[key, "bin", "first", "last", "cost"])
 
     kind = docs.schema[key].dataType.simpleString()

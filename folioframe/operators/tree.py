@@ -15,16 +15,19 @@ def coverage(found: Column, stated: Column) -> Column:
     return F.when(stated.isNull(), None).when(stated == 0, 1.0).otherwise(F.least(F.lit(1.0), found.cast("double") / stated))
 
 
-def heading_parents(heads: DataFrame, *, key: str, order: str, level: str, deepest: int = 9) -> DataFrame:
-    """Each heading with the nearest one before it of a smaller level, as column parent (null: none).
+def heading_parents(heads: DataFrame, *, key: str, order: str, level: str, most: int = 1000) -> DataFrame:
+    """Each heading with the nearest one before it of a smaller level, as column parent (null: none, or no level).
 
-    Levels are few, so that is the latest of the last heading of each smaller level: one sort a document, no join.
+    That is the latest of the last headings of each smaller level that there is: one sort a document, no join. The
+    levels are taken from the data; more than `most` different ones are an error.
     """
+    levels = sorted(r[0] for r in heads.select(level).where(F.col(level).isNotNull()).distinct().limit(most + 1).collect())
+    if len(levels) > most:
+        raise ValueError(f"headings of more than {most} levels")
     before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(level) <= lv, F.col(order)), ignorenulls=True).over(before) for lv in range(0, deepest)]
     pick = F.lit(None).cast(heads.schema[order].dataType)
-    for lv in range(deepest - 1, -1, -1):
-        pick = F.when(F.col(level) == lv + 1, last[lv]).otherwise(pick)
+    for above, lv in zip(levels, levels[1:], strict=False):
+        pick = F.when(F.col(level) == lv, F.last(F.when(F.col(level) <= above, F.col(order)), ignorenulls=True).over(before)).otherwise(pick)
     return heads.withColumn("parent", pick)
 
 

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: States of tasks that have not ended.
+OPEN_STATES = ("queued", "running")
+
+
 def contains(q: str, *columns: str) -> Column:
     """Whether a column holds q, letters alike in either case; % and _ in q are wildcards."""
     hit = F.lit(False)
@@ -31,6 +36,36 @@ def page(rows: DataFrame, order: Sequence[Column], number: int = 1, size: int =
     return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_with_total(rows: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20, largest: int = 200) -> DataFrame:
+    """A page of rows, each with the number of all rows as `total`: one count, joined as a single row. An empty page has no rows."""
+    return page(rows, order, number, size, largest).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+
+
+def active(tasks: DataFrame, doc_id: object, *, doc: str = "doc_id", status: str = "status") -> bool:
+    """Whether a document has tasks that wait or run, so that it must not be deleted or parsed again now."""
+    return not tasks.where((F.col(doc) == F.lit(doc_id)) & F.col(status).isin(*OPEN_STATES)).isEmpty()
+
+
+def exportable(docs: DataFrame, q: str | None = None, *, status: str = "status", name: str = "name") -> DataFrame:
+    """Documents that can be exported, by name if `q` is given, letters alike in either case."""
+    return select_rows(docs, {status: "ok"}, q, [name])
+
+
+def chunk_scan(chunks: DataFrame, doc_id: object, kind: str | None = None) -> DataFrame:
+    """A document's chunks in order, all or of one kind."""
+    return select_rows(chunks, {"doc_id": doc_id, "kind": kind}).orderBy("seq")
+
+
+def ir_summary(files: DataFrame, *, size: str = "size", nodes: str = "nodes", largest: int = 16 * 1024**2) -> DataFrame:
+    """Stored trees with their number of nodes, null above a size at which they aren't opened for a summary."""
+    return files.withColumn("node_count", F.when(F.col(size) <= largest, F.size(nodes)))
+
+
+def missing_members(manifest: Column, members: Column) -> tuple[Column, Column]:
+    """Members of a package that its manifest doesn't name, and names that have no member."""
+    return F.array_except(members, manifest), F.array_except(manifest, members)
+
+
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The last row of each key: partial maxima instead of a sort of each key's rows."""
     rest = [c for c in rows.columns if c not in key]
@@ -54,16 +89,28 @@ def cascade(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame, key: str)
     return {name: without(rows, gone, on, key) for name, (rows, on) in tables.items()}
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Base with changed rows in place of those with the same key; one change a key."""
-    return base.join(changes.select(*key).distinct(), list(key), "left_anti").unionByName(changes)
+def upsert(base: DataFrame, changes: DataFrame, key: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """Base with changed rows in place of those with the same key. Of several changes to a key the last in `order` counts,
+    without an order the greatest row."""
+    last = latest(changes, key, list(order) or [F.col(c) for c in changes.columns if c not in key])
+    return base.join(last.select(*key), list(key), "left_anti").unionByName(last)
 
 
-def patch(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Base with the values of changes (one row a key) where these are not null."""
-    fields = [c for c in changes.columns if c != key]
-    joined = base.join(changes.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in fields]), base[key] == F.col("__key"), "left")
-    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in base.columns])
+def patch(base: DataFrame, changes: DataFrame, key: str, nulls: Sequence[str] = ()) -> DataFrame:
+    """Base with the values of changes (one row a key) where these are not null; in the columns `nulls`, also where they are."""
+    fields = {c: f"new_{k}" for k, c in enumerate(c for c in changes.columns if c != key)}
+    names = {c: f"old_{k}" for k, c in enumerate(base.columns)}
+    fresh = changes.select(F.col(key).alias("changed"), *[F.col(c).alias(n) for c, n in fields.items()])
+    joined = base.toDF(*names.values()).join(fresh, F.col(names[key]) == F.col("changed"), "left")
+
+    def value(c: str) -> Column:
+        old = F.col(names[c])
+        if c not in fields:
+            return old.alias(c)
+        new = F.col(fields[c])
+        return (F.when(F.col("changed").isNotNull(), new).otherwise(old) if c in nulls else F.coalesce(new, old)).alias(c)
+
+    return joined.select(*[value(c) for c in base.columns])
 
 
 def replace_documents(base: DataFrame, fresh: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -71,22 +118,50 @@ def replace_documents(base: DataFrame, fresh: DataFrame, key: str = "doc_id") ->
     return without(base, fresh, key).unionByName(fresh)
 
 
+def in_parts(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Rows sorted over all partitions, and held on disk so, with the number of their part: parts are in order too."""
+    return rows.orderBy(*order).withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+
+
 def earlier_duplicate(docs: DataFrame, *, content: str, order: Sequence[str], id_col: str) -> DataFrame:
-    """Each row with the id of the latest earlier row of the same content; advisory, nothing is dropped."""
-    return docs.withColumn("duplicate_of", F.when(F.col(content).isNotNull(), F.lag(id_col).over(W.partitionBy(content).orderBy(*order))))
+    """Each row with the id of the latest earlier row of the same content; advisory, nothing is dropped. Null content has none.
+
+    Rows are sorted by content and order over all partitions, so one content of very many rows is spread too; the first
+    row of a part looks at the last of the parts before.
+    """
+    names = [F.col(c) for c in order]
+    sorted_ = in_parts(docs.where(F.col(content).isNotNull()), [F.col(content), *names])
+    ends = sorted_.groupBy(F.col("part").alias("p")).agg(F.max_by(F.struct(F.col(content).alias("end_content"), F.col(id_col).alias("end_id")), F.struct(content, *order)).alias("e"))
+    ends = ends.select((F.lead("p").over(W.orderBy("p"))).alias("next"), "e.*")  # a row a part
+    within = W.partitionBy("part").orderBy(content, *order)
+    seen = sorted_.select(*docs.columns, "part", F.lag(content).over(within).alias("last_content"), F.lag(id_col).over(within).alias("last_id"))
+    seen = seen.join(F.broadcast(ends.where("next IS NOT NULL")), F.col("part") == F.col("next"), "left")  # as many rows as parts
+    before = F.when(F.col("last_content").isNull(), F.when(F.col("end_content") == F.col(content), F.col("end_id"))).when(F.col("last_content") == F.col(content), F.col("last_id"))
+    return seen.select(*docs.columns, before.alias("duplicate_of")).unionByName(docs.where(F.col(content).isNull()).withColumn("duplicate_of", F.lit(None).cast(docs.schema[id_col].dataType)))
 
 
 def unique_names(rows: DataFrame, *, folder: str, name: str, order: str, id_col: str) -> DataFrame:
-    """Names made unique within a folder, cases alike: a later one is preceded by the start of its id."""
-    turn = F.row_number().over(W.partitionBy(folder, F.lower(name)).orderBy(order))
-    return rows.withColumn("file_name", F.when(turn > 1, F.concat(F.substring(F.col(id_col).cast("string"), 1, 8), F.lit("-"), F.col(name))).otherwise(F.col(name)))
+    """Names made unique within a folder, cases alike: all but the first by order are preceded by the start of their id."""
+    place = F.struct(F.col(order).alias("order"), F.col(id_col).alias("id"))
+    first = rows.groupBy(F.col(folder).alias("in_folder"), F.lower(name).alias("lower_name")).agg(F.min(place).alias("first"))
+    joined = rows.join(first, F.col(folder).eqNullSafe(F.col("in_folder")) & F.lower(name).eqNullSafe(F.col("lower_name")), "left")
+    named = F.when(place != F.col("first"), F.concat(F.substring(F.col(id_col).cast("string"), 1, 8), F.lit("-"), F.col(name))).otherwise(F.col(name))
+    return joined.select(*[rows[c] for c in rows.columns], named.alias("file_name"))
 
 
 def within_budget(files: DataFrame, *, size: str, order: Sequence[Column], budget: int) -> DataFrame:
-    """Files in order until their sizes pass the budget; the first is always kept. A listing, not a data table."""
-    w = W.orderBy(*order)
-    running, first = F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0)), F.row_number().over(w)
-    return files.withColumn("running", running).withColumn("turn", first).where((F.col("turn") == 1) | (F.col("running") <= budget)).drop("turn")
+    """Files in order until their sizes pass the budget, with the running sum; the first is always kept.
+
+    The order should be one of single files. Sums of sorted parts come first; then each part is summed by itself.
+    """
+    parts = in_parts(files, order)
+    sums = parts.groupBy(F.col("part").alias("p")).agg(F.sum(size).alias("s"))
+    before = sums.select("p", F.coalesce(F.sum("s").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), (F.row_number().over(W.orderBy("p")) == 1).alias("top"))  # a row a part
+    w = W.partitionBy("part").orderBy(*order)
+    here = F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))
+    known = parts.select(*files.columns, "part", here.alias("here"), F.row_number().over(w).alias("turn")).join(F.broadcast(before), F.col("part") == F.col("p"))
+    known = known.withColumn("running", F.col("before") + F.col("here"))
+    return known.where((F.col("top") & (F.col("turn") == 1)) | (F.col("running") <= budget)).select(*files.columns, "running")
 
 
 def terminal_state(tasks: DataFrame, *, status: str) -> DataFrame:

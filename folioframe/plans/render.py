@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..model import NODE
 from .chunking import document_rows
@@ -254,6 +255,21 @@ def print_html(nodes: list[dict], title: str = "", *, font_size: float = 12, hea
     return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>{style}</style></head>\n<body>\n' + "\n".join(b for b in out if b) + "\n</body></html>\n"
 
 
+def render_texts(docs: DataFrame, *, id_col: str, blocks: Column, how: Callable[[list[dict]], str] = markdown) -> DataFrame:
+    """(doc_id, body) of plain texts, a paragraph for each of `blocks`. A map: nothing is shuffled. No blocks: no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, texts in zip(pdf["doc_id"], pdf["blocks"], strict=True):
+                if texts is not None and len(texts):
+                    nodes = [{"id": f"n{k}", "type": "paragraph", "parent": None, "children": [], "level": None, "content": {"text": t}, "pages": []} for k, t in enumerate(texts, 1)]
+                    out.append((doc, how(nodes)))
+            yield pd.DataFrame(out, columns=["doc_id", "body"])
+
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), blocks.alias("blocks")).mapInPandas(run, "doc_id string, body string")
+
+
 def render_documents(nodes: DataFrame, how: Callable[[list[dict]], str] = markdown) -> DataFrame:
     """(doc_id, body) from rows of model.NODE."""
 

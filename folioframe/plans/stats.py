@@ -137,6 +137,10 @@ def step_states(steps: Sequence[str], cursor: Column, failed: Column) -> Column:
 
 
 def since_days(rows: DataFrame, column: str, days: int, now: Column) -> DataFrame:
-    """Rows of the last `days` days before `now`; those without a readable time stay."""
-    at = F.try_to_timestamp(F.col(column).cast("string"))
+    """Rows of the last `days` days before `now`; those without a readable time stay.
+
+    Columns of times are compared as they are, so that the filter reaches the files' statistics.
+    """
+    kind = rows.schema[column].dataType.typeName()
+    at = F.col(column) if kind in ("timestamp", "timestamp_ntz", "date") else F.try_to_timestamp(F.col(column).cast("string"))
     return rows.where(at.isNull() | (at >= now.cast("timestamp") - F.make_dt_interval(F.lit(days))))

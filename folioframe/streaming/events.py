@@ -7,6 +7,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,15 +26,16 @@ def read_events(spark: SparkSession, path: str, schema: Any, per_trigger: int =
 def retained(events: DataFrame, *, task: str, seq: str, kind: str, most: int = MOST_EVENTS) -> DataFrame:
     """A batch of events as a trimmed log keeps them: beyond `most`, all but progress, and the newest half of `most`.
 
-    Numbers never change, so a reader's cursor stays valid. Only tasks above the limit are ranked, and of these only
-    progress events: a count decides first.
+    Numbers never change, so a reader's cursor stays valid. Only progress events of tasks above the limit are ranked: a
+    count decides first, and what it leaves alone is not sorted.
     """
-    sizes = events.groupBy(task).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(F.col(task).alias("__task"))
-    large = events.join(sizes, events[task] == sizes["__task"], "left")
-    from pyspark.sql import Window as W
-
-    rank = F.when(F.col("__task").isNotNull() & (F.col(kind) == PROGRESS), F.row_number().over(W.partitionBy(task, F.col(kind)).orderBy(F.desc(seq))))
-    return large.withColumn("__rank", rank).where(F.col("__rank").isNull() | (F.col("__rank") <= most // 2)).drop("__rank", "__task")
+    progress = F.coalesce(F.col(kind) == PROGRESS, F.lit(False))
+    large = events.groupBy(F.col(task).alias("large")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("large")
+    found = F.col(task).eqNullSafe(F.col("large"))
+    few = events.join(large, found & progress, "left_anti")
+    rank = F.row_number().over(W.partitionBy(task).orderBy(F.desc(seq)))
+    kept = events.where(progress).join(large, found, "left_semi").select(F.struct(*events.columns).alias("row"), rank.alias("rank")).where(F.col("rank") <= most // 2)
+    return few.unionByName(kept.select("row.*"))
 
 
 STATE = "task_id string, status string, events long, progress double, last_seq long"
