@@ -125,3 +125,38 @@ def version_triple(version: Column) -> Column:
     """The first three numbers of a version; what is missing or no number counts 0."""
     parts = F.split(F.regexp_replace(F.coalesce(version, F.lit("")), r"^[vV]|[-+].*$", ""), r"\.")
     return F.array(*[F.coalesce(F.regexp_extract(F.coalesce(F.get(parts, F.lit(k)), F.lit("")), r"^(\d+)", 1).try_cast("int"), F.lit(0)) for k in range(3)])
+
+
+def milliseconds_label(ms: Column) -> Column:
+    """A span for people: whole milliseconds, seconds with one decimal, then minutes and seconds; nothing known: a dash."""
+    s = ms / 1000
+    return F.when(ms.isNull() | F.isnan(ms.cast("double")), "—").when(ms < 1000, F.format_string("%dms", F.floor(ms + 0.5))).when(s < 60, F.format_string("%.1fs", s)).otherwise(F.format_string("%dm%ds", F.floor(s / 60), F.floor(s % 60 + 0.5)))
+
+
+def duration_label(start: Column, end: Column) -> Column:
+    """The time between two moments in its two largest units; a dash where it isn't known or negative."""
+    ms = F.unix_millis(end) - F.unix_millis(start)
+    s = F.floor(ms / 1000)
+    return (
+        F.when(ms.isNull() | (ms < 0), "—").when(ms < 1000, "<1s").when(s < 60, F.format_string("%ds", s))
+        .when(s < 3600, F.format_string("%dm%ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh%dm", F.floor(s / 3600), F.floor(s / 60) % 60))
+    )
+
+
+def percent_value(share: Column) -> Column:
+    """A share (0 to 1) or a percentage as a percentage."""
+    return F.when(share <= 1, share * 100).otherwise(share)
+
+
+def percent_label(share: Column, digits: int = 0) -> Column:
+    return F.when(share.isNull() | F.isnan(share.cast("double")), "—").otherwise(F.format_string(f"%.{digits}f%%", percent_value(share).cast("double")))
+
+
+def progress_value(done: Column) -> Column:
+    """Progress, given either way, from 0 to 100; unknown 0."""
+    return F.coalesce(F.least(F.greatest(percent_value(F.nanvl(done.cast("double"), F.lit(0.0))), F.lit(0.0)), F.lit(100.0)), F.lit(0.0))
+
+
+def shortened(text: Column, longest: int) -> Column:
+    """A text cut behind so many characters, with an ellipsis."""
+    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("…"))).otherwise(text)

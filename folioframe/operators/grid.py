@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..plans.packing import runs, sums_of, token_sums
+from ..plans.packing import line_sums, runs
 
 
 def numbered(rows: DataFrame, *, key: str, order: Sequence[str]) -> DataFrame:
@@ -84,10 +83,7 @@ def pack_lines(docs: DataFrame, *, key: str, lines: str, budget: int) -> DataFra
         for pdf in batches:
             out = []
             for k, texts in zip(pdf[key], pdf[lines], strict=True):
-                texts = [] if texts is None else list(texts)
-                ends = np.cumsum([len(t) + 1 for t in texts])  # a line's newline belongs to none
-                sums = token_sums("\n".join(texts))
-                costs = sums_of((sums[ends - 1] - sums[np.concatenate([[0], ends[:-1]])]).tolist()) if texts else [0]
+                costs = line_sums([] if texts is None else list(texts))
                 out += [(k, number, i, j - 1, costs[j] - costs[i]) for number, (i, j) in enumerate(runs(costs, budget))]
             yield pd.DataFrame(out, columns=[key, "bin", "first", "last", "cost"])
 

@@ -9,6 +9,7 @@ import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,28 +86,46 @@ def _named(df: DataFrame, old: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in old.items() if v not in df.columns})
 
 
+def json_parts(docs: Iterable[dict], chunks: Iterable[dict]) -> Iterator[str]:
+    """The text of a JSON export, a part at a time: documents, then chunks, empty values in their place."""
+    as_is = {"parent_id", "seq", "token_count", "char_count", "text_coverage"}
+
+    def row(r: dict, keys: Sequence[str]) -> dict:
+        return {k: r.get(k) if k in as_is else r.get(k) or ([] if k in ("pages", "node_ids") else "") for k in keys}
+
+    yield f'{{\n  "schema_version": "{VERSION}",\n  "exported_by": "{EXPORTED_BY}",\n  "docs": '
+    yield from _json_list((row(r, DOC_JSON) for r in docs), 1)
+    yield ',\n  "chunks": '
+    yield from _json_list((row(r, CHUNK_JSON) for r in chunks), 1)
+    yield "\n}\n"
+
+
+def csv_parts(chunks: Iterable[dict]) -> Iterator[str]:
+    """The text of a CSV export of chunks that name their document; pages joined by commas."""
+    values = lambda r: [",".join(map(str, r.get("pages") or ())) if k == "pages" else "" if r.get(k) is None else r[k] for k in CHUNK_CSV]
+    return _csv((values(r) for r in chunks), CHUNK_CSV)
+
+
+def pairs_parts(pairs: Iterable[dict], mode: str, count: int) -> Iterator[str]:
+    """The text of a file of question-answer pairs, with how they were made and how many there are."""
+    yield f'{{\n  "schema_version": "{VERSION}",\n  "exported_by": "{EXPORTED_BY}",\n  "mode": {json.dumps(mode)},\n  "count": {count},\n  "pairs": '
+    yield from _json_list(pairs, 1)
+    yield "\n}\n"
+
+
 def chunks_json(docs: DataFrame, chunks: DataFrame, path: str) -> str:
     """One JSON file with documents and chunks, in order of document and sequence."""
     d = _named(docs, {"id": "doc_id", "name": "doc_name", "fmt": "source_format"})
     c = _named(chunks, {"id": "chunk_id"}).orderBy("doc_id", "seq")
-
-    def parts() -> Iterator[str]:
-        yield f'{{\n  "schema_version": "{VERSION}",\n  "exported_by": "{EXPORTED_BY}",\n  "docs": '
-        yield from _json_list(({k: r.get(k) if k == "text_coverage" else r.get(k) or "" for k in DOC_JSON} for r in _rows(d)), 1)
-        yield ',\n  "chunks": '
-        keep = {"parent_id", "seq", "token_count", "char_count"}
-        yield from _json_list(({k: r.get(k) if k in keep else r.get(k) or ([] if k in ("pages", "node_ids") else "") for k in CHUNK_JSON} for r in _rows(c)), 1)
-        yield "\n}\n"
-
-    return write_text(chunks.sparkSession, path, parts())
+    return write_text(chunks.sparkSession, path, json_parts(_rows(d), _rows(c)))
 
 
 def chunks_csv(docs: DataFrame, chunks: DataFrame, path: str) -> str:
     """One CSV file of chunks with their document's name: UTF-8 with a mark, CRLF, values as they are."""
     d = _named(docs, {"id": "doc_id", "name": "doc_name"}).select(F.col("doc_id").alias("__doc"), "doc_name")
     c = _named(chunks, {"id": "chunk_id"})
-    rows = c.join(d, c["doc_id"] == F.col("__doc"), "left").orderBy("doc_id", "seq").select(*[F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages") if k == "pages" else F.col(k) for k in CHUNK_CSV])
-    return write_text(chunks.sparkSession, path, _csv((["" if v is None else v for v in r.values()] for r in _rows(rows)), CHUNK_CSV), bom=True)
+    rows = c.join(d, c["doc_id"] == F.col("__doc"), "left").orderBy("doc_id", "seq").select(*CHUNK_CSV)
+    return write_text(chunks.sparkSession, path, csv_parts(_rows(rows)), bom=True)
 
 
 def dataset_file(records: DataFrame, path: str) -> str:
@@ -123,13 +142,12 @@ def dataset_file(records: DataFrame, path: str) -> str:
 
 
 def pairs_file(pairs: DataFrame, path: str, mode: str) -> str:
-    """Question-answer pairs with how they were made and how many there are."""
-    def parts() -> Iterator[str]:
-        yield f'{{\n  "schema_version": "{VERSION}",\n  "exported_by": "{EXPORTED_BY}",\n  "mode": {json.dumps(mode)},\n  "count": {pairs.count()},\n  "pairs": '
-        yield from _json_list(_rows(pairs), 1)
-        yield "\n}\n"
-
-    return write_text(pairs.sparkSession, path, parts())
+    """Question-answer pairs as one file. They are computed once: held on disk while they are counted and written."""
+    held = pairs.persist(StorageLevel.DISK_ONLY)
+    try:
+        return write_text(pairs.sparkSession, path, pairs_parts(_rows(held), mode, held.count()))
+    finally:
+        held.unpersist()
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -151,10 +169,11 @@ def log_lines(events: DataFrame, path: str) -> None:
     events.select(row.alias("value")).write.mode("append").text(path)
 
 
-def documents_to_files(rendered: DataFrame, folder: str, *, name: str = "file_name", body: str = "body") -> DataFrame:
-    """(file_name, bytes, error): a file for each row, through the file system of the folder, one failing row alone.
+def documents_to_files(rendered: DataFrame, folder: str, *, name: str = "file_name", body: str = "body", keep: Sequence[str] = ()) -> DataFrame:
+    """(columns `keep`, file_name, bytes, error): a file for each row, text or bytes, one failing row alone.
 
-    Paths of any store that pyarrow's file systems open are written by the executors.
+    Names may have folders, but no steps upwards. Written by the executors, to any store that pyarrow's file systems
+    open; a file that is written again has the same content.
     """
     def run(batches):
         import pandas as pd
@@ -162,19 +181,30 @@ def documents_to_files(rendered: DataFrame, folder: str, *, name: str = "file_na
 
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
+        made = {base}
         for pdf in batches:
             out = []
-            for file, text in zip(pdf["name"], pdf["body"], strict=True):
+            for file, data in zip(pdf["name"], pdf["body"], strict=True):
                 try:
-                    data = (text or "").encode()
+                    if not file or ".." in file.split("/"):
+                        raise ValueError(f"not a file name: {file!r}")
+                    data = (data or "").encode() if isinstance(data, str) or data is None else bytes(data)
+                    parent = f"{base}/{file}".rpartition("/")[0]
+                    if parent not in made:
+                        store.create_dir(parent, recursive=True)
+                        made.add(parent)
                     with store.open_output_stream(f"{base}/{file}") as f:
                         f.write(data)
                     out.append((file, len(data), None))
                 except Exception as e:
                     out.append((file, 0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["file_name", "bytes", "error"])
+            written = pd.DataFrame(out, columns=["file_name", "bytes", "error"], index=pdf.index)
+            yield pd.concat([pdf[[*kept]], written], axis=1)
 
-    return rendered.select(F.col(name).alias("name"), F.col(body).alias("body")).mapInPandas(run, "file_name string, bytes long, error string")
+    kept = [f"k{i}" for i in range(len(keep))]
+    rows = rendered.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.col(name).alias("name"), F.col(body).alias("body"))
+    schema = rows.select(*kept).schema.add("file_name", "string").add("bytes", "long").add("error", "string")
+    return rows.mapInPandas(run, schema).toDF(*keep, "file_name", "bytes", "error")
 
 
 def export_all(formats: dict[str, Callable[[], str]]) -> tuple[dict[str, str], dict[str, str]]:
