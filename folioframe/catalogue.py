@@ -292,6 +292,12 @@ def list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.page(rows.select("p_partkey", "p_name"), [F.desc("p_partkey")], number=2)
 
 
+@query("""WITH r AS (SELECT p_partkey, p_name FROM part WHERE p_size < 20) SELECT *, (SELECT count(*) FROM r)::BIGINT AS total FROM r ORDER BY p_partkey LIMIT 50 OFFSET 100""")
+def counted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page with the number of rows of all pages."""
+    return catalog.page_with_total(table(spark, sf_dir, "part").where("p_size < 20").select("p_partkey", "p_name"), [F.col("p_partkey")], number=3, size=50)
+
+
 @query("SELECT event_id, event_type, user_id FROM events WHERE event_type = 'error' AND (props ILIKE '%1%' OR event_type ILIKE '%1%')")
 def event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.select_rows(table(spark, sf_dir, "events"), {"event_type": "error"}, "1", ["props", "event_type"]).select("event_id", "event_type", "user_id")
@@ -422,6 +428,39 @@ def ratio_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.cards(docs, chunks)
 
 
+DOCS = """SELECT CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'warning' ELSE 'failed' END AS status, o_orderkey % 40 AS pages, o_orderkey % 3 AS degraded_pages, o_orderkey % 5 AS ocr_pages,
+    o_totalprice / 1000000 AS text_coverage, CASE WHEN o_orderkey % 2 = 0 THEN 0.5 END AS table_confidence, NULL::DOUBLE AS ocr_confidence, o_orderdate FROM orders"""
+
+
+@query(f"""WITH d AS ({DOCS}),
+    e AS (SELECT count(*)::BIGINT AS docs_total, count(*) FILTER (o_orderdate >= TIMESTAMP '1997-01-01')::BIGINT AS docs_recent, sum(pages)::BIGINT AS pages_total, sum(degraded_pages)::BIGINT AS degraded_pages, sum(ocr_pages)::BIGINT AS ocr_pages,
+      round_even(avg(text_coverage), 4) AS avg_text_coverage, round_even(avg(table_confidence), 4)::DOUBLE AS avg_table_confidence, round_even(avg(ocr_confidence), 4) AS avg_ocr_confidence,
+      count(*) FILTER (status <> 'failed') / count(*)::DOUBLE AS good FROM d),
+    c AS (SELECT count(*)::BIGINT AS n, count(DISTINCT l_orderkey) AS k, avg(l_quantity) AS m FROM lineitem),
+    t AS (SELECT count(*) FILTER (event_type = 'view')::BIGINT AS q, count(*) FILTER (event_type = 'click')::BIGINT AS r, count(*) FILTER (event_type = 'error')::BIGINT AS f, round_even(avg(value) FILTER (event_type NOT IN ('view', 'click')), 0) AS a, round_even(quantile_cont(value, 0.5) FILTER (event_type NOT IN ('view', 'click')), 0) AS p FROM events)
+    SELECT docs_total, docs_recent, pages_total, degraded_pages, ocr_pages, avg_text_coverage, avg_table_confidence, avg_ocr_confidence, round_even(good, 4) AS success_rate, n AS chunks_total, round_even(round_even(n / k::DOUBLE, 4), 2) AS avg_chunks_per_doc, round_even(m, 1) AS avg_chunk_tokens,
+      q AS tasks_queued, r AS tasks_running, f AS tasks_failed, a AS avg_duration_ms, p AS p50_duration_ms, round_even(ocr_pages / pages_total::DOUBLE, 4) AS ocr_ratio, docs_total AS documents, n AS chunk_total, docs_recent AS imported_7d FROM e, c, t""")
+def dashboard_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All headline numbers; orders stand in for documents, order lines for chunks, events for tasks."""
+    status = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "warning").otherwise("failed")
+    key = F.col("o_orderkey")
+    docs = table(spark, sf_dir, "orders").select(
+        status.alias("status"), (key % 40).alias("pages"), (key % 3).alias("degraded_pages"), (key % 5).alias("ocr_pages"), (F.col("o_totalprice") / 1000000).alias("text_coverage"),
+        F.when(key % 2 == 0, 0.5).alias("table_confidence"), F.lit(None).cast("double").alias("ocr_confidence"), "o_orderdate",
+    )
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").alias("token_count"))
+    state = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "error", "failed").otherwise("done")
+    tasks = table(spark, sf_dir, "events").select(state.alias("status"), F.when(~F.col("event_type").isin("view", "click"), F.col("value")).alias("ms"))
+    return stats.all_cards(docs, chunks, tasks, F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp"))
+
+
+@query("SELECT count(*)::BIGINT AS n, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS done FROM orders")
+def all_time_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over all days of the daily sums."""
+    per_day = stats.daily(table(spark, sf_dir, "orders"), F.to_date("o_orderdate"), {"n": F.lit(1), "done": F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)})
+    return stats.all_time(per_day, ["n", "done"])
+
+
 @query("SELECT 'documents' AS name, count(*)::BIGINT AS rows FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'orders', count(*) FROM orders")
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [table(spark, sf_dir, n).agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n in ("documents", "events", "orders")]
@@ -566,6 +605,16 @@ def event_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.retained(e, task="task", seq="event_id", kind="kind", most=900)
 
 
+@query("""WITH e AS (SELECT user_id AS task_id, event_type AS event FROM events), t AS (SELECT user_id AS task_id, CASE WHEN user_id % 3 = 0 THEN 'done' WHEN user_id % 3 = 1 THEN 'canceled' ELSE 'running' END AS status FROM events GROUP BY user_id)
+    SELECT task_id, event, count(*)::BIGINT AS n FROM (SELECT * FROM e UNION ALL SELECT task_id, CASE status WHEN 'done' THEN 'done' ELSE 'failed' END FROM t WHERE status <> 'running') GROUP BY task_id, event""")
+def terminal_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a closing one for every task that has ended without."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("event"))
+    state = F.when(F.col("task_id") % 3 == 0, "done").when(F.col("task_id") % 3 == 1, "canceled").otherwise("running")
+    tasks = e.select("task_id").distinct().withColumn("status", state)
+    return events.backfilled(e, tasks).groupBy("task_id", "event").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts)::VARCHAR AS start, least(greatest(arg_max(value / 100, ts), 0.0), 1.0) AS progress FROM events GROUP BY 1, 2""")
 def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last progress of each task in each six hours."""

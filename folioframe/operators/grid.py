@@ -76,6 +76,20 @@ def serial_value(serial: Column) -> Column:
     return F.when(serial < 1, F.date_format(moment, "HH:mm:ss")).when(seconds == 0, F.date_format(moment, "yyyy-MM-dd")).otherwise(F.date_format(moment, "yyyy-MM-dd HH:mm:ss"))
 
 
+# Codes of errors in cells of binary sheets.
+ERRORS = {0: "#NULL!", 7: "#DIV/0!", 15: "#VALUE!", 23: "#REF!", 29: "#NAME?", 36: "#NUM!", 42: "#N/A"}
+
+
+def cell_value(kind: Column, number: Column, text: Column) -> Column:
+    """What a typed cell shows: text as it is, dates from day numbers, TRUE or FALSE, an error's sign, a number without a needless fraction."""
+    sign = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ERRORS.items() for x in kv]), number.cast("int")), F.lit("#N/A"))
+    plain = F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))
+    return (
+        F.when(kind == "text", text).when(kind == "date", serial_value(number)).when(kind == "bool", F.when(number != 0, "TRUE").otherwise("FALSE"))
+        .when(kind == "error", sign).when(kind == "number", plain).otherwise("")
+    )
+
+
 def pack_lines(docs: DataFrame, *, key: str, lines: str, budget: int) -> DataFrame:
     """(key, bin, first, last, cost): runs of lines whose tokens stay within the budget; a longer line is a run itself."""
 

@@ -111,6 +111,31 @@ def cards(docs: DataFrame, chunks: DataFrame, *, status: str = "status", tokens:
     )
 
 
+def all_time(per_day: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: the sums of daily counts over all days, 0 where there are none."""
+    return per_day.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in columns])
+
+
+def all_cards(docs: DataFrame, chunks: DataFrame, tasks: DataFrame, recent: Column) -> DataFrame:
+    """One row of all headline numbers.
+
+    docs: status, pages, degraded_pages, ocr_pages, text_coverage, table_confidence, ocr_confidence; chunks: doc_id,
+    token_count; tasks: status, ms (of tasks that ended). `recent` marks documents of the last days. A number under
+    two names has both, as readers look for either.
+    """
+    d = docs.agg(
+        F.count("*").alias("docs_total"), F.count_if(recent).alias("docs_recent"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("pages", "pages_total"), ("degraded_pages", "degraded_pages"), ("ocr_pages", "ocr_pages"))],
+        *[F.bround(F.avg(c), 4).alias(f"avg_{c}") for c in ("text_coverage", "table_confidence", "ocr_confidence")],
+    )
+    t = tasks.agg(
+        *[F.count_if(F.col("status") == s).alias(f"tasks_{s}") for s in ("queued", "running", "failed")],
+        F.bround(F.avg("ms"), 0).alias("avg_duration_ms"), F.bround(F.percentile("ms", 0.5), 0).alias("p50_duration_ms"),
+    )
+    whole = cards(docs, chunks).drop("docs_total").join(F.broadcast(d)).join(F.broadcast(t))  # one row each
+    ocr = ratio(F.col("ocr_pages"), F.col("pages_total"))
+    return whole.withColumns({"ocr_ratio": ocr, "documents": F.col("docs_total"), "chunk_total": F.col("chunks_total"), "imported_7d": F.col("docs_recent")})
+
+
 def corpus_summary(samples: DataFrame, *, passed: str, graceful: str, coverage: str, seconds: str, level: str) -> DataFrame:
     """One row over a run of samples: passes, failures, share of graceful failures, means, and samples by level."""
     return samples.agg(

@@ -163,6 +163,12 @@ def json_lines(df: DataFrame, path: str, *, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
+def append_events(events: DataFrame, path: str, ts: str = "ts") -> None:
+    """Append events to a log table, with the time now where they have none."""
+    stamped = F.coalesce(F.col(ts), F.current_timestamp()) if ts in events.columns else F.current_timestamp()
+    events.withColumn(ts, stamped).write.mode("append").parquet(path)
+
+
 def log_lines(events: DataFrame, path: str) -> None:
     """Events as flat JSON lines with all nine fields, empty ones as null."""
     row = F.to_json(F.struct(*[(F.col(k) if k in events.columns else F.lit(None).cast("string")).alias(k) for k in LOG]), {"ignoreNullFields": "false"})

@@ -22,23 +22,33 @@ SPARE = 2 * 1024**3
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*", deepest: int = 8, most: int = MOST_FILES) -> DataFrame:
-    """(path, name, ext, size, modified) of up to `most` files below a folder, without reading them; lock files are out.
+    """(path, name, ext, size, modified, cut) of up to `most` files below a folder, without reading them; lock files are out.
 
     A listing of names by the driver, like a reader's own, and the only way to see empty files: readers pass these over.
+    cut says, in every row, whether there were more files than `most`.
     """
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     top = fs.makeQualified(top)
-    base, rows = top.depth(), []
+    base, rows, cut = top.depth(), [], False
     found = fs.listFiles(top, True)
-    while found.hasNext() and len(rows) < most:
+    while found.hasNext() and not cut:
         f = found.next()
         name = f.getPath().getName()
         if f.getPath().depth() - base <= deepest and not name.startswith("~$") and fnmatch(name, pattern):
+            if len(rows) == most:
+                cut = True
+                break
             rows.append((f.getPath().toString(), name, name.rpartition(".")[2].lower() if "." in name else "", f.getLen(), f.getModificationTime()))
     out = spark.createDataFrame(rows, "path string, name string, ext string, size long, modified long")
-    return out.withColumn("modified", F.timestamp_millis("modified"))
+    return out.withColumn("modified", F.timestamp_millis("modified")).withColumn("cut", F.lit(cut))
+
+
+def snapshots(listed: DataFrame) -> DataFrame:
+    """(doc_id, page, path) of the pictures of pages among listed files: p1.png, p2.png and so on in the document's folder."""
+    page = F.regexp_extract("name", r"^p(\d+)\.png$", 1)
+    return listed.where(page != "").select(F.element_at(F.split("path", "/"), -2).alias("doc_id"), page.cast("int").alias("page"), "path")
 
 
 def gated(files: DataFrame) -> DataFrame:

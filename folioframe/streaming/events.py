@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -93,6 +93,22 @@ def sessions(events: DataFrame, *, key: str, ts: str, gap: str = "10 minutes", l
     return rows.groupBy(key, F.session_window(ts, gap)).agg(F.count("*").alias("events")).select(key, "session_window.start", "session_window.end", "events")
 
 
+def backfilled(events: DataFrame, tasks: DataFrame, *, task: str = "task_id", kind: str = "event", status: str = "status") -> DataFrame:
+    """Events (task, kind) with a closing one for each task that has ended but whose log has none: readers wait for one.
+
+    Cancelled tasks close as failed. The added rows have nulls in the events' other columns.
+    """
+    closed = events.where(F.col(kind).isin(*ENDS)).select(F.col(task).alias("closed")).distinct()
+    ended = tasks.where(F.col(status).isin(*ENDS)).select(F.col(task), F.when(F.col(status) == "done", "done").otherwise("failed").alias(kind)).distinct()
+    return events.unionByName(ended.join(closed, F.col(task) == F.col("closed"), "left_anti"), allowMissingColumns=True)
+
+
+def overdue(tasks: DataFrame, now: Column, *, since: str = "cancel_requested", status: str = "status", seconds: int = 10) -> DataFrame:
+    """Tasks that were asked to stop `seconds` or more before `now` and still run: to be closed as canceled. What they
+    send later comes after their end, and is dropped by `task_states`."""
+    return tasks.where((F.col(status) == "running") & (F.col(since) <= now - F.make_dt_interval(secs=F.lit(seconds)))).withColumn(status, F.lit("canceled"))
+
+
 def deliver(stream: DataFrame, sink, checkpoint: str, *, available_now: bool = True, mode: str = "append") -> StreamingQuery:
     """Feed each micro-batch to sink(batch, number). A batch may come twice after a failure, with the same number."""
     writer = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)

@@ -135,3 +135,52 @@ def test_node_queries(spark):
     chunks = spark.createDataFrame([("c1", "d", 1, ["n1"]), ("c2", "d", 2, ["n1", "n2"]), ("c3", "e", 1, ["n1"])], "id string, doc_id string, seq int, node_ids array<string>")
     assert {r.id for r in tree.low_confidence_chunks(chunks, nodes).collect()} == {"c1", "c2"}
     assert {(r.doc_id, r.node): r.chunk_id for r in tree.first_chunk_of_node(chunks).collect()} == {("d", "n1"): "c1", ("d", "n2"): "c2", ("e", "n1"): "c3"}
+
+
+def test_levels_of_any_depth(spark):
+    heads = spark.createDataFrame([("d", 1, 1), ("d", 2, 11), ("d", 3, 12), ("d", 4, 11), ("d", 5, None), ("d", 6, 2), ("e", 7, 30)], "doc string, n int, level int")
+    got = {r.n: r.parent for r in tree.heading_parents(heads, key="doc", order="n", level="level").collect()}
+    assert got == {1: None, 2: 1, 3: 2, 4: 1, 5: None, 6: 1, 7: None}
+
+
+def test_large_grids(spark):
+    cells = [(r, c, 1, 1, f"{r}.{c}", r == 0) for r in range(3000) for c in range(8)]
+    df = spark.createDataFrame([(cells,), ([(2, 3, 2, 2, "x", False), (2, 3, 1, 1, None, False)],), ([],), (None,)], "cells array<struct<r:int,c:int,rowspan:int,colspan:int,text:string,is_header:boolean>>")
+    rows = df.select(grid.dense(F.col("cells")).alias("g"), grid.header_rows(F.col("cells")).alias("h")).collect()
+    assert rows[0].g == [[f"{r}.{c}" for c in range(8)] for r in range(3000)] and rows[0].h == 1
+    assert rows[1].g == [[""] * 5 for _ in range(4)] and rows[2].g is None and rows[3].g is None
+
+
+def test_parts_in_order(spark):
+    """Sums and duplicates over sorted parts equal those of one sorted list."""
+    import random
+
+    r = random.Random(4)
+    rows = [(k, r.choice(["a", "a", "b", None]), r.randint(0, 9)) for k in range(500)]
+    df = spark.createDataFrame(rows, "id int, h string, size int").repartition(6)
+    got = {x.id: x.duplicate_of for x in catalog.earlier_duplicate(df, content="h", order=["id"], id_col="id").collect()}
+    last: dict = {}
+    for k, h, _ in rows:
+        assert got[k] == (last.get(h) if h else None)
+        last[h] = k
+    kept = {x.id: x.running for x in catalog.within_budget(df, size="size", order=[F.desc("id")], budget=300).collect()}
+    total, want = 0, {}
+    for k, _, n in reversed(rows):
+        total += n
+        if not want or total <= 300:
+            want[k] = total
+    assert kept == want
+
+
+def test_cell_values_snapshots_and_closing_events(spark):
+    from folioframe.sources import files
+
+    cells = spark.createDataFrame([("text", None, "t"), ("number", 3.0, None), ("number", 2.5, None), ("bool", 1.0, None), ("error", 7.0, None), ("date", 45000.0, None), ("other", None, None)], "k string, n double, t string")
+    assert [x.v for x in cells.select(grid.cell_value(F.col("k"), F.col("n"), F.col("t")).alias("v")).collect()] == ["t", "3", "2.5", "TRUE", "#DIV/0!", "2023-03-15", ""]
+    listed = spark.createDataFrame([("/w/d/pages/p3.png", "p3.png"), ("/w/d/x.png", "x.png")], "path string, name string")
+    assert [(x.doc_id, x.page) for x in files.snapshots(listed).collect()] == [("pages", 3)]
+    tasks = spark.createDataFrame([("a", "canceled"), ("b", "running"), ("c", "done")], "task_id string, status string")
+    log = spark.createDataFrame([("a", "progress", 1), ("c", "done", 2)], "task_id string, event string, seq int")
+    assert sorted((x.task_id, x.event) for x in events.backfilled(log, tasks).collect()) == [("a", "failed"), ("a", "progress"), ("c", "done")]
+    asked = spark.createDataFrame([("a", "running", 0), ("b", "running", 95), ("c", "done", 0)], "id string, status string, s long").withColumn("cancel_requested", F.timestamp_seconds("s"))
+    assert [(x.id, x.status) for x in events.overdue(asked, F.timestamp_seconds(F.lit(100))).collect()] == [("a", "canceled")]
