@@ -61,53 +61,38 @@ def _headers(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[first], size
 
 
-#: The bucket of incidences in hot columns, whose rows go straight to where the rows are put together.
+#: Stands for the bucket of hot columns, whose rows go straight to where the rows are put together.
 HOT = -1
-DEALT = ["bucket", "dest", "doc_id", "sid", "n", "ids", "counts", "keys"]
-KINDS = {"bucket": "Int32", "dest": "Int32", "doc_id": "Int64", "sid": "Int64", "n": "Int64"}
 
 
 def _deal(ids: list[int], sets: list[np.ndarray], bits: int, hot: np.ndarray) -> pd.DataFrame:
-    """Rows (bucket, dest, ids, counts, keys) that hold the incidences of `sets`; a bucket is a key's upper bits."""
+    """Rows (bucket, ids, counts, keys) that hold the incidences of `sets`; a bucket is a key's upper bits.
+
+    Incidences in hot columns have a bucket for each share of the rows, above the others.
+    """
     counts = np.fromiter(map(len, sets), np.int64, len(sets))
     keys = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), counts)
     sid = np.array(ids, np.int64)
-    rows = []
     common = sk.marked(hot, keys)
-    if common.any():
-        place = _dest(sid, bits)[owner[common]]
+    rows = []
+    for some, width, bucket in ((~common, U32, keys >> U64(64 - bits)), (common, U64, (_dest(sid, bits) + (1 << bits))[owner])):
+        place = bucket[some].astype(np.int64)
         order = np.argsort(place, kind="stable")
-        place, who, key = place[order], owner[common][order], keys[common][order] >> U64(32 - bits)
-        cut = np.searchsorted(place, np.arange((1 << bits) + 1))
-        for d in range(1 << bits):
-            s, e = cut[d], cut[d + 1]
-            if e > s:
-                at, n = _headers(who[s:e])
-                rows.append((HOT, d, _packed(sid[at], np.int64), _packed(n, U16), _packed(key[s:e], U64)))
-        keys, owner = keys[~common], owner[~common]
-    bucket = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, owner, low = bucket[order], owner[order], (keys[order] >> U64(32 - bits)).astype(U32)
-    cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    for b in range(1 << bits):
-        s, e = cut[b], cut[b + 1]
-        if e > s:
-            who, n = _headers(owner[s:e])
-            rows.append((b, None, _packed(sid[who], np.int64), _packed(n, U16), _packed(low[s:e], U32)))
-    return pd.DataFrame(rows, columns=["bucket", "dest", "ids", "counts", "keys"]).reindex(columns=DEALT).astype(KINDS)
+        place, who, key = place[order], owner[some][order], (keys[some][order] >> U64(32 - bits)).astype(width)
+        cut = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)] if len(place) else [0]
+        for s, e in zip(cut[:-1], cut[1:], strict=True):
+            at, n = _headers(who[s:e])
+            rows.append((int(place[s]), _packed(sid[at], np.int64), _packed(n, U16), key[s:e].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "ids", "counts", "keys"])
 
 
-def incidences(docs: DataFrame, width: int, bits: int, hot: np.ndarray) -> DataFrame:
-    """One map over the texts: rows without a bucket (doc_id, set id, set size), and with one (its incidences)."""
-    schema = "bucket int, dest int, doc_id long, sid long, n long, ids binary, counts binary, keys binary"
-    flags = docs.sparkSession.sparkContext.broadcast(hot)
+def survey(docs: DataFrame, width: int) -> DataFrame:
+    """One map over the texts: rows (doc_id, sid, n) of every document's set, and those of a sketch of all columns (part, data, n)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sketch, total, held, size = np.zeros(sk.CELLS, np.int64), 0, [], 0
         seen: set[int] = set()
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
-        held = 0
         for pdf in batches:
             texts = [t.encode() if isinstance(t, str) else b"" for t in pdf["text"]]
             sids, sizes = [], []
@@ -116,6 +101,36 @@ def incidences(docs: DataFrame, width: int, bits: int, hot: np.ndarray) -> DataF
                 sids.append(sid)
                 sizes.append(len(keys))
                 if len(keys) and known and sid not in seen:
+                    seen.add(sid)
+                    held.append(keys)
+                    size += len(keys)
+                if size > 200_000:
+                    sk.add(sketch, np.concatenate(held))
+                    total, held, size = total + size, [], 0
+            seen = seen if len(seen) < 1_000_000 else set()
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "sid": pd.array(sids, "Int64"), "n": sizes, "part": pd.array([None] * len(sids), "Int32"), "data": None})
+        if size:
+            sk.add(sketch, np.concatenate(held))
+        rows = pd.DataFrame([(k, d, 0) for k, d in sk.parts(sketch)] + [(0, b"", total + size)], columns=["part", "data", "n"])
+        yield rows.reindex(columns=["doc_id", "sid", "n", "part", "data"]).astype({"doc_id": "Int64", "sid": "Int64", "part": "Int32"})
+        give_back()
+
+    return docs.mapInPandas(run, "doc_id long, sid long, n long, part int, data binary")
+
+
+def incidences(docs: DataFrame, width: int, bits: int, hot: np.ndarray) -> DataFrame:
+    """One map over the texts: rows (bucket, ids, counts, keys) of the incidences of distinct sets, a set once a task."""
+    flags = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        ids: list[int] = []
+        sets: list[np.ndarray] = []
+        held = 0
+        for pdf in batches:
+            for keys in shingle_sets([t.encode() if isinstance(t, str) else b"" for t in pdf["text"]], width):
+                sid = digest(keys)
+                if len(keys) and sid not in seen:
                     seen.add(sid)
                     ids.append(sid)
                     sets.append(keys)
@@ -124,21 +139,25 @@ def incidences(docs: DataFrame, width: int, bits: int, hot: np.ndarray) -> DataF
                         yield _deal(ids, sets, bits, flags.value)
                         ids, sets, held = [], [], 0
                         seen = seen if len(seen) < 1_000_000 else set()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sid": sids, "n": sizes}).reindex(columns=DEALT).astype(KINDS)
         if sets:
             yield _deal(ids, sets, bits, flags.value)
         sets = []
         give_back()
 
-    return docs.mapInPandas(run, schema)
+    return docs.where("doc_id IS NOT NULL").select("text").mapInPandas(run, "bucket int, ids binary, counts binary, keys binary")
 
 
 def _columns(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """A bucket: keep the columns that at least two rows share, with their counts, and deal them by row."""
+    """A bucket: keep the columns that at least two rows share, with classes of their counts, and deal them by row.
+
+    Incidences in hot columns pass through. Any one order of columns will do, so an eighth of a doubling is a class.
+    """
+    src = int(pdf["bucket"].iloc[0])
+    if src >= 1 << bits:
+        return pd.DataFrame({"dest": src - (1 << bits), "bucket": HOT, "ids": pdf["ids"], "counts": pdf["counts"], "keys": pdf["keys"], "dfs": b""})
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
     counts = np.concatenate([np.frombuffer(x, U16) for x in pdf["counts"]])
     keys = np.concatenate([np.frombuffer(x, U32) for x in pdf["keys"]])
-    src = int(pdf["bucket"].iloc[0])
     del pdf
     nodes, at = np.unique(ids, return_inverse=True)
     owner = np.repeat(at.astype(U32), counts)
@@ -152,7 +171,7 @@ def _columns(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([first, [len(key)]]))
         keep = np.repeat(size > 1, size)
-        kept.append((key[keep], np.minimum(np.repeat(size, size)[keep], 65534).astype(U16), (cells[keep] & U64(0xFFFFFFFF)).astype(U32)))
+        kept.append((key[keep], np.repeat(8 * np.log2(size), size)[keep].astype(np.uint8), (cells[keep] & U64(0xFFFFFFFF)).astype(U32)))
     del keys, owner
     rows = []
     if kept:
@@ -165,7 +184,7 @@ def _columns(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
             s, e = cut[d], cut[d + 1]
             if e > s:
                 who, n = _headers(owner[s:e])
-                rows.append((d, src, _packed(nodes[who], np.int64), _packed(n, U16), _packed(key[s:e], U32), _packed(df[s:e], U16)))
+                rows.append((d, src, _packed(nodes[who], np.int64), _packed(n, U16), _packed(key[s:e], U32), df[s:e].tobytes()))
     return pd.DataFrame(rows, columns=["dest", "bucket", "ids", "counts", "keys", "dfs"])
 
 
@@ -194,7 +213,7 @@ def _rows(pdf: pd.DataFrame, bits: int, percent: int) -> pd.DataFrame:
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in part["ids"]])
         counts = np.concatenate([np.frombuffer(x, U16) for x in part["counts"]])
         keys = np.concatenate([np.frombuffer(x, U64) if b == HOT else np.frombuffer(x, U32).astype(U64) | U64(int(b) << 32) for b, x in zip(part["bucket"], part["keys"], strict=True)])
-        dfs = np.concatenate([np.full(len(x) // 8, 65535, U16) if b == HOT else np.frombuffer(d, U16) for b, x, d in zip(part["bucket"], part["keys"], part["dfs"], strict=True)])
+        dfs = np.concatenate([np.full(len(x) // 8, 255, np.uint8) if b == HOT else np.frombuffer(d, np.uint8) for b, x, d in zip(part["bucket"], part["keys"], part["dfs"], strict=True)])
         nodes, at = np.unique(ids, return_inverse=True)
         owner = np.repeat(at, counts)
         order = np.lexsort((keys, dfs, owner))
@@ -333,12 +352,11 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     spark = bounded_batches(docs)
     bits = max(1, (shuffle_width(spark) - 1).bit_length() - 1)
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    hot = sk.hot_flags(source.where("doc_id IS NOT NULL"), lambda texts: shingle_sets(texts, width), 16 << bits)
-    dealt = durable(incidences(source, width, bits, hot), "incidences")
-    info = durable(dealt.where("bucket IS NULL").select("doc_id", "sid", "n"), "sets")
-    cells = dealt.where(F.col("bucket") >= 0).select("bucket", "ids", "counts", "keys")
-    straight = dealt.where(F.col("bucket") == HOT).select("dest", "bucket", "ids", "counts", "keys", F.lit(None).cast("binary").alias("dfs"))
-    shared = cells.groupBy("bucket").applyInPandas(lambda pdf: _columns(pdf, bits), "dest int, bucket int, ids binary, counts binary, keys binary, dfs binary")
+    found = durable(survey(source, width), "sets")
+    info = found.where("part IS NULL").select("doc_id", "sid", "n")
+    hot = sk.hot_flags(found.where("part IS NOT NULL"), 16 << bits)
+    kinds = "dest int, bucket int, ids binary, counts binary, keys binary, dfs binary"
+    shared = incidences(source, width, bits, hot).groupBy("bucket").applyInPandas(lambda pdf: _columns(pdf, bits), kinds)
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -348,8 +366,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
             rows = [(int(d), None, _packed(sid[dest == d], np.int64), _packed(n[dest == d], U32), None, None) for d in np.unique(dest)]
             yield pd.DataFrame(rows, columns=["dest", "bucket", "ids", "counts", "keys", "dfs"]).astype({"bucket": "Int32"})
 
-    sized = info.where("n > 0 AND doc_id IS NOT NULL").select("sid", "n").mapInPandas(sizes, "dest int, bucket int, ids binary, counts binary, keys binary, dfs binary")
-    cand = durable(shared.union(straight).union(sized).groupBy("dest").applyInPandas(lambda pdf: _rows(pdf, bits, percent), "sid long, n long, keys binary, rare array<long>"), "candidates")
+    sized = info.where("n > 0 AND doc_id IS NOT NULL").select("sid", "n").mapInPandas(sizes, kinds)
+    cand = durable(shared.union(sized).groupBy("dest").applyInPandas(lambda pdf: _rows(pdf, bits, percent), "sid long, n long, keys binary, rare array<long>"), "candidates")
     edges = durable(link_sets(cand, percent, tile, 4 * shuffle_width(spark), bits), "links")
     rows = info.where("n > 0 AND doc_id IS NOT NULL")
     copies = durable(rows.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")), "copies")
@@ -358,7 +376,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     roots = edges.groupBy("dst").agg(F.count("*").alias("n")).join(copies.select(F.col("sid").alias("dst"), F.col("least").alias("d")), "dst")
     ends = hot_join(edges, roots, "dst", "n", edges.count()).join(copies.select(F.col("sid").alias("src"), F.col("least").alias("s")), "src")
     united = components(ends.select(F.col("s").alias("src"), F.col("d").alias("dst")).union(by_id), contracted=True)
-    release(cand, dealt)
+    release(cand)
     sets = copies.join(united, copies["least"] == united["id"], "left").select("sid", F.coalesce("component", "least").alias("component_id"), "c")
     named = hot_join(rows, sets, "sid", "c", info.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return named.union(info.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", "doc_id"))

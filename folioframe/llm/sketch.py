@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,33 +48,17 @@ def summed(data: pd.Series) -> bytes:
     return total.tobytes()
 
 
-def hot_flags(texts: DataFrame, keys_of: Callable[[list[bytes]], Iterator[np.ndarray]], most: int) -> np.ndarray:
-    """Flags of cells such that a key in 1 / `most` or more of all keys of the column `text` has all its cells flagged.
+def hot_flags(found: DataFrame, most: int) -> np.ndarray:
+    """Flags of cells such that a key in 1 / `most` or more of all keys has all its cells flagged; few others have.
 
-    Few others have. What a task returns and the driver gathers is of fixed size.
+    `found`: rows (part, data) of the segments of tasks' sketches, and rows of part 0 whose column n counts keys. What
+    the driver gathers is of fixed size.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch, n = np.zeros(CELLS, np.int64), 0
-        for pdf in batches:
-            held: list[np.ndarray] = []
-            size = 0
-            for keys in keys_of([t.encode() if isinstance(t, str) else b"" for t in pdf["text"]]):
-                held.append(keys)
-                size += len(keys)
-                if size > 200_000:
-                    add(sketch, np.concatenate(held))
-                    n, held, size = n + size, [], 0
-            if held:
-                add(sketch, np.concatenate(held))
-                n += size
-        yield pd.DataFrame([*((k, d, 0) for k, d in parts(sketch)), (0, b"", n)], columns=["part", "data", "n"])
-
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
         return pd.DataFrame({"part": [part], "data": [summed(pdf["data"]) if part < 0 else b""], "n": [pdf["n"].sum()]})
 
-    found = texts.select("text").mapInPandas(run, "part int, data binary, n long").groupBy("part").applyInPandas(unite, "part int, data binary, n long").toPandas()
-    found = found.sort_values("part", ascending=False)
-    sketch = np.frombuffer(b"".join(found["data"]), np.int64)
-    return sketch >= max(2.0, found["n"].sum() / most) if len(sketch) else np.zeros(CELLS, bool)
+    rows = found.select("part", "data", "n").groupBy("part").applyInPandas(unite, "part int, data binary, n long").toPandas()
+    sketch = np.frombuffer(b"".join(rows.sort_values("part", ascending=False)["data"]), np.int64)
+    return sketch >= max(2.0, rows["n"].sum() / most) if len(sketch) else np.zeros(CELLS, bool)
