@@ -2,7 +2,7 @@
 
 No step gathers a node's neighbours in one task: minima are aggregated with partial sums and joined back, those of
 nodes with very many edges by broadcast (`hot_join`). Each round is written to the shared folder. Every task first
-replaces its own edges by a spanning forest of them.
+replaces its own edges by a spanning forest of them. Up to `LOCAL` edges, some 16 MB, are united in one task.
 """
 
 from __future__ import annotations
@@ -46,7 +46,11 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"src": src, "dst": dst})
 
 
-def components(edges: DataFrame, contracted: bool = False, max_rounds: int = 60) -> DataFrame:
+#: Edges that one task unites.
+LOCAL = 1 << 20
+
+
+def components(edges: DataFrame, contracted: bool = False, max_rounds: int = 60, local: int = LOCAL) -> DataFrame:
     """(id, component) for every node of `edges` (src, dst: long); component is the least id reachable.
 
     contracted: each task's edges are a forest already, so no further Python worker is needed for that. Nulls and loops are ignored. An empty table gives an empty result.
@@ -54,6 +58,10 @@ def components(edges: DataFrame, contracted: bool = False, max_rounds: int = 60)
     base = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst")
     now = durable((base if contracted else base.mapInPandas(_local, "src long, dst long")).distinct(), "edges")
     total, before = now.count(), None
+    if total <= local:
+        found = durable(now.repartition(1).mapInPandas(_local, "src long, dst long"), "components")
+        release(now)
+        return found.select(F.col("src").alias("id"), F.col("dst").alias("component")).union(found.select("dst", "dst").distinct())
     for _ in range(max_rounds):
         both = now.union(now.select("dst", "src").toDF("src", "dst"))
         least = both.groupBy("src").agg(F.least(F.first("src"), F.min("dst")).alias("low"), F.count("*").alias("n"))
