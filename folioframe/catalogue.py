@@ -12,6 +12,7 @@ from .functions.tokens import CJK, LETTER, RUN, SPACE, estimate_tokens
 from .operators import grid, layout, tree
 from .plans import catalog, chunking, dataset, render, stats
 from .plans.packing import Options
+from .shared import shared_folder
 from .sources import files, markup, office_writer
 from .streaming import events
 
@@ -625,12 +626,9 @@ def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT ts::DATE::VARCHAR AS day, count(*)::BIGINT AS n, count(*) FILTER (event_type = 'error')::BIGINT AS errors FROM events GROUP BY 1")
 def streamed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sums by a stream over the event file, read from the sink once it has taken all there is."""
-    import uuid
-
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    name = f"daily_{uuid.uuid4().hex}"
     sums = events.daily(stream, ts="ts", sums={"n": F.lit(1), "errors": F.when(F.col("event_type") == "error", 1).otherwise(0)})
-    running = sums.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name).withColumn("day", F.col("day").cast("string"))
+    place = shared_folder(spark, "daily")
+    events.deliver(sums, lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/sums"), f"{place}/checkpoint", mode="complete").awaitTermination()
+    return spark.read.schema(sums.schema).parquet(f"{place}/sums").withColumn("day", F.col("day").cast("string"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 #: Coverage below this makes a document doubtful.
 COVERED = 0.97
 
@@ -35,7 +37,7 @@ def chains(nodes: DataFrame, *, id_col: str, parent_col: str, label_col: str) ->
     """(id, ids, labels): the path from the root to each node; pointers to nowhere end a path, circles are cut.
 
     Paths double in length with each join, so a tree of depth d takes log2(d) rounds. They go on until no path has
-    anything above it; from 8 levels on, each round is kept (checkpointed), as plans would double too.
+    anything above it; from 8 levels on, each round is written to the shared folder, as plans would double too.
     """
     rows = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"), F.array(id_col).alias("ids"), F.array(label_col).alias("labels"))
     reach = 1
@@ -51,7 +53,7 @@ def chains(nodes: DataFrame, *, id_col: str, parent_col: str, label_col: str) ->
         if reach >= 4 and rows.where("up IS NOT NULL").isEmpty():
             return rows.select("id", "ids", "labels")
         if reach >= 8:
-            rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+            rows = written(rows, "chains")
 
 
 def vote(rows: DataFrame, *, key: str, value: str, order: str) -> DataFrame:

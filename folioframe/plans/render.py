@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -106,26 +107,28 @@ class Walk:
                     work += [(c, deeper) for c in reversed(self.children(item))]
 
 
-def list_items(walk: Walk, node: dict, show: Callable[[dict], str], indent: int = 0) -> list[tuple[int, str, str]]:
+def list_items(walk: Walk, node: dict, show: Callable[[dict], str]) -> list[tuple[int, str, str]]:
     """(depth, marker, text) for the items of a list and of the lists in it; numbers skip items without text."""
     out: list[tuple[int, str, str]] = []
-    number = 1
-    for child in walk.children(node):
-        if child["id"] in walk.seen:
+    open_lists = [(iter(walk.children(node)), count(1), bool(node["content"].get("ordered")))]
+    depth = {id(open_lists[0][0]): 0}
+    while open_lists:
+        items, number, ordered = open_lists[-1]
+        child = next((c for c in items if c["id"] not in walk.seen), None)
+        if child is None:
+            open_lists.pop()
             continue
         walk.seen.add(child["id"])
-        if child["type"] == "list":
-            out += list_items(walk, child, show, indent + 1)
-            continue
-        text = show(child)
-        if not text:
-            continue
-        out.append((indent, f"{number}." if node["content"].get("ordered") else "-", text))
-        number += 1
-        for below in walk.children(child):
-            if below["type"] == "list" and below["id"] not in walk.seen:
-                walk.seen.add(below["id"])
-                out += list_items(walk, below, show, indent + 1)
+        inner, text = [child], ""
+        if child["type"] != "list":
+            text = show(child)
+            inner = [c for c in walk.children(child) if c["type"] == "list" and c["id"] not in walk.seen] if text else []
+        if text:
+            out.append((depth[id(items)], f"{next(number)}." if ordered else "-", text))
+        for one in reversed(inner):
+            walk.seen.add(one["id"])
+            open_lists.append((iter(walk.children(one)), count(1), bool(one["content"].get("ordered"))))
+            depth[id(open_lists[-1][0])] = depth[id(items)] + 1
     return out
 
 
