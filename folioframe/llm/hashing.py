@@ -128,5 +128,5 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
 
 def digest(keys: np.ndarray) -> int:
     """A signed 64-bit id of a set of hashes, whatever their order."""
-    a = mix64(keys + U64(0x632BE59BD9B4E019)).sum(dtype=U64)
-    return int(mix64(np.array([a + U64(len(keys)) * U64(_R)], U64)).view(np.int64)[0])
+    total = int(mix64(keys + U64(0x632BE59BD9B4E019)).sum(dtype=U64)) + len(keys) * _R
+    return int(mix64(np.array([total & (1 << 64) - 1], U64)).view(np.int64)[0])

@@ -2,7 +2,7 @@
 
 Lineage is cut by writing Parquet under `spark.checkpoint.dir`; an executor that is lost later
 costs a re-read, not a recomputation. The folder is read from the session; a local one is used
-only where the session names none (unit tests).
+only where the session names none and runs on one machine (unit tests).
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ _roots: dict[str, SparkSession] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder for this application's intermediate tables."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "folioframe-shared")
     root = f"{base.rstrip('/')}/folioframe-{spark.sparkContext.applicationId}"

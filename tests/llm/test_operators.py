@@ -51,10 +51,11 @@ def varied(seed, n, words=40):
 # ---------------------------------------------------------------- components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1 << 20, 0])
+def test_components(spark, local):
     r = random.Random(3)
     pairs = [(k, k + 1) for k in range(0, 40)] + [(100 + r.randrange(60), 100 + r.randrange(60)) for _ in range(50)] + [(200, k) for k in range(201, 260)]
-    got = dict(cc.components(spark.createDataFrame(pairs, "src long, dst long")).collect())
+    got = dict(cc.components(spark.createDataFrame(pairs, "src long, dst long"), local=local).collect())
     want = united(300, pairs)
     assert got == {k: want[k] for k in {x for a, b in pairs if a != b for x in (a, b)}}
     assert cc.components(spark.createDataFrame([], "src long, dst long")).count() == 0
@@ -157,6 +158,26 @@ def test_ngram_join(spark, width, percent, tile):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(k, len(s), want[k]) for k, s in enumerate(sets)]
 
 
+def test_blocks_of_near_copies_and_strangers(spark):
+    """A block of many tiles: near copies of the pivot, and rows that share its rare columns but link among themselves only."""
+    r = random.Random(6)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(60)] = f"x{k}"
+        texts.append(" ".join(w))
+    for k in range(90):  # the first words of the base, then one of three other bodies
+        texts.append(" ".join(base[:12] + [f"o{k % 3}.{j}" for j in range(48)][: 48 - k % 2] + [f"e{k}"] * (k % 2)))
+    r.shuffle(texts)
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = united(len(texts), pairs)
+    got = {x.doc_id: x.component_id for x in ngram_join.jaccard_components(documents(spark, texts), width=3, percent=80, tile=8).collect()}
+    assert [got[k] for k in range(len(texts))] == want and len(set(want)) >= 4
+
+
 def test_ngram_join_edges(spark):
     assert ngram_join.jaccard_components(documents(spark, EMPTY)).count() == 0
     rows = [(1, "a b c"), (1, "d e f"), (2, "d e f"), (3, "d e f"), (None, "d e f")]
@@ -229,6 +250,23 @@ def test_audio_text_that_looks_like_a_tag(spark):
     assert len(mpeg.scan(short).frames) == 9 and mpeg.scan(short).lost_bytes == 50
 
 
+@pytest.mark.parametrize("mark", [b"TAG", b"APETAGEX", b"ID3\x03\x00\x00\x00\x00\x00\x7f", b"\xff\xfb\xc4\x00"])
+def test_audio_holds_any_bytes_anywhere(mark):
+    """A tag's or a frame's beginning at every position of the last two units."""
+    for at in range(0, 2 * mpeg.UNIT - len(mark) + 1):
+        payload = bytearray(b"x" * (3 * mpeg.UNIT))
+        payload[mpeg.UNIT + at : mpeg.UNIT + at + len(mark)] = mark
+        media = mpeg.store(bytes(payload), len(payload))
+        found = mpeg.scan(media)
+        assert mpeg.read_payload(media, found) == payload and (found.lost_bytes, found.resyncs, list(found.tags)) == (0, 0, ["TXXX"]), at
+
+
+def test_audio_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "same", "a", 1), (1, "same", "b", 2), (None, "x" * 300_000, None, None)]
+    got = mpeg.store_texts(spark.createDataFrame(rows, "doc_id long, text string, media string, frames long")).collect()
+    assert len(got) == 3 and len({(r.media_sha256, r.feature) for r in got if r.doc_id == 1}) == 1 and {r.n_bytes for r in got} == {4, 300_000}
+
+
 # ---------------------------------------------------------------- 4: toxicity
 
 
@@ -566,6 +604,38 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(documents(spark, EMPTY)).count() == 0
 
 
+def test_line_dedup_edges(spark):
+    """Repeated rows, null ids, very many lines, and columns named as those used inside."""
+    many = "\n".join(f"line number {k} of the long one" if k % 7 else "the very same line" for k in range(5000))
+    rows = [(1, "alpha beta gamma delta\nunique one", 1, "a", "b"), (1, "alpha beta gamma delta\nunique one", 1, "a", "b"), (2, "alpha beta gamma delta", 2, "c", "d"), (None, "alpha beta gamma delta\nnew words of it", 3, None, None), (3, many, 4, "e", "f"), (4, None, 5, "g", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long, drop string, c0 string")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    got = {r.row: r for r in out.collect()}
+    assert out.count() == 6 and got[1].text == rows[0][1] and got[2].text == "" and got[3].text == "new words of it" and (got[5].text, got[5].n_lines) == (None, 0) and got[1]["drop"] == "a"
+    assert got[4].text.split("\n").count("the very same line") == 1 and got[4].n_lines == 5000 and got[4].n_dropped == 5000 - len(got[4].text.split("\n"))
+    again = line_dedup.dedup_lines(df.withColumn("n_dropped", F.lit("old"))).where("doc_id = 2").first()
+    assert again.n_dropped == 1
+
+
+def test_names_used_inside_may_be_columns(spark):
+    """Every operator on documents that keeps columns, given columns with the names it uses itself."""
+    inner = ["row", "id", "of", "drop", "lines", "key", "rid", "turns", "quality", "labelled", "size", "copies", "c0", "c1", "col", "n_lines", "score", "predicted", "guessed_lang", "text_to_score", "sid", "n", "least", "component_id", "__row", "__id", "__of", "__text"]
+    df = spark.createDataFrame([(k, f"text {k} has some words of its own {k * 7}", "en", "s", 9) for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *[F.concat(F.lit(f"{name}-"), F.col("doc_id")).alias(name) for name in inner])
+    labels = [F.concat(F.lit(f"{name}-"), F.col("doc_id")) == F.col(name) for name in inner]
+    right = labels[0]
+    for x in labels[1:]:
+        right = right & x
+    assert line_dedup.dedup_lines(df.drop("n_lines")).count() == 6
+    for out in (mixing.mixed_rows(df, weights=(1,)), ngram_join.one_of_each(df, width=3), corpus_pipeline.drop_near_duplicates(spark, df, "")):
+        assert out.columns == df.columns and out.where(right).count() == out.count() > 0
+    scored = corpus_pipeline.toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(df.drop("score", "predicted", "guessed_lang"), scored, keep=("lang", "text_to_score")).count() == 6
+    for out in (ngram_join.jaccard_components(df), mpeg.store_texts(df), piece_fst.encode_texts(df, (corpus_pipeline.TOKENIZERS / "piece_bpe_32k.model").read_bytes()), lm_score.cross_entropy_difference(df, df), mixing.mix(df, size=F.lit(1))):
+        assert out.count() == 6
+
+
 # ---------------------------------------------------------------- 9: language models
 
 
