@@ -14,14 +14,15 @@ from folioframe.llm.storage import durable
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled ones, does not reject.
 
-    Null and empty texts have the model's bias as score and stay unless that is toxic. Repeated rows share a fate; an
-    empty table gives an empty table. All columns are kept, whatever their names.
+    Texts without words, null ones too, hold nothing toxic and stay, whatever the model's bias is. Repeated rows share a
+    fate; an empty table gives an empty table. All columns are kept, whatever their names.
     """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # names of the score's columns can't clash with these
     rows = docs.select(*[docs[c].alias(n) for c, n in names.items()])
     scored = toxicity.score(rows, model, id_col=names["doc_id"], text_col=names["text"], keep=tuple(names.values()))
-    return scored.where("predicted = 0").select(*[F.col(n).alias(c) for c, n in names.items()])
+    worded = F.coalesce(F.regexp_like(names["text"], F.lit(WORD)), F.lit(False))
+    return scored.where((F.col("predicted") == 0) | ~worded).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
