@@ -223,7 +223,8 @@ def _deal(source: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
             held.clear(), ids.clear(), sizes.clear(), marks.clear()
             block, tokens = block + 1, 0
             out = pd.DataFrame(rows, columns=["dest", "block", "kind", "a", "b", "c"])
-            out["dest"] = np.where(out["dest"] == 2 << bits, (2 << bits) + out["block"] % (1 << bits), out["dest"])
+            spread = out["block"] // (1 << 24) + out["block"] % (1 << 24)  # a block's task and its turn there
+            out["dest"] = np.where(out["dest"] == 2 << bits, (2 << bits) + spread % (1 << bits), out["dest"])
             return out
 
         for pdf in batches:
