@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_text, line_dedup, lm_score, mixing, mpeg, ngram_join, piece_fst, rollups, toxicity
+from . import embed_dedup, html_text, lang_id, line_dedup, lm_score, mixing, mpeg, ngram_join, piece_fst, rollups, toxicity
 from .storage import bounded_batches, durable, shared_folder
 
 #: Where the public tokenizers' files are.
@@ -127,6 +127,14 @@ SELECT l.doc_id, len(l.w)::BIGINT AS n_tokens, round(e.loss / len(l.w), 6) AS sc
 """
 
 
+def op11_lang_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, from centroids of those whose id's checksum leaves no rest of 2 by 4."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = lang_id.fit(docs.where(~held_out), order=F.col("doc_id"))
+    return lang_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 #: Rank files of the byte-pair versions that are counted beside the rule-based ones.
 BYTE_PAIR = {"byte-bpe-50k": "byte_bpe_50k.tiktoken"}
 
@@ -194,7 +202,7 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op5_token_rollup": op5_token_rollup, "rollup_by_rule": rollup_by_rule, "op6_embedding_dedup": op6_embedding_dedup, "op7_html_text": op7_html_text, "op8_line_dedup": op8_line_dedup, "op9_lm_score": op9_lm_score, "op10_piece_fst": op10_piece_fst}
+    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op5_token_rollup": op5_token_rollup, "rollup_by_rule": rollup_by_rule, "op6_embedding_dedup": op6_embedding_dedup, "op7_html_text": op7_html_text, "op8_line_dedup": op8_line_dedup, "op9_lm_score": op9_lm_score, "op10_piece_fst": op10_piece_fst, "op11_lang_centroid": op11_lang_centroid}
 
 
 def oracle_sql() -> dict[str, str]:
