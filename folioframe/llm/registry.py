@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_text, lang_id, line_dedup, lm_score, mixing, mpeg, ngram_join, piece_fst, rollups, toxicity
+from . import embed_dedup, html_text, lang_id, line_dedup, lm_score, mixing, mpeg, ngram_join, piece_fst, ranked, rollups, toxicity
 from .storage import bounded_batches, durable, shared_folder
 
 #: Where the public tokenizers' files are.
@@ -135,6 +135,28 @@ def op11_lang_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for every item of the benchmark."""
+    return ranked.search(ranked.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH r AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+x AS MATERIALIZED (SELECT r, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM r),
+s AS (SELECT count(DISTINCT r)::HUGEINT AS n, count(*)::HUGEINT AS l FROM x),
+d AS (SELECT r, any_value(doc_id) AS doc_id, 100 - 75 + ((75 * count(*)::HUGEINT * (SELECT n FROM s)) // (SELECT l FROM s)) AS m FROM x GROUP BY r),
+tf AS MATERIALIZED (SELECT r, w, count(*)::BIGINT AS tf FROM x GROUP BY r, w),
+w AS (SELECT w, floor(1000 * ln((2 * (SELECT n FROM s) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf GROUP BY w),
+b AS (SELECT row_number() OVER () AS b, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+q AS (SELECT b, any_value(item_id) AS item_id, w, count(*) AS q FROM (SELECT b, item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM b) GROUP BY b, w),
+c AS (
+  SELECT b, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id, r, sum(q * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (w) JOIN w USING (w) JOIN d USING (r) GROUP BY b, r),
+k AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM c WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 #: Rank files of the byte-pair versions that are counted beside the rule-based ones.
 BYTE_PAIR = {"byte-bpe-50k": "byte_bpe_50k.tiktoken"}
 
@@ -202,8 +224,8 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op5_token_rollup": op5_token_rollup, "rollup_by_rule": rollup_by_rule, "op6_embedding_dedup": op6_embedding_dedup, "op7_html_text": op7_html_text, "op8_line_dedup": op8_line_dedup, "op9_lm_score": op9_lm_score, "op10_piece_fst": op10_piece_fst, "op11_lang_centroid": op11_lang_centroid}
+    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op5_token_rollup": op5_token_rollup, "rollup_by_rule": rollup_by_rule, "op6_embedding_dedup": op6_embedding_dedup, "op7_html_text": op7_html_text, "op8_line_dedup": op8_line_dedup, "op9_lm_score": op9_lm_score, "op10_piece_fst": op10_piece_fst, "op11_lang_centroid": op11_lang_centroid, "op13_ranked_search": op13_ranked_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_ngram_join": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op9_lm_score": OP9_SQL, "rollup_by_rule": ROLLUP_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_ngram_join": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op9_lm_score": OP9_SQL, "op13_ranked_search": OP13_SQL, "rollup_by_rule": ROLLUP_SQL}
