@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_text, lang_id, line_dedup, lm_score, mixing, mpeg, ngram_join, piece_fst, ranked, rollups, toxicity
+from . import embed_dedup, html_text, lang_id, line_dedup, lm_score, mixing, mpeg, ngram_join, phrases, piece_fst, ranked, rollups, toxicity
 from .storage import bounded_batches, durable, shared_folder
 
 #: Where the public tokenizers' files are.
@@ -135,6 +135,33 @@ def op11_lang_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two or three words of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+x AS MATERIALIZED (SELECT lang, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c FROM w WHERE len(w) > 0),
+f1 AS MATERIALIZED (SELECT lang, a AS p, count(*)::HUGEINT AS f FROM x GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, a, b, a || ' ' || b AS p, count(*)::HUGEINT AS f FROM x WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS MATERIALIZED (SELECT lang, a, b, c, a || ' ' || b || ' ' || c AS p, count(*)::HUGEINT AS f FROM x WHERE c IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cut AS (
+  SELECT lang, p, f, 1 AS k, a AS lp, b AS rp FROM f2 UNION ALL SELECT lang, p, f, 1, a, b || ' ' || c FROM f3 UNION ALL SELECT lang, p, f, 2, a || ' ' || b, c FROM f3),
+f AS (SELECT lang, p, f FROM f1 UNION ALL SELECT lang, p, f FROM f2),
+s AS (SELECT cut.lang, cut.p, cut.f AS a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * cut.f * cut.f) // (l.f * r.f) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.p = cut.lp JOIN f r ON r.lang = cut.lang AND r.p = cut.rp),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (SELECT lang, p, max(f) AS f FROM (SELECT lang, a || ' ' || b AS p, f FROM f3 UNION ALL SELECT lang, b || ' ' || c, f FROM f3) GROUP BY lang, p),
+kept AS (SELECT o.* FROM o LEFT JOIN longer g ON g.lang = o.lang AND g.p = o.p WHERE g.f IS NULL OR 100 * g.f < 50 * o.a),
+n AS (SELECT lang, count(*) AS n FROM x GROUP BY lang),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept)
+SELECT t.lang, t.rank, t.p AS phrase, t.a::BIGINT AS a, t.l::BIGINT AS l, t.r::BIGINT AS r, n.n, t.score::BIGINT AS score FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of all for every item of the benchmark."""
     return ranked.search(ranked.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
@@ -224,8 +251,8 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op5_token_rollup": op5_token_rollup, "rollup_by_rule": rollup_by_rule, "op6_embedding_dedup": op6_embedding_dedup, "op7_html_text": op7_html_text, "op8_line_dedup": op8_line_dedup, "op9_lm_score": op9_lm_score, "op10_piece_fst": op10_piece_fst, "op11_lang_centroid": op11_lang_centroid, "op13_ranked_search": op13_ranked_search}
+    return {"op1_mix_sources": op1_mix_sources, "op2_ngram_join": op2_ngram_join, "op3_mpeg_audio": op3_mpeg_audio, "op4_toxicity": op4_toxicity, "op5_token_rollup": op5_token_rollup, "rollup_by_rule": rollup_by_rule, "op6_embedding_dedup": op6_embedding_dedup, "op7_html_text": op7_html_text, "op8_line_dedup": op8_line_dedup, "op9_lm_score": op9_lm_score, "op10_piece_fst": op10_piece_fst, "op11_lang_centroid": op11_lang_centroid, "op12_phrases": op12_phrases, "op13_ranked_search": op13_ranked_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_ngram_join": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op9_lm_score": OP9_SQL, "op13_ranked_search": OP13_SQL, "rollup_by_rule": ROLLUP_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_ngram_join": OP2_SQL, "op6_embedding_dedup": OP6_SQL, "op9_lm_score": OP9_SQL, "op12_phrases": OP12_SQL, "op13_ranked_search": OP13_SQL, "rollup_by_rule": ROLLUP_SQL}
