@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -39,3 +42,9 @@ def pack_keys(keys: np.ndarray) -> bytes:
 def unpack_keys(data: bytes) -> np.ndarray:
     planes = np.frombuffer(data, np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows, one at a time: rows of packed columns are large."""
+    for k in range(batch.num_rows):
+        yield {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)}

@@ -29,12 +29,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .hashing import _LOWER, mix64, runs, spans
-from .packed import gaps, pack, pack_keys, ungap, unpack, unpack_keys
+from .packed import gaps, pack, pack_keys, rows_of, ungap, unpack, unpack_keys
 from .storage import bounded_batches, durable, give_back, hot_join, release, shuffle_width
 
 U16, U64 = np.uint16, np.uint64
 #: Words of a shard, counts that a bucket sums, buckets at least, and ANDs taken at a time.
-SHARD, BUCKET, LEAST, TOGETHER = 1_000_000, 4_000_000, 64, 2_000_000
+SHARD, BUCKET, LEAST, TOGETHER = 500_000, 4_000_000, 64, 400_000
 #: Bits of the filters of words and of pairs, and parts in which they are made.
 FILTER_BITS, FILTER_PARTS = 27, 64
 SHARDS = "lang string, shard long, words long, keys binary, counts binary, bits binary, names binary, ends binary"
@@ -232,7 +232,7 @@ class Bitmaps:
 
     def roots(self) -> Iterator[slice]:
         """Blocks of some words' bitmaps at a time."""
-        step = max(1, TOGETHER // 16)
+        step = max(1, TOGETHER // 8)
         at = 0
         while at < len(self.word):
             to = int(self.per_word[self.word[min(at + step, len(self.word)) - 1] + 1])
@@ -278,7 +278,7 @@ def _frequent(table: DataFrame, words: Filter | None, pairs: Filter | None, leas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 if words is None:
                     keys = unpack_keys(row["keys"])
                     keys, n = summed(of_lang(keys, row["lang"]), unpack(row["counts"], len(keys)))

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .hashing import runs, spans
-from .packed import gaps, pack, pack_keys, ungap, unpack, unpack_keys
+from .packed import gaps, pack, pack_keys, rows_of, unpack, unpack_keys
 from .storage import bounded_batches, durable, give_back, shuffle_width
 
 U64 = np.uint64
@@ -223,7 +223,7 @@ def _block(index: DataFrame, items: list[tuple[int, str | None]], size: tuple[in
         shared = sent.value
         found: list[list[tuple[int, int]]] = [[] for _ in shared.items]
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 shard = Shard(row, shared)
                 for item, heap in zip(shared.items, found, strict=True):
                     shard.search(item, heap, shared.best)
