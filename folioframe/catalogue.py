@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.tokens import CJK, LETTER, RUN, SPACE, estimate_tokens
-from .operators import grid, layout, tree
+from .operators import grid, layout, tour, tree
 from .plans import catalog, chunking, dataset, render, stats
 from .plans.packing import Options
 from .shared import shared_folder
 from .sources import files, markup, office_writer
-from .streaming import events
+from .streaming import events, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -267,6 +267,43 @@ def container_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.size("labels").alias("depth"), F.array_join("labels", ">").alias("path"))
 
 
+# Each customer's orders as a tree: the parent is the nearest order before of a smaller level, children come latest first;
+# some parents are missing.
+FOREST = """WITH RECURSIVE h AS (SELECT o_custkey AS d, o_orderkey AS id, o_orderkey % 4 + 1 AS level FROM orders),
+    n AS (SELECT a.d, a.id, a.level, CASE WHEN a.id % 97 = 0 THEN -1 ELSE (SELECT max(b.id) FROM h b WHERE b.d = a.d AND b.id < a.id AND b.level < a.level) END AS up FROM h a),
+    t AS (SELECT d, id, level, [-id] AS path, [id] AS ids FROM n WHERE up IS NULL UNION ALL SELECT n.d, n.id, n.level, list_append(t.path, -n.id), list_append(t.ids, n.id) FROM n JOIN t ON n.d = t.d AND n.up = t.id),
+    p AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY path) - 1 AS pre, len(path) - 1 AS depth FROM t),
+    s AS (SELECT d, id, count(*) AS size FROM (SELECT d, unnest(ids) AS id FROM t) GROUP BY d, id),
+    o AS (SELECT n.d, n.id, n.level, row_number() OVER (PARTITION BY n.d ORDER BY -n.id) - 1 + (SELECT count(*) FROM t WHERE t.d = n.d) AS pre FROM n LEFT JOIN t ON n.d = t.d AND n.id = t.id WHERE t.id IS NULL)"""
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4 + 1).cast("int").alias("level"))
+    nodes = tree.heading_parents(heads, key="o_custkey", order="id", level="level")
+    nodes = nodes.withColumn("parent", F.when(F.col("id") % 97 == 0, -1).otherwise(F.col("parent"))).withColumn("turn", -F.col("id"))
+    return tour.toured(nodes, doc="o_custkey", id_col="id", parent="parent", order="turn")
+
+
+@query(FOREST + """ SELECT p.d AS o_custkey, p.id, pre::BIGINT AS pre, (pre + size - 1 - depth)::VARCHAR AS post, depth::VARCHAR AS depth, (pre + size - 1)::BIGINT AS last FROM p JOIN s ON p.d = s.d AND p.id = s.id
+    UNION ALL SELECT d, id, pre::BIGINT, NULL, NULL, pre::BIGINT FROM o""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the nodes of a forest in reading order, by leaving, depths and subtrees; orphans last."""
+    return _forest(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("post", "depth")})
+
+
+@query(FOREST + """ SELECT d AS o_custkey, id, list_filter(ids, lambda x: x % 4 + 1 <= 2)[-1]::VARCHAR AS owner FROM p UNION ALL SELECT d, id, CASE WHEN level <= 2 THEN id::VARCHAR END FROM o""")
+def subtree_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest node of level 1 or 2 around each node, found by intervals."""
+    found = tour.owners(_forest(spark, sf_dir), F.col("id") % 4 + 1 <= 2, doc="o_custkey", id_col="id")
+    return found.select("o_custkey", "id", F.col("owner").cast("string").alias("owner"))
+
+
+@query(FOREST + """ SELECT d AS o_custkey, id FROM p WHERE len(list_filter(ids, lambda x: x % 11 = 0)) = 0 UNION ALL SELECT d, id FROM o WHERE id % 11 <> 0""")
+def subtree_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that are neither marked nor below a marked one."""
+    return tour.without_subtrees(_forest(spark, sf_dir), F.col("id") % 11 == 0, doc="o_custkey").select("o_custkey", "id")
+
+
 @query("""WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source, lang)
     SELECT source, arg_max(lang, n * 1000000000000 - first) AS level FROM c GROUP BY source""")
 def parse_level_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -632,3 +669,61 @@ def streamed_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = shared_folder(spark, "daily")
     events.deliver(sums, lambda batch, number: batch.write.mode("overwrite").parquet(f"{place}/sums"), f"{place}/checkpoint", mode="complete").awaitTermination()
     return spark.read.schema(sums.schema).parquet(f"{place}/sums").withColumn("day", F.col("day").cast("string"))
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+
+
+@query("""WITH e AS (SELECT (user_id % 10)::VARCHAR AS task_id, event_id, CASE WHEN event_type = 'view' THEN 'progress' ELSE event_type END AS kind FROM events),
+    s AS (SELECT *, count(*) OVER (PARTITION BY task_id) AS n, row_number() OVER (PARTITION BY task_id, kind ORDER BY event_id DESC) AS k FROM e)
+    SELECT task_id, event_id AS seq, kind FROM s WHERE n <= 900 OR kind <> 'progress' OR k <= 450""")
+def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trimmed logs that a stream over the events holds as its state, read from its checkpoint."""
+    kind = F.when(F.col("event_type") == "view", "progress").otherwise(F.col("event_type"))
+    rows = _event_stream(spark, sf_dir).select((F.col("user_id") % 10).alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("ts").alias("at"))
+    place = shared_folder(spark, "retention")
+    stateful.running(stateful.retained_stream(stateful.logged(rows), most=900), f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return stateful.retained_log(spark, f"{place}/checkpoint").select("task_id", "seq", "kind")
+
+
+@query("""WITH e AS (SELECT (user_id % 10) || ':' || ts::DATE AS task_id, epoch_ms(ts) AS ms, ts, CASE event_type WHEN 'error' THEN 'cancel' WHEN 'purchase' THEN 'done' ELSE 'progress' END AS kind FROM events),
+    f AS (SELECT task_id, min(ts) FILTER (kind = 'progress') AS run, min(ts) FILTER (kind = 'cancel') AS c, min(ts) FILTER (kind = 'done') AS d, max(ms) AS latest FROM e GROUP BY task_id),
+    g AS (SELECT *, CASE WHEN d IS NOT NULL AND (c IS NULL OR d < c) THEN 'done' WHEN c IS NULL THEN NULL WHEN run IS NULL OR run > c THEN 'at once'
+        WHEN d IS NOT NULL AND epoch_ms(d) < epoch_ms(c) + 3600000 THEN 'done' WHEN latest >= epoch_ms(c) + 3600000 OR (SELECT max(ms) FROM e) >= epoch_ms(c) + 3600000 THEN 'forced' END AS how FROM f),
+    k AS (SELECT *, CASE how WHEN 'done' THEN epoch_ms(d) WHEN 'at once' THEN epoch_ms(c) WHEN 'forced' THEN epoch_ms(c) + 3600000 END AS ended FROM g)
+    SELECT k.task_id, CASE WHEN how = 'done' THEN 'done' WHEN how IS NULL THEN 'running' ELSE 'canceled' END AS status, coalesce(ended, 0)::BIGINT AS ended, coalesce(how = 'forced', false) AS forced,
+      (count(*) FILTER (e.kind = 'progress' AND (ended IS NULL OR how = 'done' AND e.ts < k.d OR how = 'at once' AND e.ts < k.c OR how = 'forced' AND e.ms < ended)) + CASE WHEN how IN ('done', 'at once') THEN 1 ELSE 0 END)::BIGINT AS events
+    FROM k JOIN e USING (task_id) GROUP BY k.task_id, how, ended, d, c HAVING events > 0 OR how IS NOT NULL""")
+def stream_watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How tasks end that a watchdog stops an hour after a request, and how many of their events it lets through."""
+    kind = F.when(F.col("event_type") == "error", "cancel").when(F.col("event_type") == "purchase", "done").otherwise("progress")
+    task = F.concat_ws(":", (F.col("user_id") % 10).cast("string"), F.to_date("ts").cast("string"))
+    rows = _event_stream(spark, sf_dir).select(task.alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("ts").alias("at"))
+    place = shared_folder(spark, "watchdog")
+    made = stateful.watched(stateful.logged(rows), grace=3600, hold=30 * 86400)
+    stateful.running(made, f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    end = F.col("kind").isin(*events.ENDS)
+    return spark.read.schema(made.schema).parquet(f"{place}/out").groupBy("task_id").agg(
+        F.coalesce(F.max(F.when(end, F.col("kind"))), F.lit("running")).alias("status"), F.coalesce(F.max(F.when(end, F.unix_millis("at"))), F.lit(0)).alias("ended"),
+        (F.count("code") > 0).alias("forced"), F.count("seq").alias("events"),
+    )
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS task_id, ts, event_type FROM events),
+    a AS (SELECT t.task_id, CASE WHEN t.task_id::BIGINT % 2 = 0 THEN 'done' ELSE 'failed' END AS kind FROM e t WHERE t.event_type = 'error' AND t.ts + INTERVAL 2 HOUR < (SELECT max(ts) FROM e)
+      AND NOT EXISTS (SELECT 1 FROM e c WHERE c.event_type = 'purchase' AND c.task_id = t.task_id AND c.ts BETWEEN t.ts - INTERVAL 2 HOUR AND t.ts + INTERVAL 2 HOUR)),
+    b AS (SELECT task_id, CASE event_type WHEN 'purchase' THEN 'done' ELSE 'progress' END AS kind, 0 AS added FROM e UNION ALL SELECT task_id, kind, 1 FROM a)
+    SELECT task_id, kind, count(*)::BIGINT AS events, sum(added)::BIGINT AS added FROM b GROUP BY task_id, kind""")
+def stream_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of events with a closing one for every end (an error) that has none (a purchase) within two hours."""
+    rows = _event_stream(spark, sf_dir)
+    kind = F.when(F.col("event_type") == "purchase", "done").otherwise("progress")
+    feed = stateful.logged(rows.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("ts").alias("at")))
+    status = F.when(F.col("event_type") != "error", "running").when(F.col("user_id") % 2 == 0, "done").otherwise("canceled")
+    ended = _event_stream(spark, sf_dir).select(F.col("user_id").alias("task_id"), status.alias("status"), F.col("ts").alias("ended_at")).withWatermark("ended_at", "0 seconds")
+    place = shared_folder(spark, "closing")
+    made = stateful.closing_feed(feed, ended, within="2 hours")
+    stateful.running(made, f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    out = spark.read.schema(made.schema).parquet(f"{place}/out")
+    return out.groupBy("task_id", "kind").agg(F.count("*").alias("events"), F.count_if(F.col("seq").isNull()).alias("added"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .tokens import SPACE
 
-#: A code point that no text holds: where a sentence ends.
-MARK = "\U0010fffe"
+#: Where a sentence ends, and what stands before a letter in place of either of these two in a text.
+MARK, ESCAPE = "\U0010fffe", "\U0010fffd"
 #: Sentence ends: CJK enders with their closers, Latin enders before white space or the end, runs of newlines.
 SENTENCE_END = r"[。！？；…]+[」』”’）】》]*[ \t]*|[.!?;]+[\"')\]]*(?=[ \t\n]|\z)[ \t]*|\n+"
 # Names that file systems reserve, and the name of what has none.
@@ -34,10 +34,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """The text cut after each sentence end; blank pieces join the piece before. Joined they give the text back."""
-    marked = F.regexp_replace(text, SENTENCE_END, f"$0{MARK}")
+    """The text cut after each sentence end; blank pieces join the piece before. Joined they give the text back.
+
+    The mark between pieces may be in the text too: there it is written as ESCAPE and a letter meanwhile.
+    """
+    plain = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(f"{ESCAPE}a")), F.lit(MARK), F.lit(f"{ESCAPE}b"))
+    marked = F.regexp_replace(plain, SENTENCE_END, f"$0{MARK}")
     joined = F.regexp_replace(marked, rf"{MARK}(?=[{SPACE}]*(?:{MARK}|\z))", "")  # no mark before a blank piece
-    return F.filter(F.split(joined, MARK), lambda p: p != "")
+    pieces = F.filter(F.split(joined, MARK), lambda p: p != "")
+    return F.transform(pieces, lambda p: F.when(F.contains(p, F.lit(ESCAPE)), F.replace(F.replace(p, F.lit(f"{ESCAPE}b"), F.lit(MARK)), F.lit(f"{ESCAPE}a"), F.lit(ESCAPE))).otherwise(p))
 
 
 def paragraphs(text: Column) -> Column:

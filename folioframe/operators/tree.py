@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,20 +18,38 @@ def coverage(found: Column, stated: Column) -> Column:
     return F.when(stated.isNull(), None).when(stated == 0, 1.0).otherwise(F.least(F.lit(1.0), found.cast("double") / stated))
 
 
-def heading_parents(heads: DataFrame, *, key: str, order: str, level: str, most: int = 1000) -> DataFrame:
+#: Up to so many different levels, parents are found by a window for each level.
+LEVELS = 16
+
+
+def heading_parents(heads: DataFrame, *, key: str, order: str, level: str) -> DataFrame:
     """Each heading with the nearest one before it of a smaller level, as column parent (null: none, or no level).
 
-    That is the latest of the last headings of each smaller level that there is: one sort a document, no join. The
-    levels are taken from the data; more than `most` different ones are an error.
+    With levels of 1 to LEVELS, that is the latest of the last headings of each smaller level: one sort a document, no
+    join, no look at the data. Headings of a document with other levels are taken in order, with a stack of those open.
     """
-    levels = sorted(r[0] for r in heads.select(level).where(F.col(level).isNotNull()).distinct().limit(most + 1).collect())
-    if len(levels) > most:
-        raise ValueError(f"headings of more than {most} levels")
+    plain = F.col(level).between(1, LEVELS) | F.col(level).isNull()
     before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    pick = F.lit(None).cast(heads.schema[order].dataType)
-    for above, lv in zip(levels, levels[1:], strict=False):
-        pick = F.when(F.col(level) == lv, F.last(F.when(F.col(level) <= above, F.col(order)), ignorenulls=True).over(before)).otherwise(pick)
-    return heads.withColumn("parent", pick)
+    last = F.array(*[F.last(F.when(F.col(level) == lv, F.col(order)), ignorenulls=True).over(before) for lv in range(1, LEVELS)])
+    least = F.array_max(F.slice(last, 1, F.greatest(F.least(F.col(level), F.lit(LEVELS)) - 1, F.lit(0)).cast("int")))
+    every = heads.withColumn("__odd", F.max(~plain).over(W.partitionBy(key)))
+    near = every.where(~F.col("__odd")).drop("__odd").withColumn("parent", F.when(F.col(level).isNotNull(), least))
+    odd = every.where("__odd").drop("__odd")
+    kind = heads.schema[order].dataType.simpleString()
+
+    def stacked(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, open_ = [], []
+        for at, lv in pdf.sort_values("at", kind="stable")[["at", "level"]].itertuples(index=False):
+            while open_ and not pd.isna(lv) and open_[-1][0] >= lv:
+                open_.pop()
+            out.append((pdf["key"].iloc[0], at, open_[-1][1] if open_ and not pd.isna(lv) else None))
+            if not pd.isna(lv):
+                open_.append((lv, at))
+        return pd.DataFrame({"k": [r[0] for r in out], "o": [r[1] for r in out], "parent": pd.Series([r[2] for r in out], dtype=object)})
+
+    found = odd.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(level).alias("level")).groupBy("key").applyInPandas(stacked, f"k {heads.schema[key].dataType.simpleString()}, o {kind}, parent {kind}")
+    joined = odd.join(found, F.col(key).eqNullSafe(F.col("k")) & (F.col(order) == F.col("o"))).drop("k", "o")
+    return near.unionByName(joined)
 
 
 def chains(nodes: DataFrame, *, id_col: str, parent_col: str, label_col: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 #: States of tasks that have not ended.
 OPEN_STATES = ("queued", "running")
@@ -119,8 +120,8 @@ def replace_documents(base: DataFrame, fresh: DataFrame, key: str = "doc_id") ->
 
 
 def in_parts(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Rows sorted over all partitions, and held on disk so, with the number of their part: parts are in order too."""
-    return rows.orderBy(*order).withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    """Rows sorted over all partitions, written to the shared folder, with the number of their part: parts are in order too."""
+    return written(rows.orderBy(*order).withColumn("part", F.spark_partition_id()), "parts")
 
 
 def earlier_duplicate(docs: DataFrame, *, content: str, order: Sequence[str], id_col: str) -> DataFrame:
@@ -141,12 +142,22 @@ def earlier_duplicate(docs: DataFrame, *, content: str, order: Sequence[str], id
 
 
 def unique_names(rows: DataFrame, *, folder: str, name: str, order: str, id_col: str) -> DataFrame:
-    """Names made unique within a folder, cases alike: all but the first by order are preceded by the start of their id."""
+    """Names made unique within a folder, cases alike: all but the first by order are preceded by the start of their id.
+
+    Where that is a name already, of whatever row, by the whole id; where that is, by a hash of id and order besides. So
+    rows of different ids, or orders, never share a name; of equal ones no name can tell more.
+    """
     place = F.struct(F.col(order).alias("order"), F.col(id_col).alias("id"))
     first = rows.groupBy(F.col(folder).alias("in_folder"), F.lower(name).alias("lower_name")).agg(F.min(place).alias("first"))
     joined = rows.join(first, F.col(folder).eqNullSafe(F.col("in_folder")) & F.lower(name).eqNullSafe(F.col("lower_name")), "left")
-    named = F.when(place != F.col("first"), F.concat(F.substring(F.col(id_col).cast("string"), 1, 8), F.lit("-"), F.col(name))).otherwise(F.col(name))
-    return joined.select(*[rows[c] for c in rows.columns], named.alias("file_name"))
+    whole, dash = F.col(id_col).cast("string"), F.lit("-")
+    forms = [F.concat(F.substring(whole, 1, 8), dash, F.col(name)), F.concat(whole, dash, F.col(name)), F.concat(whole, dash, F.sha2(F.to_json(place), 256), dash, F.col(name))]
+    out = joined.select(*[rows[c] for c in rows.columns], (place == F.col("first")).alias("__first"), F.when(place != F.col("first"), forms[0]).otherwise(F.col(name)).alias("file_name"))
+    for form in forms[1:]:
+        names = out.groupBy(F.col(folder).alias("in_folder"), F.lower("file_name").alias("lower_name")).agg(F.count("*").alias("n")).where("n > 1 AND lower_name IS NOT NULL")
+        found = out.join(names, F.col(folder).eqNullSafe(F.col("in_folder")) & (F.lower("file_name") == F.col("lower_name")), "left")
+        out = found.select(*[out[c] for c in rows.columns], "__first", F.when(F.col("n").isNotNull() & ~F.col("__first"), form).otherwise(F.col("file_name")).alias("file_name"))
+    return out.drop("__first")
 
 
 def within_budget(files: DataFrame, *, size: str, order: Sequence[Column], budget: int) -> DataFrame:

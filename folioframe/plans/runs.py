@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +16,9 @@ from pyspark.sql import types as T
 from .. import sinks
 from ..functions.text import image_ref, safe_filename
 from ..model import NODE
+from ..shared import written
 from ..sources import files
+from ..sources.folder import write_files
 from . import catalog, chunking, dataset, render
 from .packing import Options
 
@@ -35,13 +36,6 @@ class Refused(Exception):
         self.code = code
 
 
-def held(rows: DataFrame) -> DataFrame:
-    """The rows, computed now and once: files were written on the way."""
-    out = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
-
-
 # ---------------------------------------------------------------- import
 
 
@@ -61,18 +55,16 @@ def import_files(spark: SparkSession, folder: str, workspace: str, known: DataFr
     """(imported, skipped) of the files below a folder.
 
     imported: doc_id, name, src_path, stored_path, fmt, size, hash, duplicate_of, status. Each file's bytes are copied to
-    `workspace`/doc_id; duplicate_of is the id of an earlier document of the same content, of `known` (doc_id, hash) or
+    `workspace`/doc_id, block by block, by tasks that move complete copies into place; duplicate_of is the id of an earlier document of the same content, of `known` (doc_id, hash) or
     of this import, and only a remark. skipped: path, name, code, reason, is_kmod (a module package, which another way
     takes). The whole import is refused (E07) where the workspace has too little room; a copy that fails is skipped.
     """
-    listed = files.gated(files.listing(spark, folder, pattern)).persist()
+    listed = written(files.gated(files.listing(spark, folder, pattern)), "listing")
     check_room(spark, workspace, files.room_needed(listed.where("code IS NULL")))
-    rows = files.contents(spark, folder, pattern)
-    doc_id = F.substring(F.sha2(F.concat_ws("|", "path", "hash"), 256), 1, 32)
-    rows = rows.withColumn("doc_id", doc_id).withColumn("stored", F.concat_ws("/", "doc_id", "name"))
-    keep = ("doc_id", "path", "name", "ext", "size", "hash", "stored")
-    copied = held(sinks.documents_to_files(rows, workspace, name="stored", body="content", keep=keep))
-    good = copied.where("error IS NULL")
+    outcomes = write_files(listed.where("code IS NULL"), workspace, row="path", name="name", source="path", named="content")
+    found = outcomes.select(F.col("row").alias("from"), F.col("file_name").alias("stored"), F.col("bytes").alias("size"), F.col("sha256").alias("hash"), "error")
+    copied = listed.where("code IS NULL").drop("size").join(found, F.col("path") == F.col("from"))
+    good = copied.where("error IS NULL").withColumn("doc_id", F.substring_index("stored", "/", 1))
     order = good.select("doc_id", "hash", F.lit(1).alias("turn"), "path")
     if known is not None:
         order = order.union(known.select("doc_id", "hash", F.lit(0), F.lit("")))
@@ -101,7 +93,7 @@ def store_trees(parsed: DataFrame, workspace: str) -> DataFrame:
     """Outcomes (doc_id, file_name, bytes, error) of writing each parsed file's tree as compact JSON, without nulls."""
     body = F.to_json(F.struct(F.lit(sinks.VERSION).alias("version"), *[F.col(f.name) for f in TREE.fields[1:]]))
     rows = parsed.where("status <> 'failed'").select("doc_id", F.concat("doc_id", F.lit("/ir.json")).alias("file"), body.alias("body"))
-    return held(sinks.documents_to_files(rows, workspace, name="file", body="body", keep=["doc_id"]))
+    return sinks.documents_to_files(rows, workspace, name="file", body="body", keep=["doc_id"])
 
 
 def read_trees(spark: SparkSession, workspace: str, code: str = "E05") -> DataFrame:
@@ -120,7 +112,7 @@ def rechunk(spark: SparkSession, workspace: str, asked: DataFrame, options: Opti
 
     `asked`: doc_id. `catalog.replace_documents` puts the chunks in place of the old ones.
     """
-    trees = read_trees(spark, workspace).join(asked.select("doc_id").distinct(), "doc_id", "left_semi").persist(StorageLevel.DISK_ONLY)
+    trees = written(read_trees(spark, workspace).join(asked.select("doc_id").distinct(), "doc_id", "left_semi"), "trees")
     missing = asked.select("doc_id").distinct().join(trees.where("code IS NULL"), "doc_id", "left_anti").withColumn("code", F.lit("E05"))
     return chunking.chunk_nodes(files.nodes_of(trees.where("code IS NULL")), options), missing
 
@@ -131,9 +123,9 @@ def copy_assets(parsed: DataFrame, folder: str) -> DataFrame:
     refs = parsed.select("doc_id", ref.alias("ref"))
     assets = parsed.select(F.col("doc_id").alias("of"), F.explode("assets").alias("a")).select("of", F.col("a.path").alias("at"), "a.data")
     found = refs.join(assets, (refs["doc_id"] == assets["of"]) & (refs["ref"] == assets["at"]), "left").withColumn("file", F.concat_ws("/", "doc_id", "ref"))
-    written = sinks.documents_to_files(found.where("data IS NOT NULL"), folder, name="file", body="data", keep=["doc_id"])
+    copied = sinks.documents_to_files(found.where("data IS NOT NULL"), folder, name="file", body="data", keep=["doc_id"])
     missing = found.where("data IS NULL").select("doc_id", F.col("file").alias("file_name"), F.lit(0).cast("long").alias("bytes"), F.lit("missing").alias("error"))
-    return held(written.union(missing))
+    return copied.union(missing)
 
 
 # ---------------------------------------------------------------- exports
@@ -233,13 +225,13 @@ def export(
             bodies += [render.render_documents(nodes, how).select("doc_id", F.lit(f).alias("format"), "body") for f, how in (("md", render.markdown), ("html", render.print_html)) if f in single]
         made = _union(bodies, spark, "doc_id string, format string, body string")
         named = file_names(mine, F.array(*map(F.lit, single))).join(made, ["doc_id", "format"], "left")
-        written = sinks.documents_to_files(named.where("body IS NOT NULL"), folder, keep=["doc_id", "format"])
+        files_ = sinks.documents_to_files(named.where("body IS NOT NULL"), folder, keep=["doc_id", "format"])
         none = lambda kind: F.lit(None).cast(kind)
-        outcomes.append(written.select("doc_id", "format", "file_name", "bytes", F.when(F.col("error").isNotNull(), "E06"), "error"))
+        outcomes.append(files_.select("doc_id", "format", "file_name", "bytes", F.when(F.col("error").isNotNull(), "E06"), "error"))
         outcomes.append(named.where("body IS NULL").select("doc_id", "format", none("string"), none("long"), F.lit("E05"), F.lit("no tree to export")))
         gone = asked.join(docs, "doc_id", "left_anti").select("doc_id", F.explode(F.array(*map(F.lit, single))))
         outcomes.append(gone.select("*", none("string"), none("long"), F.lit("E03"), F.lit("no such document")))
-    done = held(_union(outcomes, spark, schema))
+    done = written(_union(outcomes, spark, schema), "outcomes")
     if merge:
         done = done.union(_merged(mine, own, [f for f in dict.fromkeys(formats) if f in MERGEABLE], f"{folder.rstrip('/')}/{stamp}", mode, per_chunk, schema))
     if done.where("code IS NULL").isEmpty():
@@ -301,8 +293,8 @@ def make_pairs(docs: DataFrame, chunks: DataFrame, ids: DataFrame | Sequence[obj
         return _union([spark.createDataFrame([(None, path, None, None, None)], schema), gone], spark, schema)
     bodies = _chunk_bodies(mine, own, ["qa"], mode, per_chunk)
     named = file_names(mine, F.array(F.lit("qa"))).join(bodies, ["doc_id", "format"])
-    written = sinks.documents_to_files(named, folder, keep=["doc_id"])
-    done = held(_union([written.select("doc_id", "file_name", "bytes", F.when(F.col("error").isNotNull(), "E06"), "error"), gone], spark, schema))
+    files_ = sinks.documents_to_files(named, folder, keep=["doc_id"])
+    done = written(_union([files_.select("doc_id", "file_name", "bytes", F.when(F.col("error").isNotNull(), "E06"), "error"), gone], spark, schema), "outcomes")
     if done.where("code IS NULL").isEmpty():
         raise Refused(done.first().code if not done.isEmpty() else "E05", "no pairs were written")
     return done

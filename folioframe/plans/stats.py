@@ -51,7 +51,8 @@ def token_histogram(chunks: DataFrame, tokens: str = "token_count") -> DataFrame
 def top_documents(chunks: DataFrame, docs: DataFrame, *, key: str = "doc_id", name: str = "name", tokens: str = "token_count", k: int = 20) -> DataFrame:
     """The k documents with most chunks (ties by key), with their names: aggregated and cut before the join."""
     most = chunks.groupBy(key).agg(F.count("*").alias("chunks"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens")).orderBy(F.desc("chunks"), key).limit(k)
-    return docs.select(key, name).join(F.broadcast(most), key, "right").select(key, name, "chunks", "tokens")
+    found = docs.select(F.col(key).alias("__key"), name).join(F.broadcast(most.select(key)), F.col("__key") == F.col(key), "left_semi")  # k rows are sent, documents stay
+    return most.join(F.broadcast(found), F.col(key) == F.col("__key"), "left").select(key, name, "chunks", "tokens")
 
 
 def top_failures(events: DataFrame, messages: dict[str, str], *, level: str = "level", code: str = "code", k: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -9,6 +11,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_roots: set[str] = set()
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Delete what this application wrote; a session that is gone, or a missing folder, is passed over."""
+    with contextlib.suppress(Exception):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new folder's path below `spark.checkpoint.dir`; a local one only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,7 +28,11 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "folioframe-shared")
-    return f"{base.rstrip('/')}/folioframe-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/folioframe-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_drop, spark, root)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(rows: DataFrame, tag: str) -> DataFrame:

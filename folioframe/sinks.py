@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
+from .sources.folder import write_files
 
 # The columns of the exports, and their schema's version.
 VERSION = "1.0"
@@ -176,41 +177,15 @@ def log_lines(events: DataFrame, path: str) -> None:
 
 
 def documents_to_files(rendered: DataFrame, folder: str, *, name: str = "file_name", body: str = "body", keep: Sequence[str] = ()) -> DataFrame:
-    """(columns `keep`, file_name, bytes, error): a file for each row, text or bytes, one failing row alone.
+    """(columns `keep`, file_name, bytes, error): a file for each row, text or bytes, written now; one failing row fails alone.
 
-    Names may have folders, but no steps upwards. Written by the executors, to any store that pyarrow's file systems
-    open; a file that is written again has the same content.
+    Names may have folders, but no steps upwards. Tasks write aside and move complete files into place; outcomes are
+    those of the tasks that were committed. The columns `keep` are of types that JSON has.
     """
-    def run(batches):
-        import pandas as pd
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        made = {base}
-        for pdf in batches:
-            out = []
-            for file, data in zip(pdf["name"], pdf["body"], strict=True):
-                try:
-                    if not file or ".." in file.split("/"):
-                        raise ValueError(f"not a file name: {file!r}")
-                    data = (data or "").encode() if isinstance(data, str) or data is None else bytes(data)
-                    parent = f"{base}/{file}".rpartition("/")[0]
-                    if parent not in made:
-                        store.create_dir(parent, recursive=True)
-                        made.add(parent)
-                    with store.open_output_stream(f"{base}/{file}") as f:
-                        f.write(data)
-                    out.append((file, len(data), None))
-                except Exception as e:
-                    out.append((file, 0, f"{type(e).__name__}: {e}"))
-            written = pd.DataFrame(out, columns=["file_name", "bytes", "error"], index=pdf.index)
-            yield pd.concat([pdf[[*kept]], written], axis=1)
-
-    kept = [f"k{i}" for i in range(len(keep))]
-    rows = rendered.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.col(name).alias("name"), F.col(body).alias("body"))
-    schema = rows.select(*kept).schema.add("file_name", "string").add("bytes", "long").add("error", "string")
-    return rows.mapInPandas(run, schema).toDF(*keep, "file_name", "bytes", "error")
+    kept = rendered.select(*keep).schema
+    row = F.to_json(F.struct(*keep)) if keep else F.lit("{}")
+    out = write_files(rendered.select(row.alias("row"), F.col(name).alias("name"), F.col(body).alias("body")), folder, row="row", name="name", body="body")
+    return out.select(F.from_json("row", kept).alias("kept"), "file_name", "bytes", "error").select(*[F.col("kept")[c].alias(c) for c in keep], "file_name", "bytes", "error")
 
 
 def export_all(formats: dict[str, Callable[[], str]]) -> tuple[dict[str, str], dict[str, str]]:

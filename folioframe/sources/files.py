@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fnmatch import fnmatch
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,36 +13,22 @@ from pyspark.sql import types as T
 from ..model import CONTENT, NODE
 from ..operators.tree import COVERED
 from . import ooxml
+from .folder import DEEPEST, folder, store_of
 
 # Formats that are taken, those with a reader here, and the gates.
 FORMATS = ("docx", "pptx", "xlsx", "pdf", "doc", "ppt", "xls")
 READABLE = ("docx", "pptx", "xlsx")
-LARGEST, MOST_FILES = 500 * 1024 * 1024, 5000
+LARGEST = 500 * 1024 * 1024
 SPARE = 2 * 1024**3
 
 
-def listing(spark: SparkSession, path: str, pattern: str = "*", deepest: int = 8, most: int = MOST_FILES) -> DataFrame:
-    """(path, name, ext, size, modified, cut) of up to `most` files below a folder, without reading them; lock files are out.
+def listing(spark: SparkSession, path: str, pattern: str = "*", deepest: int = DEEPEST) -> DataFrame:
+    """(path, name, ext, size, modified) of all files below a folder, without reading them; lock files and links are out.
 
-    A listing of names by the driver, like a reader's own, and the only way to see empty files: readers pass these over.
-    cut says, in every row, whether there were more files than `most`.
+    Listed by the executors, a task for each folder of the upper levels; empty files are seen too. Filters on names and
+    sizes reach the listing.
     """
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    top = fs.makeQualified(top)
-    base, rows, cut = top.depth(), [], False
-    found = fs.listFiles(top, True)
-    while found.hasNext() and not cut:
-        f = found.next()
-        name = f.getPath().getName()
-        if f.getPath().depth() - base <= deepest and not name.startswith("~$") and fnmatch(name, pattern):
-            if len(rows) == most:
-                cut = True
-                break
-            rows.append((f.getPath().toString(), name, name.rpartition(".")[2].lower() if "." in name else "", f.getLen(), f.getModificationTime()))
-    out = spark.createDataFrame(rows, "path string, name string, ext string, size long, modified long")
-    return out.withColumn("modified", F.timestamp_millis("modified")).withColumn("cut", F.lit(cut))
+    return folder(spark).read.format("folder").option("path", path).option("pattern", pattern).option("deepest", str(deepest)).load()
 
 
 def snapshots(listed: DataFrame) -> DataFrame:
@@ -63,12 +49,26 @@ def room_needed(files: DataFrame) -> int:
 
 
 def contents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files with their bytes and SHA-256, for those that pass the gates."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), F.col("length").alias("size"), "content")
-    ok = gated(rows.where(~F.col("name").startswith("~$"))).where("code IS NULL")  # on names and sizes: other files aren't read
-    return ok.select("path", "name", "ext", "size", F.sha2("content", 256).alias("hash"), "content")
+    """Files with their bytes and SHA-256, for those that pass the gates; others are never opened.
+
+    The listed names are dealt to all tasks, which read a file at a time. One that can't be read has null bytes.
+    """
+    listed = listing(spark, path, pattern).where(F.col("ext").isin(*READABLE) & (F.col("size") > 0) & (F.col("size") <= LARGEST))
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                try:
+                    store, at, _ = store_of(batch.column(0)[k].as_py())
+                    with store.open_input_stream(at) as f:
+                        data = f.read()
+                except OSError:
+                    data = None
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([data], pa.binary())], names=[*batch.schema.names, "content"])
+
+    rows = listed.select("path", "name", "ext", "size").repartition(width, "path").mapInArrow(run, "path string, name string, ext string, size long, content binary")
+    return rows.select("path", "name", "ext", "size", F.sha2("content", 256).alias("hash"), "content")
 
 
 PARSED = (
