@@ -675,23 +675,23 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
 
 
-@query("""WITH e AS (SELECT (user_id % 10)::VARCHAR AS task_id, event_id, CASE WHEN event_type = 'view' THEN 'progress' ELSE event_type END AS kind FROM events),
+@query("""WITH e AS (SELECT (user_id % 10)::VARCHAR AS task_id, event_id, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'progress' ELSE event_type END AS kind FROM events),
     s AS (SELECT *, count(*) OVER (PARTITION BY task_id) AS n, row_number() OVER (PARTITION BY task_id, kind ORDER BY event_id DESC) AS k FROM e)
     SELECT task_id, event_id AS seq, kind FROM s WHERE n <= 900 OR kind <> 'progress' OR k <= 450""")
 def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trimmed logs that a stream over the events holds as its state, read from its checkpoint."""
-    kind = F.when(F.col("event_type") == "view", "progress").otherwise(F.col("event_type"))
+    kind = F.when(F.col("event_type").isin("view", "click", "signup"), "progress").otherwise(F.col("event_type"))
     rows = _event_stream(spark, sf_dir).select((F.col("user_id") % 10).alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("ts").alias("at"))
     place = shared_folder(spark, "retention")
     stateful.running(stateful.retained_stream(stateful.logged(rows), most=900), f"{place}/out", f"{place}/checkpoint").awaitTermination()
     return stateful.retained_log(spark, f"{place}/checkpoint").select("task_id", "seq", "kind")
 
 
-@query("""WITH e AS (SELECT (user_id % 10) || ':' || ts::DATE AS task_id, epoch_ms(ts) AS ms, ts, CASE event_type WHEN 'error' THEN 'cancel' WHEN 'purchase' THEN 'done' ELSE 'progress' END AS kind FROM events),
+@query("""WITH e AS (SELECT (user_id % 10) || ':' || ts::DATE AS task_id, (epoch_us(ts) // 1000) AS ms, ts, CASE event_type WHEN 'error' THEN 'cancel' WHEN 'purchase' THEN 'done' ELSE 'progress' END AS kind FROM events),
     f AS (SELECT task_id, min(ts) FILTER (kind = 'progress') AS run, min(ts) FILTER (kind = 'cancel') AS c, min(ts) FILTER (kind = 'done') AS d, max(ms) AS latest FROM e GROUP BY task_id),
     g AS (SELECT *, CASE WHEN d IS NOT NULL AND (c IS NULL OR d < c) THEN 'done' WHEN c IS NULL THEN NULL WHEN run IS NULL OR run > c THEN 'at once'
-        WHEN d IS NOT NULL AND epoch_ms(d) < epoch_ms(c) + 3600000 THEN 'done' WHEN latest >= epoch_ms(c) + 3600000 OR (SELECT max(ms) FROM e) >= epoch_ms(c) + 3600000 THEN 'forced' END AS how FROM f),
-    k AS (SELECT *, CASE how WHEN 'done' THEN epoch_ms(d) WHEN 'at once' THEN epoch_ms(c) WHEN 'forced' THEN epoch_ms(c) + 3600000 END AS ended FROM g)
+        WHEN d IS NOT NULL AND (epoch_us(d) // 1000) < (epoch_us(c) // 1000) + 3600000 THEN 'done' WHEN latest >= (epoch_us(c) // 1000) + 3600000 OR (SELECT max(ms) FROM e) >= (epoch_us(c) // 1000) + 3600000 THEN 'forced' END AS how FROM f),
+    k AS (SELECT *, CASE how WHEN 'done' THEN (epoch_us(d) // 1000) WHEN 'at once' THEN (epoch_us(c) // 1000) WHEN 'forced' THEN (epoch_us(c) // 1000) + 3600000 END AS ended FROM g)
     SELECT k.task_id, CASE WHEN how = 'done' THEN 'done' WHEN how IS NULL THEN 'running' ELSE 'canceled' END AS status, coalesce(ended, 0)::BIGINT AS ended, coalesce(how = 'forced', false) AS forced,
       (count(*) FILTER (e.kind = 'progress' AND (ended IS NULL OR how = 'done' AND e.ts < k.d OR how = 'at once' AND e.ts < k.c OR how = 'forced' AND e.ms < ended)) + CASE WHEN how IN ('done', 'at once') THEN 1 ELSE 0 END)::BIGINT AS events
     FROM k JOIN e USING (task_id) GROUP BY k.task_id, how, ended, d, c HAVING events > 0 OR how IS NOT NULL""")
@@ -721,7 +721,7 @@ def stream_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "done").otherwise("progress")
     feed = stateful.logged(rows.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("ts").alias("at")))
     status = F.when(F.col("event_type") != "error", "running").when(F.col("user_id") % 2 == 0, "done").otherwise("canceled")
-    ended = _event_stream(spark, sf_dir).select(F.col("user_id").alias("task_id"), status.alias("status"), F.col("ts").alias("ended_at")).withWatermark("ended_at", "0 seconds")
+    ended = _event_stream(spark, sf_dir).select(F.col("user_id").alias("task_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ended_at")).withWatermark("ended_at", "0 seconds")
     place = shared_folder(spark, "closing")
     made = stateful.closing_feed(feed, ended, within="2 hours")
     stateful.running(made, f"{place}/out", f"{place}/checkpoint").awaitTermination()
