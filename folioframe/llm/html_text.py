@@ -5,6 +5,11 @@ elements: it leaves out what is not visible, collapses white space as inline lay
 numbers lists and aligns table cells in columns. All visible text is kept; nothing is scored or dropped as
 boilerplate.
 
+What hides an element: its tag, the `hidden` attribute, its own style, and rules of the page's `<style>` elements
+for `display` and `visibility` with simple selectors: a tag, a class or an id, or a tag with one of these, in lists.
+Rules with other selectors (more classes, combinators, attributes, states) and those within `@` blocks hide nothing:
+their text stays. Linked sheets are not read, scripts not run.
+
 Any page is drawn in time and space near its own size: no step recurses, open elements are found by their places,
 and layout is given up, never text, where it would outgrow the text. Lines are indented for `INDENT` levels at
 most; cells above `WIDE` characters don't widen their column; a table within `NESTED` others, one of a single
@@ -27,7 +32,7 @@ from .storage import bounded_batches
 # Fixed values of HTML: void elements, raw-text elements, elements that show nothing, block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas svg math datalist area base link meta param source track".split())
+HIDDEN = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas datalist area base link meta param source track".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li legend listing main menu nav ol optgroup option p pre search section summary table caption ul xmp".split()
 )
@@ -60,13 +65,25 @@ P_SCOPE = frozenset("button td th caption table object template".split())
 BARRIER = frozenset("table td th caption template".split())
 ENDS_ANYWHERE = frozenset("table tr thead tbody tfoot td th body html".split())
 
+#: What of drawings and formulas is never drawn where it stands.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
+FOREIGN = ("svg", "math")
+
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
-_TAG = re.compile(r"</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>?")
+#: An attribute: a name, which may begin with =, and a value; a quote counts only where a value begins.
+_ONE = r"""[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?)?"""
+_TAG = re.compile(rf"</?[A-Za-z][^\s/>]*(?:[\s/]+|{_ONE})*+>?")
 _OTHER = re.compile(r"<[!?][^>]*>?")
 _START = re.compile(r"<(?=[!?]|/?[A-Za-z])")
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"'][^\s>]*)?))?""")
+_COMMENT_END = re.compile(r"--!?>")
 _NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+#: A style sheet's comments, blocks with their selectors, declarations, and selectors that are understood.
+_REMARK = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_BRACE = re.compile(r"[{}]|@[^{};]*(?=\{)|[^{}@]+|@")
+_STATED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
+_SIMPLE = re.compile(r"([A-Za-z][\w-]*)?(?:([.#])(-?[A-Za-z_\u0080-\U0010ffff][\w-]*))?")
 _WS = re.compile(r"[ \t\n\r\f]+")
 
 INDENT, WIDE, NESTED, SPREAD = 16, 80, 4, 4
@@ -120,6 +137,7 @@ class Open:
 def tree(html: str) -> Node:
     """The document's tree; unclosed, implied and misnested tags are resolved as they come."""
     root = Node("#document")
+    sheets: list[Node] = []
     now = Open(root)
     stack = now.stack
 
@@ -142,8 +160,11 @@ def tree(html: str) -> Node:
         if not m:
             break
         if html.startswith("<!--", upto):
-            stop = html.find("-->", upto + 4)
-            at = end if stop < 0 else stop + 3
+            if html.startswith((">", "->"), upto + 4):  # empty
+                at = html.index(">", upto + 4) + 1
+            else:
+                stop = _COMMENT_END.search(html, upto + 4)
+                at = stop.end() if stop else end
             continue
         if upto < last_section and html.startswith("<![CDATA[", upto):
             stop = html.index("]]>", upto)
@@ -174,20 +195,80 @@ def tree(html: str) -> Node:
             now.close(place)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
             now.close(len(stack) - 1)
-        node = Node(tag, attributes(token[1 + len(tag) :].rstrip(">")))
+        node = Node(tag, attributes(token[1 + len(tag) :].removesuffix(">")))
+        foreign = tag in FOREIGN or any(now.places.get(t) for t in FOREIGN)
+        if foreign and tag in UNDRAWN:
+            node.attrs["hidden"] = ""
+        if foreign and tag == "text":
+            stack[-1].children.append(" ")  # drawn at a place of its own
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or foreign and token.endswith("/>"):
             continue
         if tag in RAW:
             stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
             body = html[at : stop.start() if stop else end]
             node.children.append(unescape(body) if tag in ("textarea", "title") else body)
+            if tag == "style":
+                sheets.append(node)
             at = end if not stop else (html.find(">", stop.end()) + 1 or end)
             continue
         now.push(node)
+    if sheets:
+        apply_sheets(root, sheets)
     return root
 
 
+def sheet_rules(css: str) -> Iterator[tuple[tuple[str, str], str, tuple[bool, int], str]]:
+    """((tag, class or id with its sign), property, (important, weight), value) of the rules that are understood, in order."""
+    depth, at_rule, selectors = 0, 0, ""
+    for m in _BRACE.finditer(_REMARK.sub(" ", css)):
+        part = m[0]
+        if part == "{":
+            depth += 1
+        elif part == "}":
+            depth = max(0, depth - 1)
+            if depth < at_rule:
+                at_rule = 0
+            selectors = ""
+        elif part.startswith("@") and part != "@":
+            at_rule = at_rule or depth + 1
+        elif not at_rule and depth == 0:
+            selectors = part.rpartition(";")[2]
+        elif not at_rule and depth == 1 and ("isplay" in part or "isibility" in part or "DISPLAY" in part or "VISIBILITY" in part):
+            stated = [(p[0].lower(), bool(p[2]), p[1].lower()) for p in _STATED.findall(part)]
+            for selector in selectors.split(","):
+                simple = _SIMPLE.fullmatch(selector.strip())
+                if simple and simple[0]:
+                    key = (simple[1] or "").lower(), f"{simple[2]}{simple[3]}" if simple[2] else ""
+                    weight = (100 if simple[2] == "#" else 10 if simple[2] else 0) + bool(simple[1])
+                    for name, important, value in stated:
+                        yield key, name, (important, weight), value
+
+
+def apply_sheets(root: Node, sheets: list[Node]) -> None:
+    """Put what style elements say of display and visibility into the elements' own styles; these win if they say it too."""
+    rules: dict[tuple[tuple[str, str], str], tuple[tuple[bool, int], int, str]] = {}
+    stated = (rule for sheet in sheets for rule in sheet_rules("".join(c for c in sheet.children if isinstance(c, str))))
+    for turn, (key, name, weight, value) in enumerate(stated):
+        if (key, name) not in rules or rules[key, name][0] <= weight:
+            rules[key, name] = weight, turn, value
+    work = [root] if rules else []
+    while work:
+        node = work.pop()
+        work.extend(c for c in node.children if isinstance(c, Node))
+        marks = ["", *(f".{c}" for c in dict.fromkeys(node.attrs.get("class", "").split())), *([f"#{node.attrs['id']}"] if node.attrs.get("id") else [])]
+        for name in ("display", "visibility"):
+            found = [rules[k] for mark in marks for tag in ("", node.tag) if (k := ((tag, mark), name)) in rules]
+            if found:
+                (important, _), _, value = max(found)
+                own = node.attrs.get("style", "")
+                said = any(p[0].lower() == name for p in _STATED.findall(own))
+                if important or not said:
+                    if name == "display" and said:
+                        own = re.sub(r"(^|;)\s*display\s*:[^;]*", r"\1", own, flags=re.I)
+                    node.attrs["style"] = f"{own};{name}:{value}"
+
+
 def displayed(node: Node) -> bool:
     """Whether a node has a place in the layout, itself and all below it."""
     a = node.attrs
