@@ -215,12 +215,12 @@ GRAPH = "dim int, shard int, ids binary, copies binary, vectors binary, links bi
 
 
 def _build(pdf: pd.DataFrame, sample: list[list[float]], threshold: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("vec_id")
+    pdf = pdf.sort_values(["vec_id", "no"])
     raw = np.stack(pdf["embedding"].to_numpy())
     graph = Graph(unit(raw))
     same_size = [v for v in sample if len(v) == raw.shape[1]]
     beam, recall = graph.audit(unit(np.array(same_size)).astype(F32) if same_size else np.empty((0, raw.shape[1]), F32), threshold - SLACK)
-    as_bytes = [[pdf[c].to_numpy(np.int64).tobytes()] for c in ("vec_id", "copies")]
+    as_bytes = [[pdf[c].to_numpy(np.int64).tobytes()] for c in ("no", "copies")]
     return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "ids": as_bytes[0], "copies": as_bytes[1], "vectors": [raw.tobytes()], "links": [graph.pack()], "beam": [beam], "recall": [recall]})
 
 
@@ -230,11 +230,11 @@ SLACK = 1e-4
 
 def _query(queries: pd.DataFrame, shards: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """One part of all vectors against one shard: counts of links, and a forest that spans the links found."""
-    empty = pd.DataFrame({"vec_id": np.empty(0, np.int64), "n": np.empty(0, np.int64), "src": np.empty(0, np.int64), "dst": np.empty(0, np.int64)})
+    empty = pd.DataFrame({"no": np.empty(0, np.int64), "n": np.empty(0, np.int64), "src": np.empty(0, np.int64), "dst": np.empty(0, np.int64)})
     if not len(queries) or not len(shards):
         return empty
     row = shards.iloc[0]
-    mine, asked = queries["vec_id"].to_numpy(np.int64), np.stack(queries["embedding"].to_numpy())
+    mine, asked = queries["no"].to_numpy(np.int64), np.stack(queries["embedding"].to_numpy())
     ids, copies = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
     exact = unit(np.frombuffer(row["vectors"], asked.dtype).reshape(len(ids), -1))
     graph = Graph.unpack(row["links"], exact)
@@ -250,7 +250,7 @@ def _query(queries: pd.DataFrame, shards: pd.DataFrame, threshold: float) -> pd.
                 x, y = forest(mine[a], ids[b])
                 src.append(x)
                 dst.append(y)
-    found = pd.DataFrame({"vec_id": mine, "n": counts})[counts > 0]
+    found = pd.DataFrame({"no": mine, "n": counts})[counts > 0]
     if src:
         x, y = forest(np.concatenate(src), np.concatenate(dst))
         found = pd.concat([found, pd.DataFrame({"src": x, "dst": y})])
@@ -263,7 +263,7 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.95, id_col: s
     Vectors link at a cosine of `threshold` or more in double precision; n_links counts other rows linked directly,
     component_id is the least id reachable, kept says that it is the row's own. A vector that is null, empty or zero, or
     holds null or non-finite numbers, links with nothing; so do vectors of different lengths. Equal vectors link.
-    Repeated rows count as rows. A null id takes no part: n_links 0, component_id null, kept false. `shards` follows
+    Repeated rows count as rows; rows that share an id are rows of their own, linked by their vectors alone. A null id takes no part: n_links 0, component_id null, kept false. `shards` follows
     from the number of distinct vectors (SHARD_ROWS in each, SHARDS at least), so that a task's graph stays of one size.
     An empty table gives no rows; other columns are ignored.
     """
@@ -271,22 +271,25 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.95, id_col: s
     v = F.col("embedding")
     good = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = embeddings.select(embeddings[id_col].cast("long").alias("vec_id"), embeddings[vector_col].alias("embedding")).withColumn("good", F.coalesce(good, F.lit(False)))
-    distinct = durable(rows.where("good").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")), "vectors")
+    distinct = durable(rows.where("good").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumns({"dim": F.size("embedding"), "no": F.monotonically_increasing_id()}), "vectors")
     number, total = distinct.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     shards = max(SHARDS, -(-number // SHARD_ROWS)) if shards is None else shards
-    sample = [r.embedding for r in distinct.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(FOREIGN).select("embedding").collect()]
+    sample = [r.embedding for r in distinct.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "no").limit(FOREIGN).select("embedding").collect()]
     sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     graphs = durable(sharded.groupBy("dim", "shard").applyInPandas(lambda pdf: _build(pdf, sample, threshold), GRAPH), "graphs")
     parts = max(1, -(-number // query_rows))
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    asked = distinct.select("vec_id", "embedding", "dim", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)).cast("int").alias("part"), each(shards, "shard"))
+    asked = distinct.select("no", "embedding", "dim", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)).cast("int").alias("part"), each(shards, "shard"))
     held = graphs.select("dim", "shard", "ids", "copies", "vectors", "links", "beam", each(parts, "part"))
-    found = asked.groupBy("dim", "shard", "part").cogroup(held.groupBy("dim", "shard", "part")).applyInPandas(lambda a, b: _query(a, b, threshold), "vec_id long, n long, src long, dst long")
+    found = asked.groupBy("dim", "shard", "part").cogroup(held.groupBy("dim", "shard", "part")).applyInPandas(lambda a, b: _query(a, b, threshold), "no long, n long, src long, dst long")
     found = durable(found, "found")
     united = components(found.where("src IS NOT NULL").select("src", "dst"))
-    counts = found.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    named = distinct.join(counts, "vec_id", "left").join(united, distinct["vec_id"] == united["id"], "left")
-    named = named.select("embedding", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    counts = found.where("no IS NOT NULL").groupBy("no").agg(F.sum("n").alias("n"))
+    named = distinct.select("no", "vec_id", "copies").join(counts, "no", "left").join(united, F.col("no") == F.col("id"), "left")
+    named = durable(named.select("no", "vec_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "no").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("members"))
+    named = distinct.select("no", "embedding", "copies").join(hot_join(named, least, "root", "members", number).select("no", "n_links", "component_id"), "no")
+    named = named.select("embedding", "copies", "n_links", "component_id")
     linked = hot_join(rows.where("good").select("vec_id", "embedding"), named, "embedding", "copies", total).select("vec_id", "n_links", "component_id")
     out = linked.union(rows.where("NOT good").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import sketch as sk
 from .components import components, forest
 from .hashing import digest, mix64, shingle_sets
-from .storage import bounded_batches, durable, give_back, hot_join, release, shuffle_width
+from .storage import bounded_batches, durable, give_back, hot_join, release, shuffle_width, unused
 
 U16, U32, U64 = np.uint16, np.uint32, np.uint64
 #: Incidences that a map task gathers before it deals them to buckets.
@@ -395,3 +395,20 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options: object) -
     kept = first.join(found.where("doc_id = component_id").select(F.col("doc_id").alias("of")), F.col("id") == F.col("of"), "left_semi")
     named = docs.join(kept, (key == kept["id"]) & (row == kept["row"]), "left_semi").dropDuplicates([id_col])
     return named.union(docs.where(docs[id_col].isNull()))
+
+
+def one_of_each_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of `docs` without those whose text is, or by links is like, that of a row that stays.
+
+    Rows are told apart by id and text: ids link nothing, a row without an id is one like others. Of a group that row
+    stays whose id is least, nulls last, then by a hash of id and text; of rows equal in both, one. Rows with blank
+    texts, linked with nothing, all stay but for equal ones. All columns are kept, whatever their names.
+    """
+    (key,) = unused(docs, "key")
+    row = F.xxhash64(docs[id_col], docs[id_col].isNull(), docs[text_col], docs[text_col].isNull())
+    keyed = docs.withColumn(key, row)
+    found = durable(jaccard_components(keyed.select(F.col(key).alias("doc_id"), docs[text_col].alias("text")), **options).select("doc_id", "component_id").distinct(), "groups")
+    names = docs.select(row.alias("of"), docs[id_col].cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "of")).alias("first")
+    kept = found.join(names, F.col("doc_id") == F.col("of")).groupBy("component_id").agg(first).select(F.col("first.of").alias("kept_key"))
+    return keyed.join(kept, F.col(key) == F.col("kept_key"), "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -5,13 +5,14 @@ revised count takes the old tokens away and adds the new. A batch of changes is
 and committed under its id; a batch that is there already is left as it is, so a retry or a replay adds nothing.
 Totals are the base of the last compaction and the batches since; no state is read to write a batch.
 
-Files: sums are written to folders of their own below `data`; what counts is named by empty files, which appear whole
-or not at all: `commits/<batch>.<folder>`, and for a compaction `bases/<number>-<name>.<folder>`, whose folder also lists the
-batches it covers. Whatever is cut off before such a file appears counts for nothing, and after it only leaves litter.
+Files: sums are written to folders of their own below `data`; what counts is named by small files: an empty one,
+`commits/<batch>.<folder>`, and for a compaction `bases/<number>`, which holds its folder's name; that folder also lists
+the batches it covers. Whatever is cut off before such a file appears counts for nothing, and after it only leaves litter.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Seconds after which an empty mark of a compaction is one of a writer that died.
+STALE = 3600
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
@@ -100,9 +103,36 @@ class RollupStore:
     def _drop(self, path: str) -> None:
         self._fs.delete(self._path(f"{self.path}/{path}"), True)
 
-    def _base(self) -> tuple[str, str | None]:
-        """Name (a number comes first) and folder of the last compaction."""
-        return max(self._marks("bases").items(), default=("0", None))
+    def _base(self) -> tuple[int, str | None]:
+        """Number and folder of the last compaction."""
+        found = self._fs.globStatus(self._path(f"{self.path}/bases/*")) or []
+        numbers = sorted((int(s.getPath().getName()) for s in found if s.getLen()), reverse=True)
+        return (numbers[0], self._said(f"bases/{numbers[0]:012d}")) if numbers else (0, None)
+
+    def _said(self, path: str) -> str:
+        """What a small file holds."""
+        stream = self._fs.open(self._path(f"{self.path}/{path}"))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _follow(self, number: int, folder: str) -> bool:
+        """Make `folder` the base of this number; False if there is one. A number has one file, which stores create for
+        one writer only; a second look makes sure of it."""
+        from py4j.protocol import Py4JJavaError
+
+        path = f"bases/{number:012d}"
+        for left in self._fs.globStatus(self._path(f"{self.path}/{path}")) or []:
+            if not left.getLen() and time.time() * 1000 - left.getModificationTime() > STALE * 1000:
+                self._drop(path)
+        try:
+            out = self._fs.create(self._path(f"{self.path}/{path}"), False)
+        except Py4JJavaError:
+            return False
+        out.write(folder.encode())
+        out.close()
+        return self._said(path) == folder
 
     def _covered(self) -> DataFrame:
         folder = self._base()[1]
@@ -150,29 +180,31 @@ class RollupStore:
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 OR n_tokens <> 0")
 
-    def compact(self, into: str = "base") -> None:
-        """Sum all batches into one base (`into` ends its name), which remembers their ids: replays still add nothing.
+    def compact(self, into: str = "base") -> bool:
+        """Sum all batches into one base (`into` is not used any more), which remembers their ids: replays still add nothing. Whether it was done.
 
-        The new base and its list are written first and count from the moment of one mark; only then what it replaces
-        is deleted. A crash before the mark changes nothing, one after it leaves files that count no more.
+        The new base and its list are written first and count from the moment of one mark, its number; only then what it
+        replaces is deleted. Of compactions at once, all of which follow the same base, one gets the number; the others
+        leave everything as it is. A crash before the mark changes nothing, one after it leaves files that count no more; one
+        that left a mark empty is passed over after STALE seconds.
         """
-        name, old = self._base()
+        number, old = self._base()
         merged = self._open()
         if not merged:
-            return
+            return False
         folder = uuid.uuid4().hex
         self.totals().write.parquet(f"{self.path}/data/{folder}/sums")
         covered = self._covered().union(self.spark.createDataFrame([(b,) for b in merged], "batch string"))
         covered.write.parquet(f"{self.path}/data/{folder}/covered")
-        if not self._mark("bases", f"{int(name.partition('-')[0]) + 1:012d}-{into}", folder):
+        if not self._follow(number + 1, folder):
             self._drop(f"data/{folder}")
-            return
+            return False
         for batch, data in merged.items():
             self._drop(f"commits/{batch}.{data}")
             self._drop(f"data/{data}")
         if old:
-            self._drop(f"bases/{name}.{old}")
-            self._drop(f"data/{old}")
+            self._drop(f"data/{old}")  # its number stays: no compaction that began before may take it again
+        return True
 
 
 def token_rows(docs: DataFrame, tokenizers: tuple[str, ...], text: Column, extra: tuple[str, ...] = (), name: str = "tokens") -> DataFrame:
