@@ -39,12 +39,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
 
-    Documents without words, such as copies that lost every line, are one group: that of the least id stays. Of rows
-    that share an id one stays; rows with words but no id stay.
+    Documents without words, such as copies that lost every line, are one group: that of the least id stays. Rows are
+    told apart by id and text, so unrelated texts that share an id, or have none, stay.
     """
     worded = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
     blank = docs.where(~worded).orderBy(F.col("doc_id").asc_nulls_last(), *[c for c in ("source", "lang") if c in docs.columns]).limit(1)
-    return ngram_join.one_of_each(docs.where(worded), width=5, percent=80).union(blank)
+    return ngram_join.one_of_each_text(docs.where(worded), width=5, percent=80).union(blank)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
