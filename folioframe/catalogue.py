@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions.tokens import CJK, LETTER, RUN, SPACE, estimate_tokens
 from .operators import grid, layout, tour, tree
-from .plans import catalog, chunking, dataset, render, stats
+from .plans import catalog, chunking, dataset, paged, render, stats
 from .plans.packing import Options
 from .shared import shared_folder
 from .sources import files, markup, office_writer
@@ -341,6 +341,39 @@ def event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.select_rows(table(spark, sf_dir, "events"), {"event_type": "error"}, "1", ["props", "event_type"]).select("event_id", "event_type", "user_id")
 
 
+@query("""SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders)::BIGINT AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 870""")
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 30 of all orders by price, read from the part that holds it."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    stored = paged.store_pages(rows, shared_folder(spark, "pages"), [F.desc("o_totalprice"), F.asc("o_orderkey")], part_rows=50_000)
+    return stored.page(30, 30)
+
+
+@query("SELECT event_id, event_type, props FROM events WHERE props ILIKE '%: 4_}%' OR event_type ILIKE '%: 4_}%'")
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that hold a pattern with a wildcard, from the parts that have its trigrams."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    stored = paged.store_keywords(rows, shared_folder(spark, "keywords"), ["props", "event_type"], [F.asc("props"), F.asc("event_id")], part_rows=20_000)
+    return stored.search(": 4_}")
+
+
+@query("""SELECT doc_id, '{"a":{"lang":"' || lang || '","n":[' || length(text) || ',{"x":' || doc_id || ',"y":null}]},"é":"' || source || '"}' AS canonical FROM documents""")
+def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of documents as nested JSON with unsorted keys, in canonical form."""
+    inner = F.struct(F.lit(None).cast("string").alias("y"), F.col("doc_id").alias("x"))
+    n = F.format_string('[ %s , %s ]', F.length("text").cast("string"), F.to_json(inner, {"ignoreNullFields": "false"}))
+    body = F.format_string('{ "\\u00e9" : "%s",\n "a": { "n" : %s, "lang": "%s" } }', "source", n, "lang")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.canonical_json(body).alias("canonical"))
+
+
+@query("""SELECT source, count(*)::BIGINT AS n, median(length(text))::DOUBLE AS median FROM documents GROUP BY source UNION ALL SELECT NULL, count(*)::BIGINT, median(length(text))::DOUBLE FROM documents""")
+def exact_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians of the lengths of texts, by source and over all."""
+    rows = table(spark, sf_dir, "documents").select("source", F.length("text").alias("size"))
+    whole = stats.exact_medians(rows, "size").select(F.lit(None).cast("string").alias("source"), "n", "median")
+    return stats.exact_medians(rows, "size", ["source"]).union(whole)
+
+
 @query("SELECT c_custkey, c_name, count(o_orderkey)::BIGINT AS chunks FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
 def detail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row with the number of rows that belong to it, counted before the join."""

@@ -1,9 +1,11 @@
-"""Text expressions, all evaluated in the JVM."""
+"""Text expressions, evaluated in the JVM but for canonical JSON."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,3 +167,22 @@ def progress_value(done: Column) -> Column:
 def shortened(text: Column, longest: int) -> Column:
     """A text cut behind so many characters, with an ellipsis."""
     return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("…"))).otherwise(text)
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON of any depth with the keys of all objects sorted, no white space between its parts and no escapes but needed
+    ones: equal values have equal texts. Of equal keys the last counts; null for what is no JSON."""
+
+    @F.pandas_udf("string")
+    def written(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(_canonical)
+
+    return written(text)
+
+
+def _canonical(text: object) -> str | None:
+    try:
+        return json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    except (TypeError, ValueError, RecursionError):
+        return None

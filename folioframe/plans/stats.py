@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Token bins, error texts.
@@ -62,11 +63,55 @@ def top_failures(events: DataFrame, messages: dict[str, str], *, level: str = "l
     return found.orderBy(F.desc("count"), "code").limit(k).withColumn("message", F.coalesce(text, F.lit("发生未知错误")))
 
 
+#: How far from the middle, of a sketch's accuracy, values are looked at; and cells in which they are counted.
+ACCURACY, CELLS = 10_000, 4096
+
+
+def exact_medians(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, median): the exact median of each group's values, nulls left out, in memory that doesn't grow with them.
+
+    A sketch gives a bracket around the middle, whose error it bounds; values in the bracket are counted in cells, and
+    only those of the cell or two with the middle ones are put in order. Three passes, no buffer of a group's values.
+    """
+    keys = [f"__k{k}" for k in range(len(by))]
+    v = rows.where(F.col(value).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("v"))
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.withColumnsRenamed({k: f"{k}_" for k in keys})
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        return (left.join(right, on) if keys else left.crossJoin(F.broadcast(right))).drop(*[f"{k}_" for k in keys])  # without keys, one row
+
+    near = [0.5 - 3 / ACCURACY, 0.5 + 3 / ACCURACY]
+    bracket = v.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", near, ACCURACY).alias("q")).select(*keys, "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
+    counted = joined(v, bracket).where(F.col("v") <= F.col("hi")).groupBy(*keys, F.when(inside, cell).otherwise(-1).alias("cell")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    upto = W.partitionBy(*keys).orderBy("cell")  # CELLS + 1 rows a group at most
+    cells = counted.select("*", F.coalesce(F.sum("c").over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranks = [F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)]
+    holds = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("c"))
+    middle = cells.where(holds(ranks[0]) | holds(ranks[1])).groupBy(*keys).agg(F.min("cell").alias("from_cell"), F.max("cell").alias("to_cell"), F.min("before").alias("before"))
+    chosen = joined(joined(v, bracket).where(inside), middle).where(cell.between(F.col("from_cell"), F.col("to_cell"))).groupBy(*keys, "v").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("before").alias("before"))
+    ordered = W.partitionBy(*keys).orderBy("v")
+    placed = chosen.select("*", (F.col("before") + F.coalesce(F.sum("c").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("at"))
+    at = lambda r: F.max(F.when((F.col("at") <= r) & (r < F.col("at") + F.col("c")), F.col("v")))
+    found = placed.groupBy(*keys).agg(F.first("n").alias("n"), at(ranks[0]).alias("a"), at(ranks[1]).alias("b"))
+    return found.where("n IS NOT NULL").select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], "n", ((F.col("a") + F.col("b")) / 2).alias("median"))
+
+
 def duration_stats(tasks: DataFrame, *, type_col: str, ms: Column, newest: Column | None = None, sample: int = 2000) -> DataFrame:
-    """Samples, mean and exact median by type, and over all (type null), of the newest `sample` tasks."""
+    """Samples, mean and exact median by type, and over all (type null), of the newest `sample` tasks; of all of them
+    where `newest` isn't given."""
     rows = tasks.select(F.col(type_col).alias("type"), ms.alias("ms"), *([newest.alias("newest")] if newest is not None else [])).where("ms IS NOT NULL")
     if newest is not None:
         rows = rows.orderBy(F.desc("newest")).limit(sample)
+    else:
+        each = rows.withColumn("of", F.explode(F.array(F.struct(F.lit(True).alias("all"), F.lit(None).cast(rows.schema["type"].dataType).alias("type")), F.struct(F.lit(False).alias("all"), F.col("type"))))).select("of.all", "of.type", "ms")
+        means = each.groupBy("all", "type").agg(F.count("*").alias("samples"), F.bround(F.avg("ms"), 0).alias("avg_ms"))
+        p50 = exact_medians(each, "ms", ["all", "type"]).select(F.col("all").alias("a"), F.col("type").alias("t"), F.bround("median", 0).alias("p50_ms"))
+        return means.join(p50, (F.col("all") == F.col("a")) & F.col("type").eqNullSafe(F.col("t"))).select("type", "samples", "avg_ms", "p50_ms")
     return rows.rollup("type").agg(F.count("*").alias("samples"), F.bround(F.avg("ms"), 0).alias("avg_ms"), F.bround(F.percentile("ms", 0.5), 0).alias("p50_ms"))
 
 
@@ -130,8 +175,10 @@ def all_cards(docs: DataFrame, chunks: DataFrame, tasks: DataFrame, recent: Colu
     )
     t = tasks.agg(
         *[F.count_if(F.col("status") == s).alias(f"tasks_{s}") for s in ("queued", "running", "failed")],
-        F.bround(F.avg("ms"), 0).alias("avg_duration_ms"), F.bround(F.percentile("ms", 0.5), 0).alias("p50_duration_ms"),
+        F.bround(F.avg("ms"), 0).alias("avg_duration_ms"),
     )
+    half = exact_medians(tasks, "ms").agg(F.bround(F.max("median"), 0).alias("p50_duration_ms"))
+    t = t.join(F.broadcast(half))
     whole = cards(docs, chunks).drop("docs_total").join(F.broadcast(d)).join(F.broadcast(t))  # one row each
     ocr = ratio(F.col("ocr_pages"), F.col("pages_total"))
     return whole.withColumns({"ocr_ratio": ocr, "documents": F.col("docs_total"), "chunk_total": F.col("chunks_total"), "imported_7d": F.col("docs_recent")})

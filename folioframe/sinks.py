@@ -1,20 +1,24 @@
-"""Writers. Tables go out as Parquet or JSON lines from the executors; the single files that people open are streamed
-through the driver a row at a time, in order, and moved into place when complete."""
+"""Writers. Tables go out as Parquet or JSON lines; the single files that people open are put together from texts that
+all tasks have made, by one task, in order, and moved into place when complete."""
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import io
 import json
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .sources.folder import write_files
+from .shared import written
+from .sources.folder import store_of, write_files
 
 # The columns of the exports, and their schema's version.
 VERSION = "1.0"
@@ -26,34 +30,77 @@ LOG = ("ts", "level", "src", "task_id", "doc_id", "code", "page", "msg", "detail
 EXPORTED_BY = f"folioframe {__version__}"
 
 
-def _rows(df: DataFrame) -> Iterator[dict]:
-    for row in df.toLocalIterator(prefetchPartitions=False):
-        yield row.asDict(recursive=True)
-
-
-def write_text(spark: SparkSession, path: str, parts: Iterable[str], *, bom: bool = False) -> str:
-    """Write parts as one UTF-8 file to any file system Spark knows; the name appears when the file is complete."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    aside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}.part")
-    out = fs.create(aside, True)
-    try:
-        held = bytearray(b"\xef\xbb\xbf" if bom else b"")
-        for part in parts:
-            held += part.encode()
-            if len(held) >= 1 << 20:
-                out.write(bytes(held))
-                held.clear()
-        out.write(bytes(held))
-    except BaseException:
-        out.close()
-        fs.delete(aside, False)
-        raise
-    out.close()
-    fs.delete(target, False)
-    if not fs.rename(aside, target):
-        raise OSError(f"could not move the export to {path}")
+@dataclass(frozen=True)
+class Section:
+    """How some rows' texts stand in a file: what comes before them, between them and after them, or instead of none."""
+
+    before: str = ""
+    opening: str = ""
+    between: str = ""
+    closing: str = ""
+    none: str = ""
+
+
+def json_section(before: str, depth: int) -> Section:
+    inner = "  " * (depth + 1)
+    return Section(before, f"[\n{inner}", f",\n{inner}", f"\n{'  ' * depth}]", "[]")
+
+
+def texts(rows: DataFrame, shown: Callable[[dict], str], section: int, *order: Column) -> DataFrame:
+    """(section, one, two, text): each row's text, made by the tasks that have the rows, and its place: by two columns, or as they come."""
+    keys = [*order, *[F.lit(None)] * (2 - len(order))] if order else [F.lit(None), F.monotonically_increasing_id()]
+    placed = rows.select(F.lit(section).alias("section"), keys[0].cast("string").alias("one"), keys[1].cast("long").alias("two"), F.struct(*rows.columns).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([shown(r) for r in batch.column(3).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], names=["section", "one", "two", "text"])
+
+    return placed.mapInArrow(run, "section int, one string, two long, text string")
+
+
+def write_single(rows: DataFrame, path: str, sections: Sequence[Section], tail: str = "", *, bom: bool = False) -> str:
+    """Write the texts of `texts` as one UTF-8 file, in order: a task sorts them, on disk if they are many, and streams them
+    to a file aside, which gets its name when it is complete. Nothing passes the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, target, _ = store_of(path)
+        folder, _, name = target.rpartition("/")
+        aside = f"{folder}/_{name}.{uuid.uuid4().hex}.part"
+        store.create_dir(folder, recursive=True)
+        at, open_ = 0, False
+        try:
+            with store.open_output_stream(aside) as out:
+                held = bytearray(b"\xef\xbb\xbf" if bom else b"")
+
+                def say(text: str, least: int = 1 << 20) -> None:
+                    held.extend(text.encode())
+                    if len(held) >= least:
+                        out.write(bytes(held))
+                        held.clear()
+
+                say(sections[0].before)
+                for batch in batches:
+                    for section, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                        while at < section:
+                            say(sections[at].closing if open_ else sections[at].none)
+                            at, open_ = at + 1, False
+                            say(sections[at].before)
+                        say((sections[at].between if open_ else sections[at].opening) + text)
+                        open_ = True
+                while at < len(sections):
+                    say(sections[at].closing if open_ else sections[at].none)
+                    at, open_ = at + 1, False
+                    say(sections[at].before if at < len(sections) else tail)
+                say("", 0)
+            store.move(aside, target)
+        except BaseException:
+            with contextlib.suppress(OSError):
+                store.delete_file(aside)
+            raise
+        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    rows.repartition(1).sortWithinPartitions("section", "one", "two").select("section", "text").mapInArrow(run, "path string").collect()
     return path
 
 
@@ -87,68 +134,77 @@ def _named(df: DataFrame, old: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in old.items() if v not in df.columns})
 
 
-def json_parts(docs: Iterable[dict], chunks: Iterable[dict]) -> Iterator[str]:
-    """The text of a JSON export, a part at a time: documents, then chunks, empty values in their place."""
-    as_is = {"parent_id", "seq", "token_count", "char_count", "text_coverage"}
+_AS_IS = {"parent_id", "seq", "token_count", "char_count", "text_coverage"}
 
-    def row(r: dict, keys: Sequence[str]) -> dict:
-        return {k: r.get(k) if k in as_is else r.get(k) or ([] if k in ("pages", "node_ids") else "") for k in keys}
 
-    yield f'{{\n  "schema_version": "{VERSION}",\n  "exported_by": "{EXPORTED_BY}",\n  "docs": '
-    yield from _json_list((row(r, DOC_JSON) for r in docs), 1)
-    yield ',\n  "chunks": '
-    yield from _json_list((row(r, CHUNK_JSON) for r in chunks), 1)
-    yield "\n}\n"
+def _json_row(r: dict, keys: Sequence[str]) -> dict:
+    """A record of a JSON export, empty values in their place."""
+    return {k: r.get(k) if k in _AS_IS else r.get(k) or ([] if k in ("pages", "node_ids") else "") for k in keys}
 
 
-def csv_parts(chunks: Iterable[dict]) -> Iterator[str]:
-    """The text of a CSV export of chunks that name their document; pages joined by commas."""
-    values = lambda r: [",".join(map(str, r.get("pages") or ())) if k == "pages" else "" if r.get(k) is None else r[k] for k in CHUNK_CSV]
-    return _csv((values(r) for r in chunks), CHUNK_CSV)
+_JSON_HEAD = f'{{\n  "schema_version": "{VERSION}",\n  "exported_by": "{EXPORTED_BY}",\n  "docs": '
+_JSON_CHUNKS, _JSON_TAIL = ',\n  "chunks": ', "\n}\n"
+
+
+def json_parts(docs: Iterable[dict], chunks: Iterable[dict]) -> Iterator[str]:
+    """The text of a JSON export, a part at a time: documents, then chunks."""
+    yield _JSON_HEAD
+    yield from _json_list((_json_row(r, DOC_JSON) for r in docs), 1)
+    yield _JSON_CHUNKS
+    yield from _json_list((_json_row(r, CHUNK_JSON) for r in chunks), 1)
+    yield _JSON_TAIL
 
 
-def pairs_parts(pairs: Iterable[dict], mode: str, count: int) -> Iterator[str]:
-    """The text of a file of question-answer pairs, with how they were made and how many there are."""
-    yield f'{{\n  "schema_version": "{VERSION}",\n  "exported_by": "{EXPORTED_BY}",\n  "mode": {json.dumps(mode)},\n  "count": {count},\n  "pairs": '
-    yield from _json_list(pairs, 1)
-    yield "\n}\n"
+def _csv_values(r: dict) -> list[object]:
+    """A chunk's cells; pages joined by commas."""
+    return [",".join(map(str, r.get("pages") or ())) if k == "pages" else "" if r.get(k) is None else r[k] for k in CHUNK_CSV]
+
+
+def csv_parts(chunks: Iterable[dict]) -> Iterator[str]:
+    """The text of a CSV export of chunks that name their document."""
+    return _csv(map(_csv_values, chunks), CHUNK_CSV)
 
 
 def chunks_json(docs: DataFrame, chunks: DataFrame, path: str) -> str:
     """One JSON file with documents and chunks, in order of document and sequence."""
     d = _named(docs, {"id": "doc_id", "name": "doc_name", "fmt": "source_format"})
-    c = _named(chunks, {"id": "chunk_id"}).orderBy("doc_id", "seq")
-    return write_text(chunks.sparkSession, path, json_parts(_rows(d), _rows(c)))
+    c = _named(chunks, {"id": "chunk_id"})
+    d = d.select(*[k for k in DOC_JSON if k in d.columns])
+    c = c.select(*[k for k in CHUNK_JSON if k in c.columns])
+    rows = texts(d, lambda r: _indented(_json_row(r, DOC_JSON), 2), 0, F.col("doc_id")).union(texts(c, lambda r: _indented(_json_row(r, CHUNK_JSON), 2), 1, F.col("doc_id"), F.col("seq")))
+    return write_single(rows, path, [json_section(_JSON_HEAD, 1), json_section(_JSON_CHUNKS, 1)], _JSON_TAIL)
+
+
+def _csv_line(values: Sequence[object]) -> str:
+    return "".join(_csv([], values))
 
 
 def chunks_csv(docs: DataFrame, chunks: DataFrame, path: str) -> str:
     """One CSV file of chunks with their document's name: UTF-8 with a mark, CRLF, values as they are."""
     d = _named(docs, {"id": "doc_id", "name": "doc_name"}).select(F.col("doc_id").alias("__doc"), "doc_name")
     c = _named(chunks, {"id": "chunk_id"})
-    rows = c.join(d, c["doc_id"] == F.col("__doc"), "left").orderBy("doc_id", "seq").select(*CHUNK_CSV)
-    return write_text(chunks.sparkSession, path, csv_parts(_rows(rows)), bom=True)
+    rows = c.join(d, c["doc_id"] == F.col("__doc"), "left").select("doc_id", *CHUNK_CSV)
+    return write_single(texts(rows, lambda r: _csv_line(_csv_values(r)), 0, F.col("doc_id"), F.col("seq")), path, [Section(_csv_line(CHUNK_CSV))], bom=True)
 
 
 def dataset_file(records: DataFrame, path: str) -> str:
     """Alpaca or ShareGPT records as one JSON file, or CSV with flat columns if the path ends so."""
-    spark = records.sparkSession
     if not path.lower().endswith(".csv"):
-        return write_text(spark, path, (p for p in (*_json_list(_rows(records), 0), "\n")))
+        return write_single(texts(records, lambda r: _indented(r, 1), 0), path, [json_section("", 0)], "\n")
     meta = [F.col(f"metadata.{m}").alias(m) for m in META]
     if "conversations" in records.columns:
         flat = records.select(F.col("conversations")[0]["value"].alias("human"), F.col("conversations")[1]["value"].alias("gpt"), *meta)
     else:
         flat = records.select("instruction", "input", "output", *meta)
-    return write_text(spark, path, _csv((list(r.values()) for r in _rows(flat)), flat.columns), bom=True)
+    return write_single(texts(flat, lambda r: _csv_line(list(r.values())), 0), path, [Section(_csv_line(flat.columns))], bom=True)
 
 
 def pairs_file(pairs: DataFrame, path: str, mode: str) -> str:
-    """Question-answer pairs as one file. They are computed once: held on disk while they are counted and written."""
-    held = pairs.persist(StorageLevel.DISK_ONLY)
-    try:
-        return write_text(pairs.sparkSession, path, pairs_parts(_rows(held), mode, held.count()))
-    finally:
-        held.unpersist()
+    """Question-answer pairs as one file, with how they were made and how many there are. They are computed once: written
+    to the shared folder, then counted and put together."""
+    held = written(texts(pairs, lambda r: _indented(r, 2), 0), "pairs")
+    head = f'{{\n  "schema_version": "{VERSION}",\n  "exported_by": "{EXPORTED_BY}",\n  "mode": {json.dumps(mode)},\n  "count": {held.count()},\n  "pairs": '
+    return write_single(held, path, [json_section(head, 1)], "\n}\n")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
