@@ -760,3 +760,6 @@ def stream_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
     stateful.running(made, f"{place}/out", f"{place}/checkpoint").awaitTermination()
     out = spark.read.schema(made.schema).parquet(f"{place}/out")
     return out.groupBy("task_id", "kind").agg(F.count("*").alias("events"), F.count_if(F.col("seq").isNull()).alias("added"))
+
+
+from . import views  # noqa: E402, F401  the queries of the smaller operators
