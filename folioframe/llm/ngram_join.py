@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import packed
 from . import sketch as sk
 from .components import components, forest
 from .hashing import digest, mix64, shingle_sets
@@ -42,6 +43,9 @@ FLUSH = 600_000
 SLICES = 8
 #: Columns multiplied at a time.
 STRIP = 4096
+#: A column with this share of all incidences is hot, however many buckets there are: the sketch can tell so many apart.
+#: One below it adds less than half a bucket to a bucket of 2^14.
+MOST_HOT = 1 << 15
 
 
 def _packed(values: np.ndarray, kind: type) -> bytes:
@@ -189,14 +193,12 @@ def _columns(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
 
 
 def pack_keys(keys: np.ndarray, bits: int) -> bytes:
-    """Sorted keys as counts by bucket and 32-bit remainders."""
-    counts = np.bincount((keys >> U64(32)).astype(np.int64), minlength=1 << bits)
-    return counts.astype(U32).tobytes() + (keys & U64(0xFFFFFFFF)).astype(U32).tobytes()
+    """Sorted keys of 32 + `bits` bits: as many bytes each as that takes, whatever the number of buckets."""
+    return packed.pack_keys(keys, (bits + 39) // 8)
 
 
 def unpack_keys(data: bytes, bits: int) -> np.ndarray:
-    both = np.frombuffer(data, U32)
-    return np.repeat(np.arange(1 << bits, dtype=U64) << U64(32), both[: 1 << bits]) | both[1 << bits :]
+    return packed.unpack_keys(data, (bits + 39) // 8)
 
 
 def _dest(sids: np.ndarray, bits: int) -> np.ndarray:
@@ -354,7 +356,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     found = durable(survey(source, width), "sets")
     info = found.where("part IS NULL").select("doc_id", "sid", "n")
-    hot = sk.hot_flags(found.where("part IS NOT NULL"), 16 << bits)
+    hot = sk.hot_flags(found.where("part IS NOT NULL"), min(16 << bits, MOST_HOT))
     kinds = "dest int, bucket int, ids binary, counts binary, keys binary, dfs binary"
     shared = incidences(source, width, bits, hot).groupBy("bucket").applyInPandas(lambda pdf: _columns(pdf, bits), kinds)
 

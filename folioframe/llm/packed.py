@@ -34,14 +34,16 @@ def ungap(distances: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[starts] - distances[starts], sizes)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as distances, byte by byte, so that what compresses stands together."""
-    return np.diff(keys, prepend=np.zeros(1, np.uint64)).astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes() if len(keys) else b""
+def pack_keys(keys: np.ndarray, width: int = 8) -> bytes:
+    """Ascending keys of up to `width` bytes as distances, byte by byte, so that what compresses stands together."""
+    return np.diff(keys, prepend=np.zeros(1, np.uint64)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T.tobytes() if len(keys) else b""
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+def unpack_keys(data: bytes, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    whole = np.zeros((planes.shape[1], 8), np.uint8)
+    whole[:, 8 - width :] = planes.T
+    return np.cumsum(whole.view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:

@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioframe.llm import embed_dedup, ngram_join, rollups
+from folioframe.llm import sketch as sk
 
 ROWS = "source string, lang string, tokenizer string, tokens long"
 
@@ -82,3 +84,43 @@ def test_one_of_each_text(spark):
     stage = corpus_pipeline.drop_near_duplicates(spark, docs, "").where("doc_id = 1")
     assert sorted(r.text for r in stage.collect()) == ["a b c", "d e f"]  # unrelated texts that share an id
     assert stage.select(F.count("*")).first()[0] == 2
+
+
+@pytest.mark.parametrize("bits", [0, 3, 7, 11, 17])
+def test_packed_sets_at_any_number_of_buckets(bits):
+    r = np.random.default_rng(bits)
+    for n in (0, 1, 300, 5000):
+        keys = np.unique(r.integers(0, 1 << 32 + bits, n, dtype=np.uint64))
+        data = ngram_join.pack_keys(keys, bits)
+        assert (ngram_join.unpack_keys(data, bits) == keys).all() and len(data) == len(keys) * (-(-(32 + bits) // 8))
+
+
+@pytest.mark.parametrize("bits", [3, 7, 11, 14, 17])
+def test_hot_columns_are_few_at_any_number_of_buckets(spark, bits):
+    r = np.random.default_rng(1)
+    keys = r.integers(0, 1 << 63, 400_000, dtype=np.uint64)
+    hot = np.repeat(keys[:3], 4000)
+    sketch = np.zeros(sk.CELLS, np.int64)
+    sk.add(sketch, np.concatenate([keys, hot]))
+    rows = [(k, bytearray(d), 0) for k, d in sk.parts(sketch)] + [(0, bytearray(b""), len(keys) + len(hot))]
+    flags = sk.hot_flags(spark.createDataFrame(rows, "part int, data binary, n long"), min(16 << bits, ngram_join.MOST_HOT))
+    assert sk.marked(flags, keys[3:]).mean() < 0.01 and (bits < 7 or sk.marked(flags, keys[:3]).all())
+
+
+def test_result_is_the_same_at_any_number_of_partitions(spark):
+    r = random.Random(9)
+    texts = []
+    for k in range(120):
+        words = [f"w{r.randrange(30)}" for _ in range(25)] if k % 3 == 0 else list(words)
+        if k % 3:
+            words[r.randrange(25)] = "x"
+        texts.append((k, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("2", "5", "300"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, ngram_join.jaccard_components(docs, width=2, percent=70).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len({c for _, _, c in found[0]}) < 120
