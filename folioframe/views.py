@@ -39,7 +39,7 @@ def page_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 ESCAPED = r"regexp_replace(coalesce(text, ''), '<([A-Za-z/!?])', '&lt;\1', 'g')"
 
 
-@query(rf"""WITH e AS (SELECT doc_id, {STRIP % f"replace(replace(replace({ESCAPED}, '|', '\|'), chr(13) || chr(10), chr(10)), chr(10), '<br>')"} AS cell FROM documents)
+@query(rf"""WITH e AS (SELECT doc_id, {STRIP % rf"replace(replace(replace({ESCAPED}, '|', '\|'), chr(13) || chr(10), chr(10)), chr(10), '<br>')"} AS cell FROM documents)
     SELECT doc_id, length(cell)::INTEGER AS n, md5(cell) AS digest FROM e""")
 def markdown_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = tx.markdown_cell(F.col("text"))
