@@ -9,7 +9,8 @@ from .catalogue import STRIP, query, table
 from .functions import text as tx
 from .functions.tokens import CJK
 from .operators import grid, layout, tree
-from .plans import catalog, dataset, stats
+from .plans import catalog, dataset, keyed, stats
+from .shared import shared_folder
 from .sources import files
 
 # ---------------------------------------------------------------- files
@@ -213,6 +214,18 @@ def page_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("pages").cast("long").alias("pages"), "ocr_pages", "nodes", F.col("table_confidence").cast("string").alias("table_confidence"))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 50 = 7 THEN 'renamed ' || c_custkey ELSE c_name END AS c_name, c_acctbal FROM customer WHERE c_custkey % 50 <> 11
+    UNION ALL SELECT -c_custkey, 'new', 0.0 FROM customer WHERE c_custkey % 100 = 3""")
+def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stored by key, after rows were changed, added and taken out, each in its own part."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    stored = keyed.store_keyed(rows, f"{shared_folder(spark, 'keyed')}/customer", ["c_custkey"], parts=8)
+    renamed = rows.where("c_custkey % 50 = 7").select("c_custkey", F.concat(F.lit("renamed "), "c_custkey").alias("c_name"), "c_acctbal")
+    stored.upsert(renamed.union(rows.where("c_custkey % 100 = 3").select(-F.col("c_custkey"), F.lit("new"), F.lit(0.0))))
+    stored.delete(rows.where("c_custkey % 50 = 11").select("c_custkey"))
+    return stored.rows()
+
+
 # ---------------------------------------------------------------- pairs
 
 
