@@ -153,7 +153,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", orde
     """The model of labelled rows; rows without a language are left out, those without text or letters teach nothing.
 
     Frequencies count all rows. Of each language about `shown` rows, at most 1.5 times as many, are clustered: those whose
-    hash (of `order`, and the text) is least. More than MOST_LANGUAGES languages are an error. Without rows the model
+    hash (of `order`, and the text) is least; rows equal in both are drawn once. More than MOST_LANGUAGES languages are an error. Without rows the model
     knows no language.
     """
     bounded_batches(docs)
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", orde
     below = {r["lang"]: -(1 << 63) + int(min(1.0, shown / r["n"]) * ((1 << 64) - 1)) for r in known}
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, documents = np.zeros(1 << bits, np.int64), 0
+        seen, documents, taken = np.zeros(1 << bits, np.int64), 0, set()
         columns = ["lang", "segment", "salt", "draw", "documents", "data"]
         for pdf in batches:
             drawn = []
@@ -174,7 +174,8 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", orde
                 seen += (tf > 0).sum(0)
                 documents += len(tf)
                 for lang, draw, own in zip(pdf["lang"].iloc[first : first + len(tf)], pdf["draw"].iloc[first : first + len(tf)], tf, strict=True):
-                    if draw <= below[lang]:
+                    if draw <= below[lang] and (lang, draw) not in taken:
+                        taken.add((lang, draw))
                         at = np.flatnonzero(own)
                         drawn.append((lang, -1, 0, int(draw), 0, at.astype(np.uint32).tobytes() + np.minimum(own[at], 2**32 - 1).astype(np.uint32).tobytes()))
             yield pd.DataFrame(drawn, columns=columns)
@@ -196,7 +197,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", orde
     most = int(1.5 * shown)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["draw", "data"]).iloc[:most]
+        pdf = pdf.drop_duplicates("draw").sort_values("draw").iloc[:most]
         tf = np.zeros((len(pdf), 1 << bits), np.int64)
         for row, data in zip(tf, pdf["data"], strict=True):
             at, n = np.frombuffer(data, np.uint32).reshape(2, -1)

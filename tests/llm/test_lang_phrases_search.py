@@ -63,6 +63,9 @@ def test_languages_equal_texts_and_empty_tables(spark, tongues):
     blank = lang_id.fit(spark.createDataFrame([(None, "en"), ("", "de"), ("the of", None)], "text string, lang string"))
     assert blank.languages == [] and lang_id.identify(tongues.limit(0), blank).count() == 0
     model = lang_id.fit(tongues, bits=11)
+    many = tongues.limit(1).crossJoin(spark.range(3000)).select("doc_id", "text", "lang").union(tongues).repartition(6)
+    again = lang_id.fit(many, order=F.col("doc_id"), bits=11, shown=4000)  # a row that is there 3,000 times is drawn once
+    assert again.documents == 3400 and again.languages == model.languages and len(again.centroids) > len(again.languages)
     twice = tongues.limit(20).union(tongues.limit(20)).repartition(5)
     assert lang_id.identify(twice, model).groupBy("doc_id").agg(F.countDistinct("score").alias("n")).where("n > 1").count() == 0
 
