@@ -34,7 +34,7 @@ from .storage import bounded_batches, durable, give_back, hot_join, release, shu
 
 U16, U64 = np.uint16, np.uint64
 #: Words of a shard, counts that a bucket sums, buckets at least, and ANDs taken at a time.
-SHARD, BUCKET, LEAST, TOGETHER = 500_000, 4_000_000, 64, 400_000
+SHARD, BUCKET, LEAST, TOGETHER = 250_000, 2_000_000, 64, 200_000
 #: Bits of the filters of words and of pairs, and parts in which they are made.
 FILTER_BITS, FILTER_PARTS = 27, 64
 SHARDS = "lang string, shard long, words long, keys binary, counts binary, bits binary, names binary, ends binary"

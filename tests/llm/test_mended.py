@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioframe.llm import embed_dedup, ngram_join, rollups
+from folioframe.llm import embed_dedup, ngram_join, rollups, storage
 from folioframe.llm import sketch as sk
 
 ROWS = "source string, lang string, tokenizer string, tokens long"
@@ -124,3 +124,11 @@ def test_result_is_the_same_at_any_number_of_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1] == found[2] and len({c for _, _, c in found[0]}) < 120
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Packed rows are megabytes long: a batch holds few of them, whatever their number."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    storage.bounded_batches(spark.range(1))
+    assert int(spark.conf.get(key)) <= 8 << 20
