@@ -41,8 +41,8 @@ U16, U32, U64 = np.uint16, np.uint32, np.uint64
 FLUSH = 600_000
 #: A bucket's columns are counted in so many slices, a power of two.
 SLICES = 8
-#: Columns multiplied at a time.
-STRIP = 4096
+#: Columns multiplied at a time, cells of the product and of its factor held at a time, rows of the largest tiles.
+STRIP, CELLS, WIDEST = 4096, 1 << 20, 2048
 #: A column with this share of all incidences is hot, however many buckets there are: the sketch can tell so many apart.
 #: One below it adds less than half a bucket to a bucket of 2^14.
 MOST_HOT = 1 << 15
@@ -232,7 +232,7 @@ def _rows(pdf: pd.DataFrame, bits: int, percent: int) -> pd.DataFrame:
 def overlap_links(n: np.ndarray, keys: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows with 100 * overlap >= percent * union, by the product of the incidence matrix.
 
-    Columns with one row are left out; the others are multiplied a strip at a time.
+    Columns with one row are left out; the others are multiplied a strip at a time, for some rows at a time.
     """
     m = len(keys)
     flat, col = np.unique(np.concatenate(keys), return_inverse=True)
@@ -243,17 +243,24 @@ def overlap_links(n: np.ndarray, keys: list[np.ndarray], percent: int) -> tuple[
     use = live[col]
     row, col = row[use], place[col[use]]
     width = int(live.sum())
-    overlap = np.zeros((m, m), np.float32)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    for s in range(0, width, STRIP):
-        a, b = np.searchsorted(col, (s, s + STRIP))
-        strip = np.zeros((m, min(STRIP, width - s)), np.float32)
-        strip[row[a:b], col[a:b] - s] = 1
-        overlap += strip @ strip.T
-    union = n[:, None] + n[None, :] - overlap
-    hit = np.triu(100 * overlap.astype(np.float64) >= percent * union.astype(np.float64), 1)
-    return np.nonzero(hit)
+    step = max(64, min(STRIP, CELLS // m))
+    high = max(1, min(m, CELLS // m))
+    src, dst = [], []
+    for top in range(0, m, high):
+        overlap = np.zeros((min(high, m - top), m - top), np.float32)
+        for s in range(0, width, step):
+            a, b = np.searchsorted(col, (s, s + step))
+            strip = np.zeros((m - top, min(step, width - s)), np.float32)
+            below = row[a:b] >= top
+            strip[row[a:b][below] - top, col[a:b][below] - s] = 1
+            overlap += strip[: len(overlap)] @ strip.T
+        union = n[top : top + high, None] + n[None, top:] - overlap
+        i, j = np.nonzero(np.triu(100 * overlap.astype(np.float64) >= percent * union.astype(np.float64), 1))
+        src.append(i + top)
+        dst.append(j + top)
+    return np.concatenate(src), np.concatenate(dst)
 
 
 def linked_tiles(pdf: pd.DataFrame, pairs: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
@@ -292,7 +299,9 @@ def linked_blocks(blocks: DataFrame, rows: DataFrame, verify: Callable[[pd.DataF
 
     `rows` (sid and what `verify` needs) are joined to the tiles' rows (pivot, a, b, sid); `verify` calls
     `linked_tiles`. Of a block that is more than one tile, rows that aren't united with the pivot in their first tile
-    are compared with all rows of the block. Both tables should be written ones, as they are read twice.
+    are compared with all rows of the block. These tiles grow with the block, up to `WIDEST` rows, so that a row is in
+    eight of them at most and the rows dealt grow with the block's size, not its square; of blocks above twice `WIDEST`
+    rows, a row is in as many as the block is wide. Both tables should be written ones, as they are read twice.
     """
     total = blocks.count()
     sizes = blocks.groupBy("pivot").agg(F.count("*").alias("members")).where("members > 1")
@@ -310,7 +319,8 @@ def linked_blocks(blocks: DataFrame, rows: DataFrame, verify: Callable[[pd.DataF
     if left.isEmpty():
         return edges
     open_blocks = left.groupBy("pivot").agg(F.count("*").alias("open"))
-    cut = F.ceil(F.col("members") * 2 / tile), F.ceil(F.col("open") * 2 / tile)
+    side = F.least(F.greatest(F.ceil(F.col("members") / 2), F.lit(tile)), F.lit(max(tile, WIDEST)))
+    cut = F.ceil(F.col("members") * 2 / side), F.ceil(F.col("open") * 2 / side)
     known = hot_join(blocks, sizes.join(open_blocks, "pivot"), "pivot", "members", total).withColumns({"wide": cut[0], "tall": cut[1]})
     asked = hot_join(left, sizes.join(open_blocks, "pivot"), "pivot", "open", total).withColumns({"wide": cut[0], "tall": cut[1]})
     every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
