@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..model import CONTENT, NODE
 from ..operators.tree import COVERED
+from ..shared import bounded_batches, each_row, record_batches
 from . import ooxml
 from .folder import DEEPEST, folder, store_of
 
@@ -85,22 +85,21 @@ def parsed(files: DataFrame, *, id_col: str = "hash", strict: bool = False) -> D
     One file's failure is that file's row; the others aren't touched.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, name, ext, data in zip(pdf["doc_id"], pdf["name"], pdf["ext"], pdf["content"], strict=True):
-                row = {"doc_id": doc, "name": name, "status": "failed", "nodes": [], "warnings": [], "assets": [], "code": None, "reason": None, "parse_level": None, "pages": 0, "stated_chars": None}
-                try:
-                    tree, level = ooxml.decode(bytes(data or b""), ext, strict)
-                    nodes = [n | {"content": {f: n["content"].get(f) for f in CONTENT.names}} for n in tree.nodes]
-                    row |= {"status": "parsed", "parse_level": level, "pages": tree.pages, "stated_chars": tree.stated_chars, "nodes": nodes}
-                    row |= {"warnings": [{"code": c, "text": t} for c, t in tree.warnings], "assets": [{"path": p, "sha256": k, "data": d} for k, (p, d) in tree.assets.items()]}
-                except ooxml.Rejected as e:
-                    row |= {"code": e.code, "reason": str(e)}
-                out.append(row)
-            yield pd.DataFrame(out, columns=PARSED.names)
-
-    return files.select(F.col(id_col).alias("doc_id"), "name", "ext", "content").mapInPandas(run, PARSED)
+    def read(doc: str | None, name: str | None, ext: str | None, data: bytes | None) -> dict:
+        row = {"doc_id": doc, "name": name, "status": "failed", "nodes": [], "warnings": [], "assets": [], "pages": 0}
+        try:
+            tree, level = ooxml.decode(data or b"", ext, strict)
+            row |= {"status": "parsed", "parse_level": level, "pages": tree.pages, "stated_chars": tree.stated_chars, "nodes": tree.nodes}
+            row |= {"warnings": [{"code": c, "text": t} for c, t in tree.warnings], "assets": [{"path": p, "sha256": k, "data": d} for k, (p, d) in tree.assets.items()]}
+        except ooxml.Rejected as e:
+            row |= {"code": e.code, "reason": str(e)}
+        return row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from record_batches(((4 * len(data or b""), [read(doc, name, ext, data)]) for doc, name, ext, data in each_row(batches)), PARSED)
+
+    bounded_batches(files)
+    return files.select(F.col(id_col).alias("doc_id"), "name", "ext", "content").mapInArrow(run, PARSED)
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
