@@ -595,7 +595,7 @@ def pptx_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id::VARCHAR AS doc_id, array_to_string(list_concat(['# ' || source], l), chr(10) || chr(10)) || chr(10) AS body FROM d""")
 def import_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From files to nodes to Markdown: the way of an import and an export."""
-    return render.render_documents(files.nodes_of(files.parsed(_text_files(spark, sf_dir))))
+    return render.render_parsed(files.parsed(_text_files(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- page layout and views
