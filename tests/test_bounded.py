@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from folioframe import catalogue, shared
 from folioframe.plans import chunking, render
-from folioframe.sources import files, markup, office_writer
+from folioframe.sources import files, markup, office_writer, ooxml
 
 ONE = T.StructType().add("text", "string")
 
@@ -58,3 +58,22 @@ def test_import_to_markdown_needs_no_shuffle(spark, tmp_path):
     parsed = files.parsed(catalogue._text_files(spark, str(tmp_path)))
     want = render.render_documents(files.nodes_of(parsed)).orderBy("doc_id").collect()
     assert found.orderBy(F.col("doc_id")).collect() == want and len(want) == 2
+
+
+def test_equal_short_pages_are_parsed_once(monkeypatch):
+    parsed, kind = [], markup._Tables
+    monkeypatch.setattr(markup, "_Tables", lambda: parsed.append(1) or kind())
+    page = "<table><tr><td>only here<td>2</table>"
+    assert markup.html_tables(page) == markup.html_tables(page) and len(parsed) == 1
+    long = page + " " * markup.SHORT
+    assert markup.html_tables(long) == markup.html_tables(long) == markup.html_tables(page) and len(parsed) == 3
+
+
+def test_parts_that_are_alike_are_parsed_once(monkeypatch):
+    data = [office_writer.workbook("Alike", [["a", "b"], ["1", x]]) for x in "xy"]
+    first = ooxml.decode(data[0], "xlsx")[0].nodes
+    calls, parse = [], ooxml.ET.fromstring
+    monkeypatch.setattr(ooxml.ET, "fromstring", lambda x: calls.append(1) or parse(x))
+    second = ooxml.decode(data[1], "xlsx")[0].nodes
+    assert len(calls) == 1  # the sheet
+    assert [c["text"] for c in first[1]["content"]["cells"]] == ["a", "b", "1", "x"] and [c["text"] for c in second[1]["content"]["cells"]] == ["a", "b", "1", "y"]
