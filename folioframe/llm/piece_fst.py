@@ -16,19 +16,23 @@ Weights. Unigram models: a piece weighs its negative score. BPE models: a sequen
 yields exactly if each piece, and each pair of neighbours, is what merging yields for its own string. So pieces
 weigh 0, and an arc of the neighbours' acceptor weighs 0 if merging keeps the pair apart as it is, else infinity;
 each of these weights is computed when the composition first asks for it. At every position one state at most is at a
-finite distance then: the composition is deterministic, its shortest path is its only one, and its states after a
-beginning of a word are kept and shared by all words that begin so.
+finite distance then: the composition is deterministic, and its shortest path is its only one. It is found depth first,
+longest pieces first, and a state that leads nowhere is left once for all.
 
 No piece of a model that splits at white space has an escaped space after another character, so inputs are cut
-before each run of spaces, and paths of recurring parts are kept.
+before each run of spaces, and between characters of classes that no piece mixes (letters and signs, in many models):
+no path has a piece across such a place. Paths of recurring parts are kept.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +47,32 @@ UNIGRAM, BPE = 1, 2
 #: How much worse than the worst piece an unknown character is in a unigram model.
 UNKNOWN_PENALTY = 10.0
 INF = float("inf")
-#: Parts of a text: a run of spaces with what follows it.
-_PART = re.compile(" *[^ ]+| +")
+#: Classes of characters that are told apart when texts are cut, the largest first; the others are one more.
+CLASSES = 8
+
+
+def _parts(pieces: Iterable[str]) -> re.Pattern[str]:
+    """Parts of a text: a run of spaces, escaped or not, with a run of characters that occur together in pieces."""
+    up: dict[str, str] = {}
+
+    def top(char: str) -> str:
+        while up[char] != char:
+            up[char] = char = up[up[char]]
+        return char
+
+    for piece in pieces:
+        chars = piece.lstrip(SPACE)
+        for char in chars:
+            up.setdefault(char, char)
+        for a, b in pairwise(chars):
+            up[top(a)] = top(b)
+    kin: dict[str, list[str]] = {}
+    for char in up:
+        kin.setdefault(top(char), []).append(char)
+    classes = sorted(kin.values(), key=len, reverse=True)[:CLASSES]
+    runs = ["".join(map(re.escape, g)) for g in classes if len(g) > 1]
+    others = "|".join([*(f"[{r}]+" for r in runs), f"[^ {SPACE}{''.join(runs)}]+"])
+    return re.compile(f"[ {SPACE}]*(?:{others})|[ {SPACE}]+")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -153,30 +181,62 @@ class Normaliser:
         return self.write(self.mapped(text) if self.units else text)
 
 
-class Trie:
-    """The pieces as a machine: `arcs[node]` reads a character; `piece[node]` is what the arc back to the root writes, or -1."""
+class Node(dict[str, "Node"]):
+    """A node of the trie of pieces, by character the next ones.
 
-    ROOT = 0
+    `piece` is what the arc back to the root writes, or -1. `ahead`: lengths and numbers of the pieces on the way here,
+    longest first; where a character is no piece by itself, its length and what stands for it end the list.
+    """
 
-    def __init__(self, pieces: dict[str, int]) -> None:
-        self.arcs: list[dict[str, int]] = [{}]
-        self.piece = [-1]
-        for text, number in pieces.items():
-            node = self.ROOT
-            for c in text:
-                after = self.arcs[node].get(c)
-                if after is None:
-                    after = self.arcs[node][c] = len(self.arcs)
-                    self.arcs.append({})
-                    self.piece.append(-1)
-                node = after
-            self.piece[node] = number
+    __slots__ = ("ahead", "piece")
+
+    def __init__(self) -> None:
+        self.piece = -1
+        self.ahead: tuple[tuple[int, int], ...] = ()
+
+
+def trie(pieces: dict[str, int], other: int) -> Node:
+    """The pieces as a machine; a character that is no piece is written as its code and `other`."""
+    root = Node()
+    for text in sorted(pieces):  # a piece comes after its beginnings
+        node = root
+        for depth, char in enumerate(text, 1):
+            above, node = node, node.get(char)
+            if node is None:
+                node = above[char] = Node()
+                node.ahead = ((1, other + ord(char)),) if depth == 1 else above.ahead
+        node.piece = pieces[text]
+        node.ahead = ((len(text), node.piece), *(node.ahead if len(text) > 1 else ()))
+    return root
+
+
+class Paths(dict[str, bytes]):
+    """Paths of parts, computed when first asked for. Those not asked for again are dropped, `keep` to twice as many stay."""
+
+    def __init__(self, compute: Callable[[str], bytes], keep: int) -> None:
+        self.compute, self.keep = compute, keep
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        path = self.old.pop(part, None)
+        if path is None:
+            path = self.compute(part)
+        if len(part) <= 64:
+            if len(self) >= self.keep:
+                self.old = dict(self)
+                self.clear()
+            self[part] = path
+        return path
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
 
 
 class PieceTransducer:
     """A compiled model: encodes strings to piece numbers and back."""
 
-    def __init__(self, model: bytes, keep: int = 150_000) -> None:
+    def __init__(self, model: bytes, keep: int = 250_000) -> None:
         self.pieces: list[tuple[str, float, int]] = []
         trainer, normaliser = b"", b""
         for number, value in _fields(model):
@@ -193,23 +253,26 @@ class PieceTransducer:
         self.normalise = Normaliser(normaliser)
         self.number = {p: i for i, (p, _, k) in enumerate(self.pieces) if k in (NORMAL, USER)}
         self.score = [s for _, s, _ in self.pieces]
-        self.trie = Trie(self.number)
+        self.trie = trie(self.number, len(self.pieces))
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == BYTE}
         self.unknown = next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN), 0)
-        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.number) and not self.normalise.units and self.normalise.space == SPACE
-        self.back = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in self.pieces]
-        self.pairs: dict[int, bool] = {}
+        cuts = not any(SPACE in p.lstrip(SPACE) for p in self.number) and not self.normalise.units and self.normalise.space == SPACE
+        self.longest = max(map(len, self.number), default=1)
+        #: How texts are cut, if they can be.
+        self.parts = _parts(self.number) if cuts else None
+        back = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in self.pieces]
+        #: What pieces stand for: all their bytes, and where each one's are.
+        self.back = np.frombuffer(b"".join(back), np.uint8)
+        self.back_size = np.array([len(b) for b in back], np.int64)
+        self.back_at = np.cumsum(self.back_size) - self.back_size
+        #: By piece, whether those that follow it stay apart from it, as far as asked for; and how many such pairs.
+        self.pairs: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self.known = 0
         self.code = [np.array([i], "<i4").tobytes() for i in range(len(self.pieces))]
-        self.keep: int = keep
-        ends: dict[str, set[int]] = {}
-        for p in self.number:
-            ends.setdefault(p[-1], {1}).add(len(p))
-        #: By last character, the lengths of the pieces that end with it, longest first.
-        self.lengths = {c: tuple(sorted(n, reverse=True)) for c, n in ends.items()}
-        #: States of the composition by beginning of a part (the older half is dropped in time), and paths of parts.
-        self.fresh: dict[str, tuple[int, bytes]] = {}
-        self.stale: dict[str, tuple[int, bytes]] = {}
-        self.paths: dict[str, bytes] = {}
+        #: What one space before another character becomes inside a text.
+        self.lead = self.normalise.write(" x", Normaliser.IN)[:-1]
+        #: Paths of the parts after a text's first.
+        self.paths = Paths(self._later, keep)
 
     def merges_inside(self, text: str, edge: int) -> bool:
         """Whether merging by score (the definition of BPE) ends with pieces that meet at `edge` and span either side.
@@ -241,13 +304,14 @@ class PieceTransducer:
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether the transition between neighbours weighs 0 (a negative: whether b is a piece by itself)."""
-        pair = a << 22 | b
-        known = self.pairs.get(pair)
+        known = self.pairs[a].get(b)
         if known is None:
-            if len(self.pairs) >= 400_000:
+            if self.known >= 400_000:
                 self.pairs.clear()
+                self.known = 0
             left = self._text(a)
-            known = self.pairs[pair] = self.merges_inside(left + self._text(b), len(left))
+            known = self.pairs[a][b] = self.merges_inside(left + self._text(b), len(left))
+            self.known += 1
         return known
 
     def _weights(self, last: int, key: int) -> float:
@@ -262,21 +326,21 @@ class PieceTransducer:
         Of paths of one weight, the one whose last piece is longest. States between pieces are the last piece for BPE
         models (the neighbours' state), one state for unigram models; inside pieces, nodes of the trie.
         """
-        arcs, piece, other = self.trie.arcs, self.trie.piece, len(self.pieces)
+        root, other = self.trie, len(self.pieces)
         # By position: by state, the distance, the key written last, where it began and the state there.
         at: list[dict[int, tuple[float, int, int, int]]] = [{-1: (0.0, -1, 0, -1)}]
-        inside: list[tuple[int, int]] = []
+        inside: list[tuple[Node, int]] = []
         for i, char in enumerate(text):
             here: dict[int, tuple[float, int, int, int]] = {}
             if at[i]:
-                inside.append((Trie.ROOT, i))
-            moved: list[tuple[int, int]] = []
+                inside.append((root, i))
+            moved: list[tuple[Node, int]] = []
             for node, begin in inside:
-                after = arcs[node].get(char)
+                after = node.get(char)
                 key = -1
                 if after is not None:
                     moved.append((after, begin))
-                    key = piece[after]
+                    key = after.piece
                 if begin == i and key < 0:  # no piece by itself: byte fallback
                     key = other + ord(char)
                 if key >= 0:
@@ -295,84 +359,89 @@ class PieceTransducer:
         while i:
             _, key, i, state = at[i][state]
             keys.append(key)
-        out: list[bytes] = []
-        for key in reversed(keys):
-            out.append(self.code[key] if key < other else self._fallback(self._text(key), out[-1] if out else b""))
-        return b"".join(out)
+        return self._coded(keys[::-1])
 
-    def _state(self, prefix: str) -> tuple[int, bytes]:
-        """The state of a BPE model's composition after a beginning of a part, and the encoding so far.
+    def _state(self, text: str) -> tuple[int, bytes]:
+        """The state of a BPE model's composition after a normalised text (-2: none), and the encoding.
 
-        The composition is deterministic, so the one piece that ends here at a finite distance is found by trying those
-        that end with the last character, longest first; states are kept, and shared by all parts that begin so.
+        The composition is deterministic, so a depth-first walk over its arcs of weight 0 enters a position once.
         """
-        known = self.fresh.get(prefix)
-        if known is not None:
-            return known
-        known = self.stale.get(prefix)
-        if known is None:
-            number, n, other, pairs = self.number, len(prefix), len(self.pieces), self.pairs
-            for size in self.lengths.get(prefix[-1], (1,)):
-                if size > n:
-                    continue
-                key = number.get(prefix[n - size :])
-                if key is None:
-                    if size > 1:
-                        continue
-                    key = other + ord(prefix[-1])
-                last, coded = self._state(prefix[: n - size]) if size < n else (-1, b"")
-                apart = pairs.get(last << 22 | key) if last >= -1 else False
-                if self._apart(last, key) if apart is None else apart:
-                    known = key, coded + (self.code[key] if key < other else self._fallback(prefix[-1], coded))
+        root, pairs, longest, n = self.trie, self.pairs, self.longest, len(text)
+        # What was written last, the position, what was written before and where that began, and where nothing leads on.
+        last, i = -1, 0
+        keys: list[int] = []
+        begins: list[int] = []
+        dead: set[int] = set()
+        while i < n:
+            node = root
+            for char in text[i : i + longest]:
+                after = node.get(char)
+                if after is None:
                     break
-            else:
-                known = -2, b""  # no piece ends here
-        if len(self.fresh) >= self.keep:
-            self.stale, self.fresh = self.fresh, {}
-        self.fresh[prefix] = known
-        return known
-
-    def _fallback(self, char: str, before: bytes) -> bytes:
+                node = after
+            apart = pairs[last]
+            for size, key in node.ahead or ((1, len(self.pieces) + ord(text[i])),):
+                if (known := apart.get(key)) is not False and i + size not in dead and (known or self._apart(last, key)):
+                    keys.append(key)
+                    begins.append(i)
+                    last = key
+                    i += size
+                    break
+            else:  # back to the piece before
+                if not keys:
+                    return -2, b""
+                dead.add(i)
+                keys.pop()
+                i = begins.pop()
+                last = keys[-1] if keys else -1
+        return last, self._coded(keys)
+
+    def _coded(self, keys: list[int]) -> bytes:
+        """Keys along a path as piece numbers."""
+        code, other = self.code, len(self.pieces)
+        if max(keys, default=0) < other:
+            return array("i", keys).tobytes()
+        return b"".join([code[key] if key < other else self._fallback(self._text(key), before >= other) for before, key in zip([-1, *keys], keys, strict=False)])
+
+    def _fallback(self, char: str, again: bool) -> bytes:
         """The numbers of a character that is no piece: its bytes, or the unknown piece once for a run."""
         if self.bytes:
             return np.array([self.bytes[b] for b in char.encode()], "<i4").tobytes()
-        return b"" if before.endswith(self.code[self.unknown]) else self.code[self.unknown]
+        return b"" if again else self.code[self.unknown]
 
-    def _part(self, part: str) -> bytes:
-        """The path of a normalised part."""
-        if self.kind != BPE or len(part) > 64:
-            return self._ids(part)
-        last, path = self._state(part)
+    def _path(self, norm: str) -> bytes:
+        """The path of a normalised text."""
+        if self.kind != BPE:
+            return self._ids(norm) if norm else b""
+        last, path = self._state(norm)
         if last == -2:
-            raise ValueError(f"no path through {part!r}")
+            raise ValueError(f"no path through {norm[:80]!r}")
         return path
 
+    def _later(self, part: str) -> bytes:
+        """The path of a part that follows another."""
+        if part.rfind(" ") == 0 and len(part) > 1:
+            return self._path(self.lead + part[1:])
+        return self._path(self.normalise.write(part, Normaliser.IN))
+
     def forget(self) -> None:
-        """Drop the kept states and paths (not the weights of neighbours, which every text needs)."""
-        self.fresh, self.stale, self.paths = {}, {}, {}
+        """Drop the kept paths (not the weights of neighbours, which every text needs)."""
+        self.paths.forget()
 
     def encode(self, text: str) -> bytes:
         """Piece numbers of a whole text, as little-endian 32-bit integers."""
-        write, paths = self.normalise.write, self.paths
-        if not self.cuts:
-            norm = self.normalise(text)
-            return self._ids(norm) if norm else b""
-        out = []
-        for k, part in enumerate(_PART.findall(text)):
-            path = paths.get(part) if k else None
-            if path is None:
-                norm = write(part, Normaliser.IN if k else Normaliser.START)
-                path = self._part(norm) if norm else b""
-                if k and len(part) <= 64:
-                    if len(paths) >= self.keep:
-                        paths.clear()
-                    paths[part] = path
-            out.append(path)
-        return b"".join(out)
-
-    def decode(self, ids: list[int]) -> str:
+        parts = self.parts.findall(text) if self.parts else ()
+        if not parts:
+            return self._path(self.normalise(text))
+        first = self._path(self.normalise.write(parts[0]))
+        return first + b"".join(map(self.paths.__getitem__, parts[1:]))
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of piece numbers; bytes that form no character show as U+FFFD."""
-        text = b"".join([self.back[i] for i in ids]).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int32)
+        sizes = self.back_size[ids]
+        ends = np.cumsum(sizes)
+        text = self.back[np.repeat(self.back_at[ids] - ends + sizes, sizes) + np.arange(sizes.sum())].tobytes().decode("utf-8", "replace")
         return text[1:] if self.normalise.prefix and text.startswith(" ") else text
 
 
@@ -401,7 +470,7 @@ def encode_texts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
                 texts = batch.column(1).to_pylist()
                 coded = [fst.encode(t) if t is not None else b"" for t in texts]
                 counts = np.fromiter((len(c) // 4 for c in coded), np.int64, len(coded))
-                exact = [t is None or fst.decode(np.frombuffer(c, "<i4").tolist()) == t for t, c in zip(texts, coded, strict=True)]
+                exact = [t is None or fst.decode(np.frombuffer(c, "<i4")) == t for t, c in zip(texts, coded, strict=True)]
                 values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, values, mask=pa.array([t is None for t in texts]))

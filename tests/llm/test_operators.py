@@ -720,3 +720,45 @@ def test_unigram_models_take_the_lightest_path():
         ids = np.frombuffer(fst.encode(text), "<i4").tolist()
         assert "".join(pieces[i][0] for i in ids) == norm and -sum(pieces[i][1] for i in ids) == pytest.approx(best[-1])
     assert np.frombuffer(fst.encode("axxa"), "<i4").tolist().count(0) == 1
+
+
+def test_kept_paths_serve_every_text(model):
+    """Words next to signs share their paths, and words in use outlast any number of others."""
+    fst = piece_fst.PieceTransducer(model, keep=4)
+    asked, compute = [], fst.paths.compute
+    fst.paths.compute = lambda part: asked.append(part) or compute(part)
+    fst.encode("x haus, haus. (haus) haus! haus;\nhaus\thaus")
+    assert sorted(asked).count(" haus") == 1 and len(asked) == len(set(asked))
+    asked.clear()
+    fst.encode("x" + "".join(f" haus w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)))
+    assert asked.count(" haus") <= 1 and len(asked) == 100 + asked.count(" haus") and len(fst.paths) + len(fst.paths.old) <= 8
+
+
+def test_cut_texts_equal_the_library(model):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+    r = random.Random(8)
+    units = ["a", "the", "ing", "ß", "ж", "при", "数据", "ال", "😀", "\n", "\t", "\x00", ".", ",", "();", "'", " ", "  ", "▁", "▁▁", "1", "…", "]", "^", "\\", "-"]
+    texts = ["▁ ", " ▁", "a▁ b", "a" * 999, "ab.," * 99, "".join(r.choices("abcdefgh", k=999)), *("".join(r.choices(units, k=r.randrange(25))) for _ in range(2000))]
+    for fst in (piece_fst.PieceTransducer(model), piece_fst.PieceTransducer(model, keep=3)):
+        for t in texts:
+            ids = lib.encode(t)
+            assert np.frombuffer(fst.encode(t), "<i4").tolist() == ids and fst.decode(ids) == lib.decode(ids)
+
+
+def test_cut_unigram_texts_take_whole_paths():
+    pieces = [("<unk>", 0, 2), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.5, 1), ("ab", -4.0, 1), ("▁a", -4.2, 1), (".", -3.0, 1), (",", -3.0, 1), (".,", -3.1, 1), ("▁.", -4.0, 1), ("1", -2.0, 1)]
+    fst, r = piece_fst.PieceTransducer(unigram_model(pieces)), random.Random(3)
+    for _ in range(2000):
+        text = "".join(r.choices("ab.,1xy▁ ", k=r.randrange(14)))
+        norm = fst.normalise(text)
+        assert fst.encode(text) == (fst._ids(norm) if norm else b"")
+    assert all(np.frombuffer(fst.encode(t), "<i4").tolist().count(0) == n for t, n in (("axxxxa", 1), ("xxx yyy", 2), ("xyx", 1)))
+
+
+def test_runs_of_unknown_characters_are_one_piece_in_any_model():
+    pieces = [("<unk>", 0, 2), ("▁", -1.0, 1), ("a", -2.0, 1), ("▁a", -0.5, 1)]
+    fst = piece_fst.PieceTransducer(unigram_model(pieces))
+    fst.kind = piece_fst.BPE
+    assert np.frombuffer(fst.encode("axxxx xa"), "<i4").tolist() == [3, 0, 1, 0, 2]
