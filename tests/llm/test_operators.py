@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -326,6 +327,44 @@ def test_toxicity_sample_holds_its_bounds(spark):
     assert len(out) == 3 and out[0].score == out[1].score
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id"))
+    ids = spark.range(1, 12_001).where(~toxicity.held_out(F.col("id"))).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    at = ids.select("doc_id", "toxic", order.alias("k"))  # a bound of 6,000 rows took k up to 2,000 of the toxic ones and up to 4,000 of the others
+    word = F.when((F.col("toxic") == 1) & (F.col("k") > 2_000), "vilest").when(F.col("toxic") == 1, "foul").when(F.col("k") > 4_000, "mildest").otherwise("plain")
+    docs = at.select("doc_id", F.concat_ws(" ", F.lit("some"), word, F.lit("words")).alias("text"), F.when(F.col("k") > 4_000, "late").otherwise("early").alias("lang")).persist()
+    model = toxicity.fit(docs, ids)
+    assert model.languages == ["early", "late"] and docs.where("text like '%vilest%'").count() > 500 < docs.where("text like '%mildest%'").count()
+    assert toxicity.Scorer(model).scores(["some vilest words", "some foul words", "some mildest words", "some plain words"])[0].round().tolist() == [1, 1, 0, 0]
+    docs.unpersist()
+
+
+def test_toxicity_training_does_not_depend_on_tasks(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    r = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    rows = [(k, " ".join(r.choices(words, k=r.randint(0, 40)) + ["vile"] * (k % 4 == 0)), r.choice(["x", None]), int(k % 4 == 0)) for k in range(600)]
+    docs = spark.createDataFrame([x[:3] for x in rows] + [(9_999, None, "x"), (1, "zz", "x")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(x[0], x[3]) for x in rows] * 2 + [(9_999, 1), (77_777, 1), (5, None)], "doc_id long, toxic int").repartition(3)
+    want = {(x[0], x[3]): min([x[1]] + ["zz"] * (x[0] == 1)) for x in rows if zlib.crc32(str(x[0]).encode()) % 5}
+    for few in (0, 10_000):
+        found = toxicity.labelled(docs, labels, few=few).collect()
+        assert {(x.doc_id, x.toxic): x.text for x in found} == want and len(found) == len(want) and len({x.shard for x in found}) > 3
+    models = []
+    for width, size in (("4", "128m"), ("7", "4k")):
+        monkeypatch.setattr(toxicity, "FEW", 1 << int(width))
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        models.append(toxicity.fit(docs.repartition(int(width)), labels))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    one, other = models
+    assert np.array_equal(one.embed, other.embed) and all(np.array_equal(x, y) for x, y in zip(one.conv, other.conv, strict=True)) and np.array_equal(one.cut, other.cut)
+    assert one.languages == other.languages == ["", "x"] and np.array_equal(one.lang_logp, other.lang_logp)
+    fold = [x for x in rows if not zlib.crc32(str(x[0]).encode()) % 5]
+    assert np.mean((toxicity.Scorer(one).scores([x[1] for x in fold])[0] >= 0.5) == [x[3] for x in fold]) > 0.95
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a b", None])
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
